@@ -5,10 +5,12 @@ Words are runs of characters other than space and U+0009..U+000D. A null text is
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they share that folder."""
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (never null) of documents, and no other column but those asked for."""
+    on_workers(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

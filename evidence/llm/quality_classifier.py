@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, bucket, materialise, rows, texts
+from evidence.llm.common import SLICE, batch_of, bucket, materialise, rows, texts
 from evidence.llm.textstats import BINS, CLASSES, Stats
 
 HOLD_OUT = 5
@@ -169,3 +169,18 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = measured.mapInArrow(score, "doc_id long, score double")
     held_out = F.coalesce(bucket(F.col("doc_id"), HOLD_OUT) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the threshold; each judged where it lies."""
+    model = fit(materialise(texts(docs).mapInArrow(_extract, "doc_id long, x array<double>")), labels)
+    at_text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                x = np.array([features(t or "") for t in part.column(at_text).to_pylist()], float)
+                yield part.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

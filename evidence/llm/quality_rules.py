@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, materialise, rows, texts
+from evidence.llm.common import SLICE, batch_of, materialise, rows, texts
 from evidence.llm.textstats import BINS, CLASSES, Stats
 
 MIN_WORDS = 50
@@ -109,3 +109,23 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each document: its counts, base_failed, the two distances, kept."""
     measured = materialise(texts(docs, "lang").mapInArrow(_measure, _SCHEMA))
     return judge(measured, references(measured))
+
+
+def keep_ruled(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep; each judged where it lies."""
+    measured = materialise(texts(docs, "lang").mapInArrow(_measure, _SCHEMA))
+    refs = references(measured)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                stats = [Stats(t or "") for t in part.column(names.index("text")).to_pylist()]
+                classes, bins = (np.array([getattr(s, c) for s in stats], float) for c in ("classes", "bins"))
+                dc, dw = distances(classes, bins, refs)
+                n_words = np.array([s.n_words for s in stats])
+                failed = np.array([base_failed(s.n_words, s.n_repeat_words) for s in stats])
+                yield part.filter(pa.array(~failed & ~diverges(dc, dw, classes.sum(1) >= GUARD_CHARS, n_words >= GUARD_WORDS)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -125,8 +125,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str])
 
 
 def copies(doc_id: Column, w: Column, seed: int = 11) -> Column:
-    u = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return (F.floor(w) + (u < w - F.floor(w)).cast("long")).cast("long")
+    """floor(w + u) for u uniform by a hash of the id: w on average."""
+    return F.floor(w + F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("long")
 
 
 def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -143,7 +143,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     """docs, its columns and no others, each row as often as its rate says."""
     domains = sorted(targets)
     model = Posteriors(docs, labelled, domains)
-    members = materialise(model.add(docs.select("doc_id", "text")).select("__tokens", "__p"))
-    steps = fit_rates(members, targets, domains)
-    rated = model.add(docs).withColumn("__n", copies(F.col("doc_id"), rate(F.col("__p"), steps, F.lit(1.0))))
-    return rated.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    members = materialise(model.add(docs))
+    steps = fit_rates(members.select("__tokens", "__p"), targets, domains)
+    rated = members.withColumn("__n", copies(F.col("doc_id"), rate(F.col("__p"), steps, F.lit(1.0))))
+    return rated.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*docs.columns)
