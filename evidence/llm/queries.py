@@ -41,6 +41,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.projected_neighbours import projected_neighbours
+
+    return projected_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.lm_scoring import lm_scoring
+
+    return lm_scoring(table(spark, sf_dir, "documents"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.token_store import write_store
+
+    return write_store(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE)).documents()
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidence.llm.quality_rules import quality_rules
 
@@ -59,6 +83,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.licences import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +98,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_neighbours": op3_neighbours,
+    "op4_url_filter": op4_url_filter,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_store": op6_token_store,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_licences": op10_licences,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
