@@ -13,7 +13,8 @@ Classes, without all pairs of a group:
 2. In each bucket (band key) the least node is its pivot. Every node is verified exactly against the least of its
    pivots; connected components of what holds are the first classes.
 3. A bucket is settled if all its nodes are in its pivot's class. In the others every node outside the pivot's class
-   is verified against every node of the bucket in another class. So each pair that shares a bucket is in one class or
+   is verified against every node of the bucket in another class; where that is many pairs, in blocks of sets that
+   return links only. So each pair that shares a bucket is in one class or
    has been verified: no candidate link is lost, and the bulk of a large group is never paired with itself.
 4. Components of all verified links are the classes.
 
@@ -24,6 +25,7 @@ one document. Rows without doc_id are no part of any class (the stage leaves the
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
+#: Blocks in which large buckets with several classes are compared.
+FEW_PAIRS, X_BLOCK, Y_BLOCK = 64, 512, 2048
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -191,6 +195,52 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _block(similarity: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of outsiders and members of a bucket, links between classes: for an outsider one to each class."""
+        out: list[tuple[int, int]] = []
+        left, right = rows[rows["outsider"]], rows[~rows["outsider"]]
+        if len(left) and len(right):
+            sizes = np.array([len(s) for s in right["shingles"]])
+            flat = np.concatenate(right["shingles"].to_list())
+            order = np.argsort(flat, kind="stable")
+            flat, member = flat[order], np.repeat(np.arange(len(right)), sizes)[order]
+            ids, classes = right["id"].to_numpy(), right["c"].to_numpy()
+            for x, c, own in zip(left["id"].tolist(), left["c"].tolist(), left["shingles"], strict=True):
+                low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(member[at], minlength=len(right))
+                near = np.flatnonzero((shared / (sizes + len(own) - shared) >= similarity) & (classes != c))
+                out += [(min(x, y), max(x, y)) for y in ids[near[np.unique(classes[near], return_index=True)[1]]].tolist()]
+        return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
+
+    return run
+
+
+def settled(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes in buckets that hold several. placed: band, id, c, pc (the class of the band's pivot).
+
+    A bucket with few pairs of an outsider and a member (FEW_PAIRS) is joined with itself. Those of a larger one are
+    compared in blocks: a task has at most about X_BLOCK outsiders and Y_BLOCK members, and returns links only.
+    """
+    sizes = placed.groupBy("band").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("nx"), F.count("*").alias("ny")).where("nx > 0")
+    open_ = materialise(placed.join(sizes, "band"))
+    few = F.col("nx") * F.col("ny") <= FEW_PAIRS
+    outside = open_.where(few & (F.col("c") != F.col("pc"))).select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
+    inside = open_.where(few).select("band", F.col("id").alias("y"), F.col("c").alias("cy"))
+    pairs = outside.join(inside, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    parts = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
+    own = lambda n, size: F.pmod(F.xxhash64("id", F.lit(13)), parts(n, size)).cast("int")
+    every = lambda n, size: F.explode(F.sequence(F.lit(0), parts(n, size) - 1))
+    x = open_.where(~few & (F.col("c") != F.col("pc"))).select("band", own("nx", X_BLOCK).alias("i"), "id", "c", every("ny", Y_BLOCK).alias("j"))
+    y = open_.where(~few).select("band", own("ny", Y_BLOCK).alias("j"), "id", "c", every("nx", X_BLOCK).alias("i"))
+    dealt = x.withColumn("outsider", F.lit(True)).unionByName(y.withColumn("outsider", F.lit(False))).join(sets, "id")
+    links = dealt.groupBy("band", "i", "j").applyInPandas(_block(similarity), "a long, b long")
+    return verified(pairs, sets, similarity).union(links).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document: doc_id, class_id (the least doc_id of its class), n_shingles."""
     known = texts(docs).where("doc_id is not null")
@@ -211,10 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     label = lambda x, c: classes.select(F.col("id").alias(x), F.col("class_id").alias(c))
     placed = buckets.join(label("id", "c"), "id", "left").join(label("pivot", "pc"), "pivot", "left")
     placed = materialise(placed.select("band", "id", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")))
-    outside = placed.where("c <> pc").select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
-    crossed = outside.join(placed.select("band", F.col("id").alias("y"), F.col("c").alias("cy")), "band").where("cx <> cy")
-    open_pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialise(verified(open_pairs, sets, similarity))
+    more = materialise(settled(placed, sets, similarity))
     if more.take(1):
         classes = components(links.union(more))
     named = sketched.select("doc_id", "set_key", "n").join(nodes, "set_key", "left")
