@@ -2,7 +2,7 @@
 
 1. Host and path are cut from the url by SQL functions; the longest rule that fits decides.
 2. Unigram counts of words come from the visible text of all pages, combined a partition before the shuffle. The
-   VOCABULARY commonest are the model that workers hold.
+   VOCABULARY commonest, and SEEDS, are the model that workers hold.
 3. A run of letters in a host or path is cut into words by Viterbi: the split of highest unigram probability, where an
    unknown run costs the more the longer it is (10 / (N * 10^length)).
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
@@ -86,7 +86,13 @@ def unigrams(pages: DataFrame) -> dict[str, int]:
     counts = materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return {r[0]: r[1] for r in top} | {"": total}
+    return with_seeds({r[0]: r[1] for r in top} | {"": total})
+
+
+def with_seeds(counts: dict[str, int]) -> dict[str, int]:
+    """The seeds are words too: each counts as at least one in a hundred thousand."""
+    least = max(1, counts.get("", 0) // 100_000)
+    return counts | {w: max(counts.get(w, 0), least) for w in SEEDS}
 
 
 class Segmenter(dict):
