@@ -6,7 +6,7 @@
 3. A run of letters in a host or path is cut into words by Viterbi: the split of highest unigram probability, where an
    unknown run costs the more the longer it is (10 / (N * 10^length)).
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
-   unwanted sites that count as if seen SEED_COUNT times in blocked urls. Words that the rules themselves name are left
+   unwanted sites that count as a share of the words of blocked hosts. Words that the rules themselves name are left
    out: the rules speak for those. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
    so a url with no telling word is allowed.
 
@@ -29,7 +29,7 @@ from evidence.llm.common import batch_of, materialise, on_workers, rows
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 # Words of host names that url blocklists are about.
 SEEDS = "ads adult bet bets casino cheap dating escort farm free loans lottery malware phishing pills poker porn prizes scam sex spam track tracker viagra warez win xxx".split()
-SEED_COUNT, THRESHOLD = 1000, 0.0
+SEED_COUNT, SEED_SHARE, THRESHOLD = 10, 0.01, 4.0
 VOCABULARY, TOKENS, LONGEST = 50_000, 100_000, 24
 
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -138,13 +138,23 @@ def named_by(rules: list[tuple[str, str, str]]) -> set[str]:
     return {w for host, path, _ in rules for w in _PART.findall(f"{host} {path}")}
 
 
-def bayes(counts: dict[tuple[str, str], int]) -> tuple[dict[str, float], float]:
-    """Log odds of block for each token, and for an unknown one."""
-    every = {t for t, _ in counts}
-    n = {v: sum(c for (_, w), c in counts.items() if w == v) for v in ("block", "allow")}
-    size = len(every) + 1
-    odds = lambda t: math.log((counts.get((t, "block"), 0) + 1) / (n["block"] + size)) - math.log((counts.get((t, "allow"), 0) + 1) / (n["allow"] + size))
-    return {t: odds(t) for t in every}, odds("")
+def bayes(counts: dict[tuple[str, str], int]) -> dict[str, float]:
+    """Log odds of block for each token. Host and path tokens are multinomials of their own; unknown tokens tell nothing."""
+    out = {}
+    for mark in ("h:", "p:"):
+        own = {t for t, _ in counts if t.startswith(mark)}
+        n = {v: sum(c for (t, w), c in counts.items() if w == v and t in own) for v in ("block", "allow")}
+        share = lambda t, v: math.log((counts.get((t, v), 0) + 1) / (n[v] + len(own)))  # noqa: B023, E731
+        out |= {t: share(t, "block") - share(t, "allow") for t in own}
+    return out
+
+
+def seeded(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:
+    """With every seed word as seen in SEED_SHARE of the words of blocked hosts, at least SEED_COUNT times."""
+    hosts = sum(c for (t, v), c in counts.items() if v == "block" and t.startswith("h:"))
+    out = Counter(counts)
+    out.update({(f"h:{w}", "block"): max(SEED_COUNT, int(SEED_SHARE * hosts)) for w in SEEDS})
+    return out
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -162,17 +172,16 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
 
     seen = judged.where("ruling is not null").select("host", "path", "ruling").mapInArrow(learn, "token string, ruling string, n long")
     seen = materialise(seen.groupBy("token", "ruling").agg(F.sum("n").alias("n")))
-    counts: Counter = Counter({(r[0], r[1]): r[2] for r in seen.orderBy(F.desc("n"), "token", "ruling").limit(TOKENS).collect()})
-    counts.update({(f"h:{w}", "block"): SEED_COUNT for w in SEEDS})
-    odds = spark.sparkContext.broadcast(bayes(counts))
+    counts = {(r[0], r[1]): r[2] for r in seen.orderBy(F.desc("n"), "token", "ruling").limit(TOKENS).collect()}
+    odds = spark.sparkContext.broadcast(bayes(seeded(counts)))
 
     def judge(batches):
-        segment, (of, unknown) = Segmenter(model.value), odds.value
+        segment, of = Segmenter(model.value), odds.value
         out_schema = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("host", "path", "rule", "verdict")), ("log_odds", pa.float64())])
         for part in rows(batches):
             out = []
             for page_id, host, path, rule, ruling in part:
-                score = sum((of.get(t, unknown) for t in tokens(host, path, segment, named)), 0.0)
+                score = sum((of.get(t, 0.0) for t in tokens(host, path, segment, named)), 0.0)
                 out.append((page_id, host, path, rule, ruling or ("block" if score > THRESHOLD else "allow"), score))
             yield batch_of(out, out_schema)
 

@@ -106,8 +106,9 @@ def test_segments_by_brute_force():
 
 
 def test_bayes_by_definition():
-    odds, unknown = url_filter.bayes({("a", "block"): 3, ("a", "allow"): 1, ("b", "allow"): 4})
-    assert odds["a"] == pytest.approx(math.log(4 / 6) - math.log(2 / 8)) and odds["b"] == pytest.approx(math.log(1 / 6) - math.log(5 / 8)) and unknown == pytest.approx(math.log(1 / 6) - math.log(1 / 8))
+    odds = url_filter.bayes({("h:a", "block"): 3, ("h:a", "allow"): 1, ("h:b", "allow"): 4, ("p:c", "block"): 2})
+    assert odds["h:a"] == pytest.approx(math.log(4 / 5) - math.log(2 / 7)) and odds["h:b"] == pytest.approx(math.log(1 / 5) - math.log(5 / 7)) and odds["p:c"] == pytest.approx(math.log(3 / 3) - math.log(1 / 1))
+    assert url_filter.seeded({("h:a", "block"): 5000})[("h:casino", "block")] == 50
 
 
 def test_verdicts_by_brute_force(spark, small):
@@ -116,15 +117,15 @@ def test_verdicts_by_brute_force(spark, small):
     rows = pages.collect()
     seen = Counter(w for r in rows for w in url_filter._LETTERS.findall(url_filter._TAG.sub(" ", r["html"] or "").lower()) if len(w) <= url_filter.LONGEST)
     seg, named = url_filter.Segmenter(url_filter.with_seeds(dict(seen) | {"": sum(seen.values())})), url_filter.named_by(url_filter.RULES)
-    counts = Counter({(f"h:{w}", "block"): url_filter.SEED_COUNT for w in url_filter.SEEDS})
+    counts = Counter()
     parts = {r["page_id"]: split_url(r["url"]) for r in rows}
     for host, path in parts.values():
         if (v := rule_of(host, path)[1]) is not None:
             counts.update((t, v) for t in url_filter.tokens(host, path, seg, named))
-    odds, unknown = url_filter.bayes(counts)
+    odds = url_filter.bayes(url_filter.seeded(counts))
     for r in url_filter.url_filter(pages).collect():
         host, path = parts[r["page_id"]]
-        score = sum(odds.get(t, unknown) for t in url_filter.tokens(host, path, seg, named))
+        score = sum(odds.get(t, 0.0) for t in url_filter.tokens(host, path, seg, named))
         assert r["log_odds"] == pytest.approx(score)
         assert r["verdict"] == (rule_of(host, path)[1] or ("block" if score > url_filter.THRESHOLD else "allow"))
 
