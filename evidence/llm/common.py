@@ -18,6 +18,7 @@ from evidence.workers import on_workers
 
 WORD = re.compile(r"[^\x20\t-\r]+")
 _ODD_SPACE = re.compile(r"[^\S\x20\t-\r]")
+_ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Rows handed from Arrow to Python at once; bounds what a worker holds besides its Arrow batch.
 SLICE = 128
 #: A side of a join is broadcast only if its counted rows are no more than this.
@@ -26,7 +27,8 @@ BROADCAST_ROWS = 200_000
 
 def words(text: str) -> list[str]:
     """The words of a text; str.split() where it splits at the same characters."""
-    return text.split() if not _ODD_SPACE.search(text) else WORD.findall(text)
+    odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text)
+    return WORD.findall(text) if odd else text.split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

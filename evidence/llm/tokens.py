@@ -16,8 +16,9 @@ from array import array
 LIMIT = 500_000
 _LONGEST = 64
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
-_UNPLAIN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+)([.,!?;:]*)\Z")
+#: ASCII punctuation without the apostrophe: a run of it after letters is a pre-token of its own.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_LETTERS = re.compile(rf"([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+)([{_MARKS}]*)\Z")
 
 
 def load(path: str):
@@ -44,7 +45,7 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-_LETTER = _byte_letters()
+_LETTER = {i: c for i, c in enumerate(_byte_letters())}
 
 
 class _Pieces(dict):
@@ -71,35 +72,39 @@ class Encoder:
         self.model = self.tokenizer.model
         #: Whether a space belongs to the word after it; else white space is dropped and letters are lower-cased.
         self.spaced = not self.model.end_of_word_suffix
-        self.stops = _Pieces(self.whole)
-        self.plain = _Pieces(lambda p: self._piece(p, ""))
-        self.after_space = _Pieces(lambda p: self._piece(p, " "))
+        self.marks = _Pieces(self.whole)
+        #: Pieces as they are; and pieces after a space, or after a line end that they then begin with.
+        self.plain = _Pieces(lambda p: self._piece(p, self.plain, ""))
+        self.after = _Pieces(lambda p: self.plain["\n"] + self.plain[p[1:]] if p[:1] == "\n" and len(p) > 1 else self._piece(p, self.after, " "))
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str, before: str) -> bytes:
-        found = _LETTERS.match(piece)
-        if not found:
-            return self.whole(before + piece)
-        letters, stops = found.groups()
+    def _letters(self, letters: str, before: str) -> bytes:
         if not self.spaced:
             letters = letters.lower()
         if before or not letters.isascii():
-            letters = "".join([_LETTER[b] for b in (before + letters).encode()])
-        ids = packed([t.id for t in self.model.tokenize(letters)])
-        return ids + self.stops[stops] if stops else ids
+            letters = (before + letters).encode().decode("latin-1").translate(_LETTER)
+        return packed([t.id for t in self.model.tokenize(letters)])
+
+    def _piece(self, piece: str, cache: _Pieces, before: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._letters(piece, before)
+        found = _LETTERS.match(piece)
+        if not found:
+            return self.whole(before + piece)
+        letters, marks = found.groups()
+        return cache[letters] + self.marks[marks] if marks else self._letters(letters, before)
 
     def ids(self, text: str) -> bytes:
         if not self.spaced:
             return self.whole(text) if _CONTROL_SPACE.search(text) else b"".join(map(self.plain.__getitem__, text.split()))
-        if _UNPLAIN.search(text):
+        first, *rest = text.replace("\n", " \n").split(" ")
+        # Every gap is one space or one line end: as many words as pieces, and no other white space.
+        ws = text.split()
+        if len(ws) != len(rest) + 1 or sum(map(len, ws)) + len(rest) != len(text):
             return self.whole(text)
-        out, plain, after_space = [], self.plain, self.after_space.__getitem__
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(plain[first] + b"".join(map(after_space, rest)))
-        return plain["\n"].join(out)
+        return self.plain[first] + b"".join(map(self.after.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
