@@ -513,3 +513,72 @@ def schema_digest(s, d):
 def question_chunks(s, d):
     turns = fx.table(s, d, "conversations").select("conv_id", "turn", F.explode(cut(F.col("text"), 400, 60)).alias("chunk"))
     return turns.groupBy("conv_id", "turn").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+
+
+# More of the same operators: re-chunking, suggestions, prompts, keys.
+_LINES = "SELECT doc_id AS doc_sk, (ord - 1)::INT AS ord, CASE WHEN doc_id % 5 = 0 THEN l || '!' ELSE l END AS fresh, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)"
+
+
+@query(f"SELECT doc_sk FROM (SELECT doc_sk, list(sha256(l) ORDER BY ord) AS was, list(sha256(fresh) ORDER BY ord) AS now FROM ({_LINES}) GROUP BY 1) WHERE was = now")
+def same_chunks(s, d):
+    lines = fx.table(s, d, "documents").select(F.col("doc_id").alias("doc_sk"), F.posexplode(F.split("text", "\n")).alias("ord", "l"))
+    fresh = F.when(F.col("doc_sk") % 5 == 0, F.concat("l", F.lit("!"))).otherwise(F.col("l"))
+    hashed = lambda c: lines.select("doc_sk", "ord", F.sha2(c, 256).alias("text_hash"))
+    return ch.same_chunks(hashed(F.col("l")), hashed(fresh))
+
+
+@query(f"""SELECT doc_id, CASE WHEN action IN ('insert', 'new_version') THEN action WHEN p_is_active <> is_active AND k % 2 = 1 THEN 'new_version' WHEN p_is_active <> is_active THEN 'new_version_move_chunks'
+WHEN k % 2 = 1 THEN 'rechunk' ELSE action END AS action FROM ({_DECIDED})""")
+def scd2_decide_rechunk(s, d):
+    same = fx.incoming(s, d).select("doc_id").where(F.split_part("doc_id", F.lit(":"), F.lit(2)).cast("long") % 2 == 0)
+    return scd2.decide(scd2.current_versions(fx.versions(s, d)), fx.incoming(s, d), rechunk_all=True, same_chunks=same).select("doc_id", "action")
+
+
+@query(f"SELECT doc_id, CASE WHEN action = 'new_version_move_chunks' THEN 'overwrite' ELSE action END AS action FROM ({_DECIDED})")
+def scd2_decide_in_place(s, d):
+    from evidence.rules.spec import History
+
+    return scd2.decide(scd2.current_versions(fx.versions(s, d)), fx.incoming(s, d), History(version_on_activation_change=False)).select("doc_id", "action")
+
+
+@query("SELECT 'What do the records say about ' || p_brand || '?' AS question, min(p_partkey) AS doc_id FROM part GROUP BY 1")
+def sample_questions(s, d):
+    rows = fx.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("title"), F.lit("other").alias("doc_type"))
+    return search.sample_questions(rows)
+
+
+@query("""SELECT conversation_id, string_agg('Q: ' || CASE WHEN length(question) > 80 THEN rtrim(substr(question, 1, 76), ' ') || ' ...' ELSE question END || chr(10) || 'A: ' || CASE WHEN length(answer) > 80 THEN rtrim(substr(answer, 1, 76), ' ') || ' ...' ELSE answer END, chr(10) ORDER BY turn) AS block
+FROM (%s) WHERE answer IS NOT NULL GROUP BY 1""" % _LOG)
+def history_block(s, d):
+    return conversation.history_block(fx.turn_log(s, d).where("answer is not null"), 80)
+
+
+@query(f"""SELECT conversation_id, turn, CASE WHEN k % 3 = 0 THEN 'before ' || question WHEN k % 3 = 1 THEN 'What about it now?' ELSE CASE WHEN length(question) >= 20 THEN 'before ' || question ELSE question END END AS condensed
+FROM (SELECT *, conversation_id + turn AS k FROM (SELECT conversation_id, turn, trim(string_split(replace(question, chr(34), ''), chr(10))[1], ' ''') AS question FROM ({_LOG}))) WHERE length(question) > 0""")
+def condense(s, d):
+    one = F.btrim(F.split_part(F.regexp_replace("question", '"', ""), F.lit("\n"), F.lit(1)), F.lit(" '"))
+    rows = fx.turn_log(s, d).select("conversation_id", "turn", one.alias("question")).where("length(question) > 0")
+    k = (F.col("conversation_id") + F.col("turn")) % 3
+    rewrite = F.when(k == 0, F.lit(None)).when(k == 1, 'Question: "What about it now?"').otherwise(F.col("question"))
+    told = F.array(F.concat(F.lit("Well: "), F.col("question")))
+    return rows.select("conversation_id", "turn", conversation.condensed(F.lit("before"), F.col("question"), rewrite, told).alias("condensed"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'That question was not answered.' ELSE 'No: ' || role END || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'SELECT 1' ELSE '' END AS answer FROM conversations")
+def blocked_answers(s, d):
+    message = F.when(F.col("turn") % 2 != 0, F.concat(F.lit("No: "), F.col("role")))
+    return fx.table(s, d, "conversations").select("conv_id", "turn", gate.blocked_answer(message, F.when(F.col("conv_id") % 2 == 0, "SELECT 1")).alias("answer"))
+
+
+@query("""SELECT 'orders' AS table_name, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS holds
+UNION ALL SELECT 'lineitem', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) = 0""")
+def verify_keys(s, d):
+    keys = {"orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber")}
+    return s.createDataFrame([(n, catalog.verify_key(fx.table(s, d, n), k)) for n, k in keys.items()], "table_name string, holds boolean")
+
+
+@query("SELECT event_type AS source_id, max(event_id) AS head, count(*) AS changes FROM events GROUP BY 1")
+def heads_by_source(s, d):
+    from evidence.streaming.changelog import head_by_source
+
+    return head_by_source(fx.change_log(s, d))
