@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
 #: Blocks in which large buckets with several classes are compared.
-FEW_PAIRS, X_BLOCK, Y_BLOCK = 64, 512, 2048
+FEW_PAIRS, X_BLOCK, Y_BLOCK = 64, 128, 512
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -247,7 +247,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sketched = materialise(known.mapInArrow(_sketch_rows, "doc_id long, set_key binary, n int, bands array<long>"))
     nodes = materialise(sketched.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id")))
     dealt = sketched.where("n > 0").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    dealt = materialise(dealt.distinct())
     pivots = dealt.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "pivot")
     buckets = materialise(dealt.join(pivots, "band"))
 
