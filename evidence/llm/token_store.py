@@ -153,13 +153,13 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2
             out = []
             for doc_id, text in part:
                 ids = encode.ids(text) + end
-                where = -1 if doc_id is None else int(np.searchsorted(bounds, doc_id))
+                where = 0 if doc_id is None else 1 + int(np.searchsorted(bounds, doc_id))
                 out.append((where, doc_id, len(ids) // 4, press.compress(_narrow(ids, width))))
             yield batch_of(out, schema)
 
     framed = texts(docs).mapInArrow(encode_all, "range int, doc_id long, n long, frame binary")
-    # A range is one file's worth of documents; what decides its size is RANGE_DOCS, not the shuffle.
-    dealt = framed.repartition(max(1, min(n_ranges, 100_000)), "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"))
+    # A range is a partition and a file's worth of documents; RANGE_DOCS decides its size, not a hash.
+    dealt = framed.repartitionById(len(bounds) + 2, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"))
 
     def write(batches):
         schema = pa.schema([("range", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.binary())])
