@@ -52,13 +52,16 @@ def decide(current: DataFrame, incoming: DataFrame, history: History = History()
 
 
 def _with_keys(opened: DataFrame, top: DataFrame) -> DataFrame:
-    """Surrogate keys after the largest, in order of doc_id. Ranks come from ranges of doc_id and their sizes, not from one task."""
-    spread = opened.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("__part", F.spark_partition_id())
-    within = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("doc_id")))
-    sizes = within.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    return within.join(F.broadcast(bases), "__part").join(F.broadcast(top)).withColumn("doc_sk", F.col("__top") + F.col("__base") + F.col("__n")).drop("__part", "__n", "__base", "__top")
+    """Surrogate keys after the largest, in order of (first three digits of sha256(doc_id), doc_id).
+
+    Each of the 4096 digit groups is ranked by itself and offset by the sizes of those before it: the keys are the same
+    however the rows lie, and no task ranks all documents.
+    """
+    grouped = opened.withColumn("__g", F.substring(F.sha2("doc_id", 256), 1, 3))
+    ranked = grouped.withColumn("__n", F.row_number().over(Window.partitionBy("__g").orderBy("doc_id")))
+    before = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    bases = grouped.groupBy("__g").count().select("__g", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    return ranked.join(F.broadcast(bases), "__g").join(F.broadcast(top)).withColumn("doc_sk", F.col("__top") + F.col("__base") + F.col("__n")).drop("__g", "__n", "__base", "__top")
 
 
 def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int) -> DataFrame:

@@ -131,7 +131,7 @@ _OPENS = "action IN ('insert', 'new_version', 'new_version_move_chunks')"
 _APPLIED = f"""SELECT o.doc_sk, o.doc_id, o.title, CASE WHEN c.action = 'overwrite' THEN c.url ELSE o.url END AS url, o.is_active, 1 AS version, coalesce(NOT {_OPENS}, true) AS is_current,
 TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN {_OPENS} THEN TIMESTAMP '2024-02-01' END AS valid_to, 'first seen' AS change_reason, CASE WHEN c.action = 'overwrite' THEN 77 ELSE 1 END::BIGINT AS source_change_id
 FROM ({_OLD}) o LEFT JOIN ({_DECIDED}) c USING (doc_id)
-UNION ALL SELECT (SELECT coalesce(max(doc_sk), 0) FROM ({_OLD})) + row_number() OVER (ORDER BY doc_id), doc_id, title, url, is_active, CASE WHEN p_doc_sk IS NULL THEN 1 ELSE 2 END, true, TIMESTAMP '2024-02-01', NULL, reason, 77 FROM ({_DECIDED}) WHERE {_OPENS}"""
+UNION ALL SELECT (SELECT coalesce(max(doc_sk), 0) FROM ({_OLD})) + row_number() OVER (ORDER BY substr(sha256(doc_id), 1, 3), doc_id), doc_id, title, url, is_active, CASE WHEN p_doc_sk IS NULL THEN 1 ELSE 2 END, true, TIMESTAMP '2024-02-01', NULL, reason, 77 FROM ({_DECIDED}) WHERE {_OPENS}"""
 
 
 @query(f"SELECT doc_id, action, reason FROM ({_DECIDED})")
