@@ -83,6 +83,27 @@ def batch_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def hashed_below(share: float, *key: str) -> Column:
+    """About that share of all rows, the same ones every time, by the hash of their key."""
+    return F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
+def commonest(counts: DataFrame, most: int, *key: str) -> list[tuple]:
+    """About most rows (key, n) of the greatest n, largest first. Nothing but those and a histogram reaches the driver.
+
+    All rows above a level of n are taken, and of those at it the share that is left, by hash.
+    """
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.lit(4096) + F.floor((F.log2(F.col("n")) - 12) * 64)).cast("long")
+    room, cut, share = most, -1, 1.0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r[1] > room:
+            cut, share = r[0], room / r[1]
+            break
+        room -= r[1]
+    kept = counts.where((level > cut) | ((level == cut) & hashed_below(share, *key))).select(*key, "n").collect()
+    return sorted((tuple(r) for r in kept), key=lambda r: (-r[-1], r[:-1]))
+
+
 def small(df: DataFrame, n: int) -> DataFrame:
     """df, to be broadcast if its n counted rows are few; else joined by shuffle."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df

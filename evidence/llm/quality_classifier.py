@@ -2,7 +2,7 @@
 
 1. One pass turns every text into FEATURES statistics; they are written to the shared folder, so texts are read once.
 2. The labelled rows that may be learnt from (crc32(doc_id as text) mod 5 is not 0) are split: remainders 1 to 3 fit the
-   ridge, remainder 4 fits the calibration. At most MAX_TRAIN labelled rows are fitted, those with the smallest hash of
+   ridge, remainder 4 fits the calibration. About MAX_TRAIN labelled rows are used at most, chosen by the hash of
    doc_id; this bound is a parameter. Statistics are standardised with the mean and deviation of the fitting rows.
 3. cos(Wx + b), with W Gaussian, approximates a Gaussian kernel. Each of at most SUM_PARTS partitions adds up its normal
    equations (Z'Z, Z'y); the driver adds those and solves.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence.llm.common import SLICE, batch_of, bucket, materialise, rows, texts
+from evidence.llm.common import SLICE, batch_of, bucket, hashed_below, materialise, rows, texts
 from evidence.llm.textstats import BINS, CLASSES, Stats
 
 HOLD_OUT = 5
@@ -105,7 +105,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
     gold = gold.where(bucket(F.col("doc_id"), HOLD_OUT) != 0)
     n_gold = gold.count()
     if n_gold > MAX_TRAIN:
-        gold = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
+        gold = gold.where(hashed_below(MAX_TRAIN / n_gold, "doc_id"))
     learn = materialise(measured.join(gold, "doc_id").select("x", "y", (bucket(F.col("doc_id"), HOLD_OUT) == HOLD_OUT - 1).alias("calibrate")).coalesce(SUM_PARTS))
     fitting, calibrating = learn.where(~F.col("calibrate")), learn.where("calibrate")
 

@@ -33,7 +33,7 @@ from evidence.llm.tokens import encoder, packed
 MAGIC = b"EVTOKST1"
 _HEAD = struct.Struct("<8sQIIq")
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8_000_000, 64 * 1024
-SHARD_BYTES, RANGE_DOCS, LEVEL = 2_000_000, 4000, 3
+SHARD_BYTES, RANGE_DOCS, MAX_RANGES, LEVEL = 2_000_000, 4000, 20_000, 3
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -141,7 +141,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2
         samples.append(bytes(r[0]))
         size += len(r[0])
     dictionary = train_dictionary(samples)
-    n_ranges = max(1, -(-n // RANGE_DOCS))
+    n_ranges = max(1, min(-(-n // RANGE_DOCS), MAX_RANGES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] if n_ranges > 1 else None
     bounds = np.unique(np.array(cuts or [], np.int64))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, materialise, on_workers, rows
+from evidence.llm.common import batch_of, commonest, materialise, on_workers, rows
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 # Words of host names that url blocklists are about.
@@ -85,8 +85,7 @@ def unigrams(pages: DataFrame) -> dict[str, int]:
 
     counts = materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return with_seeds({r[0]: r[1] for r in top} | {"": total})
+    return with_seeds(dict(commonest(counts, VOCABULARY, "word")) | {"": total})
 
 
 def with_seeds(counts: dict[str, int]) -> dict[str, int]:
@@ -172,7 +171,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
 
     seen = judged.where("ruling is not null").select("host", "path", "ruling").mapInArrow(learn, "token string, ruling string, n long")
     seen = materialise(seen.groupBy("token", "ruling").agg(F.sum("n").alias("n")))
-    counts = {(r[0], r[1]): r[2] for r in seen.orderBy(F.desc("n"), "token", "ruling").limit(TOKENS).collect()}
+    counts = {(t, v): n for t, v, n in commonest(seen, TOKENS, "token", "ruling")}
     odds = spark.sparkContext.broadcast(bayes(seeded(counts)))
 
     def judge(batches):

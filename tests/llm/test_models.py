@@ -79,6 +79,7 @@ URLS = ["http://a.example.net/en/1", "http://EXAMPLE.net", "http://example.net/"
 
 def test_rules_and_parts(spark):
     rows = [(i, u, None if i % 3 else "<p>Hello pills <script>x</script> win</p>", "h", "v") for i, u in enumerate(URLS)] + [(None, URLS[0], "", "h", "v"), (0, URLS[0], "", "h", "v")]
+    rows += [(None, "http://garden.example.net/en/1", "", "h", "v")] * 2000  # enough allowed urls to learn from
     got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string")).collect()
     assert len(got) == len(rows)
     for r in got:
