@@ -106,7 +106,8 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
     n_gold = gold.count()
     if n_gold > MAX_TRAIN:
         gold = gold.where(hashed_below(MAX_TRAIN / n_gold, "doc_id"))
-    learn = materialise(measured.join(gold, "doc_id").select("x", "y", (bucket(F.col("doc_id"), HOLD_OUT) == HOLD_OUT - 1).alias("calibrate")).coalesce(SUM_PARTS))
+    # The join runs wide; only what it leaves, the labelled rows, is read in few partitions.
+    learn = materialise(measured.join(gold, "doc_id").select("x", "y", (bucket(F.col("doc_id"), HOLD_OUT) == HOLD_OUT - 1).alias("calibrate"))).coalesce(SUM_PARTS)
     fitting, calibrating = learn.where(~F.col("calibrate")), learn.where("calibrate")
 
     def moments(batches):
