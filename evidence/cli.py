@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
         show(gate.qualify(asked, load_rules_cached(a.rules).gate).first().asDict())
     else:
         chunks = _searchable(store)
-        hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter))
+        hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter), stats=store.table("lexeme", run.LEXEMES))
         for r in hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect():
             show(r.asDict())
     return 0

@@ -28,9 +28,10 @@ def _window(log: DataFrame, source_id: str, low: int, high: int | None) -> DataF
 
 
 def changes_behind(log: DataFrame, marks: DataFrame) -> DataFrame:
-    """For each watermark (doc_type, source_id, change_id), the changes past it."""
-    late = marks.join(log.select("source_id", F.col("change_id").alias("id")), "source_id", "left")
-    return late.groupBy("doc_type", "source_id").agg(F.count_if(F.col("id") > F.col("change_id")).alias("behind"))
+    """For each watermark (doc_type, source_id, change_id), the changes past it. There is a watermark a document type: few."""
+    late = log.select("source_id", F.col("change_id").alias("id")).join(F.broadcast(marks), "source_id").where(F.col("id") > F.col("change_id"))
+    counted = late.groupBy("doc_type", "source_id").agg(F.count("*").alias("behind"))
+    return marks.select("doc_type", "source_id").join(counted, ["doc_type", "source_id"], "left").select("doc_type", "source_id", F.coalesce("behind", F.lit(0)).alias("behind"))
 
 
 def changed_keys(log: DataFrame, source_id: str, low: int, high: int | None) -> DataFrame:

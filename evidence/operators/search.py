@@ -123,11 +123,12 @@ def fuse(vector_rows: DataFrame, text_rows: DataFrame, top_k: int = TOP_K, max_p
     return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_per_doc).drop("n").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
-def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Both searches over what the filters allow, fused. stats: a stored lexeme_stats(), else counted anew."""
     if not question.strip():
         raise ValueError("the question is empty")
     allowed = searchable(chunks, doc_types, filters)
-    return fuse(vector_search(allowed, vector, candidates), text_search(allowed, question, candidates, everything=chunks), top_k)
+    return fuse(vector_search(allowed, vector, candidates), text_search(allowed, question, candidates, everything=chunks, stats=stats), top_k)
 
 
 def sample_matched(chunks: DataFrame, question: str, first: int = 200, limit: int = 3, doc_types: list[str] | None = None) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence.functions.chunking import OVERLAP, SIZE
-from evidence.operators import changes, mapping, quality, scd2
+from evidence.operators import changes, mapping, quality, scd2, search
 from evidence.operators import chunks as ch
 from evidence.operators.catalog import Catalog, validate
 from evidence.rules.spec import DocType
 from evidence.sources.store import Manifest, Store
 
 VERSIONS = "doc_sk long, doc_id string, doc_type string, source_id string, title string, body string, url string, metadata string, content_hash string, tracked_hash string, is_active boolean, version int, is_current boolean, valid_from timestamp, valid_to timestamp, change_reason string, source_change_id long, batch_id long"
+LEXEMES = "lexeme string, ndoc long"
 CHUNKS = "chunk_id string, doc_sk long, ord int, text string, text_hash string, embedding array<float>, embed_model string"
 
 
@@ -108,6 +109,7 @@ def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, D
     after = spark.read.schema(VERSIONS).parquet(f"{store.root}/{documents}")
     chunks_path = store.write("chunk", restage_chunks(chunk_table, versions, after, decided, size, overlap), batch)
     manifest.tables |= {"document": documents, "chunk": chunks_path}
+    manifest.tables["lexeme"] = store.write("lexeme", search.lexeme_stats(spark.read.schema(CHUNKS).parquet(f"{store.root}/{chunks_path}")), batch)
     manifest.watermarks[rule.doc_type] = asdict(changes.Watermark(rule.doc_type, rule.source.source_id, head, signature))
     pending = ch.pending_cost(spark.read.schema(CHUNKS).parquet(f"{store.root}/{chunks_path}")).first().asDict()
     status = "waiting" if 0 < approve_over < pending["texts"] else "succeeded"

@@ -6,7 +6,8 @@ from evidence.operators import scd2
 from evidence.operators.catalog import Table, read_catalog, validate, verify_key
 from evidence.operators.chunks import HashEmbedder
 from evidence.operators.quality import blocks, run_checks
-from evidence.plans.ingest import CHUNKS, VERSIONS, embed_step, ingest
+from evidence.operators.search import lexeme_stats
+from evidence.plans.ingest import CHUNKS, LEXEMES, VERSIONS, embed_step, ingest
 from evidence.rules.spec import Check, DocType
 from evidence.sources.store import Conflict, Store
 from evidence.streaming.changelog import head_by_source, run_on_change
@@ -72,6 +73,8 @@ def test_incremental_life(spark, tmp_path):
     kept = {r["text_hash"]: r["embedding"] for r in chunks.where("embedding is not null").collect()}
     assert kept and all(before[h] == v for h, v in kept.items())
     assert run.pending["texts"] < chunks.count()
+    stats = lambda df: {(r["lexeme"], r["ndoc"]) for r in df.collect()}
+    assert stats(store.table("lexeme", LEXEMES)) == stats(lexeme_stats(chunks))
     assert embed_step(spark, store, HashEmbedder(), limit=1).status in ("stopped", "succeeded")
     assert embed_step(spark, store, HashEmbedder()).status == "succeeded"
     other = HashEmbedder()
