@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence.llm.common import SLICE, batch_of, bucket, hashed_below, materialise, rows, texts
-from evidence.llm.textstats import BINS, CLASSES, Stats
+from evidence.llm.textstats import CLASSES, Stats
 
 HOLD_OUT = 5
 THRESHOLD = 0.3
