@@ -127,6 +127,16 @@ def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return chosen - np.log(logits.sum(1))
 
 
+def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """The softmax, and the sum of the negative logarithms of one entry a row; logits is overwritten."""
+    logits -= logits.max(1, keepdims=True)
+    chosen = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    whole = logits.sum(1, keepdims=True)
+    logits /= whole
+    return logits, np.log(whole).sum() - chosen.sum()
+
+
 def log_probabilities(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each target id. hs: rows x HIDDEN."""
     cls = class_of(y)
@@ -170,38 +180,48 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndar
     cls = class_of(target)
     hr = rows[real]
     d = {k: np.zeros_like(v) for k, v in p.items()}
-    log_p = _log_softmax(hr @ p["wc"] + p["bc"])
-    loss = -log_p[np.arange(len(real)), cls].sum()
-    dl = np.exp(log_p)
+    dl, loss = _softmax(hr @ p["wc"] + p["bc"], cls)
     dl[np.arange(len(real)), cls] -= 1
     dl /= total
     d["wc"], d["bc"] = hr.T @ dl, dl.sum(0)
     dr = dl @ p["wc"].T
-    for k in np.unique(cls[target < VOCABULARY]):
-        i = np.flatnonzero((cls == k) & (target < VOCABULARY))
-        log_p = _log_softmax(hr[i] @ p["ww"][k] + p["bw"][k])
-        loss -= log_p[np.arange(len(i)), target[i] % MEMBERS].sum()
-        dw = np.exp(log_p)
-        dw[np.arange(len(i)), target[i] % MEMBERS] -= 1
+    order = np.argsort(cls, kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(OWN + 1))
+    for k in range(OWN):
+        i = order[ends[k] : ends[k + 1]]
+        if not len(i):
+            continue
+        hk, member = hr[i], target[i] % MEMBERS
+        dw, more = _softmax(hk @ p["ww"][k] + p["bw"][k], member)
+        loss += more
+        dw[np.arange(len(i)), member] -= 1
         dw /= total
-        d["ww"][k], d["bw"][k] = hr[i].T @ dw, dw.sum(0)
+        d["ww"][k], d["bw"][k] = hk.T @ dw, dw.sum(0)
         dr[i] += dw @ p["ww"][k].T
     dhs = np.zeros_like(rows)
     dhs[real] = dr
     dhs = dhs.reshape(steps, n, HIDDEN)
+    h0, z, r, an, c = (np.stack(own) for own in zip(*kept, strict=True))
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), an * r * (1 - r)
+    starts = x == START
+    any_start = starts.any(1)
     dh = np.zeros((n, HIDDEN), F32)
-    dg = np.empty((steps, n, 3 * HIDDEN), F32)
+    # dg: of the gates' inputs; da: of the state's part in them.
+    dg, da = np.empty((steps, n, 3 * HIDDEN), F32), np.empty((steps, n, 3 * HIDDEN), F32)
+    back = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        h0, z, r, an, c = kept[t]
-        dh = dh + dhs[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h0 - c) * z * (1 - z)
-        drr = dc * an * r * (1 - r)
-        dg[t, :, :HIDDEN], dg[t, :, HIDDEN : 2 * HIDDEN], dg[t, :, 2 * HIDDEN :] = dz, drr, dc
-        da = np.concatenate([dz, drr, dc * r], 1)
-        d["u"] += h0.T @ da
-        dh = dh * z + da @ p["u"].T
-        dh[x[t] == START] = 0
+        dh += dhs[t]
+        dc = dh * by_c[t]
+        da[t, :, :HIDDEN] = dh * by_z[t]
+        da[t, :, HIDDEN : 2 * HIDDEN] = dc * by_r[t]
+        da[t, :, 2 * HIDDEN :] = dc * r[t]
+        dg[t, :, 2 * HIDDEN :] = dc
+        dh *= z[t]
+        dh += da[t] @ back
+        if any_start[t]:
+            dh[starts[t]] = 0
+    dg[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+    d["u"] = h0.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     dt = dg.reshape(-1, 3 * HIDDEN)
     d["bx"] = dt.sum(0)
     order = np.argsort(x.ravel(), kind="stable")

@@ -7,9 +7,8 @@ text) mod 10 is not 0.
    table; the TOP commonest also go to the workers.
 2. The network names the gru.VOCABULARY commonest tokens; each other word belongs to one of gru.RARE classes by its
    look, in which its share is its smoothed count over the class's. So the model is a distribution over all words.
-3. Each partition trains on its own share of the training documents (1 in SHARE by hash, another in each of ROUNDS), all
-   from the same parameters; their mean by tokens, added up in groups of FAN, starts the next round. What is trained on
-   grows with the corpus.
+3. The network trains on every training document once: a hash deals them to ROUNDS. In a round each partition trains on
+   its own rows, all from the same parameters; their mean by tokens, added up in groups of FAN, starts the next round.
 4. One pass scores every text. The words beyond the TOP are written out as (text, word, times), joined with the table of
    counts, and their logarithms added up a text; the rest is known to the worker.
 
@@ -34,7 +33,7 @@ from evidence.llm.common import batch_of, bucket, commonest, materialise, rows,
 
 HOLD_OUT = 10
 TOP = 150_000
-SHARE, ROUNDS, FAN = 32, 2, 16
+ROUNDS, FAN = 2, 16
 #: Tokens laid into lanes at once; bounds a worker's memory.
 GROUP = 3_000_000
 #: The end, a token that no word can be.
@@ -158,8 +157,8 @@ class _Reader:
         return ids, ranks, others
 
 
-def _mean(parts: DataFrame) -> bytes | None:
-    """The mean of parameter rows (part, tokens, data) by tokens, added up in groups of FAN until few are left."""
+def _mean(parts: DataFrame) -> tuple[int, bytes] | None:
+    """Tokens, and the mean of parameter rows (part, tokens, data) by tokens, added up in groups of FAN until few are left."""
     schema = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
 
     def total(found) -> tuple[int, bytes]:
@@ -174,13 +173,14 @@ def _mean(parts: DataFrame) -> bytes | None:
     while parts.count() > FAN:
         parts = materialise(parts.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(group, "part long, tokens long, data binary"))
     found = [(r["tokens"], r["data"]) for r in parts.collect()]
-    return total(found)[1] if found else None
+    return total(found) if found else None
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, share: int = SHARE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
+    """The trained parameters, and the tokens that they were trained on."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    start = gru.initial(vocabulary.unigram)
+    start, trained = gru.initial(vocabulary.unigram), 0
     learn = texts(docs).where(F.coalesce(bucket(F.col("doc_id"), HOLD_OUT), F.lit(1)) != 0)
     schema = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
     for k in range(rounds):
@@ -200,10 +200,10 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, share: int = SHARE, rounds: int
             if n + seen:
                 yield batch_of([(TaskContext.get().partitionId(), n + seen, gru.to_bytes(p))], schema)
 
-        chosen = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == k % share).select("text")
-        if (data := _mean(chosen.mapInArrow(run, "part long, tokens long, data binary"))) is not None:
-            start = gru.from_bytes(data, start)
-    return start
+        chosen = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k).select("text")
+        if (mean := _mean(chosen.mapInArrow(run, "part long, tokens long, data binary"))) is not None:
+            start, trained = gru.from_bytes(mean[1], start), trained + mean[0]
+    return start, trained
 
 
 _SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
@@ -215,7 +215,7 @@ def lm_scoring(docs: DataFrame) -> DataFrame:
     counts = _counts(docs)
     vocabulary = Vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast(gru.to_bytes(fit(docs, vocabulary)))
+    model = spark.sparkContext.broadcast(gru.to_bytes(fit(docs, vocabulary)[0]))
 
     def run(batches):
         v = shared.value

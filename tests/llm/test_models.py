@@ -186,6 +186,14 @@ def test_model_beats_base_on_rows_held_out(spark):
     assert got[0] > got[1]
 
 
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_network_trains_on_every_training_document(request, which):
+    df = request.getfixturevalue(which)
+    for some in (df, df.limit(5)):
+        vocabulary = lm_scoring.Vocabulary(lm_scoring._counts(some))
+        assert lm_scoring.fit(some, vocabulary)[1] == vocabulary.total > 0
+
+
 def test_no_documents_to_score(no_docs):
     assert lm_scoring.lm_scoring(no_docs).count() == 0
 
