@@ -6,8 +6,8 @@
 3. A run of letters in a host or path is cut into words by Viterbi: the split of highest unigram probability, where an
    unknown run costs the more the longer it is (10 / (N * 10^length)).
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
-   unwanted sites that count as a share of the words of blocked hosts. Words that the rules themselves name are left
-   out: the rules speak for those. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
+   unwanted sites with pseudo-counts in both classes: SEED_ODDS in a table of any size, plus what ruled hosts say. Words
+   that the rules themselves name are left out: the rules speak for those. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
    so a url with no telling word is allowed.
 
 Defined cases: a null url, or one without "://", has empty host and path, no rule, and is allowed. Repeated rows are
@@ -30,6 +30,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 # Words of host names that url blocklists are about.
 SEEDS = "ads adult bet bets casino cheap dating escort farm free loans lottery malware phishing pills poker porn prizes scam sex spam track tracker viagra warez win xxx".split()
 SEED_COUNT, SEED_SHARE, THRESHOLD = 10, 0.01, 4.0
+#: Log odds of a seed that no ruled host has, in a table of any size.
+SEED_ODDS = 5.0
 VOCABULARY, TOKENS, LONGEST = 50_000, 100_000, 24
 
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -148,11 +150,20 @@ def bayes(counts: dict[tuple[str, str], int]) -> dict[str, float]:
     return out
 
 
-def seeded(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:
-    """With every seed word as seen in SEED_SHARE of the words of blocked hosts, at least SEED_COUNT times."""
-    hosts = sum(c for (t, v), c in counts.items() if v == "block" and t.startswith("h:"))
+def seeded(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """With pseudo-counts of every seed word in both classes, so that a seed that no ruled host has gets SEED_ODDS.
+
+    Blocked hosts have it in SEED_SHARE of their words, at least SEED_COUNT times. What allowed hosts have follows from
+    that, the sizes of both classes and the one that bayes() adds; it is below 0 if they are so few that the one is too
+    much. The token "h:" stands for any word not seen, so neither class is made of seeds alone.
+    """
+    own = {t for t, _ in counts if t.startswith("h:")} | {"h:"} | {f"h:{w}" for w in SEEDS}
+    n = {v: sum(c for (t, w), c in counts.items() if w == v and t.startswith("h:")) for v in ("block", "allow")}
+    block = max(SEED_COUNT, int(SEED_SHARE * n["block"]))
+    share = (block + 1) / (n["block"] + len(SEEDS) * block + len(own)) / math.exp(SEED_ODDS)
+    allow = share * (n["allow"] + len(own) - len(SEEDS)) / (1 - len(SEEDS) * share) - 1
     out = Counter(counts)
-    out.update({(f"h:{w}", "block"): max(SEED_COUNT, int(SEED_SHARE * hosts)) for w in SEEDS})
+    out.update({("h:", "allow"): 0} | {(f"h:{w}", v): c for w in SEEDS for v, c in (("block", block), ("allow", allow))})
     return out
 
 

@@ -112,6 +112,25 @@ def test_bayes_by_definition():
     assert url_filter.seeded({("h:a", "block"): 5000})[("h:casino", "block")] == 50
 
 
+@pytest.mark.parametrize("allowed", [0, 1, 9, 1000, 10**9])
+@pytest.mark.parametrize("blocked", [0, 7, 10**6])
+def test_seeds_count_alike_in_tables_of_any_size(allowed, blocked):
+    counts = {k: n for k, n in {("h:a", "allow"): allowed, ("h:b", "block"): blocked}.items() if n}
+    assert url_filter.bayes(url_filter.seeded(counts))["h:casino"] == pytest.approx(url_filter.SEED_ODDS)
+    some = url_filter.bayes(url_filter.seeded(counts | {("h:casino", "allow"): 50}))
+    assert some["h:casino"] < url_filter.SEED_ODDS
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_planted_hosts_are_blocked(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    planted = "casino-win|cheap-pills|free-bets|ads-track|spam-farm"
+    got = url_filter.url_filter(pages).where(F.col("rule").isNull() & F.col("host").rlike(planted)).collect()
+    assert got and {r["verdict"] for r in got} == {"block"}
+    alone = url_filter.url_filter(pages.where(F.col("url").rlike(planted)).limit(1)).collect()
+    assert [r["verdict"] for r in alone if r["rule"] is None] == ["block"] * sum(r["rule"] is None for r in alone)
+
+
 def test_verdicts_by_brute_force(spark, small):
     """Counts, log odds and verdicts again, over all pages at once."""
     pages = spark.read.parquet(f"{small}/pages.parquet")
