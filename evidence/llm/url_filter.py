@@ -2,13 +2,16 @@
 
 1. Host and path are cut from the url by SQL functions; the longest rule that fits decides.
 2. Unigram counts of words come from the visible text of all pages, combined a partition before the shuffle. The
-   VOCABULARY commonest, and SEEDS, are the model that workers hold.
+   counts of all words stay a table; workers hold the VOCABULARY commonest, SEEDS, and all of at most SHORT letters.
 3. A run of letters in a host or path is cut into words by Viterbi: the split of highest unigram probability, where an
-   unknown run costs the more the longer it is (10 / (N * 10^length)).
+   unknown run costs the more the longer it is (10 / (N * 10^length)). Each distinct run is cut once; the pieces of it
+   that workers don't hold are joined with the table of counts.
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
    unwanted sites with pseudo-counts in both classes: SEED_ODDS in a table of any size, plus what ruled hosts say. Words
    that the rules themselves name are left out: the rules speak for those. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
    so a url with no telling word is allowed.
+5. Workers hold the words of the RUNS commonest runs and the odds of the TOKENS commonest tokens. All others are written
+   out beside the pages and joined with the tables of runs and odds.
 
 Defined cases: a null url, or one without "://", has empty host and path, no rule, and is allowed. Repeated rows are
 judged alike; rows without page_id too. Null html adds no words. An empty table gives no rows. Other columns are ignored.
@@ -21,6 +24,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ SEEDS = "ads adult bet bets casino cheap dating escort farm free loans lottery m
 SEED_COUNT, SEED_SHARE, THRESHOLD = 10, 0.01, 4.0
 #: Log odds of a seed that no ruled host has, in a table of any size.
 SEED_ODDS = 5.0
-VOCABULARY, TOKENS, LONGEST = 50_000, 100_000, 24
+VOCABULARY, RUNS, TOKENS, LONGEST, SHORT = 50_000, 100_000, 100_000, 24, 3
 
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 _LETTERS = re.compile(r"[a-z]+")
@@ -78,16 +82,21 @@ def _counted(batches, words_of, schema, limit=200_000):
     yield flush()
 
 
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """The commonest words of the pages' visible text, and "" for the count of all."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n of the pages' visible text."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         return _counted(batches, lambda row: ((w,) for w in _LETTERS.findall(_TAG.sub(" ", row[0] or "").lower()) if len(w) <= LONGEST), schema)
 
-    counts = materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def unigrams(counts: DataFrame) -> dict[str, int]:
+    """The words that workers hold, and "" for the count of all."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return with_seeds(dict(commonest(counts, VOCABULARY, "word")) | {"": total})
+    own = counts.where((F.length("word") <= SHORT) | F.col("word").isin(SEEDS)).collect()
+    return with_seeds({r["word"]: r["n"] for r in own} | dict(commonest(counts, VOCABULARY, "word")) | {"": total})
 
 
 def with_seeds(counts: dict[str, int]) -> dict[str, int]:
@@ -103,14 +112,23 @@ class Segmenter(dict):
 
     def __init__(self, counts: dict[str, int]):
         super().__init__()
-        n = max(counts.get("", 0), 1)
+        self.n = n = max(counts.get("", 0), 1)
         self.log = {w: math.log(c / n) for w, c in counts.items() if w}
         self.unknown = [0.0] + [math.log(10 / n) - k * math.log(10) for k in range(1, LONGEST + 1)]
 
     def __missing__(self, run: str) -> list[str]:
+        out = self.cut(run, {})
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[run] = out
+        return out
+
+    def cut(self, run: str, more: dict[str, int]) -> list[str]:
+        """more: the counts of words of the run that aren't held."""
+        logs = {w: math.log(c / self.n) for w, c in more.items()}
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
-            score, start = max((best[s] + self.log.get(run[s:end], self.unknown[end - s]), s) for s in range(max(0, end - LONGEST), end))
+            score, start = max((best[s] + self.log.get(w := run[s:end], logs.get(w, self.unknown[end - s])), s) for s in range(max(0, end - LONGEST), end))
             best.append(score)
             back.append(start)
         out, end = [], len(run)
@@ -118,81 +136,185 @@ class Segmenter(dict):
             out.append(run[back[end] : end])
             end = back[end]
         out.reverse()
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[run] = out
         return out
 
+    def lacking(self, run: str) -> set[str]:
+        """Pieces of a run that may be words but aren't held."""
+        pieces = {run[s : s + k] for k in range(SHORT + 1, LONGEST + 1) for s in range(len(run) - k + 1)}
+        return {w for w in pieces if w not in self.log}
 
-def tokens(host: str, path: str, segment: Segmenter, named: set[str]) -> list[str]:
+
+def parts(host: str, path: str, named: set[str]) -> list[tuple[str, str]]:
+    """Runs of letters and numbers (as #) with the mark of where they are, without those that rules name."""
+    found = [(mark, part) for mark, text in (("h:", host), ("p:", path.lower())) for part in _PART.findall(text) if part not in named]
+    return [(mark, "#" if part[0].isdigit() else part) for mark, part in found]
+
+
+def tokens(host: str, path: str, segment: dict[str, list[str]], named: set[str]) -> list[str]:
     """Words of the host marked h:, of the path p:, numbers as #; without the words that rules name."""
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for part in _PART.findall(text):
-            if part in named:
-                continue
-            out += [f"{mark}#"] if part[0].isdigit() else [f"{mark}{w}" for w in segment[part]]
-    return out
+    return [mark + w for mark, part in parts(host, path, named) for w in (["#"] if part == "#" else segment[part])]
+
+
+def cut_runs(judged: DataFrame, counts: DataFrame, model, named: set[str]) -> DataFrame:
+    """run, n, words of every run of letters in hosts and paths. model: the broadcast words that workers hold."""
+    schema = pa.schema([("run", pa.string()), ("n", pa.int64())])
+
+    def find(batches):
+        return _counted(batches, lambda r: ((part,) for _, part in parts(r[0], r[1], named) if part != "#"), schema)
+
+    runs = materialise(judged.select("host", "path").mapInArrow(find, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")))
+
+    def pieces(batches):
+        segment, schema, out = Segmenter(model.value), pa.schema([("run", pa.string()), ("word", pa.string())]), []
+        for part in rows(batches):
+            for (run,) in part:
+                out += [(run, w) for w in segment.lacking(run)]
+                if len(out) > 50_000:
+                    yield batch_of(out, schema)
+                    out = []
+        yield batch_of(out, schema)
+
+    def cut(batches):
+        segment, schema = Segmenter(model.value), pa.schema([("run", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
+        for part in rows(batches):
+            yield batch_of([(run, n, segment.cut(run, {x["word"]: x["c"] for x in more or []})) for run, n, more in part], schema)
+
+    found = runs.select("run").mapInArrow(pieces, "run string, word string").join(counts.withColumnRenamed("n", "c"), "word")
+    found = found.groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("more"))
+    return materialise(runs.join(found, "run", "left").select("run", "n", "more").mapInArrow(cut, "run string, n long, words array<string>"))
 
 
 def named_by(rules: list[tuple[str, str, str]]) -> set[str]:
     return {w for host, path, _ in rules for w in _PART.findall(f"{host} {path}")}
 
 
-def bayes(counts: dict[tuple[str, str], int]) -> dict[str, float]:
-    """Log odds of block for each token. Host and path tokens are multinomials of their own; unknown tokens tell nothing."""
-    out = {}
-    for mark in ("h:", "p:"):
-        own = {t for t, _ in counts if t.startswith(mark)}
-        n = {v: sum(c for (t, w), c in counts.items() if w == v and t in own) for v in ("block", "allow")}
-        share = lambda t, v: math.log((counts.get((t, v), 0) + 1) / (n[v] + len(own)))  # noqa: B023, E731
-        out |= {t: share(t, "block") - share(t, "allow") for t in own}
+def sizes_of(counts: dict[tuple[str, str], float]) -> dict[str, tuple[float, float, int]]:
+    """For the tokens of hosts and of paths: the counts of block and of allow, and how many tokens there are."""
+    total = lambda m, v: sum(c for (t, w), c in counts.items() if w == v and t.startswith(m))
+    return {m: (total(m, "block"), total(m, "allow"), len({t for t, _ in counts if t.startswith(m)})) for m in ("h:", "p:")}
+
+
+def bayes(counts: dict[tuple[str, str], float], sizes: dict[str, tuple[float, float, int]] | None = None) -> dict[str, float]:
+    """Log odds of block for each token. Host and path tokens are multinomials of their own; unknown tokens tell nothing.
+
+    sizes: of all counts, if these are a part of them.
+    """
+    sizes, out = sizes or sizes_of(counts), {}
+    for t in {t for t, _ in counts}:
+        block, allow, own = sizes[t[:2]]
+        share = lambda v, n: math.log((counts.get((t, v), 0) + 1) / (n + own))  # noqa: B023, E731
+        out[t] = share("block", block) - share("allow", allow)
     return out
 
 
-def seeded(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
-    """With pseudo-counts of every seed word in both classes, so that a seed that no ruled host has gets SEED_ODDS.
+def seed_counts(block: float, allow: float, own: int) -> dict[tuple[str, str], float]:
+    """Pseudo-counts of every seed word in both classes, so that a seed that no ruled host has gets SEED_ODDS.
 
-    Blocked hosts have it in SEED_SHARE of their words, at least SEED_COUNT times. What allowed hosts have follows from
-    that, the sizes of both classes and the one that bayes() adds; it is below 0 if they are so few that the one is too
-    much. The token "h:" stands for any word not seen, so neither class is made of seeds alone.
+    block, allow: the counts of all host tokens; own: how many there are with SEEDS and "h:". Blocked hosts have a seed in
+    SEED_SHARE of their words, at least SEED_COUNT times. What allowed hosts have follows from that, the sizes of both
+    classes and the one that bayes() adds; it is below 0 if they are so few that the one is too much. The token "h:" stands
+    for any word not seen, so neither class is made of seeds alone.
     """
+    seen = max(SEED_COUNT, int(SEED_SHARE * block))
+    share = (seen + 1) / (block + len(SEEDS) * seen + own) / math.exp(SEED_ODDS)
+    less = share * (allow + own - len(SEEDS)) / (1 - len(SEEDS) * share) - 1
+    return {("h:", "allow"): 0} | {(f"h:{w}", v): c for w in SEEDS for v, c in (("block", seen), ("allow", less))}
+
+
+def seeded(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    block, allow, _ = sizes_of(counts)["h:"]
     own = {t for t, _ in counts if t.startswith("h:")} | {"h:"} | {f"h:{w}" for w in SEEDS}
-    n = {v: sum(c for (t, w), c in counts.items() if w == v and t.startswith("h:")) for v in ("block", "allow")}
-    block = max(SEED_COUNT, int(SEED_SHARE * n["block"]))
-    share = (block + 1) / (n["block"] + len(SEEDS) * block + len(own)) / math.exp(SEED_ODDS)
-    allow = share * (n["allow"] + len(own) - len(SEEDS)) / (1 - len(SEEDS) * share) - 1
     out = Counter(counts)
-    out.update({("h:", "allow"): 0} | {(f"h:{w}", v): c for w in SEEDS for v, c in (("block", block), ("allow", allow))})
+    out.update(seed_counts(block, allow, len(own)))
     return out
 
 
+def token_odds(seen: DataFrame) -> DataFrame:
+    """token, n, odds by bayes() of all seeded counts. seen: token, ruling, n."""
+    spark = seen.sparkSession
+    of = lambda v: F.sum(F.when(F.col("ruling") == v, F.col("n")).otherwise(0.0)).cast("double").alias(v)
+    whole = lambda df: {r[0]: tuple(r)[1:] for r in df.groupBy(F.substring("token", 1, 2)).agg(of("block"), of("allow"), F.countDistinct("token")).collect()}
+    seeds = ["h:", *(f"h:{w}" for w in SEEDS)]
+    block, allow, own = whole(seen).get("h:", (0.0, 0.0, 0))
+    own += len(seeds) - seen.where(F.col("token").isin(seeds)).select("token").distinct().count()
+    extra = [(t, v, float(n)) for (t, v), n in seed_counts(block, allow, own).items()]
+    every = seen.select("token", "ruling", F.col("n").cast("double").alias("n")).union(spark.createDataFrame(extra, "token string, ruling string, n double"))
+    sizes = whole(every)
+
+    def run(batches):
+        schema = pa.schema([("token", pa.string()), ("n", pa.int64()), ("odds", pa.float64())])
+        for part in rows(batches):
+            odds = bayes({(t, v): n for t, b, a in part for v, n in (("block", b), ("allow", a))}, sizes)
+            yield batch_of([(t, max(0, math.ceil(b + a)), odds[t]) for t, b, a in part], schema)
+
+    return materialise(every.groupBy("token").agg(of("block"), of("allow")).mapInArrow(run, "token string, n long, odds double"))
+
+
+_JUDGED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), *((c, pa.string()) for c in ("host", "path", "rule", "ruling")), ("odds", pa.float64()), *((c, pa.string()) for c in ("token", "mark", "run"))])
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, log_odds."""
     on_workers(pages.sparkSession)
     spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(unigrams(pages))
+    counts = word_counts(pages)
+    model = spark.sparkContext.broadcast(unigrams(counts))
     named = named_by(rules)
     judged = ruled(pages, rules)
-    schema = pa.schema([("token", pa.string()), ("ruling", pa.string()), ("n", pa.int64())])
+    cut = cut_runs(judged, counts, model, named)
+    held = spark.sparkContext.broadcast({run: words for run, words, _ in commonest(cut, RUNS, "run", "words")})
+    marked = lambda df, *more: df.join(cut.select("run", "words"), "run").select(*more, F.explode("words").alias("word"), "mark").select(*more, F.concat("mark", "word").alias("token"))
 
     def learn(batches):
-        segment = Segmenter(model.value)
-        return _counted(batches, lambda r: ((t, r[2]) for t in tokens(r[0], r[1], segment, named)), schema)
-
-    seen = judged.where("ruling is not null").select("host", "path", "ruling").mapInArrow(learn, "token string, ruling string, n long")
-    seen = materialise(seen.groupBy("token", "ruling").agg(F.sum("n").alias("n")))
-    counts = {(t, v): n for t, v, n in commonest(seen, TOKENS, "token", "ruling")}
-    odds = spark.sparkContext.broadcast(bayes(seeded(counts)))
+        schema = pa.schema([*((c, pa.string()) for c in ("token", "mark", "run", "ruling")), ("n", pa.int64())])
+        runs = held.value | {"#": ["#"]}
+
+        def keys(row):
+            for mark, part in parts(row[0], row[1], named):
+                if part in runs:
+                    yield from ((mark + w, None, None, row[2]) for w in runs[part])
+                else:
+                    yield None, mark, part, row[2]
+
+        return _counted(batches, keys, schema)
+
+    seen = judged.where("ruling is not null").select("host", "path", "ruling").mapInArrow(learn, "token string, mark string, run string, ruling string, n long")
+    seen = materialise(seen.groupBy("token", "mark", "run", "ruling").agg(F.sum("n").alias("n")))
+    every_run = cut.count() <= len(held.value)
+    known = seen.where("token is not null").select("ruling", "n", "token")
+    if not every_run:
+        known = known.union(marked(seen.where("run is not null").drop("token"), "ruling", "n"))
+    odds = token_odds(materialise(known.groupBy("token", "ruling").agg(F.sum("n").alias("n"))))
+    top = {t: x for t, x, _ in commonest(odds, TOKENS, "token", "odds")}
+    every_token = odds.count() <= len(top)
+    shared = spark.sparkContext.broadcast(top)
 
     def judge(batches):
-        segment, of = Segmenter(model.value), odds.value
-        out_schema = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("host", "path", "rule", "verdict")), ("log_odds", pa.float64())])
+        runs, of, row = held.value | {"#": ["#"]}, shared.value, TaskContext.get().partitionId() << 33
         for part in rows(batches):
             out = []
-            for page_id, host, path, rule, ruling in part:
-                score = sum((of.get(t, 0.0) for t in tokens(host, path, segment, named)), 0.0)
-                out.append((page_id, host, path, rule, ruling or ("block" if score > THRESHOLD else "allow"), score))
-            yield batch_of(out, out_schema)
-
-    return judged.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, log_odds double")
+            for page in part:
+                score = 0.0
+                for mark, run in parts(page[1], page[2], named):
+                    if run not in runs:
+                        out.append((row, *[None] * 7, mark, run))
+                        continue
+                    for t in (mark + w for w in runs[run]):
+                        if t in of:
+                            score += of[t]
+                        elif not every_token:
+                            out.append((row, *[None] * 6, t, None, None))
+                out.append((row, *page, score, None, None, None))
+                row += 1
+            yield batch_of(out, _JUDGED)
+
+    made = judged.mapInArrow(judge, "row long, page_id long, host string, path string, rule string, ruling string, odds double, token string, mark string, run string")
+    if not (every_run and every_token):
+        made = materialise(made)
+        rest = made.where("token is not null").select("row", "token").union(marked(made.where("run is not null").select("row", "mark", "run"), "row"))
+        rest = rest.join(F.broadcast(spark.createDataFrame(list(top.items()), "token string, odds double")), "token", "left")
+        beyond = rest.where("odds is null").select("row", "token").join(odds.select("token", "odds"), "token").select("row", "odds")
+        rest = rest.where("odds is not null").select("row", "odds").union(beyond).groupBy("row").agg(F.sum("odds").alias("more"))
+        made = made.where("host is not null").join(rest, "row", "left").withColumn("odds", F.col("odds") + F.coalesce("more", F.lit(0.0)))
+    verdict = F.coalesce("ruling", F.when(F.col("odds") > THRESHOLD, "block").otherwise("allow"))
+    return made.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("odds").alias("log_odds"))

@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -150,6 +151,17 @@ def test_verdicts_by_brute_force(spark, small):
         assert r["verdict"] == (rule_of(host, path)[1] or ("block" if score > url_filter.THRESHOLD else "allow"))
 
 
+@pytest.mark.parametrize("held", [0, 20])
+def test_verdicts_do_not_depend_on_what_workers_hold(spark, monkeypatch, held):
+    """The same by brute force over all words, runs and tokens, with nothing or little held."""
+    for name in ("VOCABULARY", "RUNS", "TOKENS"):
+        monkeypatch.setattr(url_filter, name, held)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rare = [(9000 + i, f"http://{w}{v}.example.net/{p}/{w}", f"<p>{w} {w} river</p>") for i, (w, v, p) in enumerate([("qwertzuiop", "river", "en"), ("qwertzuiop", "river", "x"), ("zyxwvuts", "stone", "en"), ("zyxwvuts", "stone", "x")])]
+    pages = pages.select("page_id", "url", "html").union(spark.createDataFrame(rare, "page_id long, url string, html string"))
+    test_verdicts_by_brute_force(SimpleNamespace(read=SimpleNamespace(parquet=lambda _: pages)), "")
+
+
 # Language model.
 def test_gradients(monkeypatch):
     monkeypatch.setattr(gru, "F32", np.float64)
