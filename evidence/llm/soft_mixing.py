@@ -7,7 +7,9 @@
 3. Nonnegative rates w minimise half the sum over domains of (sum_i w_i t_i p_ik - b_k)^2 / b_k, for t_i tokens and
    targets b, by projected gradient from w = 1 in the metric of t: w <- max(0, w - step * sum_k p_ik r_k / b_k). The
    residual r of one step is one aggregate over all documents; only its K sums reach the driver. A document's rate
-   follows from its posteriors and the residuals of all steps, so no state is kept a document.
+   follows from its posteriors and the residuals of all steps, so no state is kept a document. If STEPS don't meet the
+   TOLERANCE, one more step max(0, w - p l) ends at the targets, or, where they can't be reached, at the least squares:
+   Newton's method finds its K numbers l, an aggregate an iteration, and fits or fails.
 4. A document is repeated floor(rate) times, and once more with the probability of the rest, decided by a hash of its id.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior. Rows are judged each by itself, repeated
@@ -28,6 +30,8 @@ from evidence.llm.common import materialise, small
 BUCKETS = 65_536
 EVIDENCE = 200
 STEPS, BATCH, TOLERANCE = 64, 8, 1e-3
+#: Weight of the distance to the rates before the last step, and the most iterations for it.
+NEAR, NEWTON = 1e-6, 200
 
 
 def word_buckets(text: Column) -> Column:
@@ -95,17 +99,77 @@ def largest_eigenvalue(m: list[list[float]]) -> float:
     return norm
 
 
+def solved(m: list[list[float]], b: list[float]) -> list[float]:
+    """x with m x = b, for a positive definite m."""
+    rows = [[*row, y] for row, y in zip(m, b, strict=True)]
+    n = len(b)
+    for i in range(n):
+        at = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[at] = rows[at], rows[i]
+        for j in range(i + 1, n):
+            f = rows[j][i] / rows[i][i]
+            rows[j] = [x - f * y for x, y in zip(rows[j], rows[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
+
+
+def last_step(state: DataFrame, goal: list[float], scale: list[float]) -> list[float]:
+    """The step l from the rates __w to those that meet the goal: u = max(0, __w - p l), the nearest to __w in the metric of tokens.
+
+    l minimises sum(t u^2) / 2 + goal l + NEAR / 2 sum(scale l^2), which is convex; there the residual is NEAR scale l, so
+    the rates are a least-squares solution where the goal can't be reached.
+    """
+    k = len(goal)
+    p = [F.col("__p")[i] for i in range(k)]
+
+    def at(step: list[float]):
+        u = state.select("__tokens", "__p", rate(F.col("__p"), [step], F.col("__w")).alias("__u"))
+        live = F.when(F.col("__u") > 0, F.col("__tokens")).otherwise(0)
+        got = u.agg(F.sum(F.col("__tokens") * F.col("__u") * F.col("__u")), *(F.sum(F.col("__u") * F.col("__tokens") * p[i]) for i in range(k)), *(F.sum(live * p[i] * p[j]) for i in range(k) for j in range(k))).first()
+        value = got[0] / 2 + sum(g * x + NEAR / 2 * s * x * x for g, s, x in zip(goal, scale, step, strict=True))
+        residual = [got[1 + i] - goal[i] for i in range(k)]
+        slope = [NEAR * s * x - r for s, x, r in zip(scale, step, residual, strict=True)]
+        curve = [[got[1 + k + i * k + j] + (NEAR * scale[i] if i == j else 0.0) for j in range(k)] for i in range(k)]
+        return value, residual, slope, curve
+
+    size = lambda v: max(abs(x) / s for x, s in zip(v, scale, strict=True))
+    step = [0.0] * k
+    value, residual, slope, curve = at(step)
+    for _ in range(NEWTON):
+        if size(residual) < TOLERANCE or size(slope) < TOLERANCE / 100:
+            return step
+        way = solved(curve, [-x for x in slope])
+        falls, length = sum(a * b for a, b in zip(way, slope, strict=True)), 1.0
+        while True:
+            new = [x + length * y for x, y in zip(step, way, strict=True)]
+            found = at(new)
+            if found[0] <= value + 1e-4 * length * falls or size(found[2]) < TOLERANCE / 100:
+                break
+            length /= 2
+            if length < 1e-9:
+                raise RuntimeError(f"mixing stopped with a residual of {size(residual):.3g} of the targets")
+        step, (value, residual, slope, curve) = new, found
+    raise RuntimeError(f"mixing stopped with a residual of {size(residual):.3g} of the targets after {NEWTON} iterations")
+
+
+def _goals(total: int, targets: dict[str, float], domains: list[str]) -> tuple[list[float], list[float]]:
+    """Tokens wanted of each domain, and what residuals are measured by."""
+    share = sum(targets.values()) or 1.0
+    goal = [total * targets.get(d, 0.0) / share for d in domains]
+    return goal, [max(g, total * 1e-3) for g in goal]
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str]) -> list[list[float]]:
     """The steps of the projected gradient. members: __tokens, __p; a written table."""
     k = len(domains)
     p = [F.col("__p")[i] for i in range(k)]
     sums = members.agg(F.sum("__tokens"), *(F.sum(F.col("__tokens") * p[i] * p[j]) for i in range(k) for j in range(k))).first()
     total = sums[0] or 0
-    share = sum(targets.values()) or 1.0
     if not total:
         return []
-    goal = [total * targets.get(d, 0.0) / share for d in domains]
-    scale = [max(g, total * 1e-3) for g in goal]
+    goal, scale = _goals(total, targets, domains)
     top = largest_eigenvalue([[sums[1 + i * k + j] / math.sqrt(scale[i] * scale[j]) for j in range(k)] for i in range(k)])
     if not top:
         return []
@@ -124,6 +188,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str])
     return history
 
 
+def steps_to_targets(members: DataFrame, targets: dict[str, float], domains: list[str]) -> list[list[float]]:
+    """The steps of fit_rates, and the last one if those have not met the tolerance."""
+    steps = fit_rates(members, targets, domains)
+    if len(steps) < STEPS:
+        return steps
+    goal, scale = _goals(members.agg(F.sum("__tokens")).first()[0], targets, domains)
+    state = materialise(members.withColumn("__w", rate(F.col("__p"), steps, F.lit(1.0))))
+    return [*steps, last_step(state, goal, scale)]
+
+
 def copies(doc_id: Column, w: Column, seed: int = 11) -> Column:
     """floor(w + u) for u uniform by a hash of the id: w on average."""
     return F.floor(w + F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("long")
@@ -134,7 +208,7 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float])
     domains = sorted(targets)
     model = Posteriors(docs, labelled, domains)
     members = materialise(model.add(docs.select("doc_id", "text")).select("doc_id", "__tokens", "__p"))
-    w = rate(F.col("__p"), fit_rates(members, targets, domains), F.lit(1.0))
+    w = rate(F.col("__p"), steps_to_targets(members.select("__tokens", "__p"), targets, domains), F.lit(1.0))
     out = members.select("doc_id", F.col("__tokens").alias("tokens"), *(F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), w.alias("rate"))
     return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
 
@@ -144,6 +218,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     domains = sorted(targets)
     model = Posteriors(docs, labelled, domains)
     members = materialise(model.add(docs))
-    steps = fit_rates(members.select("__tokens", "__p"), targets, domains)
+    steps = steps_to_targets(members.select("__tokens", "__p"), targets, domains)
     rated = members.withColumn("__n", copies(F.col("doc_id"), rate(F.col("__p"), steps, F.lit(1.0))))
     return rated.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*docs.columns)

@@ -320,6 +320,24 @@ def test_projected_gradient_by_brute_force(spark):
     assert got == pytest.approx(w, abs=1e-6) and (w == 0).any()
 
 
+@pytest.mark.parametrize("shares", [[0.60, 0.07, 0.33], [0.9795, 0.02, 0.0005], [0.5, 0.5, 0.0]])
+def test_targets_are_met_from_uneven_mixes(spark, shares):
+    """Near-hard posteriors where one domain is hot, rare, or absent."""
+    rng, names = np.random.default_rng(6), list(TARGETS)
+    t, own = rng.integers(50, 150, 4000), np.repeat([0, 1, 2], [round(4000 * x) for x in shares])
+    soft = rng.uniform(0, 1e-6, (4000, 3))
+    soft[:, [x == 0 for x in shares]] = 0
+    p = np.eye(3)[own] * (1 - soft.sum(1, keepdims=True)) + soft
+    members = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(t, p, strict=True)], "__tokens long, __p array<double>").repartition(2).cache()
+    steps = soft_mixing.steps_to_targets(members, TARGETS, names)
+    got = members.select("__tokens", "__p", soft_mixing.rate(F.col("__p"), steps, F.lit(1.0)).alias("w")).toPandas()
+    reached = (np.stack(got["__p"]) * (got["w"] * got["__tokens"]).to_numpy()[:, None]).sum(0) / t.sum()
+    for share, target, x in zip(shares, TARGETS.values(), reached, strict=True):
+        if share:
+            assert x == pytest.approx(target, rel=soft_mixing.TOLERANCE * 1.01)
+    assert (got["w"] >= 0).all()
+
+
 def test_mixing_odd_documents(odd_docs, no_docs, labels):
     gold = domains(labels)
     assert soft_mixing.soft_mixing(odd_docs, gold, TARGETS).count() == odd_docs.count()
