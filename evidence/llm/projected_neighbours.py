@@ -124,7 +124,7 @@ class Block:
         self.high = np.array([self.points[s:e].max(0) for s, e in zip(self.starts, self.ends, strict=True)])
 
     def search(self, query_id: int, vector: np.ndarray, point: np.ndarray, k: int, quantile: float, known: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best verified by (score, id) and their scores; known: the k-th best score so far, or -inf."""
+        """The k best verified ids by (score, id), each with its nearest row, and their scores; known: the k-th best score so far, or -inf."""
         norm = np.sqrt((vector * vector).sum())
         reach = gap(point, self.low, self.high)
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
@@ -139,7 +139,8 @@ class Block:
             if len(near):
                 got = (self.vectors[near] * vector).sum(1) / (self.norms[near] * norm)
                 ids, scores = np.concatenate([ids, self.ids[near]]), np.concatenate([scores, got])
-                best = np.lexsort((ids, -scores))[:k]
+                best = np.lexsort((ids, -scores))
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])[:k]]
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k:
                     kth = max(kth, scores[-1])
@@ -227,7 +228,7 @@ def projected_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, confi
     asked = materialise(data.where(is_query).select("block", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("point").alias("at")))
     first = _visit(data, asked.withColumn("known", F.lit(float("-inf"))), k, quantile)
 
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    kth = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     known = F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("-inf")))
     open_ = asked.join(kth, "query_id", "left").select("query_id", "vector", "at", F.col("block").alias("home"), F.coalesce(known, F.lit(float("-inf"))).alias("known"))
     low, high = tree.regions()

@@ -51,6 +51,20 @@ def test_odd_vectors(spark):
     assert projected_neighbours.projected_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [24, projected_neighbours.BLOCK])
+def test_rows_repeated_more_than_k_times(spark, monkeypatch, block):
+    """A vec_id takes one of the k places, in its block and over all blocks, however many rows it has; so does a query."""
+    monkeypatch.setattr(projected_neighbours, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(201)]
+    rows = [r for r in rows for _ in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in projected_neighbours.projected_neighbours(df, F.col("vec_id") % 50 == 0, confidence=1 - 1e-9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in nearest(rows, 5).items()}
+
+
 def test_chi_square():
     x = projected_neighbours.chi_square_quantile(0.95)
     assert x == pytest.approx(15.507, abs=1e-3)
