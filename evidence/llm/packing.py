@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, materialise, rows, texts
-from evidence.llm.tokens import encoder, packed
+from evidence.llm.common import batch_of, materialise, texts
+from evidence.llm.tokens import encoded
 
 CAPACITY = 4096
 
@@ -36,17 +36,15 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     def run(batches):
-        encode, end, part = encoder(tokenizer), packed([end_id]), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for slice_ in rows(batches):
-            out = []
-            for doc_id, text in slice_:
-                ids = encode.ids(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
+        for doc_ids, ids, starts in encoded(batches, tokenizer, end_id):
+            out, data, ends = [], memoryview(ids.tobytes()), starts.tolist()
+            for doc_id, first, end in zip(doc_ids.to_pylist(), ends, ends[1:], strict=False):
+                for piece, at in enumerate(range(first, end, capacity)):
+                    n = min(capacity, end - at)
                     nth = seen[n] = seen.get(n, -1) + 1
-                    out.append((doc_id, piece, at // 4, n, zlib.crc32(own), part, nth))
+                    out.append((doc_id, piece, at - first, n, zlib.crc32(data[4 * at : 4 * (at + n)]), part, nth))
             yield batch_of(out, _PIECES)
 
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")

@@ -7,7 +7,7 @@ as shards of about SHARD_BYTES by Spark's own writer, so that a lost executor le
     magic 8 | dictionary hash 8 | documents 4 | bytes an id 4 | ids before it in its range 8
     | doc_id 8 each | has doc_id 1 each | ids 8 each | frame offsets 8 each, one more than documents | frames
 
-in little-endian order. One document is read by its place in the index, without its neighbours. Ranges ascend, shards of
+in little-endian order; an id takes 2 bytes if every id of the tokenizer fits, else 4. One document is read by its place in the index, without its neighbours. Ranges ascend, shards of
 a range ascend, documents of a shard ascend by doc_id; rows without doc_id come first. Equal doc_ids stay together, in
 no fixed order among themselves.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence.llm.common import batch_of, materialise, on_workers, rows, texts
-from evidence.llm.tokens import encoder, packed
+from evidence.llm.tokens import encoded, encoder
 
 MAGIC = b"EVTOKST1"
 _HEAD = struct.Struct("<8sQIIq")
@@ -88,8 +88,16 @@ class Shard:
         return self.ids(self.doc_ids.index(doc_id)) if doc_id in self.doc_ids else None
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes that hold any id of the tokenizer's and the end's."""
+    return 2 if max(encoder(tokenizer).size, end_id + 1) <= 1 << 16 else 4
+
+
+def _frames(batches, tokenizer: str, end_id: int, width: int):
+    """doc_ids of a slice, and the serialised ids of each of its documents."""
+    for doc_ids, ids, starts in encoded(batches, tokenizer, end_id):
+        data, at = memoryview(ids.astype(f"<u{width}").tobytes()), (width * starts).tolist()
+        yield doc_ids, np.diff(starts), [data[s:e] for s, e in zip(at, at[1:], strict=False)]
 
 
 class TokenStore:
@@ -122,17 +130,16 @@ class TokenStore:
         return self.shards.select("range", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2) -> TokenStore:
-    """Encode all texts, end each with end_id, write them in ascending doc_id order. width: bytes that hold any id."""
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenStore:
+    """Encode all texts, end each with end_id, write them in ascending doc_id order."""
     on_workers(docs.sparkSession)
-    n = docs.count()
+    n, width = docs.count(), id_bytes(tokenizer, end_id)
     share = max(1, min(1 << 20, -(-(SAMPLE << 20) // max(n, 1))))
     sampled = texts(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share)
 
     def encode_sample(batches):
-        encode, end = encoder(tokenizer), packed([end_id])
-        for part in rows(batches):
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([_narrow(encode.ids(t) + end, width) for _, t in part], pa.binary())})
+        for _, _, own in _frames(batches, tokenizer, end_id, width):
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(map(bytes, own), pa.binary())})
 
     samples, size = [], 0
     for r in sampled.mapInArrow(encode_sample, "ids binary").toLocalIterator():
@@ -146,16 +153,11 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     def encode_all(batches):
-        encode, end = encoder(tokenizer), packed([end_id])
         press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_dict_id=False, **_codec(dictionary))
-        schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
-        for part in rows(batches):
-            out = []
-            for doc_id, text in part:
-                ids = encode.ids(text) + end
-                where = 0 if doc_id is None else 1 + int(np.searchsorted(bounds, doc_id))
-                out.append((where, doc_id, len(ids) // 4, press.compress(_narrow(ids, width))))
-            yield batch_of(out, schema)
+        for doc_ids, sizes, own in _frames(batches, tokenizer, end_id, width):
+            at = 1 + np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy()).astype(np.int32)
+            at[np.asarray(doc_ids.is_null())] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(at), doc_ids, pa.array(sizes), pa.array(map(press.compress, own), pa.binary())], names=["range", "doc_id", "n", "frame"])
 
     framed = texts(docs).mapInArrow(encode_all, "range int, doc_id long, n long, frame binary")
     # A range is a partition and a file's worth of documents; RANGE_DOCS decides its size, not a hash.

@@ -1,24 +1,39 @@
 """Token ids of whole texts by a public tokenizer, the same as the tokenizers library gives for the whole text.
 
-Most text is pieces that recur, so a worker remembers the ids of pieces. A text is cut only where the tokenizer's own
-pre-tokenisation must cut, whatever the neighbours are; a text with white space beyond the plain cases is encoded
-whole. A piece of Latin letters, with at most some stops after it, goes straight to the tokenizer's model: its
-normalisation is lower-casing or nothing, and its pre-tokens are the letters and the stops.
+Most text is pieces that recur. The texts of a batch are cut into pieces by Arrow and the distinct ones numbered; a
+worker looks up or works out the ids of each distinct piece once, and the ids of all texts are one gather by those
+numbers. A text is cut only where the tokenizer's own pre-tokenisation must cut, whatever the neighbours are; a text
+with white space beyond the plain cases is encoded whole. A piece of Latin letters, with at most some stops after it,
+goes straight to the tokenizer's model: its normalisation is lower-casing or nothing, and its pre-tokens are the letters
+and the stops.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
-
-LIMIT = 500_000
-_LONGEST = 64
-_CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces a worker remembers before it forgets all but those of the slice at hand; and their size in bytes.
+LIMIT, LIMIT_BYTES = 300_000, 16_000_000
+#: Bytes of text (or one text) that are cut at once.
+SLICE_BYTES = 4_000_000
+#: Marks the cuts; a text that holds it is encoded whole.
+_CUT = "\x00"
+#: Texts that aren't words with one space or one line end between them; for the tokenizer that drops white space, only
+#: those with control characters.
+_ODD_GAPS = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_CONTROL = r"[\x00\x1c-\x1f]"
 #: ASCII punctuation without the apostrophe: a run of it after letters is a pre-token of its own.
 _MARKS = r"!-&(-/:-@\[-`{-~"
-_LETTERS = re.compile(rf"([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+)([{_MARKS}]*)\Z")
+#: Latin letters with the space before them; a line end, those letters, and stops.
+_STEM = r" ?[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+"
+_WORD = rf"\A(?P<line>\n?)(?P<stem>{_STEM})(?P<marks>[{_MARKS}]*)\z"
 
 
 def load(path: str):
@@ -45,66 +60,103 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-_LETTER = {i: c for i, c in enumerate(_byte_letters())}
-
+_LETTER = {i: c for i, c in enumerate(_byte_letters()) if i != ord("\n")}
 
-class _Pieces(dict):
-    """Packed ids of pieces; the encoder works out those of a new one."""
 
-    def __init__(self, new):
-        super().__init__()
-        self.new = new
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.new(piece)
-        if len(piece) <= _LONGEST:
-            if len(self) >= LIMIT:
-                self.clear()
-            self[piece] = ids
-        return ids
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start : start + size] one after another, and the end of each."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class Encoder:
-    """ids(text): packed ids, without special tokens."""
+    """ids(text): packed ids, without special tokens. batch(texts): those of many texts."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         #: Whether a space belongs to the word after it; else white space is dropped and letters are lower-cased.
         self.spaced = not self.model.end_of_word_suffix
-        self.marks = _Pieces(self.whole)
-        #: Pieces as they are; and pieces after a space, or after a line end that they then begin with.
-        self.plain = _Pieces(lambda p: self._piece(p, self.plain, ""))
-        self.after = _Pieces(lambda p: self.plain["\n"] + self.plain[p[1:]] if p[:1] == "\n" and len(p) > 1 else self._piece(p, self.after, " "))
+        #: Pieces that are remembered, and of each where in flat its ids begin and how many they are.
+        self.names = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def size(self) -> int:
+        """Ids are below this."""
+        return max(self.tokenizer.get_vocab().values(), default=0) + 1
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, letters: str, before: str) -> bytes:
+    def _letters(self, stems: list[str]) -> list[list[int]]:
+        """Ids of runs of letters."""
+        text = "\n".join(stems)
+        text = (text if self.spaced else text.lower()).encode().decode("latin-1").translate(_LETTER)
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(word)] for word in text.split("\n")] if stems else []
+
+    def _new(self, names: pa.Array) -> list[list[int]]:
+        letters = np.asarray(pc.match_substring_regex(names, rf"\A{_STEM}\z"))
+        listed = names.to_pylist()
+        known = iter(self._letters([x for x, own in zip(listed, letters.tolist(), strict=True) if own]))
+        return [next(known) if own else self.tokenizer.encode(x, add_special_tokens=False).ids for x, own in zip(listed, letters.tolist(), strict=True)]
+
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """Where the ids of each of these distinct pieces are, once those not remembered are worked out."""
+        held = len(self.names)
+        found = pc.index_in(names, value_set=self.names)
+        lacking = names.filter(found.is_null())
+        if len(lacking):
+            new = self._new(lacking)
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            flat = np.frombuffer(packed([i for ids in new for i in ids]), "<u4")
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+            self.names = pa.concat_arrays([self.names, lacking.cast(pa.string())])
+        places = np.asarray(found.fill_null(-1))
+        places = np.where(places < 0, held + np.cumsum(places < 0) - 1, places)
+        if len(self.names) > LIMIT or self.names.nbytes > LIMIT_BYTES:
+            self.flat, ends = _gathered(self.flat, self.starts[places], self.sizes[places])
+            self.names, self.sizes = names.cast(pa.string()), self.sizes[places]
+            self.starts, places = ends - self.sizes, np.arange(len(names))
+        return places
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
         if not self.spaced:
-            letters = letters.lower()
-        if before or not letters.isascii():
-            letters = (before + letters).encode().decode("latin-1").translate(_LETTER)
-        return packed([t.id for t in self.model.tokenize(letters)])
-
-    def _piece(self, piece: str, cache: _Pieces, before: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return self._letters(piece, before)
-        found = _LETTERS.match(piece)
-        if not found:
-            return self.whole(before + piece)
-        letters, marks = found.groups()
-        return cache[letters] + self.marks[marks] if marks else self._letters(letters, before)
+            return pc.utf8_split_whitespace(texts)
+        for gap in (" ", "\n"):
+            texts = pc.replace_substring(texts, gap, _CUT + gap)
+        return pc.split_pattern(texts, _CUT)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null) one after another, and where each text begins, with the end at last."""
+        odd = pc.match_substring_regex(texts, _ODD_GAPS if self.spaced else _ODD_CONTROL)
+        listed = self._cut(pc.if_else(odd, "", texts))
+        ends = np.asarray(listed.offsets) - listed.offsets[0].as_py()
+        numbered = listed.flatten().dictionary_encode()
+        words = numbered.dictionary
+        found = pc.extract_regex(words, _WORD)
+        # A piece is a line end, letters and stops, each of which may be nothing; or one that can't be taken apart.
+        parts = [pc.fill_null(pc.struct_field(found, "line"), ""), pc.coalesce(pc.struct_field(found, "stem"), words), pc.fill_null(pc.struct_field(found, "marks"), "")]
+        names = pa.concat_arrays(parts).dictionary_encode()
+        places = self._places(names.dictionary)[np.asarray(names.indices)].reshape(3, -1).T.ravel()
+        flat, _ = _gathered(self.flat, self.starts[places], self.sizes[places])
+        sizes = self.sizes[places].reshape(-1, 3).sum(1)
+        starts = np.cumsum(sizes) - sizes
+        which = np.asarray(numbered.indices)
+        ids, at = _gathered(flat, starts[which], sizes[which])
+        at = np.concatenate([[0], at])[ends]
+        rest = np.flatnonzero(np.asarray(odd))
+        if len(rest):
+            whole = {i: np.frombuffer(self.whole(texts[i].as_py()), "<u4") for i in rest.tolist()}
+            each = [whole[i] if i in whole else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+            at = np.cumsum([0, *map(len, each)])
+            ids = np.concatenate(each)
+        return ids, at
 
     def ids(self, text: str) -> bytes:
-        if not self.spaced:
-            return self.whole(text) if _CONTROL_SPACE.search(text) else b"".join(map(self.plain.__getitem__, text.split()))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        # Every gap is one space or one line end: as many words as pieces, and no other white space.
-        ws = text.split()
-        if len(ws) != len(rest) + 1 or sum(map(len, ws)) + len(rest) != len(text):
-            return self.whole(text)
-        return self.plain[first] + b"".join(map(self.after.__getitem__, rest))
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -115,3 +167,28 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids of a slice of (doc_id, text), all its ids with end_id after each text, and where each text begins, with the end at last."""
+    encode = encoder(path)
+
+    def out(parts: list[pa.RecordBatch]):
+        held = pa.Table.from_batches(parts).combine_chunks()
+        ids, starts = encode.batch(held.column("text").chunk(0))
+        return held.column("doc_id").chunk(0), np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
+
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(sizes[end - 1]) - before, end
+            if size >= SLICE_BYTES or at < batch.num_rows:
+                yield out(held)
+                held, size = [], 0
+    if held:
+        yield out(held)

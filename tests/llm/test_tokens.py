@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidence.llm import packing, token_store
+from evidence.llm import packing, token_store, tokens
 from evidence.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 from evidence.llm.tokens import Encoder
 
@@ -94,6 +94,43 @@ def test_store_round_trip(request, which):
         at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else last
 
 
+def test_many_ranges_and_shards(docs, monkeypatch):
+    """Ranges and shards small enough that both are many, so that their bases add up."""
+    monkeypatch.setattr(token_store, "RANGE_DOCS", 40)
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 3000)
+    store = token_store.write_store(docs, tokenizer_path(BYTE_BPE))
+    assert store.shards.select("range").distinct().count() > 3 and store.shards.where("seq > 1").count()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in store.documents().collect()}
+    at = 0
+    for d in sorted(texts):
+        ids = np.array(ids_of(BYTE_BPE, texts[d], 0), "<u4")
+        assert got.pop(d) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert not got
+
+
+def test_an_id_takes_as_many_bytes_as_it_needs(monkeypatch):
+    path = tokenizer_path(BYTE_BPE)
+    assert token_store.id_bytes(path, 0) == 2 and token_store.id_bytes(path, 1 << 16) == 4
+    monkeypatch.setattr(Encoder, "size", 100_000)
+    assert token_store.id_bytes(path, 0) == 4
+
+
+@pytest.mark.parametrize("name", ENCODERS)
+def test_slices_and_a_full_memory_change_nothing(name, docs, monkeypatch):
+    monkeypatch.setattr(tokens, "LIMIT", 50)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2000)
+    table = docs.selectExpr("doc_id", "coalesce(text, '') text").toArrow().combine_chunks()
+    n = 0
+    for doc_ids, ids, starts in tokens.encoded(iter(table.to_batches(max_chunksize=7)), tokenizer_path(name), 9):
+        for k, d in enumerate(doc_ids.to_pylist()):
+            assert d == table.column("doc_id")[n].as_py()
+            assert ids[starts[k] : starts[k + 1]].tolist() == ids_of(name, table.column("text")[n].as_py(), 9)
+            n += 1
+    assert n == table.num_rows
+
+
 def test_one_document_of_a_shard(docs):
     store = token_store.write_store(docs, tokenizer_path(BYTE_BPE))
     shard = token_store.Shard(store.shards.first()["shard"], store.dictionary)
