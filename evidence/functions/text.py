@@ -13,6 +13,8 @@ from evidence.functions.stemmer import STOP_WORDS, stem
 
 _SPACE = r"[\s\x1c-\x1f]"
 _EDGE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# Fixed value: punctuation that doesn't count at the ends of a question.
+EDGE = " \t\r\n.,!?;:\"'`()[]…-"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -34,7 +36,7 @@ def normalise(c: Column) -> Column:
 
 def fold_text(text: str) -> str:
     low = unicodedata.normalize("NFD", text.lower())
-    return "".join(ch for ch in low if unicodedata.category(ch) != "Mn").replace("đ", "d")
+    return "".join(ch for ch in low if not unicodedata.combining(ch)).replace("đ", "d")
 
 
 def fold(c: Column) -> Column:
@@ -48,8 +50,7 @@ def fold(c: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Without punctuation at the ends, with single spaces."""
-    inner = F.btrim(strip(c), F.lit(" \t\n.,;:!?\"'()[]{}…-"))
-    return F.regexp_replace(inner, r"(?U)\s+", " ")
+    return F.regexp_replace(strip(F.btrim(c, F.lit(EDGE))), r"(?U)\s+", " ")
 
 
 def tokens(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import fnmatch
 import hashlib
 import json
 import string
@@ -190,6 +191,26 @@ class DocType:
         return f"v{self.version}|rule={self.digest[:12]}|chunk={size}/{overlap}"
 
 
+@dataclass(frozen=True)
+class CatalogSpec:
+    """Which namespaces' tables make up the catalog, and name patterns of tables left out."""
+
+    schemas: tuple[str, ...]
+    exclude: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, data: dict[str, Any]) -> CatalogSpec:
+        given = {k: tuple(map(str, v or ())) for k, v in _known(cls, data, "catalog").items()}
+        if not given["schemas"]:
+            raise RuleError("catalog: schemas names none")
+        return cls(**given)
+
+    def wants(self, table: str) -> bool:
+        """Whether a table, named with or without a namespace, belongs to the catalog."""
+        namespace, _, name = table.rpartition(".")
+        return (not namespace or namespace in self.schemas) and not any(fnmatch.fnmatch(x, p) for p in self.exclude for x in (table, name))
+
+
 @dataclass(frozen=True)
 class Limits:
     min_chars: int = 3
