@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidence.llm import queries
-from evidence.llm.common import materialise, small, table
-from evidence.llm.dart_minhash import near_duplicates
+from evidence.llm.common import materialise, table
+from evidence.llm.dart_minhash import one_of_each
 from evidence.llm.packing import best_fit_packing
 from evidence.llm.quality_classifier import keep_good
 from evidence.llm.quality_rules import keep_ruled
@@ -31,9 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the least doc_id; documents without doc_id stay."""
-    removed = materialise(near_duplicates(docs).where("doc_id <> class_id").select("doc_id"))
-    return docs.join(small(removed, removed.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate class, that with the least doc_id; texts without words all stay."""
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,25 +1,27 @@
 """Near-duplicate classes by DartMinHash.
 
-A text is the set of its 5-word shingles (a text of 1 to 4 words has one, all its words), each with a weight. The
-sketch throws darts: a Poisson process over (shingle, weight, time), drawn by hash, so that the same shingle meets the
-same darts in every text. A dart counts if it lands below the shingle's weight; it names one of K coordinates; each
-coordinate keeps its earliest dart. Two texts agree on a coordinate with a probability equal to their weighted Jaccard
-similarity. Time is walked in cells that double, and only until every coordinate of the text has a dart, so the work
-is about K ln K darts however long the text is. BANDS x ROWS coordinates make band keys; at similarity 0.8 a pair
-shares no band with a probability of 5e-6.
+A text is the bag of its 5-word shingles (a text of 1 to 4 words has one, all its words); a shingle's weight is how
+often the text has it, and the similarity of two texts is their weighted Jaccard similarity, the sum of the lesser
+weights over the sum of the greater. The sketch throws darts: a Poisson process over (shingle, weight, time), drawn by
+hash, so that the same shingle meets the same darts in every text. A dart counts if it lands below the shingle's weight;
+it names one of K coordinates; each coordinate keeps its earliest dart. Two texts agree on a coordinate with a
+probability equal to their similarity. Time is walked in cells that double, and only until every coordinate of the text
+has a dart, so the work is about K ln K darts however long the text is. BANDS x ROWS coordinates make band keys; at
+similarity 0.8 a pair shares no band with a probability of 5e-6.
 
 Classes, without all pairs of a group:
-1. Texts with equal shingle sets are one node, named by their least doc_id.
+1. Rows with equal bags are one node, numbered by the least of its rows' numbers.
 2. In each bucket (band key) the least node is its pivot. Every node is verified exactly against the least of its
    pivots; connected components of what holds are the first classes.
 3. A bucket is settled if all its nodes are in its pivot's class. In the others every node outside the pivot's class
-   is verified against every node of the bucket in another class; where that is many pairs, in blocks of sets that
+   is verified against every node of the bucket in another class; where that is many pairs, in blocks of bags that
    return links only. So each pair that shares a bucket is in one class or
    has been verified: no candidate link is lost, and the bulk of a large group is never paired with itself.
-4. Components of all verified links are the classes.
+4. Components of all verified links are the classes. A class is named by its least doc_id.
 
-Defined cases: null, empty and blank texts have no shingles; each is a class of its own. Rows that repeat a doc_id are
-one document. Rows without doc_id are no part of any class (the stage leaves them alone). Other columns are ignored.
+Defined cases: null, empty and blank texts have no shingles; each such row is a class of its own. Every row has a class
+by its text, also where rows repeat a doc_id or have none: rows that repeat a doc_id with unlike texts are in different
+classes. A class without any doc_id has a null class_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, materialise, rows, small, texts, words
+from evidence.llm.common import BROADCAST_ROWS, batch_of, materialise, rows, small, texts, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -84,18 +87,30 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
+def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the text's shingles, and how often it has each."""
     ws = words(text)
     if not ws:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
     size = min(SHINGLE, len(h))
     with np.errstate(over="ignore"):
         total = np.full(len(h) - size + 1, _U(size))
         for i in range(size):
             total = mix(total * _MULT[i] + h[i : len(h) - size + 1 + i])
-    return np.unique(total)
+    return np.unique(total, return_counts=True)
+
+
+def occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The bag as a sorted set: the first, second and further occurrences of an element. Plain Jaccard similarity of
+    such sets is weighted similarity of the bags."""
+    if len(elements) == int(weights.sum()):
+        return elements
+    first = np.cumsum(weights) - weights
+    nth = np.arange(int(weights.sum())) - np.repeat(first, weights)
+    each = np.repeat(elements, weights)
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(nth == 0, each, mix(each + nth.astype(np.uint64) * _MULT[1])))
 
 
 def sketch(elements: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -103,6 +118,7 @@ def sketch(elements: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray
     best = np.full(n * K, np.inf)
     signature = np.zeros(n * K, np.uint64)
     active = np.ones(n, bool)
+    weights = None if weights is None or weights.max() == weights.min() == 1 else weights
     top = 1.0 if weights is None else float(weights.max())
     with np.errstate(over="ignore"):
         for j in range(_FIRST, _LAST + 1):
@@ -151,28 +167,42 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Nodes with more rows than this, or than their share of all rows, are joined by broadcast: no more than BROADCAST_ROWS.
+HOT = 100_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and two hashes of both: rows that agree in them are the same row twice."""
+    return texts(docs).withColumns({"k1": F.xxhash64("doc_id", "text", F.lit(7)), "k2": F.xxhash64("text", "doc_id", F.lit(11))})
 
 
 def _sketch_rows(batches):
+    row = TaskContext.get().partitionId() << 33
     for part in rows(batches):
-        sets = [shingles(text) for _, text in part]
-        full = [i for i, s in enumerate(sets) if len(s)]
+        bags = [shingles(text) for _, text, _, _ in part]
+        full = [i for i, (s, _) in enumerate(bags) if len(s)]
         keys: dict[int, list] = {}
         if full:
-            owner = np.repeat(np.arange(len(full)), [len(sets[i]) for i in full])
-            keys = dict(zip(full, bands(sketch(np.concatenate([sets[i] for i in full]), owner, len(full))).tolist(), strict=True))
-        yield batch_of([(d, xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, len(s), keys.get(i, [])) for i, ((d, _), s) in enumerate(zip(part, sets, strict=True))], _SKETCHED)
+            owner = np.repeat(np.arange(len(full)), [len(bags[i][0]) for i in full])
+            signed = sketch(np.concatenate([bags[i][0] for i in full]), owner, len(full), np.concatenate([bags[i][1] for i in full]))
+            keys = dict(zip(full, bands(signed).tolist(), strict=True))
+        out = []
+        for i, ((doc_id, _, k1, k2), (s, w)) in enumerate(zip(part, bags, strict=True)):
+            own = xxhash.xxh3_128_digest(s.tobytes() + w.tobytes()) if len(s) else None
+            out.append((row, doc_id, k1, k2, own, int(w.sum()), keys.get(i, [])))
+            row += 1
+        yield batch_of(out, _SKETCHED)
 
 
 def _set_rows(batches):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     for part in rows(batches):
-        yield batch_of([(d, shingles(text).view(np.int64).tolist()) for d, text in part], schema)
+        yield batch_of([(i, occurrences(*shingles(text)).view(np.int64).tolist()) for i, text in part], schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     least, most = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
@@ -241,21 +271,26 @@ def settled(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return verified(pairs, sets, similarity).union(links).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each document: doc_id, class_id (the least doc_id of its class), n_shingles."""
-    known = texts(docs).where("doc_id is not null")
-    sketched = materialise(known.mapInArrow(_sketch_rows, "doc_id long, set_key binary, n int, bands array<long>"))
-    nodes = materialise(sketched.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id")))
-    dealt = sketched.where("n > 0").join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each row: doc_id, k1, k2 (as keyed() has them), class_id, n_shingles, stays, copies.
+
+    stays says whether the row is the one of its class that stays where one does, by the least doc_id, then k1 and k2;
+    copies, how many rows have the same bag.
+    """
+    sketched = materialise(keyed(docs).select("doc_id", "text", "k1", "k2").mapInArrow(_sketch_rows, "row long, doc_id long, k1 long, k2 long, set_key binary, n long, bands array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("least")
+    first = F.min(F.struct("row", "k1", "k2")).alias("first")
+    nodes = materialise(sketched.where("n > 0").groupBy("set_key").agg(first, least, F.count("*").alias("copies")).select("set_key", F.col("first.row").alias("id"), F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "least", "copies"))
+    dealt = sketched.where("n > 0").join(nodes.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.explode("bands").alias("band"))
     pivots = dealt.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "pivot")
     buckets = materialise(dealt.join(pivots, "band"))
 
-    members = materialise(buckets.select("id").distinct())
-    chosen = texts(docs).join(small(members.withColumnRenamed("id", "doc_id"), members.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = materialise(nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2"))
+    chosen = keyed(docs).select("k1", "k2", "text").join(small(members, members.count()), ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
     sets = materialise(chosen.mapInArrow(_set_rows, "id long, shingles array<long>"))
 
-    first = buckets.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
-    links = materialise(verified(first.select("a", "b"), sets, similarity))
+    to_pivot = buckets.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
+    links = materialise(verified(to_pivot.select("a", "b"), sets, similarity))
     classes = components(links)
     label = lambda x, c: classes.select(F.col("id").alias(x), F.col("class_id").alias(c))
     placed = buckets.join(label("id", "c"), "id", "left").join(label("pivot", "pc"), "pivot", "left")
@@ -263,6 +298,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     more = materialise(settled(placed, sets, similarity))
     if more.take(1):
         classes = components(links.union(more))
-    named = sketched.select("doc_id", "set_key", "n").join(nodes, "set_key", "left")
-    named = named.select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")).join(classes, "id", "left")
-    return named.select("doc_id", F.coalesce("class_id", "id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"))
+
+    linked = classes.join(nodes.select("id", "least"), "id")
+    heads = linked.groupBy("class_id").agg(F.min("least").alias("head"))
+    linked = materialise(linked.select("id", "class_id").join(heads, "class_id").select("id", "head"))
+    named = materialise(nodes.join(linked, "id", "left").select("set_key", F.coalesce("head", "least").alias("head"), "copies"))
+    hot = max(HOT, sketched.count() // BROADCAST_ROWS)
+    full = sketched.where("n > 0").select("doc_id", "k1", "k2", "n", "set_key")
+    known = (F.col("k1") == F.col("head.k1")) & (F.col("k2") == F.col("head.k2"))
+    shown = ["doc_id", "k1", "k2", F.col("head.doc_id").alias("class_id"), "n", known.alias("stays"), "copies"]
+    hottest = named.where(F.col("copies") > hot)
+    if hottest.take(1):
+        # A row joins the hot nodes or the others, so that no task gets a whole hot group.
+        cold = full.join(F.broadcast(hottest.select("set_key")), "set_key", "left_anti").join(named.where(F.col("copies") <= hot), "set_key")
+        out = full.join(F.broadcast(hottest), "set_key").select(*shown).union(cold.select(*shown))
+    else:
+        out = full.join(named, "set_key").select(*shown)
+    blank = sketched.where("n = 0").select("doc_id", "k1", "k2", F.col("doc_id").alias("class_id"), "n", F.lit(True).alias("stays"), F.lit(1).cast("long").alias("copies"))
+    return out.union(blank).withColumnRenamed("n", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row: doc_id, class_id (the least doc_id of its class), n_shingles."""
+    return classed(docs, similarity).select("doc_id", "class_id", "n_shingles")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class: that of the least doc_id. Rows without shingles all stay."""
+    found = materialise(classed(docs, similarity))
+    removed = materialise(found.where("not stays").select("k1", "k2").distinct())
+    again = materialise(found.where("stays and copies > 1").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    own = {"__k1": F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(7)), "__k2": F.xxhash64(F.coalesce("text", F.lit("")), "doc_id", F.lit(11))}
+    on = lambda keys: small(keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), keys.count())
+    rest = docs.withColumns(own).join(on(removed), ["__k1", "__k2"], "left_anti")
+    if again.take(1):
+        # The same row twice: one of it stays.
+        once = rest.join(on(again), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+        rest = rest.join(on(again), ["__k1", "__k2"], "left_anti").unionByName(once)
+    return rest.select(*docs.columns)

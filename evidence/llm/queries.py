@@ -108,14 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licences": op10_licences,
     "pipeline": pipeline,
 }
-#: All pairs that share a shingle, exactly, and the transitive closure of those similar enough.
-_NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.8),
+#: All pairs of rows that share a shingle, exactly, and the transitive closure of those similar enough by weights.
+_NEAR = r"""WITH RECURSIVE w AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT row, g, count(*) AS c FROM (SELECT row, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w) GROUP BY 1, 2),
+n AS (SELECT row, sum(c)::BIGINT AS n FROM s GROUP BY 1),
+p AS (SELECT a.row AS a, b.row AS b, sum(least(a.c, b.c)) AS i FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE i / (x.n + y.n - i) >= 0.8),
 v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS id, a AS c FROM v UNION SELECT v.b, r.c FROM r JOIN v ON v.a = r.id)
-SELECT doc_id, coalesce(min(c), doc_id) AS class_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles FROM documents LEFT JOIN r ON id = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+r AS (SELECT DISTINCT a AS row, a AS c FROM v UNION SELECT v.b, r.c FROM r JOIN v ON v.a = r.row),
+k AS (SELECT row, min(c) AS c FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(m.doc_id, w.doc_id) AS class_id, coalesce(n.n, 0)::BIGINT AS n_shingles FROM w LEFT JOIN k ON k.row = w.row LEFT JOIN w m ON m.row = k.c LEFT JOIN n ON n.row = w.row"""
 
 ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _NEAR}

@@ -1,39 +1,50 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from evidence.llm import dart_minhash as dm
 
 
-def classes_by_brute_force(texts, similarity=0.8):
-    """Components of all pairs by exact sets of word 5-shingles."""
-    sets = {}
-    for d, t in texts.items():
-        ws = (t or "").split()
-        sets[d] = {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
-    ids = sorted(sets)
-    label = {d: d for d in ids}
-
-    def find(d):
-        while label[d] != d:
-            d = label[d]
-        return d
-
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) >= similarity * max(len(sets[a]), len(sets[b])):
-                shared = len(sets[a] & sets[b])
-                if shared / (len(sets[a]) + len(sets[b]) - shared) >= similarity:
-                    x, y = sorted((find(a), find(b)))
+def bag(text):
+    ws = (text or "").split()
+    return Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else Counter()
+
+
+def classes_by_brute_force(rows, similarity=0.8):
+    """Sorted (doc_id, class_id) of rows (doc_id, text): components of all pairs by exact bags of word 5-shingles."""
+    bags, label = [bag(t) for _, t in rows], list(range(len(rows)))
+    sizes = [sum(b.values()) for b in bags]
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(bags):
+        for j in range(i):
+            if sizes[i] and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
+                shared = sum((a & bags[j]).values())
+                if shared / (sizes[i] + sizes[j] - shared) >= similarity:
+                    x, y = sorted((find(i), find(j)))
                     label[y] = x
-    return {d: find(d) for d in ids}
+    named = {}
+    for i, (d, _) in enumerate(rows):
+        c = find(i)
+        named[c] = d if named.get(c) is None else named[c] if d is None else min(d, named[c])
+    return sorted(((d, named[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 def result(df):
-    return {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(df).collect()}
+    return sorted(((r["doc_id"], r["class_id"]) for r in dm.near_duplicates(df).collect()), key=repr)
+
+
+def of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
 
 
 def test_classes_of_documents(docs):
-    assert result(docs) == classes_by_brute_force({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert result(docs) == classes_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_a_large_group_of_near_copies(spark):
@@ -46,9 +57,9 @@ def test_a_large_group_of_near_copies(spark):
         for e in range(d % 7):
             own[int(rng.integers(0, 120))] = f"x{d}_{e}"
         texts[d * 3] = " ".join(own)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    want = classes_by_brute_force(texts)
-    assert len(set(want.values())) > 2
+    df = of(spark, list(texts.items()))
+    want = classes_by_brute_force(list(texts.items()))
+    assert len({c for _, c in want}) > 2
     assert result(df) == want
     try:  # the block path, which larger buckets take
         few, dm.FEW_PAIRS, x, dm.X_BLOCK, y, dm.Y_BLOCK = dm.FEW_PAIRS, 0, dm.X_BLOCK, 16, dm.Y_BLOCK, 32
@@ -58,14 +69,42 @@ def test_a_large_group_of_near_copies(spark):
 
 
 def test_odd_documents(odd_docs, no_docs):
-    got = result(odd_docs)
-    assert got == {d: d for d in got} and set(got) == {1, 2, 3, 4, 5, 6, 7, 8, 10}
-    assert dm.near_duplicates(no_docs).count() == 0
+    assert result(odd_docs) == classes_by_brute_force([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+    assert dm.near_duplicates(no_docs).count() == 0 == dm.one_of_each(no_docs).count()
 
 
 def test_short_texts(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, "a  b\n"), (3, "b a"), (4, "a b c d e"), (5, "a b c d e")], "doc_id long, text string")
-    assert result(df) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert result(of(spark, [(1, "a b"), (2, "a  b\n"), (3, "b a"), (4, "a b c d e"), (5, "a b c d e")])) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
+
+
+A, B, C = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_rows_that_repeat_a_doc_id(spark, hot, monkeypatch):
+    """Each row has the class of its own text, and no text is lost."""
+    monkeypatch.setattr(dm, "HOT", hot)
+    df = of(spark, [(1, A), (2, A), (2, B), (3, C), (3, C), (None, C), (None, "x y"), (None, "x y"), (4, None), (4, " "), (5, B + " end")])
+    assert result(df) == sorted([(1, 1), (2, 1), (2, 2), (3, 3), (3, 3), (None, 3), (None, None), (None, None), (4, 4), (4, 4), (5, 2)], key=repr)
+    left = sorted(((r["doc_id"], r["text"]) for r in dm.one_of_each(df).collect()), key=repr)
+    assert left == sorted([(1, A), (2, B), (3, C), (None, "x y"), (4, None), (4, " ")], key=repr)
+
+
+def test_weights_count(spark):
+    """The same shingles, but one text has them ten times: alike as sets, unlike as bags."""
+    ten, one = " ".join(["a b c d e f g"] * 10), "a b c d e f g a b c d e f"
+    assert set(bag(ten)) - set(bag(one)) == set() and result(of(spark, [(1, ten), (2, one)])) == [(1, 1), (2, 2)]
+    nine = " ".join(["a b c d e f g"] * 9)
+    assert result(of(spark, [(1, ten), (2, nine), (3, one)])) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_occurrences_make_bags_sets():
+    rng = np.random.default_rng(2)
+    u = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    a, b = (np.sort(u[:200]), rng.integers(1, 6, 200)), (np.sort(u[100:]), rng.integers(1, 6, 200))
+    x, y = Counter(dict(zip(*map(np.ndarray.tolist, a), strict=True))), Counter(dict(zip(*map(np.ndarray.tolist, b), strict=True)))
+    assert len(np.intersect1d(dm.occurrences(*a), dm.occurrences(*b))) == sum((x & y).values())
+    assert len(np.unique(dm.occurrences(*a))) == sum(x.values())
 
 
 @pytest.mark.parametrize("weights", [None, (1.5, 3.0), (0.3, 0.2)])
