@@ -13,10 +13,11 @@ Classes, without all pairs of a group:
 1. Rows with equal bags are one node, numbered by the least of its rows' numbers.
 2. In each bucket (band key) the least node is its pivot. Every node is verified exactly against the least of its
    pivots; connected components of what holds are the first classes.
-3. A bucket is settled if all its nodes are in its pivot's class. In the others every node outside the pivot's class
-   is verified against every node of the bucket in another class; where that is many pairs, in blocks of bags that
-   return links only. So each pair that shares a bucket is in one class or
-   has been verified: no candidate link is lost, and the bulk of a large group is never paired with itself.
+3. A bucket is settled if all its nodes are in one class. In the others nodes are verified against other pivots,
+   PIVOTS times, which joins what a large group with an unlucky first pivot fell into. In what is still open every node
+   outside the bucket's commonest class is verified against every node in another class; where that is many pairs, in
+   blocks of bags that return only as many links as join their classes. So each pair that shares a bucket is in one class
+   or has been verified: no candidate link is lost, and the bulk of a large group is never paired with itself.
 4. Components of all verified links are the classes. A class is named by its least doc_id.
 
 Defined cases: null, empty and blank texts have no shingles; each such row is a class of its own. Every row has a class
@@ -40,6 +41,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 K = BANDS * ROWS
+#: Rounds of other pivots.
+PIVOTS = 2
 #: Blocks in which large buckets with several classes are compared.
 FEW_PAIRS, X_BLOCK, Y_BLOCK = 64, 128, 512
 
@@ -227,8 +230,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _block(similarity: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Of outsiders and members of a bucket, links between classes: for an outsider one to each class."""
+        """Of outsiders and members of a bucket, links that join their classes: fewer than there are classes."""
         out: list[tuple[int, int]] = []
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = c = joined.get(up, up)
+            return c
+
         left, right = rows[rows["outsider"]], rows[~rows["outsider"]]
         if len(left) and len(right):
             sizes = np.array([len(s) for s in right["shingles"]])
@@ -242,20 +252,40 @@ def _block(similarity: float):
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 shared = np.bincount(member[at], minlength=len(right))
                 near = np.flatnonzero((shared / (sizes + len(own) - shared) >= similarity) & (classes != c))
-                out += [(min(x, y), max(x, y)) for y in ids[near[np.unique(classes[near], return_index=True)[1]]].tolist()]
+                near = near[np.unique(classes[near], return_index=True)[1]]
+                for y, other in zip(ids[near].tolist(), classes[near].tolist(), strict=True):
+                    if root(other) != root(c):
+                        joined[root(other)] = root(c)
+                        out.append((min(x, y), max(x, y)))
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
     return run
 
 
-def settled(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between classes in buckets that hold several. placed: band, id, c, pc (the class of the band's pivot).
+def placed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """band, id, c (the class) of the buckets that hold several classes."""
+    known = buckets.select("band", "id").join(classes, "id", "left").select("band", "id", F.coalesce("class_id", "id").alias("c"))
+    several = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return materialise(known.join(several, "band"))
+
+
+def by_pivots(open_: DataFrame, sets: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Links of each node to one pivot of another class; pivots are a bucket's first by a hash."""
+    order = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "c")
+    pivots = open_.groupBy("band").agg(F.min(order).alias("p"))
+    pairs = open_.join(pivots, "band").where("c <> p.c").groupBy("id").agg(F.min("p").alias("p"))
+    return materialise(verified(pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), sets, similarity))
+
+
+def settled(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes in buckets that hold several. open_: band, id, c.
 
-    A bucket with few pairs of an outsider and a member (FEW_PAIRS) is joined with itself. Those of a larger one are
-    compared in blocks: a task has at most about X_BLOCK outsiders and Y_BLOCK members, and returns links only.
+    The outsiders of a bucket are the nodes outside its commonest class. A bucket with few pairs of an outsider and a
+    member (FEW_PAIRS) is joined with itself. Those of a larger one are compared in blocks: a task has at most about
+    X_BLOCK outsiders and Y_BLOCK members, and returns no more links than join their classes.
     """
-    sizes = placed.groupBy("band").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("nx"), F.count("*").alias("ny")).where("nx > 0")
-    open_ = materialise(placed.join(sizes, "band"))
+    sizes = open_.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).alias("most"), F.sum("count").alias("ny"))
+    open_ = materialise(open_.join(sizes.select("band", F.col("most.c").alias("pc"), (F.col("ny") - F.col("most.count")).alias("nx"), "ny"), "band"))
     few = F.col("nx") * F.col("ny") <= FEW_PAIRS
     outside = open_.where(few & (F.col("c") != F.col("pc"))).select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
     inside = open_.where(few).select("band", F.col("id").alias("y"), F.col("c").alias("cy"))
@@ -292,10 +322,14 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     to_pivot = buckets.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
     links = materialise(verified(to_pivot.select("a", "b"), sets, similarity))
     classes = components(links)
-    label = lambda x, c: classes.select(F.col("id").alias(x), F.col("class_id").alias(c))
-    placed = buckets.join(label("id", "c"), "id", "left").join(label("pivot", "pc"), "pivot", "left")
-    placed = materialise(placed.select("band", "id", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")))
-    more = materialise(settled(placed, sets, similarity))
+    open_ = placed(buckets, classes)
+    for seed in range(PIVOTS):
+        if not open_.take(1):
+            break
+        links = links.union(by_pivots(open_, sets, similarity, seed))
+        classes = components(links)
+        open_ = placed(open_, classes)
+    more = materialise(settled(open_, sets, similarity))
     if more.take(1):
         classes = components(links.union(more))
 

@@ -62,10 +62,11 @@ def test_a_large_group_of_near_copies(spark):
     assert len({c for _, c in want}) > 2
     assert result(df) == want
     try:  # the block path, which larger buckets take
-        few, dm.FEW_PAIRS, x, dm.X_BLOCK, y, dm.Y_BLOCK = dm.FEW_PAIRS, 0, dm.X_BLOCK, 16, dm.Y_BLOCK, 32
+        before = dm.FEW_PAIRS, dm.X_BLOCK, dm.Y_BLOCK, dm.PIVOTS
+        dm.FEW_PAIRS, dm.X_BLOCK, dm.Y_BLOCK, dm.PIVOTS = 0, 16, 32, 0
         assert result(df) == want
     finally:
-        dm.FEW_PAIRS, dm.X_BLOCK, dm.Y_BLOCK = few, x, y
+        dm.FEW_PAIRS, dm.X_BLOCK, dm.Y_BLOCK, dm.PIVOTS = before
 
 
 def test_odd_documents(odd_docs, no_docs):
