@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,24 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
+    """The rows in tables of one chunk with about most bytes in a column, or one row with more."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(sizes[end - 1]) - before, end
+            if size >= most or at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def batch_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

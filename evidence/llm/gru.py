@@ -16,7 +16,9 @@ VOCABULARY, MEMBERS, RARE = 1024, 32, 32
 OWN = VOCABULARY // MEMBERS
 CLASSES = OWN + RARE
 START = VOCABULARY + RARE
-EMBED, HIDDEN = 16, 32
+EMBED, HIDDEN = 16, 16
+#: Steps that training takes at least, where there are tokens for them: fewer lanes make more steps.
+STEPS = 64
 F32 = np.float32
 
 
@@ -95,7 +97,7 @@ def run(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, keep: bool = Fal
     table = p["embed"] @ p["wx"] + p["bx"]
     steps, n = x.shape
     hs = np.empty((steps, n, HIDDEN), F32)
-    kept = []
+    kept = np.empty((5, steps, n, HIDDEN), F32) if keep else None
     u, two = p["u"], 2 * HIDDEN
     starts = x == START
     any_start = starts.any(1)
@@ -107,7 +109,7 @@ def run(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, keep: bool = Fal
         z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, two:]
         c = np.tanh(g[:, two:] + r * an)
         if keep:
-            kept.append((h, z, r, an, c))
+            kept[0, t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = h, z, r, an, c
         h = hs[t] = c + z * (h - c)
     return (hs, h, kept) if keep else (hs, h)
 
@@ -201,7 +203,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndar
     dhs = np.zeros_like(rows)
     dhs[real] = dr
     dhs = dhs.reshape(steps, n, HIDDEN)
-    h0, z, r, an, c = (np.stack(own) for own in zip(*kept, strict=True))
+    h0, z, r, an, c = kept
     by_c, by_z, by_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), an * r * (1 - r)
     starts = x == START
     any_start = starts.any(1)
@@ -232,11 +234,11 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndar
     return d, last, float(loss) / total
 
 
-def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = 64, window: int = 32, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
+def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = 128, window: int = 32, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
     """One pass of Adam over the texts; the parameters after it and the tokens seen. The rate falls linearly to a tenth."""
     if not texts:
         return p, 0
-    laid = Lanes(texts, max(1, min(lanes, sum(map(len, texts)) // (4 * window))))
+    laid = Lanes(texts, max(1, min(lanes, sum(map(len, texts)) // (STEPS * window))))
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     h = np.zeros((len(laid.lengths), HIDDEN), F32)

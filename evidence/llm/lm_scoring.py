@@ -7,10 +7,14 @@ text) mod 10 is not 0.
    table; the TOP commonest also go to the workers.
 2. The network names the gru.VOCABULARY commonest tokens; each other word belongs to one of gru.RARE classes by its
    look, in which its share is its smoothed count over the class's. So the model is a distribution over all words.
-3. The network trains on every training document once: a hash deals them to ROUNDS. In a round each partition trains on
-   its own rows, all from the same parameters; their mean by tokens, added up in groups of FAN, starts the next round.
-4. One pass scores every text. The words beyond the TOP are written out as (text, word, times), joined with the table of
-   counts, and their logarithms added up a text; the rest is known to the worker.
+3. One pass turns every text into network ids, with what its score needs of the counts. The words beyond the TOP are
+   written out as (row, word, times), joined with the table of counts, and their logarithms added up a row; the rest is
+   known to the worker.
+4. The network trains on every training document once: a hash deals them to ROUNDS, and in a round to shards of about
+   SHARD_TOKENS. How many shards there are follows from the tokens alone (at most MAX_SHARDS), a shard's texts come in
+   the order of their hash, and all start from the same parameters; their mean by tokens, added up in groups of FAN,
+   starts the next round. So the model is a function of the rows, however they lie.
+5. A pass over the ids scores every text.
 
 Defined cases: a null or empty text is its end alone. Rows without doc_id are learnt from and scored (held_out false).
 Repeated rows are scored each. An empty table gives no rows. Other columns are ignored.
@@ -24,18 +28,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence.llm import gru
-from evidence.llm.common import batch_of, bucket, commonest, materialise, rows, texts, words
+from evidence.llm.common import batch_of, bucket, by_bytes, commonest, materialise, rows, texts, words
 
 HOLD_OUT = 10
 TOP = 150_000
 ROUNDS, FAN = 2, 16
+SHARD_TOKENS, MAX_SHARDS = 2_000_000, 16_384
 #: Tokens laid into lanes at once; bounds a worker's memory.
 GROUP = 3_000_000
+SLICE_BYTES = 4_000_000
 #: The end, a token that no word can be.
 END = " "
 
@@ -49,6 +56,18 @@ def tokens(text: str) -> list[str]:
     return [*words(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")), END]
 
 
+def split(texts_: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of many texts, without their ends, as numbers of distinct words; those; and how many words each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts_))
+    listed = pc.ascii_split_whitespace(trimmed)
+    none = np.asarray(pc.equal(trimmed, ""))
+    words_ = listed.flatten()
+    if none.any():
+        words_ = words_.filter(pc.not_equal(words_, ""))
+    found = words_.dictionary_encode()
+    return np.asarray(found.indices), found.dictionary.cast(pa.string()), np.diff(np.asarray(listed.offsets)) - none
+
+
 def rare_class(word: str) -> int:
     """The class of a word by its look: its marks, its letters beyond ASCII, or its length."""
     bare = word.rstrip(_STOPS)
@@ -68,14 +87,10 @@ def _counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        held: Counter = Counter()
-        for part in rows(batches):
-            for (text,) in part:
-                held.update(tokens(text))
-            if len(held) > 300_000:
-                yield batch_of(list(held.items()), schema)
-                held.clear()
-        yield batch_of(list(held.items()), schema)
+        for part in by_bytes(batches, SLICE_BYTES):
+            which, names, _ = split(part.column("text").chunk(0))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(which, minlength=len(names)))], schema=schema)
+            yield batch_of([(END, part.num_rows)], schema)
 
     learn = texts(docs).where(F.coalesce(bucket(F.col("doc_id"), HOLD_OUT), F.lit(1)) != 0).select("text")
     return materialise(learn.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -144,120 +159,164 @@ class _Reader:
             k = self.classes[word] = rare_class(word)
         return k
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Network ids, ranks (-1 beyond the top), and the words beyond the top in order."""
-        ws = tokens(text)
-        get = self.v.rank.get
-        ranks = np.fromiter([get(w, -1) for w in ws], np.int32, len(ws))
-        ids = self.v.ids[ranks]
+    def read(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], pa.Table]:
+        """Network ids of all texts; where each text ends; of each text the tokens, those known, and sums of logarithms;
+        and its words beyond the top: text (its number), word, times."""
+        v = self.v
+        which, names, n = split(texts_)
+        listed = names.to_numpy(zero_copy_only=False).tolist()
+        ranks = np.fromiter((v.rank.get(w, -1) for w in listed), np.int64, len(listed))
         beyond = np.flatnonzero(ranks < 0)
-        others = [ws[i] for i in beyond.tolist()]
-        if others:
-            ids[beyond] = gru.VOCABULARY + np.fromiter(map(self.rare, others), np.int32, len(others))
-        return ids, ranks, others
+        own = v.ids[ranks] if len(ranks) else np.zeros(0, np.int32)
+        own[beyond] = gru.VOCABULARY + np.fromiter((self.rare(listed[i]) for i in beyond.tolist()), np.int32, len(beyond))
+        logs = np.where(ranks < 0, 0.0, v.log[ranks])
+        known = np.where(ranks < 0, 0, v.known[ranks])
+        of_class = own >= gru.VOCABULARY
+        shares = np.where(of_class, logs - v.log_size[np.where(of_class, own - gru.VOCABULARY, 0)], 0.0)
+        text = np.repeat(np.arange(len(n)), n)
+        total = lambda each: np.bincount(text, each[which], len(n))
+        end = v.rank[END]
+        sums = {"n": n + 1, "known": total(known).astype(np.int64) + int(v.known[end]), "base": total(logs) + v.log[end], "shares": total(shares)}
+        rare = np.flatnonzero(ranks[which] < 0)
+        pairs, times = np.unique(text[rare] * max(len(listed), 1) + which[rare], return_counts=True)
+        words_ = pa.table({"text": pa.array(pairs // max(len(listed), 1)), "word": names.take(pa.array(pairs % max(len(listed), 1))), "times": pa.array(times)})
+        ends = np.cumsum(n)
+        return np.insert(own[which], ends, v.ids[end]), ends + np.arange(1, len(n) + 1), sums, words_
+
+
+_MADE = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("shares", pa.float64()),
+    ("word", pa.string()), ("times", pa.int64()),
+])
+_MADE_SQL = "row long, doc_id long, h long, held_out boolean, ids binary, n long, known long, base double, shares double, word string, times long"
+
+
+def _read(docs: DataFrame, shared) -> DataFrame:
+    """A row for each text: network ids, tokens, those known, and what the worker knows of both scores; and a row for each word of a text beyond the top."""
+
+    def run(batches):
+        reader, row = _Reader(shared.value), TaskContext.get().partitionId() << 33
+        for part in by_bytes(batches, SLICE_BYTES):
+            ids, ends, sums, words_ = reader.read(part.column("text").chunk(0))
+            data, cuts = memoryview(ids.astype("<u2").tobytes()), [0, *(2 * ends).tolist()]
+            rows_ = row + np.arange(part.num_rows)
+            own = {"row": pa.array(rows_), "ids": pa.array([data[s:e] for s, e in zip(cuts, cuts[1:], strict=False)], pa.binary()), **{k: pa.array(x) for k, x in sums.items()}}
+            own |= {c: part.column(c).chunk(0) for c in ("doc_id", "h", "held_out")}
+            rare = {"row": pa.array(rows_[np.asarray(words_["text"])]), "word": words_["word"].combine_chunks(), "times": words_["times"].combine_chunks()}
+            for columns, size in ((own, part.num_rows), (rare, words_.num_rows)):
+                yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _MADE], schema=_MADE)
+            row += part.num_rows
 
+    held_out = F.coalesce(bucket(F.col("doc_id"), HOLD_OUT) == 0, F.lit(False)).alias("held_out")
+    known = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"), held_out)
+    return materialise(known.mapInArrow(run, _MADE_SQL))
 
-def _mean(parts: DataFrame) -> tuple[int, bytes] | None:
-    """Tokens, and the mean of parameter rows (part, tokens, data) by tokens, added up in groups of FAN until few are left."""
-    schema = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
 
-    def total(found) -> tuple[int, bytes]:
-        n = sum(x[0] for x in found)
-        return n, sum(np.frombuffer(d, np.float32) * np.float32(k / n) for k, d in found).astype(np.float32).tobytes()
+_PART = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
+_PART_SQL = "part long, tokens long, data binary"
+
+
+def _total(found: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:
+    """Tokens, and the mean by tokens, of parameter rows, in the order of their parts."""
+    n = sum(k for _, k, _ in found)
+    return n, sum(np.frombuffer(d, np.float32) * np.float32(k / n) for _, k, d in sorted(found)).astype(np.float32).tobytes()
+
+
+def _mean(parts: DataFrame) -> tuple[int, bytes] | None:
+    """_total() of rows (part, tokens, data), added up in groups of FAN until few are left."""
 
     def group(table: pa.Table) -> pa.Table:
-        n, data = total(list(zip(table.column("tokens").to_pylist(), table.column("data").to_pylist(), strict=True)))
-        return pa.Table.from_batches([batch_of([(table.column("part")[0].as_py() // FAN, n, data)], schema)])
+        found = list(zip(*(table.column(c).to_pylist() for c in ("part", "tokens", "data")), strict=True))
+        return pa.Table.from_batches([batch_of([(found[0][0] // FAN, *_total(found))], _PART)])
 
     parts = materialise(parts)
     while parts.count() > FAN:
-        parts = materialise(parts.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(group, "part long, tokens long, data binary"))
-    found = [(r["tokens"], r["data"]) for r in parts.collect()]
-    return total(found) if found else None
+        parts = materialise(parts.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(group, _PART_SQL))
+    found = [(r["part"], r["tokens"], r["data"]) for r in parts.collect()]
+    return _total(found) if found else None
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
-    """The trained parameters, and the tokens that they were trained on."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+def _train_shards(given, unigram: np.ndarray, rate: float):
+    def run(batches):
+        """Each shard of a partition, its rows in order: (shard, tokens, parameters)."""
+        at, p, n, held, size = None, None, 0, [], 0
+
+        def learn():
+            nonlocal p, n, held, size
+            p, seen = gru.train(p, held, rate=rate)
+            n, held, size = n + seen, [], 0
+
+        for batch in batches:
+            for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                if shard != at:
+                    if at is not None:
+                        learn()
+                        yield batch_of([(at, n, gru.to_bytes(p))], _PART)
+                    at, p, n = shard, gru.from_bytes(given.value, gru.initial(unigram)), 0
+                held.append(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int32))
+                size += len(held[-1])
+                if size > GROUP:
+                    learn()
+        if at is not None:
+            learn()
+            yield batch_of([(at, n, gru.to_bytes(p))], _PART)
+
+    return run
+
+
+def fit(made: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
+    """The trained parameters, and the tokens that they were trained on. made: ids, h, held_out, n of texts."""
+    spark = made.sparkSession
     start, trained = gru.initial(vocabulary.unigram), 0
-    learn = texts(docs).where(F.coalesce(bucket(F.col("doc_id"), HOLD_OUT), F.lit(1)) != 0)
-    schema = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())])
     for k in range(rounds):
-        given = spark.sparkContext.broadcast(gru.to_bytes(start))
-
-        def run(batches, given=given, k=k):
-            reader, p, n = _Reader(shared.value), gru.from_bytes(given.value, gru.initial(shared.value.unigram)), 0
-            held, size = [], 0
-            for part in rows(batches):
-                for (text,) in part:
-                    held.append(reader.read(text)[0])
-                    size += len(held[-1])
-                if size > GROUP:
-                    p, seen = gru.train(p, held, rate=0.01 / (k + 1))
-                    n, held, size = n + seen, [], 0
-            p, seen = gru.train(p, held, rate=0.01 / (k + 1))
-            if n + seen:
-                yield batch_of([(TaskContext.get().partitionId(), n + seen, gru.to_bytes(p))], schema)
-
-        chosen = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k).select("text")
-        if (mean := _mean(chosen.mapInArrow(run, "part long, tokens long, data binary"))) is not None:
+        chosen = made.where(~F.col("held_out") & (F.pmod("h", F.lit(rounds)) == k))
+        tokens_ = chosen.agg(F.sum("n")).first()[0] or 0
+        shards = max(1, min(MAX_SHARDS, round(tokens_ / SHARD_TOKENS)))
+        dealt = chosen.select(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(shards)).cast("int").alias("shard"), "h", "ids")
+        # A shard is a partition; a shuffle by hash would put several into one.
+        ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "ids")
+        run = _train_shards(spark.sparkContext.broadcast(gru.to_bytes(start)), vocabulary.unigram, 0.01 / (k + 1))
+        if (mean := _mean(ordered.select("shard", "ids").mapInArrow(run, _PART_SQL))) is not None:
             start, trained = gru.from_bytes(mean[1], start), trained + mean[0]
     return start, trained
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-
-
 def lm_scoring(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     counts = _counts(docs)
     vocabulary = Vocabulary(counts)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast(gru.to_bytes(fit(docs, vocabulary)[0]))
+    made = _read(docs, spark.sparkContext.broadcast(vocabulary))
+    own = made.where("word is null").drop("word", "times")
+    model, unigram = spark.sparkContext.broadcast(gru.to_bytes(fit(own, vocabulary)[0])), vocabulary.unigram
 
     def run(batches):
-        v = shared.value
-        reader, p = _Reader(v), gru.from_bytes(model.value, gru.initial(v.unigram))
-        row, held, size = TaskContext.get().partitionId() << 33, [], 0
+        p = gru.from_bytes(model.value, gru.initial(unigram))
+        parts, size = [], 0
 
         def flush():
-            scores = gru.score(p, [ids for *_, ids in held]) / LN10
-            return batch_of([(r, d, None, n, known, base, model_part + s) for (r, d, n, known, base, model_part, _), s in zip(held, scores.tolist(), strict=True)], _SCORED)
-
-        for part in rows(batches):
-            found, times, owners, sizes = [], [], [], []
-            for doc_id, text in part:
-                ids, ranks, others = reader.read(text)
-                top = ranks[ranks >= 0]
-                logs = v.log[top]
-                classes = ids[ids >= gru.VOCABULARY] - gru.VOCABULARY
-                shares = logs[v.ids[top] >= gru.VOCABULARY].sum() - v.log_size[classes].sum()
-                held.append((row, doc_id, len(ids), int(v.known[top].sum()), float(logs.sum()), float(shares), ids))
-                distinct = Counter(others)
-                found += distinct.keys()
-                times += distinct.values()
-                owners.append(row)
-                sizes.append(len(distinct))
-                row += 1
-                size += len(ids)
-            n = len(found)
-            rare = [pa.array(np.repeat(np.array(owners, np.int64), sizes)), pa.nulls(n, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
-            yield pa.RecordBatch.from_arrays(rare, schema=_SCORED)
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            ids = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in whole.column("ids")]
+            scores = pa.array(gru.score(p, ids) / LN10)
+            return pa.RecordBatch.from_arrays([*(whole.column(c).chunk(0) for c in kept), scores], names=[*kept, "score"])
+
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                size += sum(batch.column("n").to_pylist())
             if size > GROUP:
                 yield flush()
-                held, size = [], 0
-        yield flush()
+                parts, size = [], 0
+        if parts:
+            yield flush()
 
-    made = materialise(texts(docs).mapInArrow(run, "row long, doc_id long, word string, n long, known long, base double, model double"))
-    rest = made.where("word is not null").select("row", "word", F.col("n").alias("times")).join(counts, "word", "left")
+    kept = ["row", "doc_id", "held_out", "n", "known", "base", "shares"]
+    scored = own.select(*kept, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n long, known long, base double, shares double, score double")
+    rest = made.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
     logs = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1))
     rest = rest.groupBy("row").agg(F.sum(logs).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
-    whole = made.where("word is null").join(rest, "row", "left")
     logs = F.coalesce(F.col("logs"), F.lit(0.0))
-    return whole.select(
-        "doc_id", F.coalesce(bucket(F.col("doc_id"), HOLD_OUT) == 0, F.lit(False)).alias("held_out"), F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce(F.col("more"), F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n") * F.lit(vocabulary.log_total)).alias("base_score"), (F.col("model") + logs).alias("score"),
+    return scored.join(rest, "row", "left").select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce(F.col("more"), F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n") * F.lit(vocabulary.log_total)).alias("base_score"), (F.col("score") + F.col("shares") + logs).alias("score"),
     )

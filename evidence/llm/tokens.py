@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from evidence.llm.common import by_bytes
+
 #: Pieces a worker remembers before it forgets all but those of the slice at hand; and their size in bytes.
 LIMIT, LIMIT_BYTES = 300_000, 16_000_000
 #: Bytes of text (or one text) that are cut at once.
@@ -172,23 +174,6 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """doc_ids of a slice of (doc_id, text), all its ids with end_id after each text, and where each text begins, with the end at last."""
     encode = encoder(path)
-
-    def out(parts: list[pa.RecordBatch]):
-        held = pa.Table.from_batches(parts).combine_chunks()
-        ids, starts = encode.batch(held.column("text").chunk(0))
-        return held.column("doc_id").chunk(0), np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
-
-    held, size = [], 0
-    for batch in batches:
-        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))))
-        at = 0
-        while at < batch.num_rows:
-            before = int(sizes[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES - size, side="right")))
-            held.append(batch.slice(at, end - at))
-            size, at = size + int(sizes[end - 1]) - before, end
-            if size >= SLICE_BYTES or at < batch.num_rows:
-                yield out(held)
-                held, size = [], 0
-    if held:
-        yield out(held)
+    for part in by_bytes(batches, SLICE_BYTES):
+        ids, starts = encode.batch(part.column("text").chunk(0))
+        yield part.column("doc_id").chunk(0), np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))

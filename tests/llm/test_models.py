@@ -231,12 +231,66 @@ def test_model_beats_base_on_rows_held_out(spark):
     assert got[0] > got[1]
 
 
+def made_of(df):
+    vocabulary = lm_scoring.Vocabulary(lm_scoring._counts(df))
+    made = lm_scoring._read(df, df.sparkSession.sparkContext.broadcast(vocabulary)).where("word is null")
+    return vocabulary, lm_scoring.fit(made, vocabulary)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd_docs"])
-def test_network_trains_on_every_training_document(request, which):
+def test_network_trains_on_every_training_document(request, which, monkeypatch):
     df = request.getfixturevalue(which)
-    for some in (df, df.limit(5)):
-        vocabulary = lm_scoring.Vocabulary(lm_scoring._counts(some))
-        assert lm_scoring.fit(some, vocabulary)[1] == vocabulary.total > 0
+    for tokens in (lm_scoring.SHARD_TOKENS, 500):
+        monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", tokens)
+        for some in (df, df.limit(5)):
+            vocabulary, (_, trained) = made_of(some)
+            assert trained == vocabulary.total > 0
+
+
+def test_scores_do_not_depend_on_how_rows_lie(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 3000)
+    score = lambda df: {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(df).collect()}
+    assert score(docs.repartition(8, "text")) == pytest.approx(score(docs.coalesce(1)), rel=1e-6)
+
+
+def test_scores_by_brute_force(docs):
+    """One token after another in double precision, with the parameters that training gives."""
+    v, (p, _) = made_of(docs)
+    p = {k: x.astype(float) for k, x in p.items()}
+    texts = {r["doc_id"]: lm_scoring.tokens(r["text"] or "") for r in docs.collect()}
+    c = Counter(w for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 10 for w in ws)
+    number = {w: int(v.ids[r]) for w, r in v.rank.items()}
+    id_of = lambda w: number.get(w, gru.VOCABULARY + lm_scoring.rare_class(w))
+    in_class = {}
+    for w in c:
+        if id_of(w) >= gru.VOCABULARY:
+            in_class.setdefault(id_of(w), []).append(c[w])
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def score(ws):
+        h, x, out = np.zeros(gru.HIDDEN), gru.START, 0.0
+        for w in ws:
+            y = id_of(w)
+            gx, gh = p["embed"][x] @ p["wx"] + p["bx"], h @ p["u"]
+            (zx, rx, cx), (zh, rh, ch) = np.split(gx, 3), np.split(gh, 3)
+            z = sigmoid(zx + zh)
+            h = (1 - z) * np.tanh(cx + sigmoid(rx + rh) * ch) + z * h
+            k = y // gru.MEMBERS if y < gru.VOCABULARY else y - gru.VOCABULARY + gru.OWN
+            out += math.log10(softmax(h @ p["wc"] + p["bc"])[k])
+            if y < gru.VOCABULARY:
+                out += math.log10(softmax(h @ p["ww"][k] + p["bw"][k])[y % gru.MEMBERS])
+            else:
+                own = in_class.get(y, [])
+                out += math.log10((c[w] + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+            x = y
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(docs).collect()}
+    some = [d for d in sorted(texts) if len(texts[d]) < 400]
+    assert len(some) > 50
+    for d in some:
+        assert got[d] == pytest.approx(score(texts[d]), rel=1e-4), d
 
 
 def test_no_documents_to_score(no_docs):
