@@ -114,28 +114,30 @@ def run(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, keep: bool = Fal
     return (hs, h, kept) if keep else (hs, h)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit of any state can overflow: states are within -1 and 1."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max()) < 80
 
 
-def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _picked(logits: np.ndarray, target: np.ndarray, tame: bool) -> np.ndarray:
     """The log softmax of one entry a row; logits is overwritten."""
-    if float(np.abs(logits).max(initial=0)) > 80:
-        return _log_softmax(logits)[np.arange(len(target)), target]
+    if not tame:
+        logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     return chosen - np.log(logits.sum(1))
 
 
-def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """The softmax, and the sum of the negative logarithms of one entry a row; logits is overwritten."""
-    logits -= logits.max(1, keepdims=True)
-    chosen = logits[np.arange(len(target)), target]
+def _slope(logits: np.ndarray, target: np.ndarray, total: int, tame: bool) -> tuple[np.ndarray, float]:
+    """By logit, the derivative of the sum of the negative log softmax of one entry a row, over total; and that sum. logits is overwritten."""
+    if not tame:
+        logits -= logits.max(1, keepdims=True)
+    at = np.arange(len(target))
+    chosen = logits[at, target]
     np.exp(logits, out=logits)
     whole = logits.sum(1, keepdims=True)
-    logits /= whole
+    logits *= 1 / (whole * total)
+    logits[at, target] -= 1 / total
     return logits, np.log(whole).sum() - chosen.sum()
 
 
@@ -144,14 +146,15 @@ def log_probabilities(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray) -
     cls = class_of(y)
     logits = hs @ p["wc"]
     logits += p["bc"]
-    out = _picked(logits, cls)
+    out = _picked(logits, cls, _tame(p["wc"], p["bc"]))
+    tame = _tame(p["ww"], p["bw"])
     own = np.flatnonzero(y < VOCABULARY)
     order = own[np.argsort(cls[own], kind="stable")]
     ends = np.searchsorted(cls[order], np.arange(OWN + 1))
     for k in range(OWN):
         i = order[ends[k] : ends[k + 1]]
         if len(i):
-            out[i] += _picked(hs[i] @ p["ww"][k] + p["bw"][k], y[i] % MEMBERS)
+            out[i] += _picked(hs[i] @ p["ww"][k] + p["bw"][k], y[i] % MEMBERS, tame)
     return out
 
 
@@ -182,9 +185,8 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndar
     cls = class_of(target)
     hr = rows[real]
     d = {k: np.zeros_like(v) for k, v in p.items()}
-    dl, loss = _softmax(hr @ p["wc"] + p["bc"], cls)
-    dl[np.arange(len(real)), cls] -= 1
-    dl /= total
+    dl, loss = _slope(hr @ p["wc"] + p["bc"], cls, total, _tame(p["wc"], p["bc"]))
+    tame = _tame(p["ww"], p["bw"])
     d["wc"], d["bc"] = hr.T @ dl, dl.sum(0)
     dr = dl @ p["wc"].T
     order = np.argsort(cls, kind="stable")
@@ -194,10 +196,8 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndar
         if not len(i):
             continue
         hk, member = hr[i], target[i] % MEMBERS
-        dw, more = _softmax(hk @ p["ww"][k] + p["bw"][k], member)
+        dw, more = _slope(hk @ p["ww"][k] + p["bw"][k], member, total, tame)
         loss += more
-        dw[np.arange(len(i)), member] -= 1
-        dw /= total
         d["ww"][k], d["bw"][k] = hk.T @ dw, dw.sum(0)
         dr[i] += dw @ p["ww"][k].T
     dhs = np.zeros_like(rows)

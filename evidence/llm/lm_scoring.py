@@ -37,7 +37,7 @@ from evidence.llm import gru
 from evidence.llm.common import batch_of, bucket, by_bytes, commonest, materialise, rows, texts, words
 
 HOLD_OUT = 10
-TOP = 150_000
+TOP = 300_000
 ROUNDS, FAN = 2, 16
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 16_384
 #: Tokens laid into lanes at once; bounds a worker's memory.

@@ -8,7 +8,9 @@ d * sqrt(quantile(CONFIDENCE)) only with a probability of 1 - CONFIDENCE: the se
 1. A kd-tree over projections, fitted on at most SAMPLE vectors, cuts space into leaves (at most MAX_LEAVES); every
    vector is put in its leaf. A leaf of more than BLOCK vectors (copies of one vector, say) is dealt into blocks by hash.
 2. Each query searches its home block, by that block's own kd-tree, nearest buckets first, and gets a first radius.
-3. It then visits the blocks of all leaves whose region its radius reaches, and no others, tightening as it goes.
+3. It then visits other leaves in the order of their regions' distance, in rounds (WAVES): the few nearest, then those
+   that are left. Before a round the test is made again with the best found so far, so only leaves within the radius that
+   is left are visited; the query's part in a block ends by the same test.
 4. The verified neighbours of all visits are ranked. Verification is the cosine of the original vectors in double
    precision, summed in the same order for each pair, so that copies tie exactly.
 A block with many queries is searched by several tasks, each with a part of the queries.
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 
 from evidence.llm.common import materialise, on_workers, small
 
-M = 8
-CONFIDENCE = 0.97
+#: Chosen by measure on 51,282 unclustered vectors of 64 dimensions: recall 0.97, 29 % of all pairs verified (with M = 8
+#: at 0.97: 0.96 and 64 %). Such vectors fill all leaves evenly, and a radius then reaches nearly all of them.
+M = 24
+CONFIDENCE = 0.95
+#: Leaves visited up to each round, the home leaf first.
+WAVES = (5, None)
 SAMPLE, MAX_LEAVES = 40_000, 4096
 BLOCK, BUCKET, QUERIES = 4096, 128, 8192
 _SLACK = 1e-9
@@ -228,29 +234,42 @@ def projected_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, confi
     asked = materialise(data.where(is_query).select("block", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("point").alias("at")))
     first = _visit(data, asked.withColumn("known", F.lit(float("-inf"))), k, quantile)
 
-    kth = first.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    known = F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("-inf")))
-    open_ = asked.join(kth, "query_id", "left").select("query_id", "vector", "at", F.col("block").alias("home"), F.coalesce(known, F.lit(float("-inf"))).alias("known"))
     low, high = tree.regions()
     first_block = np.cumsum([0, *parts])
     all_blocks = np.concatenate([np.arange(p, dtype=np.int64) + (leaf << 31) for leaf, p in enumerate(parts)])
 
-    def route(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            points = np.array(batch.column("at").to_pylist(), float)
-            who, where = [], []
-            for i, (p, home, s) in enumerate(zip(points, batch.column("home").to_pylist(), batch.column("known").to_pylist(), strict=True)):
-                radius = np.inf if s == -np.inf else max(0.0, 2 - 2 * s) * quantile + _SLACK
-                to = np.concatenate([all_blocks[:0], *(all_blocks[first_block[x] : first_block[x + 1]] for x in np.flatnonzero(gap(p, low, high) <= radius))])
-                to = to[to != home]
-                who.append(np.full(len(to), i))
-                where.append(to)
-            take = pa.array(np.concatenate(who).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where)), *(batch.column(c).take(take) for c in ("query_id", "vector", "at", "known"))], names=["block", "query_id", "vector", "at", "known"])
-
-    routed = materialise(open_.mapInArrow(route, f"block long, query_id long, vector {element}, at array<double>, known double"))
-    found = first.union(_visit(data, routed, k, quantile)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def route(after: int, upto: int | None):
+        """Of each open query, the blocks of the leaves that come after so many and are within its radius."""
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                points = np.array(batch.column("at").to_pylist(), float)
+                who, where = [], []
+                for i, (p, home, s) in enumerate(zip(points, batch.column("home").to_pylist(), batch.column("known").to_pylist(), strict=True)):
+                    radius = np.inf if s == -np.inf else max(0.0, 2 - 2 * s) * quantile + _SLACK
+                    far = gap(p, low, high)
+                    # The home leaf comes first, whatever the ties; its other blocks are visited with the first round.
+                    far[home >> 31] = -1.0
+                    leaves = np.argsort(far, kind="stable")[after if after > 1 else 0 : upto]
+                    to = np.concatenate([all_blocks[:0], *(all_blocks[first_block[x] : first_block[x + 1]] for x in leaves[far[leaves] <= radius])])
+                    to = to[to != home]
+                    who.append(np.full(len(to), i))
+                    where.append(to)
+                take = pa.array(np.concatenate(who).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where)), *(batch.column(c).take(take) for c in ("query_id", "vector", "at", "known"))], names=["block", "query_id", "vector", "at", "known"])
+
+        return run
+
+    found, after = first, 1
+    for upto in WAVES:
+        kth = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("score").alias("worst"))
+        open_ = asked.join(kth, "query_id", "left").select("query_id", "vector", "at", F.col("block").alias("home"), F.coalesce("worst", F.lit(float("-inf"))).alias("known"))
+        if 2**depth > after or max(parts) > 1:
+            routed = materialise(open_.mapInArrow(route(after, upto), f"block long, query_id long, vector {element}, at array<double>, known double"))
+            found = found.union(_visit(data, routed, k, quantile))
+        after = upto
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,8 +3,10 @@
 Each text has two histograms: of character classes and of common words. Both are compared, by Jensen-Shannon
 distance (base 2, so 0 to 1), with references of the languages; the closest language counts. A reference is the
 component-wise median, over all documents of a language that pass the base rules and the length guard, of their
-histograms, made to sum to 1; a minority of junk, however extreme, can't drag a median. A text too short for a
-histogram to be stable isn't judged by it (the minimum-length guards).
+histograms, made to sum to 1; a minority of junk, however extreme, can't drag a median. A language makes a reference only
+with MIN_DOCS such documents, and a thousandth of them all, so no text is its own reference and there are at most a
+thousand. A text too short for a histogram to be stable isn't judged by it (the minimum-length guards); nor are the words
+of a text whose language has no reference, but its characters are.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. A null language is a
 language of its own. With no document to learn references from, only the base rules decide. Repeated rows are
@@ -13,6 +15,9 @@ judged alike, each by itself. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +28,8 @@ from evidence.llm.textstats import BINS, CLASSES, Stats
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Documents behind a reference, and their share of all that could be.
+MIN_DOCS, MIN_SHARE = 10, 1e-3
 #: Guards: fewer words or characters than these are too few for the histogram.
 GUARD_WORDS, GUARD_CHARS = 80, 200
 #: Largest Jensen-Shannon distances from the closest language, each alone and both together.
@@ -62,30 +69,45 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (kl(p) + kl(q)) / 2))
 
 
-def references(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each language with enough text: its class histogram and its word histogram. One row a language reaches the driver."""
+class References(NamedTuple):
+    """Of each language with enough documents: its name, its class histogram and its word histogram."""
+
+    langs: list
+    classes: np.ndarray
+    bins: np.ndarray
+
+    def has(self, langs: list) -> np.ndarray:
+        return np.array([x in self.langs for x in langs], bool)
+
+
+def references(measured: DataFrame) -> References:
+    """One row a language with enough documents reaches the driver."""
     usable = measured.where(~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS))
     share = lambda c, k, total: (F.col(c)[k] / total).alias(f"{c}{k}")
     total = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     narrow = usable.select("lang", *(share("classes", k, total) for k in range(len(CLASSES))), *(share("bins", k, F.col("n_words")) for k in range(len(BINS) + 1)))
     names = narrow.columns[1:]
-    found = narrow.groupBy("lang").agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names)).orderBy("lang").collect()
+    each = usable.groupBy("lang").count()
+    least = max(MIN_DOCS, math.ceil((each.agg(F.sum("count")).first()[0] or 0) * MIN_SHARE))
+    enough = [r["lang"] for r in each.where(F.col("count") >= least).select("lang").collect()]
+    own = F.col("lang").isin([x for x in enough if x is not None]) | (F.lit(None in enough) & F.col("lang").isNull())
+    found = narrow.where(own).groupBy("lang").agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in names)).orderBy("lang").collect()
     a = np.array([[r[c] or 0.0 for c in names] for r in found], float).reshape(len(found), len(names))
     unit = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1e-12)
-    return unit(a[:, : len(CLASSES)]), unit(a[:, len(CLASSES) :])
+    return References([r["lang"] for r in found], unit(a[:, : len(CLASSES)]), unit(a[:, len(CLASSES) :]))
 
 
-def distances(classes: np.ndarray, bins: np.ndarray, refs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def distances(classes: np.ndarray, bins: np.ndarray, refs: References) -> tuple[np.ndarray, np.ndarray]:
     """Of each text (a row of counts), the distance of either histogram to the closest language."""
     unit = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1)
-    return tuple(js_distance(unit(x)[:, None, :], r[None]).min(1) if len(r) else np.zeros(len(x)) for x, r in ((classes, refs[0]), (bins, refs[1])))
+    return tuple(js_distance(unit(x)[:, None, :], r[None]).min(1) if len(r) else np.zeros(len(x)) for x, r in ((classes, refs.classes), (bins, refs.bins)))
 
 
 def diverges(dc: np.ndarray, dw: np.ndarray, enough_chars: np.ndarray, enough_words: np.ndarray) -> np.ndarray:
     return (enough_chars & (dc > MAX_CLASS_DISTANCE)) | (enough_words & (dw > MAX_WORD_DISTANCE)) | (enough_chars & enough_words & (dc + dw > MAX_SUM))
 
 
-def judge(measured: DataFrame, refs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def judge(measured: DataFrame, refs: References) -> DataFrame:
     """measured with class_distance, word_distance and kept in place of the histograms."""
     schema = f"{_COUNTS}, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
@@ -97,7 +119,7 @@ def judge(measured: DataFrame, refs: tuple[np.ndarray, np.ndarray]) -> DataFrame
             classes, bins = get("classes", len(CLASSES)), get("bins", len(BINS) + 1)
             dc, dw = distances(classes, bins, refs)
             n_words = batch.column("n_words").to_numpy(zero_copy_only=False)
-            bad = diverges(dc, dw, classes.sum(1) >= GUARD_CHARS, n_words >= GUARD_WORDS)
+            bad = diverges(dc, dw, classes.sum(1) >= GUARD_CHARS, (n_words >= GUARD_WORDS) & refs.has(batch.column("lang").to_pylist()))
             failed = np.array(batch.column("base_failed").to_pylist(), bool)
             counts = [batch.column(c) for c in _ARROW.names[:8]]
             yield pa.RecordBatch.from_arrays([*counts, pa.array(dc), pa.array(dw), pa.array(~failed & ~bad)], names=[*_ARROW.names[:8], "class_distance", "word_distance", "kept"])
@@ -126,6 +148,7 @@ def keep_ruled(docs: DataFrame) -> DataFrame:
                 dc, dw = distances(classes, bins, refs)
                 n_words = np.array([s.n_words for s in stats])
                 failed = np.array([base_failed(s.n_words, s.n_repeat_words) for s in stats])
-                yield part.filter(pa.array(~failed & ~diverges(dc, dw, classes.sum(1) >= GUARD_CHARS, n_words >= GUARD_WORDS)))
+                enough_words = (n_words >= GUARD_WORDS) & refs.has(part.column(names.index("lang")).to_pylist())
+                yield part.filter(pa.array(~failed & ~diverges(dc, dw, classes.sum(1) >= GUARD_CHARS, enough_words)))
 
     return docs.mapInArrow(run, docs.schema)

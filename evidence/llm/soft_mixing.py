@@ -10,10 +10,11 @@
    follows from its posteriors and the residuals of all steps, so no state is kept a document. If STEPS don't meet the
    TOLERANCE, one more step max(0, w - p l) ends at the targets, or, where they can't be reached, at the least squares:
    Newton's method finds its K numbers l, an aggregate an iteration, and fits or fails.
-4. A document is repeated floor(rate) times, and once more with the probability of the rest, decided by a hash of its id.
+4. A document is repeated floor(rate) times, and once more with the probability of the rest, decided by a hash of its id;
+   where rows share an id or have none, by a hash of the row's number in the written table, so each draws for itself.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior. Rows are judged each by itself, repeated
-rows alike; rows without doc_id take part. Labels of unknown domains, null labels and label rows without a document
+rows alike but for their draws; rows without doc_id take part. Labels of unknown domains, null labels and label rows without a document
 are ignored; a document labelled several times counts for each of its labels. Without labelled documents posteriors are
 uniform. A domain without any mass can't reach its target; the others are fitted nevertheless.
 """
@@ -21,6 +22,7 @@ uniform. A domain without any mass can't reach its target; the others are fitted
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,11 +65,13 @@ class Posteriors:
     def add(self, docs: DataFrame) -> DataFrame:
         """docs with __tokens (long) and __p (array of doubles, in the order of the domains)."""
         got = docs.withColumn("__b", word_buckets(F.col("text")))
-        self.weights.createOrReplaceTempView("__mix_weights")
+        view = f"mix_weights_{uuid.uuid4().hex}"
+        self.weights.createTempView(view)
         for k in range(len(self.domains)):
-            w = F.expr(f"(SELECT w{k} FROM __mix_weights)")
+            w = F.expr(f"(SELECT w{k} FROM {view})")
             got = got.withColumn(f"__w{k}", w)
             got = got.withColumn(f"__l{k}", F.expr(f"aggregate(__b, 0D, (a, b) -> a + __w{k}[b])")).drop(f"__w{k}")
+        docs.sparkSession.catalog.dropTempView(view)
         n = F.size("__b")
         got = got.withColumn("__tokens", n.cast("long"))
         scale = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(n, F.lit(1)))
@@ -198,26 +202,36 @@ def steps_to_targets(members: DataFrame, targets: dict[str, float], domains: lis
     return [*steps, last_step(state, goal, scale)]
 
 
-def copies(doc_id: Column, w: Column, seed: int = 11) -> Column:
-    """floor(w + u) for u uniform by a hash of the id: w on average."""
-    return F.floor(w + F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("long")
+def drawn(members: DataFrame) -> DataFrame:
+    """members with __own, what a row draws by: its doc_id, or its __row where others have that id or it has none."""
+    again = materialise(members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own = F.when(F.col("doc_id").isNull(), F.col("__row"))
+    if again.take(1):
+        members = members.join(small(again.withColumn("__again", F.lit(True)), again.count()), "doc_id", "left")
+        own = own.when(F.col("__again"), F.col("__row"))
+    return members.withColumn("__own", F.xxhash64("doc_id", own))
+
+
+def copies(own: Column, w: Column, seed: int = 11) -> Column:
+    """floor(w + u) for u uniform by a hash: w on average."""
+    return F.floor(w + F.pmod(F.xxhash64(own, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("long")
 
 
 def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """One row for each document: doc_id, tokens, p_<domain> for each domain of targets, rate, copies."""
     domains = sorted(targets)
     model = Posteriors(docs, labelled, domains)
-    members = materialise(model.add(docs.select("doc_id", "text")).select("doc_id", "__tokens", "__p"))
+    members = materialise(model.add(docs.select("doc_id", "text")).select("doc_id", "__tokens", "__p", F.monotonically_increasing_id().alias("__row")))
     w = rate(F.col("__p"), steps_to_targets(members.select("__tokens", "__p"), targets, domains), F.lit(1.0))
-    out = members.select("doc_id", F.col("__tokens").alias("tokens"), *(F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), w.alias("rate"))
-    return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+    out = drawn(members).select("doc_id", F.col("__tokens").alias("tokens"), *(F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), w.alias("rate"), "__own")
+    return out.withColumn("copies", copies(F.col("__own"), F.col("rate"))).drop("__own")
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """docs, its columns and no others, each row as often as its rate says."""
     domains = sorted(targets)
     model = Posteriors(docs, labelled, domains)
-    members = materialise(model.add(docs))
+    members = materialise(model.add(docs).withColumn("__row", F.monotonically_increasing_id()))
     steps = steps_to_targets(members.select("__tokens", "__p"), targets, domains)
-    rated = members.withColumn("__n", copies(F.col("doc_id"), rate(F.col("__p"), steps, F.lit(1.0))))
+    rated = drawn(members).withColumn("__n", copies(F.col("__own"), rate(F.col("__p"), steps, F.lit(1.0))))
     return rated.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*docs.columns)

@@ -8,7 +8,8 @@
    that workers don't hold are joined with the table of counts.
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
    unwanted sites with pseudo-counts in both classes: SEED_ODDS in a table of any size, plus what ruled hosts say. Words
-   that the rules themselves name are left out: the rules speak for those. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
+   that the rules themselves name are left out: the rules speak for those; so are words under WORD letters, which are
+   codes rather than words ("es", "m"): what a rule says of a directory of a language says nothing of other sites. A url without a rule is blocked if its log odds exceed THRESHOLD, with even priors,
    so a url with no telling word is allowed.
 5. Workers hold the words of the RUNS commonest runs and the odds of the TOKENS commonest tokens. All others are written
    out beside the pages and joined with the tables of runs and odds.
@@ -36,9 +37,10 @@ SEEDS = "ads adult bet bets casino cheap dating escort farm free loans lottery m
 SEED_COUNT, SEED_SHARE, THRESHOLD = 10, 0.01, 4.0
 #: Log odds of a seed that no ruled host has, in a table of any size.
 SEED_ODDS = 5.0
-VOCABULARY, RUNS, TOKENS, LONGEST, SHORT = 50_000, 100_000, 100_000, 24, 3
+VOCABULARY, RUNS, TOKENS, LONGEST, SHORT, WORD = 50_000, 100_000, 100_000, 24, 3, 3
 
-_TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+#: An unclosed script goes to the end, and a "<" that no ">" follows before the next "<" is no tag, so a page is read once.
+_TAG = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>", re.S | re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -150,13 +152,17 @@ def parts(host: str, path: str, named: set[str]) -> list[tuple[str, str]]:
     return [(mark, "#" if part[0].isdigit() else part) for mark, part in found]
 
 
+def telling(words: list[str]) -> list[str]:
+    return [w for w in words if len(w) >= WORD]
+
+
 def tokens(host: str, path: str, segment: dict[str, list[str]], named: set[str]) -> list[str]:
-    """Words of the host marked h:, of the path p:, numbers as #; without the words that rules name."""
-    return [mark + w for mark, part in parts(host, path, named) for w in (["#"] if part == "#" else segment[part])]
+    """Words of the host marked h:, of the path p:, numbers as #; without the words that rules name and short ones."""
+    return [mark + w for mark, part in parts(host, path, named) for w in (["#"] if part == "#" else telling(segment[part]))]
 
 
 def cut_runs(judged: DataFrame, counts: DataFrame, model, named: set[str]) -> DataFrame:
-    """run, n, words of every run of letters in hosts and paths. model: the broadcast words that workers hold."""
+    """run, n, words (the telling ones) of every run of letters in hosts and paths. model: the broadcast words that workers hold."""
     schema = pa.schema([("run", pa.string()), ("n", pa.int64())])
 
     def find(batches):
@@ -177,7 +183,7 @@ def cut_runs(judged: DataFrame, counts: DataFrame, model, named: set[str]) -> Da
     def cut(batches):
         segment, schema = Segmenter(model.value), pa.schema([("run", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
         for part in rows(batches):
-            yield batch_of([(run, n, segment.cut(run, {x["word"]: x["c"] for x in more or []})) for run, n, more in part], schema)
+            yield batch_of([(run, n, telling(segment.cut(run, {x["word"]: x["c"] for x in more or []}))) for run, n, more in part], schema)
 
     found = runs.select("run").mapInArrow(pieces, "run string, word string").join(counts.withColumnRenamed("n", "c"), "word")
     found = found.groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("more"))

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -65,9 +66,37 @@ def test_rows_repeated_more_than_k_times(spark, monkeypatch, block):
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in nearest(rows, 5).items()}
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_many_leaves(spark, monkeypatch, spread):
+    """With many leaves, some of several blocks: recall holds, and clustered queries visit few leaves."""
+    monkeypatch.setattr(projected_neighbours, "BLOCK", 64)
+    monkeypatch.setattr(projected_neighbours, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    vectors = centres[np.arange(3000) % 30] * (1 if spread < 1 else 0) + spread * rng.normal(size=(3000, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(i, [1.0] * 16) for i in range(3000, 3200)]
+    visits, visit = [], projected_neighbours._visit
+
+    def counted(data, queries, *more):
+        visits.append((queries.count(), data.select("block").distinct().count()))
+        return visit(data, queries, *more)
+
+    monkeypatch.setattr(projected_neighbours, "_visit", counted)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in projected_neighbours.projected_neighbours(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    want = nearest(rows, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len({i for _, i in want[q]} & set(got[q])) for q in want) / (5 * len(want)) >= 0.9
+    assert len(visits) == 3 and visits[0][1] > 60
+    if spread < 1:
+        assert sum(n for n, _ in visits) < 0.25 * len(want) * visits[0][1]
+
+
 def test_chi_square():
+    assert projected_neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     x = projected_neighbours.chi_square_quantile(0.95)
-    assert x == pytest.approx(15.507, abs=1e-3)
     sample = (np.random.default_rng(0).normal(size=(200_000, projected_neighbours.M)) ** 2).sum(1)
     assert (sample <= x).mean() == pytest.approx(0.95, abs=3e-3)
 
@@ -92,6 +121,21 @@ def rule_of(host, path):
 URLS = ["http://a.example.net/en/1", "http://EXAMPLE.net", "http://example.net/", "https://x.org/fr/q?z", "ftp://org/fr/", "no scheme", None, "http://?q", "a://b://c/d", "http://notexample.com/de/", "http://s.example.com/de/#t", "http://casino-win.example.com/en/5", "http://cheappills.example.com/en/", "://", "http://İ.com/x\ny"]
 
 
+def test_pages_that_never_close_a_tag():
+    for html in ("<script>" + "x <script " * 50_000, "<" * 300_000, "<a " * 100_000, "</script" * 100_000):
+        began = time.process_time()
+        url_filter._TAG.sub(" ", html)
+        assert time.process_time() - began < 5
+    assert url_filter._TAG.sub(" ", "a<script>b</script >c<p x='1'>d<style>e") == "a c d "
+
+
+def test_short_words_tell_nothing(spark):
+    """What rules say of /es/ under a blocked host says nothing of /es/ elsewhere."""
+    rows = [(i, f"http://site{i}.net/es/{i}", "<p>site garden river") for i in range(300)] + [(i, f"http://site{i}.example.net/en/{i}", "") for i in range(300, 600)] + [(1000, "http://garden.example.org/es/5", "")]
+    got = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1000]["verdict"] == "allow" and got[0]["verdict"] == "block"
+
+
 def test_rules_and_parts(spark):
     rows = [(i, u, None if i % 3 else "<p>Hello pills <script>x</script> win</p>", "h", "v") for i, u in enumerate(URLS)] + [(None, URLS[0], "", "h", "v"), (0, URLS[0], "", "h", "v")]
     rows += [(None, "http://garden.example.net/en/1", "", "h", "v")] * 2000  # enough allowed urls to learn from
@@ -406,6 +450,17 @@ def test_targets_are_met_from_uneven_mixes(spark, shares):
     assert (got["w"] >= 0).all()
 
 
+def test_rows_draw_for_themselves(spark, labels, docs):
+    """Rows that share an id, or have none, are not all kept or all dropped."""
+    bad = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").first()["text"]
+    rows = [(None, bad)] * 60 + [(7_000_001, bad)] * 60 + [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = soft_mixing.soft_mixing(spark.createDataFrame(rows, "doc_id long, text string"), domains(labels), TARGETS).toPandas()
+    for own in (got[got.doc_id.isna()], got[got.doc_id == 7_000_001]):
+        assert len(own) == 60 and own.copies.nunique() == 2
+        assert own.copies.mean() == pytest.approx(own.rate.mean(), abs=0.25)
+    assert not spark.catalog.listTables()
+
+
 def test_mixing_odd_documents(odd_docs, no_docs, labels):
     gold = domains(labels)
     assert soft_mixing.soft_mixing(odd_docs, gold, TARGETS).count() == odd_docs.count()

@@ -57,6 +57,7 @@ def test_verdicts_by_brute_force(docs):
             usable.setdefault(r["lang"], []).append((s.classes / s.classes.sum(), s.bins / s.n_words))
     # percentile_approx takes an element, the lower at an even count
     low = lambda x: np.sort(np.array(x), 0)[(len(x) - 1) // 2]
+    usable = {k: v for k, v in usable.items() if len(v) >= max(qr.MIN_DOCS, qr.MIN_SHARE * sum(map(len, usable.values())))}
     refs = [(low([a for a, _ in v]), low([b for _, b in v])) for v in usable.values()]
     refs = [(a / a.sum(), b / b.sum()) for a, b in refs]
     for r in qr.quality_rules(docs).collect():
@@ -64,7 +65,7 @@ def test_verdicts_by_brute_force(docs):
         dc = min(qr.js_distance(s.classes / max(s.classes.sum(), 1), a) for a, _ in refs)
         dw = min(qr.js_distance(s.bins / max(s.n_words, 1), b) for _, b in refs)
         assert (r["class_distance"], r["word_distance"]) == pytest.approx((dc, dw), abs=1e-9)
-        bad = dc > qr.MAX_CLASS_DISTANCE and s.classes.sum() >= qr.GUARD_CHARS or s.n_words >= qr.GUARD_WORDS and (dw > qr.MAX_WORD_DISTANCE or s.classes.sum() >= qr.GUARD_CHARS and dc + dw > qr.MAX_SUM)
+        bad = dc > qr.MAX_CLASS_DISTANCE and s.classes.sum() >= qr.GUARD_CHARS or s.n_words >= qr.GUARD_WORDS and r["lang"] in usable and (dw > qr.MAX_WORD_DISTANCE or s.classes.sum() >= qr.GUARD_CHARS and dc + dw > qr.MAX_SUM)
         assert r["kept"] == (not r["base_failed"] and not bad)
 
 
@@ -125,3 +126,14 @@ def test_classifier_without_labels(odd_docs, no_docs, labels):
     assert {r["score"] for r in got} == {0.5} and len(got) == odd_docs.count()
     assert qc.quality_classifier(no_docs, labels).count() == 0
     assert qc.quality_classifier(odd_docs, labels.limit(1).union(labels.limit(1))).count() == odd_docs.count()
+
+
+def test_a_language_of_few_documents_is_no_reference(spark, docs):
+    """Junk isn't its own reference, and a clean text of a rare language isn't judged by others' words."""
+    junk = " ".join("#$%&" * 3 + str(i * 7919) for i in range(300))
+    rng = np.random.default_rng(8)
+    parts = "zor van kelt mi ru do pa len qua tosk vi ber sha no ti".split()
+    clean = " ".join("".join(rng.choice(parts, rng.integers(1, 4))) + (". " if i % 9 == 8 else "") for i in range(300))
+    more = spark.createDataFrame([(9_000_001, junk, "zz"), (9_000_002, clean, "yy"), (9_000_003, junk, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in qr.quality_rules(docs.select("doc_id", "text", "lang").union(more)).collect()}
+    assert (got[9_000_001], got[9_000_002], got[9_000_003]) == (False, True, False)
