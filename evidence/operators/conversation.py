@@ -8,7 +8,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTORY, TITLE, ECHO = 6, 120, 20
+from evidence.functions.text import strip
+
+HISTORY, TITLE, ECHO, REWRITE = 6, 120, 20, 1000
+# Labels that may stand before a rewritten question, and quotes around it.
+_LABELS, _QUOTES = ("standalone question", "question", "rewritten question"), "\"'“”‘’`"
 
 
 def history(log: DataFrame, limit: int = HISTORY) -> DataFrame:
@@ -61,16 +65,20 @@ def turn_sources(log: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def clean_rewrite(text: Column) -> Column:
-    """One line, without quotes around it or a label before it."""
-    line = F.split_part(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(1))
-    return F.btrim(F.regexp_replace(line, r"(?i)^\s*(question|rewritten question)\s*:\s*", ""), F.lit(" \"'"))
+    """The first line that isn't blank, without a label before it or quotes around it; null if nothing is left, or too much."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda x: x != "")
+    line = F.regexp_replace(F.get(lines, F.lit(0)), rf"(?i)^({'|'.join(_LABELS)})\s*:\s*", "")
+    bare = strip(F.btrim(strip(line), F.lit(_QUOTES)))
+    return F.when((bare != "") & (F.length(bare) <= REWRITE), bare)
 
 
 def condensed(previous: Column, question: Column, rewrite: Column, answers: Column) -> Column:
-    """The rewrite, unless there is none or it repeats an earlier answer; then the previous question and the new one."""
+    """The question to search for. Without earlier turns (previous is null) and where nothing is left of the rewrite or it
+    repeats an earlier answer, the question as typed; where there was no rewrite (null), the previous question and it."""
+    flat = lambda x: F.trim(F.regexp_replace(F.lower(x), r"(?U)\s+", " "))
     clean = clean_rewrite(rewrite)
-    echoes = (F.length(clean) >= ECHO) & F.exists(answers, lambda a: F.lower(a).contains(F.lower(clean)))
-    return F.when((clean != "") & ~F.coalesce(echoes, F.lit(False)), clean).otherwise(F.concat_ws(" ", F.nullif(previous, F.lit("")), question))
+    echoes = F.coalesce((F.length(flat(clean)) >= ECHO) & F.exists(answers, lambda a: flat(a).contains(flat(clean))), F.lit(False))
+    return F.when(previous.isNull(), question).when(rewrite.isNull(), F.concat_ws(" ", previous, question)).when(clean.isNull() | echoes, question).otherwise(clean)
 
 
 def shorten(text: Column, longest: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,40 +13,57 @@ from evidence.functions.text import blank_to_null, sha256, strip
 from evidence.rules.spec import Child, DocType, Value
 
 
-def child_collection(child: DataFrame, spec: Child) -> DataFrame:
-    """The parent's join columns and `items`, an array of the non-null values of each parent's rows.
-
-    Ordered by order_by (ties by the value, so that the order is total), distinct in byte order, or as they come.
-    """
-    rows = child.where(F.col(spec.select).isNotNull())
+def _wanted(spec: Child) -> Column:
+    """Whether a child row has a value that the collection takes."""
+    keep = F.col(spec.select).isNotNull()
     if spec.eq:
-        rows = rows.where(F.col(spec.eq[0]) == F.lit(spec.eq[1]))
+        keep &= F.col(spec.eq[0]) == F.lit(spec.eq[1])
     if spec.ne:
-        rows = rows.where(F.col(spec.ne[0]) != F.lit(spec.ne[1]))
+        keep &= F.col(spec.ne[0]) != F.lit(spec.ne[1])
+    return keep
+
+
+def _items(spec: Child, keep: Column | None = None) -> Column:
+    """The array of a collection, an aggregate. Ordered by order_by (ties by the value, so that the order is total),
+    distinct in byte order, or as they come. Of rows without keep nothing is taken."""
     value = F.col(spec.select)
+    only = lambda x: x if keep is None else F.when(keep, x)
     if spec.distinct:
-        items = F.array_sort(F.collect_set(value))
-    elif spec.order_by:
-        items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(spec.order_by).alias("o"), value.alias("x")))), lambda s: s.x)
-    else:
-        items = F.collect_list(value)
-    return rows.groupBy(*(F.col(c).alias(p) for c, p in spec.join.items())).agg(items.alias("items"))
+        return F.array_sort(F.collect_set(only(value)))
+    if spec.order_by:
+        return F.transform(F.array_sort(F.collect_list(only(F.struct(F.col(spec.order_by).alias("o"), value.alias("x"))))), lambda s: s.x)
+    return F.collect_list(only(value))
 
 
-def source_rows(rule: DocType, parent: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    """record_key, the parent columns that the rule reads, and an array for each child. Only referenced columns are scanned."""
+def child_collection(child: DataFrame, spec: Child) -> DataFrame:
+    """The parent's join columns and `items`, an array of the non-null values of each parent's rows."""
+    return child.where(_wanted(spec)).groupBy(*(F.col(c).alias(p) for c, p in spec.join.items())).agg(_items(spec).alias("items"))
+
+
+def source_rows(rule: DocType, parent: DataFrame, children: dict[str, DataFrame], few: bool = False) -> DataFrame:
+    """record_key, the parent columns that the rule reads, and an array for each child. Only referenced columns are scanned.
+
+    Children of one table with one join come from one aggregate. few: the parent is a part of its table, so only child
+    rows that join it are collected.
+    """
     names = rule.columns()
     out = parent.select(F.col(rule.source.key).cast("string").alias("record_key"), *names)
+    groups: dict[tuple, list[str]] = {}
     for alias, spec in rule.children.items():
-        items = child_collection(children[alias], spec).withColumnRenamed("items", alias)
-        keys = {p: f"__{alias}_{p}" for p in spec.join.values()}
         need = [c for c in spec.join.values() if c not in names]
         if need:
             raise KeyError(f"child {alias} joins on {need}, which the parent's rows lack")
-        for p, k in keys.items():
-            items = items.withColumnRenamed(p, k)
-        on = [out[p] == items[k] for p, k in keys.items()]
-        out = out.join(items, on, "left").drop(*keys.values())
+        groups.setdefault((spec.namespace, spec.table, tuple(spec.join.items())), []).append(alias)
+    for k, ((_, _, join), aliases) in enumerate(groups.items()):
+        rows = children[aliases[0]]
+        if few:
+            own = parent.select(*(F.col(p).alias(f"__{k}_{p}") for _, p in join)).distinct()
+            rows = rows.join(own, [rows[c] == own[f"__{k}_{p}"] for c, p in join], "left_semi")
+        wanted = {a: _wanted(rule.children[a]) for a in aliases}
+        some = reduce(lambda x, y: x | y, wanted.values())
+        empty = lambda x: F.when(F.size(x) > 0, x)
+        items = rows.where(some).groupBy(*(F.col(c).alias(f"__{k}_{p}") for c, p in join)).agg(*(empty(_items(rule.children[a], wanted[a] if len(aliases) > 1 else None)).alias(a) for a in aliases))
+        out = out.join(items, [out[p] == items[f"__{k}_{p}"] for _, p in join], "left").drop(*(f"__{k}_{p}" for _, p in join))
     return out
 
 
@@ -55,7 +73,7 @@ def _scalar_format(c: Column, kind: T.DataType, how: str | None) -> Column:
     if how == "year":
         return F.year(c) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(None).cast("int")
     if how == "thousands":
-        n = F.expr("null").cast("bigint") if not isinstance(kind, (T.NumericType, T.StringType)) else c.try_cast("bigint") if isinstance(kind, T.StringType) else c.cast("bigint")
+        n = c.try_cast("bigint") if isinstance(kind, (T.NumericType, T.StringType)) else F.lit(None).cast("bigint")
         return F.when(n != 0, F.format_number(n, 0))
     return c
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ RRF, MAX_PER_DOC, TOP_K, CANDIDATES = 60, 2, 8, 40
 RARE_SHARE, RARE_TERMS, POSITION_WEIGHT = 0.10, 8, 0.1
 
 
+_WHOLE = re.compile("-?[0-9]+")
+
+
 class FilterError(ValueError):
     pass
 
@@ -23,7 +28,7 @@ def parse_filters(pairs: list[str]) -> dict[str, bool | int | str]:
         if not sign or not name:
             raise FilterError(f"a filter reads name=value, not {pair!r}")
         low = value.lower()
-        out[name] = low == "true" if low in ("true", "false") else int(value) if value.lstrip("-").isdigit() and value.lstrip("-") else value
+        out[name] = low == "true" if low in ("true", "false") else int(value) if _WHOLE.fullmatch(value) else value
     return out
 
 
@@ -57,13 +62,13 @@ def searchable(chunks: DataFrame, doc_types: list[str] | None = None, filters: d
 
 
 def cosine_distance(embedding: Column, vector: list[float]) -> Column:
-    """In double precision, rounded to 6 places so that engines that sum in another order agree."""
+    """In double precision."""
     q = F.array(*(F.lit(float(x)) for x in vector))
     e = F.transform(embedding, lambda x: x.cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     dot = total(F.zip_with(e, q, lambda a, b: a * b))
     norms = F.sqrt(total(F.transform(e, lambda x: x * x))) * F.sqrt(total(F.transform(q, lambda x: x * x)))
-    return F.round(1 - F.when(norms > 0, dot / norms), 6)
+    return 1 - F.when(norms > 0, dot / norms)
 
 
 def vector_search(chunks: DataFrame, vector: list[float], limit: int = CANDIDATES) -> DataFrame:
@@ -73,6 +78,11 @@ def vector_search(chunks: DataFrame, vector: list[float], limit: int = CANDIDATE
     return near.where("distance is not null").orderBy("distance", "chunk_id").limit(limit)
 
 
+def shown(rows: DataFrame, name: str) -> DataFrame:
+    """With a distance or score to 6 places, where engines that sum in another order agree; ranks come from the exact one."""
+    return rows.withColumn(name, F.round(name, 6))
+
+
 def postings(chunks: DataFrame, terms: Column | None = None) -> DataFrame:
     """chunk_id, doc_id, lexeme: one row a position. terms: an analyser's output, else the simple analyser's."""
     return chunks.select("chunk_id", "doc_id", F.explode(tokens(F.col("text")) if terms is None else terms).alias("lexeme"))
@@ -97,17 +107,32 @@ def question_terms(spark, question: str) -> DataFrame:
     return spark.createDataFrame([(question,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("lexeme"))
 
 
+def term_frequencies(chunks: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
+    """How many chunks there are, and how many hold each of a question's terms: one pass without a shuffle of lexemes."""
+    held = tokens(F.col("text"))
+    counted = [F.count_if(F.array_contains(F.col("held"), t)).alias(f"n{i}") for i, t in enumerate(terms)]
+    got = chunks.select(F.filter(held, lambda x: x.isin(terms)).alias("held")).agg(F.count("*").alias("n"), *counted).first()
+    return got["n"], {t: got[f"n{i}"] for i, t in enumerate(terms)}
+
+
 def text_search(chunks: DataFrame, question: str, limit: int = CANDIDATES, everything: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """The best chunks for any of the rare terms: chunk_id, doc_id, score (a tenth for each position).
 
-    everything: all chunks, for frequencies; chunks may be filtered.
+    everything: all chunks, for frequencies; chunks may be filtered. stats: a stored lexeme_stats() of everything, else the
+    question's terms alone are counted. The rare terms are at most RARE_TERMS, so each chunk counts its own positions.
     """
     spark, everything = chunks.sparkSession, everything if everything is not None else chunks
-    stats = stats if stats is not None else lexeme_stats(everything)
-    total = everything.agg(F.count("*").alias("total"))
-    rare = rare_lexemes(stats, total, question_terms(spark, question))
-    hits = postings(chunks).join(F.broadcast(rare.select("lexeme")), "lexeme")
-    scored = hits.groupBy("chunk_id", "doc_id").agg(F.round(F.count("*") * POSITION_WEIGHT, 6).alias("score"))
+    asked = question_terms(spark, question)
+    if stats is None:
+        total, found = term_frequencies(everything, [r[0] for r in asked.collect()])
+        stats = spark.createDataFrame([(t, n) for t, n in found.items() if n], "lexeme string, ndoc long")
+    else:
+        total = everything.count()
+    rare = [r["lexeme"] for r in rare_lexemes(stats, spark.createDataFrame([(total,)], "total long"), asked).collect()]
+    if not rare:
+        return chunks.select("chunk_id", "doc_id", F.lit(0.0).alias("score")).limit(0)
+    hits = chunks.select("chunk_id", "doc_id", F.size(F.filter(tokens(F.col("text")), lambda x: x.isin(rare))).alias("hits"))
+    scored = hits.where("hits > 0").select("chunk_id", "doc_id", F.round(F.col("hits") * POSITION_WEIGHT, 6).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
@@ -118,7 +143,7 @@ def fuse(vector_rows: DataFrame, text_rows: DataFrame, top_k: int = TOP_K, max_p
     t = ranked(text_rows, F.desc("score"), "tr").withColumnRenamed("doc_id", "t_doc")
     share = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
     by = F.when(F.col("vr").isNotNull() & F.col("tr").isNotNull(), "both").when(F.col("vr").isNotNull(), "vector").otherwise("text")
-    both = v.join(t, "chunk_id", "full").select("chunk_id", F.coalesce("doc_id", "t_doc").alias("doc_id"), F.round(share("vr") + share("tr"), 6).alias("score"), by.alias("matched_by"))
+    both = v.join(t, "chunk_id", "full").select("chunk_id", F.coalesce("doc_id", "t_doc").alias("doc_id"), (share("vr") + share("tr")).alias("score"), by.alias("matched_by"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id")
     return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_per_doc).drop("n").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 

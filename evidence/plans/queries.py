@@ -45,15 +45,16 @@ def changes_behind(s, d):
     return changes.changes_behind(fx.change_log(s, d), marks)
 
 
-_KEYS = "SELECT DISTINCT user_id::VARCHAR AS record_key FROM events WHERE event_type = 'click' AND event_id > 100 AND event_id <= 5000"
+_KEYS = "SELECT DISTINCT user_id::VARCHAR AS record_key FROM events WHERE event_type = 'click' AND event_id > 100 AND event_id <= (SELECT max(event_id) FROM events WHERE event_type = 'click')"
 
 
 def _keys(s, d):
-    return changes.changed_keys(fx.change_log(s, d), "click", 100, 5000)
+    log = fx.change_log(s, d)
+    return changes.changed_keys(log, "click", 100, changes.source_head(log, "click").first()["head"])
 
 
 def _parents(s, d):
-    return fx.table(s, d, "customer").where("c_custkey % 3 <> 0").withColumn("record_key", F.col("c_custkey").cast("string"))
+    return fx.table(s, d, "customer").withColumn("record_key", F.col("c_custkey").cast("string"))
 
 
 @query(_KEYS)
@@ -61,12 +62,12 @@ def changed_keys(s, d):
     return _keys(s, d)
 
 
-@query(f"SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey::VARCHAR IN ({_KEYS})")
+@query(f"SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey::VARCHAR IN ({_KEYS})")
 def changed_rows(s, d):
     return changes.changed_rows(_parents(s, d), _keys(s, d)).select("c_custkey", "c_name", "c_acctbal")
 
 
-@query(f"SELECT record_key FROM ({_KEYS}) WHERE record_key NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey % 3 <> 0)")
+@query(f"SELECT record_key FROM ({_KEYS}) WHERE record_key NOT IN (SELECT c_custkey::VARCHAR FROM customer)")
 def missing_keys(s, d):
     return changes.missing_keys(_parents(s, d), _keys(s, d))
 
@@ -263,14 +264,14 @@ def _text_sql(where: str, limit: int) -> str:
 
 
 def _vector_sql(where: str, limit: int) -> str:
-    return f"SELECT chunk_id, doc_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM ({_CHUNKS}) WHERE embedding IS NOT NULL AND {where} ORDER BY 3, 1 LIMIT {limit}"
+    return f"SELECT chunk_id, doc_id, round(d, 6) AS distance FROM (SELECT *, list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM ({_CHUNKS}) WHERE embedding IS NOT NULL AND {where}) ORDER BY d, 1 LIMIT {limit}"
 
 
 def _fused_sql(where: str) -> str:
     return f"""SELECT chunk_id, doc_id, score, matched_by FROM (SELECT coalesce(v.chunk_id, t.chunk_id) AS chunk_id, coalesce(v.doc_id, t.doc_id) AS doc_id,
-round(coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + tr), 0), 6) AS score, CASE WHEN vr IS NOT NULL AND tr IS NOT NULL THEN 'both' WHEN vr IS NOT NULL THEN 'vector' ELSE 'text' END AS matched_by
+coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + tr), 0) AS s, round(s, 6) AS score, CASE WHEN vr IS NOT NULL AND tr IS NOT NULL THEN 'both' WHEN vr IS NOT NULL THEN 'vector' ELSE 'text' END AS matched_by
 FROM (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS vr FROM ({_vector_sql(where, 40)})) v FULL JOIN (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS tr FROM ({_text_sql(where, 40)})) t ON v.chunk_id = t.chunk_id)
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) <= 2 ORDER BY score DESC, chunk_id LIMIT 8"""
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, chunk_id) <= 2 ORDER BY s DESC, chunk_id LIMIT 8"""
 
 
 @query(_STATS)
@@ -296,23 +297,23 @@ def text_search(s, d):
 
 @query(_vector_sql("true", 40))
 def vector_search(s, d):
-    return search.vector_search(fx.chunks(s, d), fx.query_vector(s, d))
+    return search.shown(search.vector_search(fx.chunks(s, d), fx.query_vector(s, d)), "distance")
 
 
 @query(_vector_sql("is_active AND doc_type IN ('en', 'fr') AND source = 'src1'", 40))
 def vector_search_filtered(s, d):
-    return search.vector_search(search.searchable(fx.chunks(s, d), ["en", "fr"], {"source": "src1"}), fx.query_vector(s, d))
+    return search.shown(search.vector_search(search.searchable(fx.chunks(s, d), ["en", "fr"], {"source": "src1"}), fx.query_vector(s, d)), "distance")
 
 
 @query(_fused_sql("true"))
 def rrf_fuse(s, d):
     rows = fx.chunks(s, d)
-    return search.fuse(search.vector_search(rows, fx.query_vector(s, d)), search.text_search(rows, fx.QUESTION))
+    return search.shown(search.fuse(search.vector_search(rows, fx.query_vector(s, d)), search.text_search(rows, fx.QUESTION)), "score")
 
 
 @query(_fused_sql("is_active"))
 def hybrid_search(s, d):
-    return search.hybrid_search(fx.chunks(s, d), fx.QUESTION, fx.query_vector(s, d))
+    return search.shown(search.hybrid_search(fx.chunks(s, d), fx.QUESTION, fx.query_vector(s, d)), "score")
 
 
 @query(f"""SELECT doc_id, chunk_id, score FROM ({_text_sql("true", 200)}) JOIN (SELECT chunk_id FROM ({_CHUNKS}) WHERE is_active) USING (chunk_id)
@@ -410,7 +411,7 @@ def quality_min_rows(s, d):
 # Questions and conversations.
 _QUESTIONS = r"""SELECT conv_id, turn, conv_id % 8 AS n_filters, turn > 2 AS is_follow_up, CASE conv_id % 6 WHEN 0 THEN '  Hello!! ' WHEN 1 THEN substr(text, 1, 2) WHEN 2 THEN 'How many' || chr(9) || ' ' || substr(text, 1, 40) WHEN 3 THEN string_split(text, ' ')[1] ELSE text END AS question FROM conversations WHERE role = 'user'"""
 _NORMAL = f"SELECT *, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS q, lower(strip_accents(trim(regexp_replace(question, '\\s+', ' ', 'g')))) AS f FROM ({_QUESTIONS})"
-_BARE = "trim(f, '.,;:!?()[]{}- ')"
+_BARE = """trim(f, ' .,!?;:"''`()[]…-')"""
 
 
 @query(f"SELECT conv_id, turn, q AS normalised FROM ({_NORMAL})")
@@ -553,14 +554,15 @@ def history_block(s, d):
     return conversation.history_block(fx.turn_log(s, d).where("answer is not null"), 80)
 
 
-@query(f"""SELECT conversation_id, turn, CASE WHEN k % 3 = 0 THEN 'before ' || question WHEN k % 3 = 1 THEN 'What about it now?' ELSE CASE WHEN length(question) >= 20 THEN 'before ' || question ELSE question END END AS condensed
+@query(f"""SELECT conversation_id, turn, CASE WHEN k % 3 = 0 THEN 'before ' || question WHEN k % 3 = 1 THEN 'What about it now?'
+WHEN length(regexp_replace('Well: ' || question, '\\s+', ' ', 'g')) >= 20 OR length(question) > 994 THEN question ELSE 'Well: ' || question END AS condensed
 FROM (SELECT *, conversation_id + turn AS k FROM (SELECT conversation_id, turn, trim(string_split(replace(question, chr(34), ''), chr(10))[1], ' ''') AS question FROM ({_LOG}))) WHERE length(question) > 0""")
 def condense(s, d):
     one = F.btrim(F.split_part(F.regexp_replace("question", '"', ""), F.lit("\n"), F.lit(1)), F.lit(" '"))
     rows = fx.turn_log(s, d).select("conversation_id", "turn", one.alias("question")).where("length(question) > 0")
     k = (F.col("conversation_id") + F.col("turn")) % 3
-    rewrite = F.when(k == 0, F.lit(None)).when(k == 1, 'Question: "What about it now?"').otherwise(F.col("question"))
-    told = F.array(F.concat(F.lit("Well: "), F.col("question")))
+    rewrite = F.when(k == 0, F.lit(None)).when(k == 1, 'Question: "What about it now?"').otherwise(F.concat(F.lit("Well: "), F.col("question")))
+    told = F.array(F.concat(F.lit("So.  well:  "), F.col("question"), F.lit(" Indeed.")))
     return rows.select("conversation_id", "turn", conversation.condensed(F.lit("before"), F.col("question"), rewrite, told).alias("condensed"))
 
 

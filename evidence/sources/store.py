@@ -1,9 +1,11 @@
 """Versioned tables under one manifest: data and watermark are published together or not at all.
 
-A batch writes each table to a folder of its own, <root>/<table>/v=<batch>, with Spark's writer; then one manifest names
-the version of every table, the watermarks and the index state. The manifest goes through Hadoop's file system: written
-beside, then renamed to a new number, which fails if that number exists. A crash before the rename leaves nothing
-visible, and of two writers that start from the same manifest one fails.
+A table is a list of folders. A large one is kept in buckets by the hash of a key: each bucket has the folder of the batch
+that last wrote it, <root>/<table>/v=<batch>/b=<bucket>, and a batch writes the buckets that it touches and no others.
+Rows of other buckets stay in the files they are in. The manifest names the folders of every table, the watermarks and
+the index state. It goes through Hadoop's file system: written beside, then renamed to a new number, which fails if that
+number exists. A crash before the rename leaves nothing visible, and of two writers that start from the same manifest one
+fails. sweep() removes the folders that no kept manifest names.
 """
 
 from __future__ import annotations
@@ -11,20 +13,35 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Of the manifest's layout; a store of another one is refused until it is migrated.
+SCHEMA = 2
+BUCKETS = 64
 
 
 class Conflict(RuntimeError):
     """Another batch was published first."""
 
 
+class OldSchema(RuntimeError):
+    """The store was written with another layout."""
+
+
 @dataclass
 class Manifest:
     number: int = 0
-    tables: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, str | dict[str, str]] = field(default_factory=dict)
     watermarks: dict[str, dict] = field(default_factory=dict)
     index: dict = field(default_factory=dict)
     runs: dict[str, dict] = field(default_factory=dict)
+    schema: int = SCHEMA
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 class Store:
@@ -36,29 +53,79 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def manifest(self) -> Manifest:
+    def _numbers(self) -> list[int]:
         where = self._path("_manifests")
         if not self._fs.exists(where):
-            return Manifest()
-        numbers = [int(n) for s in self._fs.listStatus(where) if (n := s.getPath().getName().removesuffix(".json")).isdigit()]
-        if not numbers:
-            return Manifest()
-        stream = self._fs.open(self._path(f"_manifests/{max(numbers):012d}.json"))
+            return []
+        return sorted(int(n) for s in self._fs.listStatus(where) if (n := s.getPath().getName().removesuffix(".json")).isdigit())
+
+    def _read(self, number: int) -> dict:
+        stream = self._fs.open(self._path(f"_manifests/{number:012d}.json"))
         try:
-            return Manifest(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def table(self, name: str, schema: str, manifest: Manifest | None = None) -> DataFrame:
-        """A table as the manifest has it; empty if it has none. The schema is given, never inferred."""
-        path = (manifest or self.manifest()).tables.get(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{path}") if path else self.spark.createDataFrame([], schema)
+    def manifest(self) -> Manifest:
+        numbers = self._numbers()
+        if not numbers:
+            return Manifest()
+        found = self._read(numbers[-1])
+        if found.get("schema", 1) != SCHEMA:
+            raise OldSchema(f"{self.root} has layout {found.get('schema', 1)}, this is {SCHEMA}: migrate it first")
+        return Manifest(**found)
+
+    def migrate(self) -> int:
+        """Bring the store to this layout; how many steps that took. Layout 1 kept each table in one folder, which is still read."""
+        numbers = self._numbers()
+        found = self._read(numbers[-1]) if numbers else {"schema": SCHEMA}
+        steps = SCHEMA - found.get("schema", 1)
+        if steps < 0:
+            raise OldSchema(f"{self.root} has layout {found['schema']}, newer than {SCHEMA}")
+        if steps:
+            self.publish(Manifest(**{**found, "schema": SCHEMA}))
+        return steps
+
+    def folders(self, name: str, manifest: Manifest) -> dict[str, str]:
+        held = manifest.tables.get(name)
+        return held if isinstance(held, dict) else {"": held} if held else {}
+
+    def table(self, name: str, schema: str, manifest: Manifest | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table as the manifest has it, or some of its buckets; empty if it has none. The schema is given, never inferred."""
+        held = self.folders(name, manifest or self.manifest())
+        paths = [f"{self.root}/{p}" for b, p in held.items() if buckets is None or b == "" or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame, batch: int) -> str:
         path = f"{name}/v={batch}"
         df.write.mode("overwrite").parquet(f"{self.root}/{path}")
         return path
 
+    def write_buckets(self, name: str, df: DataFrame, batch: int, key: str, touched: list[int], manifest: Manifest, buckets: int = BUCKETS) -> dict[str, str]:
+        """Replace the touched buckets of a table by df, which holds all rows of those buckets and of no others.
+
+        What the table becomes: each bucket's folder. A table that is still in one folder must be rewritten whole.
+        """
+        held = self.folders(name, manifest)
+        if "" in held and len(touched) < buckets:
+            raise ValueError(f"{name} isn't in buckets yet; touch all of them")
+        path = f"{name}/v={batch}"
+        own = df.withColumn("b", bucket_of(F.col(key), buckets)).repartition(max(1, len(touched)), "b")
+        own.write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/{path}")
+        written = {b for b in touched if self._fs.exists(self._path(f"{path}/b={b}"))}
+        kept = {b: p for b, p in held.items() if b != "" and int(b) not in touched}
+        return {**kept, **{str(b): f"{path}/b={b}" for b in sorted(written)}}
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a table that only grows (a log): a folder of files beside the manifest's tables."""
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def log(self, name: str, schema: str) -> DataFrame:
+        """What append() has written."""
+        if not self._fs.exists(self._path(name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def publish(self, manifest: Manifest) -> Manifest:
         """Publish the successor of the manifest that manifest was made from (its number)."""
         after = Manifest(**{**asdict(manifest), "number": manifest.number + 1})
@@ -71,3 +138,29 @@ class Store:
             self._fs.delete(draft, False)
             raise Conflict(f"manifest {after.number} exists")
         return after
+
+    def sweep(self, keep: int = 2) -> int:
+        """Remove manifests but the last few, and the table folders that none of those names; how many folders went."""
+        numbers = self._numbers()
+        kept = [self._read(n) for n in numbers[-keep:]]
+        named = {p for m in kept for held in m["tables"].values() for p in (held.values() if isinstance(held, dict) else [held])}
+        gone = 0
+        for name in {t for m in kept for t in m["tables"]}:
+            if not self._fs.exists(self._path(name)):
+                continue
+            for version in self._fs.listStatus(self._path(name)):
+                path = f"{name}/{version.getPath().getName()}"
+                inner = [f"{path}/{s.getPath().getName()}" for s in self._fs.listStatus(version.getPath()) if s.getPath().getName().startswith("b=")]
+                dead = [p for p in inner if p not in named] if inner else [] if path in named else [path]
+                if inner and len(dead) == len(inner):
+                    dead = [path]
+                for p in dead:
+                    self._fs.delete(self._path(p), True)
+                gone += len(dead)
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"_manifests/{n:012d}.json"), False)
+        return gone
+
+
+def columns(schema: str) -> list[str]:
+    return T.StructType.fromDDL(schema).names

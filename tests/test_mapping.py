@@ -24,39 +24,55 @@ RULE = {
     "quality": [{"rule": "not_null", "column": "note"}],
 }
 SCHEMA = "code string, firm string, city string, state string, country string, units long, day date, url string, note string, is_active boolean"
-BASE = dict(code="A1", firm="Acme Inc", city="Oslo", state="NO", country="Norway", units=1234567, day=datetime.date(2024, 5, 6), url="http://x", note="n", is_active=True)
-CASES = {
-    "plain": {}, "no firm": {"firm": None}, "blank firm": {"firm": " \t "}, "no city": {"city": None}, "no city or state": {"city": "", "state": None}, "nowhere": {"city": None, "state": " ", "country": None},
-    "no units": {"units": None}, "zero units": {"units": 0}, "one unit": {"units": 1}, "no day": {"day": None}, "no url": {"url": None}, "blank url": {"url": "  "}, "inactive": {"is_active": False}, "null active": {"is_active": None}, "padded": {"firm": "\x1c Acme "}, "unicode": {"firm": "Đồ chơi – ß"},
-}
-TAGS = [("A1", "b", 2), ("A1", "a", 1), ("A1", None, 0), ("A1", " ", 3), ("A1", "c", 4)]
+#: What each column may hold; rows take the values round robin with strides that have no common factor.
+CHOICES = {
+    "firm": ["Harbour Ltd", None, "\t", "\x1c Padded Co ", "Đồ chơi – ß"],
+    "city": ["Lund", "", None],
+    "state": [None, "SK"],
+    "country": ["Sweden", " ", None],
+    "units": [1_234_567, 0, None, 1, -4_000, 999],
+    "day": [datetime.date(2023, 11, 30), None],
+    "url": ["https://example.org/x", "  ", None],
+    "note": ["n"],
+    "is_active": [True, False, None],
+}
+ROWS = [{"code": f"K{i}", **{c: options[(i * (k + 1) + k) % len(options)] for k, (c, options) in enumerate(CHOICES.items())}} for i in range(90)]
+TAGS = [("late", 9), (None, 1), ("early", 2), (" ", 5)]
 
 
-def expected(row, tags):
+def expected(row, tagged):
     """The document of a row, in plain Python."""
-    text = lambda v: "" if v is None else str(v).strip()
-    firm = text(row["firm"])
-    where = ", ".join(x for x in (text(row["city"]), text(row["state"])) if x) or text(row["country"])
-    kept = [t for t in tags if t is not None]
-    lines = [("Firm", firm or "unknown firm"), ("Where", where), ("Tags", ", ".join(t for t in kept if t.strip())), ("Units", f"{row['units']:,}" if row["units"] else ""), ("On", row["day"].isoformat() if row["day"] else "")]
-    meta = {"firm": row["firm"] or None, "year": row["day"].year if row["day"] else None, "tags": kept or None, "day": row["day"].isoformat() if row["day"] else None}
-    body = "\n".join(f"{k}: {v}" for k, v in lines if v)
-    title = f"Thing {row['code']} - {firm or 'unknown firm'}"
-    return title, body, text(row["url"]) or None, {k: v for k, v in meta.items() if v is not None}, hashlib.sha256(f"{title}\n{body}".encode()).hexdigest()
-
-
-def test_documents_of_all_cases(spark):
-    rows = {f"A{i}": {**BASE, **change, "code": f"A{i}"} for i, change in enumerate(CASES.values())}
-    parent = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows.values()], SCHEMA)
-    tags = spark.createDataFrame([(code, t, n) for code in list(rows)[::2] for _, t, n in TAGS], "code string, tag string, seq int")
+    clean = {c: str(x).strip() if x is not None else "" for c, x in row.items()}
+    firm = clean["firm"] or "unknown firm"
+    place = ", ".join(filter(None, (clean["city"], clean["state"]))) or clean["country"]
+    units = f"{row['units']:,}" if row["units"] else ""
+    told = {"Firm": firm, "Where": place, "Tags": "early, late" if tagged else "", "Units": units, "On": clean["day"]}
+    body = "\n".join(f"{label}: {x}" for label, x in told.items() if x)
+    title = f"Thing {row['code']} - {firm}"
+    metadata = {"day": clean["day"] or None, "year": row["day"] and row["day"].year, "firm": row["firm"], "tags": ["early", " ", "late"] if tagged else None}
+    return title, body, clean["url"] or None, {k: x for k, x in metadata.items() if x is not None}
+
+
+def test_documents_of_many_rows(spark):
+    parent = spark.createDataFrame([tuple(row.get(c.split()[0]) for c in SCHEMA.split(", ")) for row in ROWS], SCHEMA)
+    tags = spark.createDataFrame([(row["code"], tag, at) for row in ROWS[::2] for tag, at in TAGS], "code string, tag string, seq int")
     rule = DocType.of(RULE)
     got = {r["record_key"]: r for r in mapping.build_documents(rule, mapping.source_rows(rule, parent, {"tags": tags})).collect()}
-    assert len(got) == len(rows)
-    for i, (code, row) in enumerate(rows.items()):
-        title, body, url, meta, digest = expected(row, ["a", "b", " ", "c"] if i % 2 == 0 else [])
-        r = got[code]
-        assert (r["title"], r["body"], r["url"], json.loads(r["metadata"]), r["content_hash"]) == (title, body, url, meta, digest), code
-        assert r["doc_id"] == f"thing:{code}" and r["is_active"] == bool(row["is_active"]) and r["tracked_hash"] == digest
+    assert len(got) == len(ROWS)
+    for i, row in enumerate(ROWS):
+        title, body, url, metadata = expected(row, i % 2 == 0)
+        r = got[row["code"]]
+        assert (r["title"], r["body"], r["url"], json.loads(r["metadata"])) == (title, body, url, metadata), row
+        assert r["content_hash"] == r["tracked_hash"] == hashlib.sha256(f"{title}\n{body}".encode()).hexdigest()
+        assert r["doc_id"] == f"thing:{row['code']}" and r["is_active"] is bool(row["is_active"])
+
+
+def test_thousands_of_what_is_no_number(spark):
+    rows = spark.createDataFrame([(float("nan"), "x"), (float("inf"), "1e3"), (1e30, None), (-1234.9, "12345"), (0.4, "0")], "d double, s string")
+    make = mapping.Compiler(rows.schema)
+    got = rows.select(make.formatted("d", "thousands"), make.formatted("s", "thousands")).collect()
+    assert [r[0] for r in got] == [None, None, None, "-1,234", None]
+    assert [r[1] for r in got][3:] == ["12,345", None]
 
 
 def test_quality_columns_are_read_even_if_no_value_needs_them():
