@@ -9,8 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.functions.chunking import OVERLAP, SIZE
-from evidence.operators import catalog, changes, gate, scd2, search
+from evidence.operators import catalog, gate, scd2, search
 from evidence.operators import chunks as ch
 from evidence.plans import ingest as run
 from evidence.sources.rules import load_rules_cached
@@ -28,13 +27,13 @@ def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[st
 
 
 def _searchable(store: Store) -> DataFrame:
-    docs = store.table("document", run.VERSIONS).select("doc_sk", "doc_id", "doc_type", "metadata", "is_current", "is_active", "title")
+    docs = store.table("document", run.VERSIONS).select("doc_sk", "doc_type", "metadata", "is_current", "is_active", "title")
     return store.table("chunk", run.CHUNKS).join(docs, "doc_sk")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evidence")
-    p.add_argument("command", choices=["ingest", "plan", "embed", "status", "history", "qualify", "search", "rules-check", "catalog"])
+    p.add_argument("command", choices=["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "rules-check", "catalog"])
     p.add_argument("text", nargs="?", default="")
     p.add_argument("--root", default="store")
     p.add_argument("--rules", default="rules")
@@ -42,6 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--doc-types", default="all")
     p.add_argument("--filter", action="append", default=[])
     p.add_argument("--full", action="store_true")
+    p.add_argument("--force", action="store_true", help="init: drop the vectors of another model")
+    p.add_argument("--no", action="store_true", help="approve: refuse")
     p.add_argument("--approve-over", type=int, default=0)
     p.add_argument("--top-k", type=int, default=search.TOP_K)
     a = p.parse_args(argv)
@@ -62,21 +63,23 @@ def main(argv: list[str] | None = None) -> int:
                 show({"doc_type": rule.doc_type, "findings": wrong})
                 code = max(code, FAILED if any(s == "error" for s, _ in wrong) else 0)
             elif a.command == "plan":
-                manifest = store.manifest()
-                mark = manifest.watermarks.get(rule.doc_type)
-                head = changes.source_head(frames["record_change"], rule.source.source_id).first()["head"]
-                known = changes.Watermark(**mark) if mark else None
-                show({"doc_type": rule.doc_type, "head": head, "mode": changes.choose_mode(known, rule.signature(SIZE, OVERLAP), a.full)})
+                show({"doc_type": rule.doc_type, **run.preview(spark, store, rule, frames, full=a.full)})
             else:
                 done = run.ingest(spark, store, rule, frames, found, full=a.full, approve_over=a.approve_over)
                 show({"doc_type": rule.doc_type, **done.__dict__})
                 code = max(code, {"failed": FAILED, "waiting": PAUSED}.get(done.status, 0))
         return code
-    if a.command == "embed":
+    if a.command == "migrate":
+        show({"steps": store.migrate()})
+    elif a.command == "init":
+        show(run.init_index(store, embedder, a.force))
+    elif a.command == "approve":
+        show({"doc_type": a.text, "status": run.approve(store, a.text, not a.no)})
+    elif a.command == "embed":
         done = run.embed_step(spark, store, embedder)
         show(done.__dict__)
         return 0 if done.status == "succeeded" else FAILED
-    if a.command == "status":
+    elif a.command == "status":
         show({"manifest": store.manifest().__dict__, "index": [r.asDict() for r in ch.index_stats(store.table("document", run.VERSIONS), store.table("chunk", run.CHUNKS)).collect()]})
     elif a.command == "history":
         for r in scd2.document_history(store.table("document", run.VERSIONS), a.text).collect():
@@ -86,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         show(gate.qualify(asked, load_rules_cached(a.rules).gate).first().asDict())
     else:
         chunks = _searchable(store)
-        hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter), stats=store.table("lexeme", run.LEXEMES))
+        hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter), stats=run.lexemes(store))
         for r in hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect():
             show(r.asDict())
     return 0

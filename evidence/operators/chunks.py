@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from typing import Protocol
 
 import pandas as pd
@@ -52,7 +53,8 @@ def pending_cost(rows: DataFrame) -> DataFrame:
 
 def reuse_embeddings(rows: DataFrame, model: str) -> DataFrame:
     """Pending chunks take the vector of an equal text, of the same model only."""
-    known = vectors_by_hash(rows.where(F.col("embed_model") == model)).select("text_hash", F.col("embedding").alias("k_embedding"), F.col("embed_model").alias("k_model"))
+    wanted = rows.where("embedding is null").select("text_hash").distinct()
+    known = vectors_by_hash(rows.where(F.col("embed_model") == model).join(wanted, "text_hash", "left_semi")).select("text_hash", F.col("embedding").alias("k_embedding"), F.col("embed_model").alias("k_model"))
     joined = rows.join(known, "text_hash", "left")
     fill = {"embedding": F.coalesce("embedding", "k_embedding"), "embed_model": F.when(F.col("embedding").isNull(), F.col("k_model")).otherwise(F.col("embed_model"))}
     return joined.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in rows.columns))
@@ -64,6 +66,23 @@ def embed_budget(rows: DataFrame, limit: int) -> DataFrame:
     return todo.orderBy("text_hash").limit(limit)
 
 
+VECTORS = "text_hash string, embedding array<float>, embed_model string, error string"
+
+
+class RateLimited(RuntimeError):
+    """A provider asks to wait; it is asked again, up to PATIENCE times in a row."""
+
+    def __init__(self, wait: float = 65.0):
+        super().__init__(f"rate limited for {wait} s")
+        self.wait = wait
+
+    def __reduce__(self):
+        return RateLimited, (self.wait,)
+
+
+PATIENCE = 30
+
+
 class EmbeddingProvider(Protocol):
     model: str
 
@@ -79,21 +98,39 @@ class HashEmbedder:
         return [[b / 255 + 0.01 for b in hashlib.sha256(t.encode()).digest()[: self.dim]] for t in texts]
 
 
+def _vectors(provider: EmbeddingProvider, texts: list[str]) -> list[list[float]]:
+    for left in range(PATIENCE, -1, -1):
+        try:
+            got = provider.embed(texts)
+        except RateLimited as asked:
+            if not left:
+                raise
+            time.sleep(asked.wait)
+        else:
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+            return got
+    raise AssertionError
+
+
 def embed(pending: DataFrame, provider: EmbeddingProvider, batch: int = 64) -> DataFrame:
-    """text_hash, embedding, embed_model of distinct pending texts; each is sent once, in batches."""
+    """text_hash, embedding, embed_model, error of distinct pending texts; each is sent once, in batches.
+
+    A batch that fails ends its partition: one row tells the error, batches before it keep their vectors.
+    """
 
     def run(parts):
         for pdf in parts:
-            vectors: list[list[float]] = []
             for at in range(0, len(pdf), batch):
-                own = pdf["text"].iloc[at : at + batch].tolist()
-                got = provider.embed(own)
-                if len(got) != len(own):
-                    raise ValueError(f"{len(got)} vectors for {len(own)} texts")
-                vectors += got
-            yield pd.DataFrame({"text_hash": pdf["text_hash"], "embedding": vectors, "embed_model": provider.model})
+                own = pdf.iloc[at : at + batch]
+                try:
+                    vectors = _vectors(provider, own["text"].tolist())
+                except Exception as wrong:  # whatever a provider raises is told
+                    yield pd.DataFrame({"text_hash": [None], "embedding": [None], "embed_model": [provider.model], "error": [f"{type(wrong).__name__}: {wrong}"]})
+                    return
+                yield pd.DataFrame({"text_hash": own["text_hash"], "embedding": vectors, "embed_model": provider.model, "error": None})
 
-    return pending.select("text_hash", "text").mapInPandas(run, "text_hash string, embedding array<float>, embed_model string")
+    return pending.select("text_hash", "text").mapInPandas(run, VECTORS)
 
 
 def mark_indexed(rows: DataFrame) -> DataFrame:
@@ -102,8 +139,9 @@ def mark_indexed(rows: DataFrame) -> DataFrame:
 
 
 def index_stats(versions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per doc_type: documents, active, versions, chunks, embedded."""
+    """Per doc_type: documents, active, versions, indexed (documents with chunks, none of them pending), chunks, embedded."""
     per = rows.groupBy("doc_sk").agg(F.count("*").alias("c"), F.count("embedding").alias("e"))
+    indexed = F.count_if(F.col("is_current") & (F.col("c") == F.col("e"))).alias("indexed")
     counted = versions.join(per, "doc_sk", "left").groupBy("doc_type")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
-    return counted.agg(F.count_if("is_current").alias("documents"), F.count_if(F.col("is_current") & F.col("is_active")).alias("active"), F.count("*").alias("versions"), total("c")("chunks"), total("e")("embedded"))
+    return counted.agg(F.count_if("is_current").alias("documents"), F.count_if(F.col("is_current") & F.col("is_active")).alias("active"), F.count("*").alias("versions"), indexed, total("c")("chunks"), total("e")("embedded"))

@@ -64,8 +64,11 @@ def _with_keys(opened: DataFrame, top: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(bases), "__g").join(F.broadcast(top)).withColumn("doc_sk", F.col("__top") + F.col("__base") + F.col("__n")).drop("__g", "__n", "__base", "__top")
 
 
-def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int) -> DataFrame:
-    """The version table after a batch: versions closed, opened, overwritten in place; others as they were."""
+def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int, top: int | None = None) -> DataFrame:
+    """The version table after a batch: versions closed, opened, overwritten in place; others as they were.
+
+    top: the largest surrogate key given so far, where versions are a part of the table; else that of versions.
+    """
     now = F.lit(at).cast("timestamp")
     opens = F.col("action").isin(INSERT, NEW_VERSION, MOVE)
     todo = decided.where(F.col("action") != UNCHANGED)
@@ -80,8 +83,9 @@ def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change
           else F.col(c)
           for c in VERSION_COLUMNS)
     )
-    top = versions.agg(F.coalesce(F.max("doc_sk"), F.lit(0)).cast("long").alias("__top"))
-    opened = _with_keys(todo.where(opens), top).select(
+    given = versions.sparkSession.range(1).select(F.lit(top).cast("long").alias("__top"))
+    highest = versions.agg(F.coalesce(F.max("doc_sk"), F.lit(0)).cast("long").alias("__top")) if top is None else given
+    opened = _with_keys(todo.where(opens), highest).select(
         "doc_sk", *DOCUMENT_COLUMNS, (F.coalesce(F.col("p_version"), F.lit(0)) + 1).cast("int").alias("version"), F.lit(True).alias("is_current"),
         now.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("reason").alias("change_reason"),
         F.lit(change_id).cast("long").alias("source_change_id"), F.lit(batch_id).cast("long").alias("batch_id"),

@@ -127,7 +127,7 @@ def text_search(chunks: DataFrame, question: str, limit: int = CANDIDATES, every
         total, found = term_frequencies(everything, [r[0] for r in asked.collect()])
         stats = spark.createDataFrame([(t, n) for t, n in found.items() if n], "lexeme string, ndoc long")
     else:
-        total = everything.count()
+        stats, total = stats.where(F.col("lexeme").isin([r[0] for r in asked.collect()])), everything.count()
     rare = [r["lexeme"] for r in rare_lexemes(stats, spark.createDataFrame([(total,)], "total long"), asked).collect()]
     if not rare:
         return chunks.select("chunk_id", "doc_id", F.lit(0.0).alias("score")).limit(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,14 @@ from evidence.operators import changes, mapping, quality, scd2, search
 from evidence.operators import chunks as ch
 from evidence.operators.catalog import Catalog, validate
 from evidence.rules.spec import DocType
-from evidence.sources.store import Manifest, Store
+from evidence.sources.store import Manifest, Store, bucket_of, columns
 
 VERSIONS = "doc_sk long, doc_id string, doc_type string, source_id string, title string, body string, url string, metadata string, content_hash string, tracked_hash string, is_active boolean, version int, is_current boolean, valid_from timestamp, valid_to timestamp, change_reason string, source_change_id long, batch_id long"
 LEXEMES = "lexeme string, ndoc long"
-CHUNKS = "chunk_id string, doc_sk long, ord int, text string, text_hash string, embedding array<float>, embed_model string"
+VECTORS = ch.VECTORS + ", attempt string"
+#: Changes of lexeme counts that are kept apart before a batch folds them into one table.
+LEXEME_BATCHES = 16
+CHUNKS = "chunk_id string, doc_id string, doc_sk long, ord int, text string, text_hash string, embedding array<float>, embed_model string"
 
 
 @dataclass
@@ -30,16 +34,26 @@ class Run:
     pending: dict = field(default_factory=dict)
 
 
-def _extract(rule: DocType, frames: dict[str, DataFrame], mode: str, mark, head: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the run, and in an incremental run the changed keys."""
+def _extract(rule: DocType, frames: dict[str, DataFrame], keys: DataFrame | None, n_keys: int | None = None) -> DataFrame:
+    """Rows of the run: all, or those of the changed keys, with the children of those alone."""
     parent = frames[f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table]
     children = {a: frames[f"{c.namespace}.{c.table}" if c.namespace else c.table] for a, c in rule.children.items()}
-    if mode == "full":
-        return mapping.source_rows(rule, parent, children), None
-    keys = changes.changed_keys(frames["record_change"], rule.source.source_id, mark.change_id if mark else 0, head)
+    if keys is None:
+        return mapping.source_rows(rule, parent, children)
     keyed = parent.withColumn("record_key", F.col(rule.source.key).cast("string"))
-    wanted = changes.changed_rows(keyed, keys).drop("record_key")
-    return mapping.source_rows(rule, wanted, children), keys
+    return mapping.source_rows(rule, changes.changed_rows(keyed, keys, n_keys).drop("record_key"), children, few=True)
+
+
+def lexemes(store: Store, manifest: Manifest | None = None) -> DataFrame:
+    """lexeme, ndoc: in how many chunks. The table holds what each batch adds and takes away."""
+    held = store.table("lexeme", LEXEMES, manifest)
+    return held.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc > 0")
+
+
+def _lexeme_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What the counts of lexemes change by where the chunks before give way to those after."""
+    signed = search.lexeme_stats(after).unionByName(search.lexeme_stats(before).withColumn("ndoc", -F.col("ndoc")))
+    return signed.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
 
 
 def stage(rule: DocType, rows: DataFrame, keys: DataFrame | None, versions: DataFrame, rechunk: bool, stored_chunks: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -70,54 +84,131 @@ def restage_chunks(stored: DataFrame, before: DataFrame, after: DataFrame, decid
     replaced = made.where("old_sk is not null").select(F.col("old_sk").alias("doc_sk"))
     kept = ch.move_chunks(stored.join(replaced, "doc_sk", "left_anti"), moves)
     texts = made.select(F.col("new_sk").alias("doc_sk")).join(after.select("doc_sk", mapping.document_text(F.col("title"), F.col("body")).alias("text")), "doc_sk")
-    fresh = ch.carry_vectors(ch.chunk_rows(texts, size, overlap), stored.join(replaced, "doc_sk", "left_semi"))
+    cut = ch.chunk_rows(texts, size, overlap).join(made.select("doc_id", F.col("new_sk").alias("doc_sk")), "doc_sk")
+    fresh = ch.carry_vectors(cut, stored.join(replaced, "doc_sk", "left_semi"))
     keyed = fresh.withColumn("chunk_id", F.concat(F.col("doc_sk").cast("string"), F.lit("-"), F.col("ord").cast("string"), F.lit("-"), F.substring("text_hash", 1, 8)))
     return kept.unionByName(keyed.select(*kept.columns))
 
 
+def _touched(store: Store, manifest: Manifest, doc_ids: DataFrame) -> list[int]:
+    """The buckets of some documents; all of them while a table is not in buckets yet."""
+    if any("" in store.folders(t, manifest) for t in ("document", "chunk")):
+        return list(range(manifest.buckets))
+    return sorted(r[0] for r in doc_ids.select(bucket_of(F.col("doc_id"), manifest.buckets)).distinct().collect())
+
+
+def _chunks(store: Store, manifest: Manifest, versions: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+    """The chunk table; an old store's chunks take the doc_id that they lack from their version."""
+    rows = store.table("chunk", CHUNKS, manifest, buckets)
+    if "" not in store.folders("chunk", manifest):
+        return rows
+    return rows.drop("doc_id").join(versions.select("doc_sk", "doc_id"), "doc_sk").select(*columns(CHUNKS))
+
+
+def _chunk_counters(acts: DataFrame, before: DataFrame, after: DataFrame) -> dict[str, int]:
+    """acts: doc_id, action. Chunks that a batch made, took away and moved, and the vectors that new chunks carry."""
+    made = F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK)
+    new = after.join(acts, "doc_id").agg(
+        F.count_if(made).alias("chunks_added"), F.count_if(F.col("action") == scd2.MOVE).alias("chunks_moved"), F.count_if(made & F.col("embedding").isNotNull()).alias("vectors_carried"),
+    ).first().asDict()
+    return {**new, "chunks_removed": before.join(acts.where(made), "doc_id", "left_semi").count()}
+
+
+def _decisions(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], manifest: Manifest, full: bool, size: int, overlap: int):
+    """Mode, reason, head, rows and a plan of what happens to each document (None: nothing changed), and the buckets read."""
+    stored_mark = manifest.watermarks.get(rule.doc_type)
+    mark = changes.Watermark(**stored_mark) if stored_mark else None
+    signature = rule.signature(size, overlap)
+    mode, reason = changes.choose_mode(mark, signature, full)
+    head = changes.source_head(frames["record_change"], rule.source.source_id).first()["head"]
+    changes.check_window(mode, mark, head)
+    batch, keys, n_keys, buckets = manifest.number + 1, None, None, None
+    if mode == "incremental":
+        path = store.write("changed", changes.changed_keys(frames["record_change"], rule.source.source_id, mark.change_id, head), batch)
+        keys = spark.read.schema("record_key string").parquet(f"{store.root}/{path}")
+        n_keys = keys.count()
+        if not n_keys:
+            return mode, reason, head, signature, None, None, None
+        buckets = _touched(store, manifest, keys.select(F.concat(F.lit(f"{rule.doc_type}:"), F.col("record_key")).alias("doc_id")))
+    rows = _extract(rule, frames, keys, n_keys)
+    # Rows are checked, mapped and counted: their collections are worked out once.
+    path = store.write("extract", rows, batch)
+    rows = spark.read.schema(rows.schema).parquet(f"{store.root}/{path}")
+    versions = store.table("document", VERSIONS, manifest, buckets)
+    decided = lambda: stage(rule, rows, keys, versions, changes.rechunk_all(mark, signature), _chunks(store, manifest, versions, buckets), size, overlap)
+    return mode, reason, head, signature, rows, decided, buckets
+
+
 def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], catalog: Catalog, full: bool = False, size: int = SIZE, overlap: int = OVERLAP, approve_over: int = 0, now: datetime.datetime | None = None) -> Run:
-    """One batch of one document type. Findings of severity error stop it before anything is written.
+    """One batch of one document type. Findings of severity error stop it before anything is published.
 
-    The head is read once, and the change window is closed by it. Documents, chunks and watermark are one commit. With
+    The head is read once, and the change window is closed by it. Documents, chunks and watermark are one commit. A batch
+    reads and writes the buckets of documents that it changes, and no others; lexeme counts take its differences. With
     more than approve_over pending chunks (0: no limit) the run's status is waiting: documents are in, embedding waits.
     """
     manifest: Manifest = store.manifest()
     wrong = validate(rule, frames, catalog)
     if any(s == "error" for s, _ in wrong):
         return Run("failed", findings=wrong)
-    stored_mark = manifest.watermarks.get(rule.doc_type)
-    mark = changes.Watermark(**stored_mark) if stored_mark else None
-    signature = rule.signature(size, overlap)
-    mode, reason = changes.choose_mode(mark, signature, full)
-    head = changes.source_head(frames["record_change"], rule.source.source_id).first()["head"]
-    changes.check_window(mode, mark, head)
-    rows, keys = _extract(rule, frames, mode, mark, head)
-    if keys is not None and not keys.take(1):
+    mode, reason, head, signature, rows, plan, _ = _decisions(spark, store, rule, frames, manifest, full, size, overlap)
+    if rows is None:
         return Run("nothing", mode, reason)
     found = quality.run_checks(rows, rule.quality, mode)
     findings = [tuple(r) for r in found.where("not passed").collect()]
     if any(f[2] == "error" for f in findings):
         return Run("failed", mode, reason, findings=findings)
     batch, at = manifest.number + 1, now or datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
-    versions, chunk_table = store.table("document", VERSIONS, manifest), store.table("chunk", CHUNKS, manifest)
-    rechunk = changes.rechunk_all(mark, signature)
     # Decisions are read several times: they become a table of the batch first.
-    path = store.write("decision", stage(rule, rows, keys, versions, rechunk, chunk_table, size, overlap), batch)
+    path = store.write("decision", plan(), batch)
     decided = spark.read.parquet(f"{store.root}/{path}")
     stats = scd2.batch_stats(decided).first().asDict()
-    documents = store.write("document", scd2.apply(versions, decided, at, head, batch), batch)
-    after = spark.read.schema(VERSIONS).parquet(f"{store.root}/{documents}")
-    chunks_path = store.write("chunk", restage_chunks(chunk_table, versions, after, decided, size, overlap), batch)
-    manifest.tables |= {"document": documents, "chunk": chunks_path}
-    manifest.tables["lexeme"] = store.write("lexeme", search.lexeme_stats(spark.read.schema(CHUNKS).parquet(f"{store.root}/{chunks_path}")), batch)
+    acts = decided.where(F.col("action") != scd2.UNCHANGED).select("doc_id", "action")
+    touched = _touched(store, manifest, acts)
+    top = manifest.top
+    if top is None:
+        top = store.table("document", VERSIONS, manifest).agg(F.coalesce(F.max("doc_sk"), F.lit(0))).first()[0]
+    if touched:
+        versions = store.table("document", VERSIONS, manifest, touched)
+        before = _chunks(store, manifest, versions, touched)
+        tables = dict(manifest.tables)
+        tables["document"] = store.write_buckets("document", scd2.apply(versions, decided, at, head, batch, top), batch, "doc_id", touched, manifest)
+        written = Manifest(**{**asdict(manifest), "tables": tables})
+        after = store.table("document", VERSIONS, written, touched)
+        tables["chunk"] = store.write_buckets("chunk", restage_chunks(before, versions, after, decided, size, overlap), batch, "doc_id", touched, manifest)
+        written.tables = tables
+        chunks = store.table("chunk", CHUNKS, written, touched)
+        stats |= _chunk_counters(acts, before, chunks)
+        new = acts.where(F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK))
+        change = _lexeme_change(before.join(new, "doc_id", "left_semi"), chunks.join(new, "doc_id", "left_semi"))
+        held = store.folders("lexeme", manifest)
+        if len(held) < LEXEME_BATCHES:
+            tables["lexeme"] = {**({"0": held[""]} if "" in held else held), str(batch): store.write("lexeme", change, batch)}
+        else:
+            whole = lexemes(store, manifest).unionByName(change).groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
+            tables["lexeme"] = {str(batch): store.write("lexeme", whole, batch)}
+        manifest.tables, manifest.top = tables, top + stats["versions_created"]
     manifest.watermarks[rule.doc_type] = asdict(changes.Watermark(rule.doc_type, rule.source.source_id, head, signature))
-    pending = ch.pending_cost(spark.read.schema(CHUNKS).parquet(f"{store.root}/{chunks_path}")).first().asDict()
+    pending = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
     status = "waiting" if 0 < approve_over < pending["texts"] else "succeeded"
     manifest.runs[rule.doc_type] = {"batch": batch, "status": status, "mode": mode}
     store.publish(manifest)
     return Run(status, mode, reason, stats, findings, pending)
 
 
+def preview(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], full: bool = False, size: int = SIZE, overlap: int = OVERLAP) -> dict:
+    """What ingest() would do now: mode, head, documents by kind, texts to embed. Nothing is published."""
+    manifest = store.manifest()
+    mode, reason, head, _, rows, plan, _ = _decisions(spark, store, rule, frames, manifest, full, size, overlap)
+    out = {"mode": mode, "reason": reason, "head": head}
+    if rows is None:
+        return out
+    decided = plan()
+    made = decided.where(F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK))
+    texts = made.select(F.xxhash64("doc_id").alias("doc_sk"), mapping.document_text(F.col("title"), F.col("body")).alias("text"))
+    known = store.table("chunk", CHUNKS, manifest).where("embedding is not null").select("text_hash")
+    return {**out, **plan_preview(decided, ch.chunk_rows(texts, size, overlap), known).first().asDict()}
+
+
 def plan_preview(decided: DataFrame, fresh: DataFrame, known: DataFrame) -> DataFrame:
     """What a run would do, without doing it: documents by kind, and the distinct chunk texts it would embed.
 
@@ -130,24 +221,69 @@ def plan_preview(decided: DataFrame, fresh: DataFrame, known: DataFrame) -> Data
     return counts.join(cost)
 
 
-def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider, limit: int | None = None) -> Run:
-    """Embed distinct pending texts, reuse equal ones, and publish; also what resumes a waiting run."""
+def init_index(store: Store, provider: ch.EmbeddingProvider, force: bool = False) -> dict:
+    """Pin the index to a provider's model and dimension, and return the pin. Vectors of two models never mix: another model
+    or dimension than the pinned is refused, or, by force, takes its place and every vector goes."""
+    manifest, wanted = store.manifest(), {"model": provider.model, "dim": len(provider.embed(["dimension"])[0])}
+    if manifest.index and {**wanted, **manifest.index} != wanted:
+        if not force:
+            raise ValueError(f"the index is pinned to {manifest.index}, not {wanted}")
+        versions = store.table("document", VERSIONS, manifest)
+        bare = _chunks(store, manifest, versions).withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_model": F.lit(None).cast("string")})
+        manifest.tables["chunk"] = store.write_buckets("chunk", bare, manifest.number + 1, "doc_id", list(range(manifest.buckets)), manifest)
+        store.remove("vector")
+    if manifest.index != wanted:
+        manifest.index = wanted
+        store.publish(manifest)
+    return wanted
+
+
+def approve(store: Store, doc_type: str, yes: bool = True) -> str:
+    """Answer a waiting run: embedding may go on, or is refused and its chunks stay pending. The run's status."""
+    manifest = store.manifest()
+    held = manifest.runs.get(doc_type, {})
+    if held.get("status") != "waiting":
+        raise ValueError(f"no run of {doc_type} waits")
+    held["status"] = "approved" if yes else "refused"
+    store.publish(manifest)
+    return held["status"]
+
+
+def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider, limit: int | None = None, wave: int = 100_000) -> Run:
+    """Embed distinct pending texts, reuse equal ones, and publish; also what resumes a waiting or stopped run.
+
+    Texts go in waves of about wave, in order of their hash. A wave's vectors are kept before the next one starts, and a
+    failing request costs its own batch only: the run stops, publishes what it has, and the next run asks for the rest.
+    """
     manifest = store.manifest()
     pinned = manifest.index or {"model": provider.model}
     if pinned["model"] != provider.model:
         return Run("embedding_refused", reason=f"the index holds vectors of {pinned['model']}")
-    table = ch.reuse_embeddings(store.table("chunk", CHUNKS, manifest), provider.model)
-    batch = manifest.number + 1
+    table = ch.reuse_embeddings(_chunks(store, manifest, store.table("document", VERSIONS, manifest)), provider.model)
     todo = ch.embed_budget(table, limit) if limit is not None else table.where("embedding is null").groupBy("text_hash").agg(F.min("text").alias("text"))
-    path = store.write("vector", ch.embed(todo, provider), batch)
-    got = spark.read.parquet(f"{store.root}/{path}").select("text_hash", F.col("embedding").alias("e"), F.col("embed_model").alias("m"))
+    kept = lambda: store.log("vector", VECTORS).where(F.col("embed_model") == provider.model)
+    todo = todo.join(kept().where("embedding is not null").select("text_hash"), "text_hash", "left_anti")
+    waves, error = -(-todo.count() // wave), None
+    place = F.floor(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long") * waves / 2**32)
+    for w in range(waves):
+        attempt = f"{manifest.number + 1}-{w}-{uuid.uuid4()}"
+        store.append("vector", ch.embed(todo.where(place == w), provider).withColumn("attempt", F.lit(attempt)))
+        error = kept().where(F.col("attempt") == attempt).agg(F.min("error")).first()[0]
+        if error is not None:
+            break
+    got = kept().where("embedding is not null").groupBy("text_hash").agg(F.first("embedding").alias("e"), F.first("embed_model").alias("m"))
     fill = {"embedding": F.coalesce("embedding", "e"), "embed_model": F.coalesce("embed_model", "m")}
-    joined = table.join(got, "text_hash", "left").select(*(fill[c].alias(c) if c in fill else F.col(c) for c in table.columns))
-    manifest.tables["chunk"] = store.write("chunk", joined, batch)
+    joined = lambda rows: rows.join(got, "text_hash", "left").select(*(fill[c].alias(c) if c in fill else F.col(c) for c in rows.columns))
+    stored = _chunks(store, manifest, store.table("document", VERSIONS, manifest))
+    touched = _touched(store, manifest, stored.where("embedding is null").select("doc_id"))
+    if touched:
+        own = table.where(bucket_of(F.col("doc_id"), manifest.buckets).isin(touched))
+        manifest.tables["chunk"] = store.write_buckets("chunk", joined(own), manifest.number + 1, "doc_id", touched, manifest)
     manifest.index = pinned
-    left = ch.pending_cost(spark.read.schema(CHUNKS).parquet(f"{store.root}/{manifest.tables['chunk']}")).first().asDict()
-    status = "succeeded" if not left["texts"] else "stopped"
+    left = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
+    status = "failed" if error is not None else "succeeded" if not left["texts"] else "stopped"
     for run in manifest.runs.values():
         run["status"] = status
     store.publish(manifest)
-    return Run(status, pending=left)
+    store.remove("vector")
+    return Run(status, reason=error or "", pending=left)

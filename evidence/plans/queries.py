@@ -248,7 +248,7 @@ def embed_budget(s, d):
 @query()
 def embed_pending(s, d):
     todo = fx.stored(s, d).where("embedding is null").groupBy("text_hash").agg(F.min("text").alias("text"))
-    return ch.embed(todo, ch.HashEmbedder())
+    return ch.embed(todo, ch.HashEmbedder()).select("text_hash", "embedding", "embed_model")
 
 
 # Search.
@@ -351,7 +351,7 @@ def metadata_filter_text(s, d):
 
 # Statistics and reports.
 @query("""SELECT lang AS doc_type, count(*) FILTER (WHERE doc_id % 5 <> 0) AS documents, count(*) FILTER (WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS active, count(*) AS versions,
-coalesce(sum(c), 0)::BIGINT AS chunks, coalesce(sum(e), 0)::BIGINT AS embedded FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c, count(quality) AS e FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1""")
+count(*) FILTER (WHERE doc_id % 5 <> 0 AND c = e) AS indexed, coalesce(sum(c), 0)::BIGINT AS chunks, coalesce(sum(e), 0)::BIGINT AS embedded FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c, count(quality) AS e FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1""")
 def index_stats(s, d):
     versions = fx.table(s, d, "documents").select(F.col("doc_id").alias("doc_sk"), F.col("lang").alias("doc_type"), (F.col("doc_id") % 5 != 0).alias("is_current"), (F.col("doc_id") % 7 != 0).alias("is_active"))
     return ch.index_stats(versions, fx.table(s, d, "labels").select(F.col("doc_id").alias("doc_sk"), F.col("quality").alias("embedding")))

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 #: Of the manifest's layout; a store of another one is refused until it is migrated.
 SCHEMA = 2
 BUCKETS = 64
+#: Tables that a batch writes for itself alone.
+SCRATCH = ("changed", "extract", "decision")
 
 
 class Conflict(RuntimeError):
@@ -37,6 +39,9 @@ class Manifest:
     watermarks: dict[str, dict] = field(default_factory=dict)
     index: dict = field(default_factory=dict)
     runs: dict[str, dict] = field(default_factory=dict)
+    #: How many buckets tables have, fixed by a store's first batch, and the largest surrogate key given (None: not known).
+    buckets: int = BUCKETS
+    top: int | None = None
     schema: int = SCHEMA
 
 
@@ -45,8 +50,9 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        """buckets: of a store that has none yet; a batch rewrites whole buckets, so large tables want many."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -69,7 +75,7 @@ class Store:
     def manifest(self) -> Manifest:
         numbers = self._numbers()
         if not numbers:
-            return Manifest()
+            return Manifest(buckets=self.buckets)
         found = self._read(numbers[-1])
         if found.get("schema", 1) != SCHEMA:
             raise OldSchema(f"{self.root} has layout {found.get('schema', 1)}, this is {SCHEMA}: migrate it first")
@@ -101,16 +107,17 @@ class Store:
         df.write.mode("overwrite").parquet(f"{self.root}/{path}")
         return path
 
-    def write_buckets(self, name: str, df: DataFrame, batch: int, key: str, touched: list[int], manifest: Manifest, buckets: int = BUCKETS) -> dict[str, str]:
+    def write_buckets(self, name: str, df: DataFrame, batch: int, key: str, touched: list[int], manifest: Manifest) -> dict[str, str]:
         """Replace the touched buckets of a table by df, which holds all rows of those buckets and of no others.
 
         What the table becomes: each bucket's folder. A table that is still in one folder must be rewritten whole.
         """
         held = self.folders(name, manifest)
-        if "" in held and len(touched) < buckets:
+        if "" in held and len(touched) < manifest.buckets:
             raise ValueError(f"{name} isn't in buckets yet; touch all of them")
         path = f"{name}/v={batch}"
-        own = df.withColumn("b", bucket_of(F.col(key), buckets)).repartition(max(1, len(touched)), "b")
+        # Rebalanced, not repartitioned: small buckets share a task, a large one is written by several.
+        own = df.withColumn("b", bucket_of(F.col(key), manifest.buckets)).hint("rebalance", "b")
         own.write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/{path}")
         written = {b for b in touched if self._fs.exists(self._path(f"{path}/b={b}"))}
         kept = {b: p for b, p in held.items() if b != "" and int(b) not in touched}
@@ -139,12 +146,24 @@ class Store:
             raise Conflict(f"manifest {after.number} exists")
         return after
 
+    def remove(self, name: str) -> None:
+        """Remove what append() has written."""
+        self._fs.delete(self._path(name), True)
+
     def sweep(self, keep: int = 2) -> int:
-        """Remove manifests but the last few, and the table folders that none of those names; how many folders went."""
+        """Remove manifests but the last few, and the folders that none of those names, of tables and of published batches'
+        scratch tables; how many folders went."""
         numbers = self._numbers()
+        if not numbers:
+            return 0
         kept = [self._read(n) for n in numbers[-keep:]]
         named = {p for m in kept for held in m["tables"].values() for p in (held.values() if isinstance(held, dict) else [held])}
         gone = 0
+        for name in SCRATCH:
+            for version in self._fs.listStatus(self._path(name)) if self._fs.exists(self._path(name)) else ():
+                if int(version.getPath().getName().removeprefix("v=")) <= numbers[-1]:
+                    self._fs.delete(version.getPath(), True)
+                    gone += 1
         for name in {t for m in kept for t in m["tables"]}:
             if not self._fs.exists(self._path(name)):
                 continue

@@ -27,6 +27,7 @@ def place(spark, tmp_path):
     (tmp_path / "rules/doc_types").mkdir(parents=True)
     (tmp_path / "rules/doc_types/note.yaml").write_text(NOTE)
     (tmp_path / "rules/qualify.yaml").write_text(GATE)
+    (tmp_path / "rules/catalog.yaml").write_text("schemas: [public]\n")
     spark.createDataFrame([("a", "River stones", "smooth river stones", "x", True), ("b", "Clouds", "white clouds above", "y", True)], "id string, name string, text string, kind string, is_active boolean").write.parquet(f"{tmp_path}/source/note.parquet")
     spark.createDataFrame([(1, "notes", "a"), (2, "notes", "b")], "change_id long, source_id string, record_key string").write.parquet(f"{tmp_path}/source/record_change.parquet")
     clear_cache()
@@ -36,8 +37,9 @@ def place(spark, tmp_path):
 def test_commands(place, capsys):
     say = lambda *a: (cli.main([*a, *place]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])
     assert say("rules-check")[0] == 0
-    assert say("plan")[1][0]["mode"][0] == "full"
+    assert say("plan")[1][0].items() >= {"mode": "full", "new_documents": 2, "to_embed": 2}.items()
     assert say("ingest", "--approve-over", "1")[0] == cli.PAUSED
+    assert say("approve", "note")[1][0]["status"] == "approved"
     assert say("embed")[0] == 0
     assert say("ingest")[1][0]["status"] == "nothing"
     assert say("status")[1][0]["index"][0]["embedded"] == 2

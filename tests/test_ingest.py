@@ -4,10 +4,10 @@ import pytest
 
 from evidence.operators import scd2
 from evidence.operators.catalog import Table, read_catalog, validate, verify_key
-from evidence.operators.chunks import HashEmbedder
+from evidence.operators.chunks import HashEmbedder, RateLimited
 from evidence.operators.quality import blocks, run_checks
 from evidence.operators.search import lexeme_stats
-from evidence.plans.ingest import CHUNKS, LEXEMES, VERSIONS, embed_step, ingest
+from evidence.plans.ingest import CHUNKS, VERSIONS, approve, embed_step, ingest, init_index, lexemes, preview
 from evidence.rules.spec import Check, DocType
 from evidence.sources.store import Conflict, Store
 from evidence.streaming.changelog import head_by_source, run_on_change
@@ -74,7 +74,7 @@ def test_incremental_life(spark, tmp_path):
     assert kept and all(before[h] == v for h, v in kept.items())
     assert run.pending["texts"] < chunks.count()
     stats = lambda df: {(r["lexeme"], r["ndoc"]) for r in df.collect()}
-    assert stats(store.table("lexeme", LEXEMES)) == stats(lexeme_stats(chunks))
+    assert stats(lexemes(store)) == stats(lexeme_stats(chunks))
     assert embed_step(spark, store, HashEmbedder(), limit=1).status in ("stopped", "succeeded")
     assert embed_step(spark, store, HashEmbedder()).status == "succeeded"
     other = HashEmbedder()
@@ -90,6 +90,9 @@ def test_failed_checks_write_nothing_and_approval_waits(spark, tmp_path):
     source.put("b", text="other")
     run = go(spark, store, source, 2, approve_over=1)
     assert run.status == "waiting" and run.pending["texts"] == 2 and store.manifest().runs["note"]["status"] == "waiting"
+    assert approve(store, "note") == "approved"
+    with pytest.raises(ValueError, match="waits"):
+        approve(store, "note")
     assert embed_step(spark, store, HashEmbedder()).status == "succeeded" and store.manifest().runs["note"]["status"] == "succeeded"
 
 
@@ -105,6 +108,67 @@ def test_a_reset_log_needs_a_full_run(spark, tmp_path):
     assert store.manifest().watermarks["note"]["change_id"] == 1
 
 
+def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+    store, source = Store(spark, f"file://{tmp_path}/s", buckets=8), Source(spark)
+    for k in range(20):
+        source.put(str(k), text=f"text {k}")
+    first = go(spark, store, source, 1)
+    assert first.stats["chunks_added"] == 20 and len(store.manifest().tables["document"]) > 2
+    before = store.manifest().tables
+    source.put("3", text="text three")
+    ahead = preview(spark, store, RULE, source.frames(), size=40, overlap=10)
+    assert (ahead["mode"], ahead["changed_documents"], ahead["new_documents"], ahead["to_embed"]) == ("incremental", 1, 0, 1)
+    assert store.manifest().tables == before
+    second = go(spark, store, source, 2)
+    assert (second.stats["chunks_added"], second.stats["chunks_removed"], second.stats["chunks_moved"]) == (1, 1, 0)
+    after = store.manifest().tables
+    for table in ("document", "chunk"):
+        assert sum(before[table].get(b) != p for b, p in after[table].items()) == 1
+    versions, chunks = state(store)
+    assert versions.count() == 21 and sorted(r["doc_sk"] for r in versions.collect()) == list(range(1, 22)) and not scd2.violations(versions).collect()
+    assert {(r["lexeme"], r["ndoc"]) for r in lexemes(store).collect()} == {(r["lexeme"], r["ndoc"]) for r in lexeme_stats(chunks).collect()}
+    assert store.sweep(1) > 0 and {r["doc_id"] for r in state(store)[0].collect()} == {f"note:{k}" for k in range(20)}
+
+
+class Flaky(HashEmbedder):
+    """Asks to wait once, and fails on one text while bad."""
+
+    def __init__(self, bad=""):
+        self.bad, self.asked = bad, False
+
+    def embed(self, texts):
+        if not self.asked:
+            self.asked = True
+            raise RateLimited(0)
+        if self.bad and any(self.bad in t for t in texts):
+            raise OSError("no answer")
+        return super().embed(texts)
+
+
+def test_embedding_keeps_what_it_has(spark, tmp_path):
+    store, source = Store(spark, f"file://{tmp_path}/s"), Source(spark)
+    for k in range(30):
+        source.put(str(k), text=f"text {k} here")
+    go(spark, store, source, 1)
+    run = embed_step(spark, store, Flaky("text 7 "), wave=4)
+    assert run.status == "failed" and "no answer" in run.reason and 0 < run.pending["texts"] <= 30
+    assert embed_step(spark, store, Flaky(), wave=4).status == "succeeded"
+    assert state(store)[1].where("embedding is null").count() == 0
+
+
+def test_an_index_holds_vectors_of_one_model(spark, tmp_path):
+    store, source, other = Store(spark, f"file://{tmp_path}/s"), Source(spark), HashEmbedder()
+    source.put("a")
+    go(spark, store, source, 1)
+    assert init_index(store, HashEmbedder()) == {"model": "hash-8", "dim": 8} == init_index(store, HashEmbedder())
+    embed_step(spark, store, HashEmbedder())
+    other.dim = 4
+    with pytest.raises(ValueError, match="pinned"):
+        init_index(store, other)
+    assert init_index(store, other, force=True)["dim"] == 4
+    assert state(store)[1].where("embedding is not null").count() == 0
+
+
 def test_two_writers(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     a, b = store.manifest(), store.manifest()
