@@ -99,18 +99,29 @@ def run(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, keep: bool = Fal
     hs = np.empty((steps, n, HIDDEN), F32)
     kept = np.empty((5, steps, n, HIDDEN), F32) if keep else None
     u, two = p["u"], 2 * HIDDEN
+    # The parts of the gates and of the candidate lie apart, so that a step works in place on whole arrays.
+    into, cand = np.ascontiguousarray(table[:, :two]).take(x, 0), np.ascontiguousarray(table[:, two:]).take(x, 0)
+    u_gates, u_cand = np.ascontiguousarray(u[:, :two]), np.ascontiguousarray(u[:, two:])
+    gates, an, own = np.empty((n, two), F32), np.empty((n, HIDDEN), F32), np.empty((n, HIDDEN), F32)
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     starts = x == START
     any_start = starts.any(1)
     for t in range(steps):
         if any_start[t]:
             h = np.where(starts[t][:, None], F32(0), h)
-        g, a = table[x[t]], h @ u
-        zr = _sigmoid(g[:, :two] + a[:, :two])
-        z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, two:]
-        c = np.tanh(g[:, two:] + r * an)
+        np.matmul(h, u_gates, out=gates)
+        gates += into[t]
+        _sigmoid(gates)
+        np.matmul(h, u_cand, out=an)
+        c = np.multiply(r, an, out=own)
+        c += cand[t]
+        np.tanh(c, out=c)
         if keep:
             kept[0, t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = h, z, r, an, c
-        h = hs[t] = c + z * (h - c)
+        out = np.subtract(h, c, out=hs[t])
+        out *= z
+        out += c
+        h = out
     return (hs, h, kept) if keep else (hs, h)
 
 
