@@ -5,18 +5,23 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence import logs
 from evidence.operators import catalog, gate, scd2, search
 from evidence.operators import chunks as ch
+from evidence.plans import answer
 from evidence.plans import ingest as run
+from evidence.sources import catalogs
 from evidence.sources.rules import load_rules_cached
 from evidence.sources.store import Store
 from evidence.workers import on_workers
 
 PAUSED, FAILED = 3, 1
+COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "ask", "chat", "conversations", "feedback", "rules-check", "catalog"]
 
 
 def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[str, DataFrame], catalog.Catalog]:
@@ -26,14 +31,9 @@ def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[st
     return frames, catalog.read_catalog(frames, keys)
 
 
-def _searchable(store: Store) -> DataFrame:
-    docs = store.table("document", run.VERSIONS).select("doc_sk", "doc_type", "metadata", "is_current", "is_active", "title")
-    return store.table("chunk", run.CHUNKS).join(docs, "doc_sk")
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evidence")
-    p.add_argument("command", choices=["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "rules-check", "catalog"])
+    p.add_argument("command", choices=COMMANDS)
     p.add_argument("text", nargs="?", default="")
     p.add_argument("--root", default="store")
     p.add_argument("--rules", default="rules")
@@ -45,20 +45,29 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--no", action="store_true", help="approve: refuse")
     p.add_argument("--approve-over", type=int, default=0)
     p.add_argument("--top-k", type=int, default=search.TOP_K)
+    p.add_argument("--thread", help="ask, chat: the conversation to go on with")
+    p.add_argument("--cap", type=int, default=0, help="ask, chat: questions a day, 0 for any number")
+    p.add_argument("--verdict", choices=["good", "bad"], default="good", help="feedback: of the answer whose query_id is given")
+    p.add_argument("--comment")
+    p.add_argument("--stored", action="store_true", help="catalog: of the latest run, tables are not read")
+    p.add_argument("--export", help="catalog: also write it to this file, as YAML")
+    p.add_argument("--log", choices=["json", "text"], default="json")
+    p.add_argument("--log-level", default="INFO")
     a = p.parse_args(argv)
+    logs.set_up(a.log_level, a.log == "json")
     spark = SparkSession.builder.appName("evidence").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     on_workers(spark)
     store, embedder = Store(spark, a.root), ch.HashEmbedder()
-    show = lambda x: print(json.dumps(x, default=str, ensure_ascii=False))
+    show = lambda x: print(json.dumps(x, default=str, ensure_ascii=False), flush=True)
 
-    if a.command in ("ingest", "plan", "rules-check", "catalog"):
+    if a.command == "catalog":
+        return _catalog(spark, store, a, show)
+    if a.command in ("ingest", "plan", "rules-check"):
         code = 0
         for rule in load_rules_cached(a.rules).resolve(a.doc_types):
             keys = {f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table: (rule.source.key,)}
             frames, found = _tables(spark, a.source, rule, keys)
-            if a.command == "catalog":
-                show(found.to_dict())
-            elif a.command == "rules-check":
+            if a.command == "rules-check":
                 wrong = catalog.validate(rule, frames, found)
                 show({"doc_type": rule.doc_type, "findings": wrong})
                 code = max(code, FAILED if any(s == "error" for s, _ in wrong) else 0)
@@ -87,13 +96,56 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "qualify":
         asked = spark.createDataFrame([(a.text, len(a.filter), 0, False)], "question string, n_filters int, n_doc_types int, is_follow_up boolean")
         show(gate.qualify(asked, load_rules_cached(a.rules).gate).first().asDict())
+    elif a.command in ("ask", "chat"):
+        return _ask(store, a, embedder, show)
+    elif a.command == "conversations":
+        for r in answer.conversations(store).collect():
+            show(r.asDict())
+    elif a.command == "feedback":
+        answer.feedback(store, a.text, a.verdict == "good", a.comment)
+        show({"query_id": a.text, "verdict": a.verdict})
     else:
-        chunks = _searchable(store)
+        chunks = answer.searchable(store)
         hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter), stats=run.lexemes(store))
         for r in hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect():
             show(r.asDict())
     return 0
 
 
+def _catalog(spark: SparkSession, store: Store, a: argparse.Namespace, show) -> int:
+    """Read the catalog of the rules' tables that catalog.yaml wants, and keep it as a run; or show the latest run."""
+    if a.stored:
+        found = catalogs.load_catalog(store)
+        if found is None:
+            return FAILED
+    else:
+        rules, frames, keys = load_rules_cached(a.rules), {}, {}
+        for rule in rules.resolve(a.doc_types):
+            source = f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table
+            keys[source] = (rule.source.key,)
+            frames |= _tables(spark, a.source, rule, keys)[0]
+        found = catalog.read_catalog({n: df for n, df in frames.items() if rules.catalog.wants(n)}, keys, sizes=True)
+        catalogs.save_catalog(store, found)
+    if a.export:
+        Path(a.export).write_text(catalogs.to_yaml(found), encoding="utf-8")
+    show(found.to_dict())
+    return 0
+
+
+def _ask(store: Store, a: argparse.Namespace, embedder: ch.EmbeddingProvider, show) -> int:
+    """One question, or each line of the input as a turn of one conversation."""
+    rules, code, thread = load_rules_cached(a.rules), 0, a.thread
+    chosen = [] if a.doc_types == "all" else [r.doc_type for r in rules.resolve(a.doc_types)]
+    lines = [a.text] if a.command == "ask" else (line.strip() for line in sys.stdin)
+    for question in lines:
+        if a.command == "chat" and not question:
+            continue
+        body = {"question": question, "doc_types": chosen, "filters": search.parse_filters(a.filter), "thread": thread}
+        reply = answer.ask(store, rules.gate, body, sorted(rules.doc_types), embedder, answer.ExcerptChat(), a.top_k, a.cap)
+        show(reply.__dict__)
+        thread, code = reply.thread, FAILED if reply.error else code
+    return code
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -20,6 +20,8 @@ class Table:
     columns: dict[str, str]
     key: tuple[str, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
+    #: None: not counted.
+    rows: int | None = None
 
     def is_unique(self, columns: tuple[str, ...]) -> bool:
         """Whether exactly these columns, in this order, are declared a key."""
@@ -37,16 +39,21 @@ class Catalog:
         return hashlib.sha256(json.dumps([shape, sorted(self.relationships)], sort_keys=True).encode()).hexdigest()
 
     def to_dict(self) -> dict:
-        tables = {n: {"columns": t.columns, "key": list(t.key), "unique": [list(u) for u in t.unique]} for n, t in sorted(self.tables.items())}
+        size = lambda t: {} if t.rows is None else {"rows": t.rows}
+        tables = {n: {"columns": t.columns, "key": list(t.key), "unique": [list(u) for u in t.unique], **size(t)} for n, t in sorted(self.tables.items())}
         return {"tables": tables, "relationships": [{"parent": p, "child": c, "columns": list(k)} for p, c, k in sorted(self.relationships)]}
 
 
-def read_catalog(frames: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], exclude: tuple[str, ...] = ()) -> Catalog:
-    """From the schemas of tables and their declared keys, without the tables whose name matches exclude."""
-    tables = {}
+def read_catalog(frames: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], exclude: tuple[str, ...] = (), unique: dict[str, tuple[tuple[str, ...], ...]] | None = None, sizes: bool = False) -> Catalog:
+    """From the schemas of tables and their declared keys, without the tables whose name matches exclude.
+
+    unique: further declared keys. sizes: count rows, which Parquet tables tell from their footers.
+    """
+    tables, more = {}, unique or {}
     for name, df in frames.items():
         if not any(fnmatch.fnmatch(name, p) for p in exclude):
-            tables[name] = Table(name, {f.name: f.dataType.simpleString() for f in df.schema.fields}, tuple(keys.get(name, ())))
+            shape = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+            tables[name] = Table(name, shape, tuple(keys.get(name, ())), tuple(map(tuple, more.get(name, ()))), df.count() if sizes else None)
     found = Catalog(tables)
     found.relationships = [(p, c, tables[p].key) for p in tables for c in tables if _extends(tables[p].key, tables[c].key)]
     return found

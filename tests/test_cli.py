@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -34,7 +35,7 @@ def place(spark, tmp_path):
     return ["--root", f"file://{tmp_path}/store", "--rules", f"{tmp_path}/rules", "--source", f"{tmp_path}/source"]
 
 
-def test_commands(place, capsys):
+def test_commands(place, capsys, monkeypatch, tmp_path):
     say = lambda *a: (cli.main([*a, *place]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])
     assert say("rules-check")[0] == 0
     assert say("plan")[1][0].items() >= {"mode": "full", "new_documents": 2, "to_embed": 2}.items()
@@ -47,7 +48,18 @@ def test_commands(place, capsys):
     assert say("qualify", "how many stones")[1][0]["rule_id"] == "count"
     hits = say("search", "river stones", "--filter", "kind=x")[1]
     assert [h["doc_id"] for h in hits] == ["note:a"]
-    assert say("catalog")[1][0]["tables"]["note"]["key"] == ["id"]
+    assert say("catalog", "--stored") == (cli.FAILED, [])
+    assert say("catalog")[1][0]["tables"]["note"].items() >= {"key": ["id"], "rows": 2}.items()
+    assert say("catalog", "--stored")[1][0]["tables"]["note"]["key"] == ["id"]
+    assert say("ask", "how many stones are there")[1][0]["decision"] == "needs_sql"
+    got = say("ask", "which river stones are smooth", "--filter", "kind=x")[1][0]
+    assert [s["doc_id"] for s in got["sources"]] == ["note:a"] and got["cited"] == [1]
+    assert say("feedback", got["query_id"], "--verdict", "bad")[0] == 0
+    monkeypatch.setattr("sys.stdin", io.StringIO("where are white clouds\n\nand the stones\n"))
+    assert [r["turn"] for r in say("chat", "--thread", got["thread"])[1]] == [2, 3]
+    assert [c["turns"] for c in say("conversations")[1]] == [3, 1]
+    say("catalog", "--export", f"{tmp_path}/catalog.yaml")
+    assert "note:" in (tmp_path / "catalog.yaml").read_text()
 
 
 def test_rule_files(place, tmp_path):
