@@ -89,6 +89,26 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.whitening import whitening
+
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.turn_repair import turn_repair
+
+    return turn_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidence.llm.winnowing import fingerprints, shown
+
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    points = {"fingerprint": shown(F.col("points")), "edited_fingerprint": shown(F.col("edited_points"))}
+    return found.select("doc_id", "n_chars", "edited_sha256", *(c.alias(name) for name, c in points.items()), "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_licences": op10_licences,
+    "op11_whitening": op11_whitening,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
 }
 #: All pairs of rows that share a shingle, exactly, and the transitive closure of those similar enough by weights.
