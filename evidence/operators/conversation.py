@@ -92,6 +92,13 @@ def history_block(turns: DataFrame, longest: int = 300) -> DataFrame:
     return turns.groupBy("conversation_id").agg(F.array_join(F.transform(ordered, lambda x: x.s), "\n").alias("block"))
 
 
+def questions_block(turns: DataFrame) -> DataFrame:
+    """Per conversation, the questions of its turns (n, question) as a numbered list: what the answering model is told of them."""
+    one = F.concat(F.col("n").cast("string"), F.lit(". "), F.col("question"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", one.alias("s"))))
+    return turns.groupBy("conversation_id").agg(F.array_join(F.transform(ordered, lambda x: x.s), "\n").alias("block"))
+
+
 _THREAD = re.compile(r"[0-9a-f]{32}\Z")
 
 
@@ -116,5 +123,5 @@ def over_cap(used: int, cap: int) -> bool:
 
 
 def build_prompt(question: str, context: str, turns: str = "") -> str:
-    before = f"Earlier turns:\n{turns}\n\n" if turns else ""
+    before = f"Earlier questions:\n{turns}\n\n" if turns else ""
     return f"{before}Answer from the numbered excerpts only and cite them like [1].\n\nExcerpts:\n{context}\n\nQuestion: {question}"

@@ -1,7 +1,8 @@
 """Answering a question: daily cap, gate, follow-up, search, prompt, chat, citations; conversations and the log of turns.
 
 The log only grows: a turn is a row of the folder turn_log in the store. Two turns of one conversation that are asked at
-the same time may get the same number.
+the same time may get the same number. A question that is too vague can pause its turn: what was asked is kept, sample
+questions are offered, and resume() goes on with the corrected question, in this process or another.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ from evidence.rules.spec import Gate
 from evidence.sources.store import Store
 
 #: retrieved: the documents of the hits, best first, as a JSON array. hits: all about them, as a JSON array.
-TURNS = "query_id string, asked_at timestamp, conversation_id string, turn int, question string, standalone string, doc_types array<string>, top_k int, retrieved string, hits string, answer string, decision string, rule_id string, embed_model string, chat_model string, duration_ms long, error string"
+TURNS = "query_id string, asked_at timestamp, conversation_id string, turn int, question string, standalone string, doc_types array<string>, top_k int, retrieved string, hits string, answer string, decision string, rule_id string, embed_model string, chat_model string, duration_ms long, error string, pause_id string"
 CONVERSATIONS = "conversation_id string, created_at timestamp"
 FEEDBACK = "query_id string, given_at timestamp, good boolean, comment string"
+#: asked: the request, as JSON. A pause is over when its turn is logged.
+PAUSES = "pause_id string, paused_at timestamp, conversation_id string, asked string"
+NO_RECORDS = "The records hold nothing on that."
+SAMPLES, SAMPLE_DOCUMENTS = 4, 12
 _ANSWER = "You answer questions about records. Use the excerpts and nothing else."
 _REWRITE = "Rewrite the last question so that it can be understood without the earlier turns. Return the question alone."
 _log = logging.getLogger(__name__)
@@ -70,6 +75,9 @@ class Reply:
     cited: list[int] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
     error: str | None = None
+    #: Of a turn that waits for a clearer question: what resume() takes, and questions that the records can answer.
+    pause: str | None = None
+    samples: list[str] = field(default_factory=list)
 
 
 def turn_log(store: Store) -> DataFrame:
@@ -134,11 +142,44 @@ def _standalone(spark: SparkSession, chat: ChatProvider, question: str, earlier:
     return one.select(cv.condensed(*(F.col(c) for c in one.columns))).first()[0]
 
 
-def ask(store: Store, rules: Gate, body: dict, doc_types: list[str], embedder: ch.EmbeddingProvider, chat: ChatProvider, top_k: int = search.TOP_K, cap: int = 0, now: datetime.datetime | None = None) -> Reply:
+def _suggested(store: Store, question: str, doc_types: list[str]) -> list[str]:
+    """Questions that the records answer: of documents that match the words of this one, else of the latest."""
+    docs = store.table("document", run.VERSIONS).where("is_current and is_active")
+    docs = docs.where(F.col("doc_type").isin(doc_types)) if doc_types else docs
+    near = search.sample_matched(searchable(store), question, limit=SAMPLE_DOCUMENTS, doc_types=doc_types or None)
+    chosen = docs.join(near.select("doc_id", F.lit(0).alias("rank")), "doc_id")
+    if not chosen.take(1):
+        chosen = docs.join(search.sample_recent(docs, SAMPLE_DOCUMENTS).select("doc_id", F.lit(0).alias("rank")), "doc_id")
+    return [r["question"] for r in search.sample_questions(chosen).orderBy("doc_id").limit(SAMPLES).collect()]
+
+
+def _pause(store: Store, request: dict, thread: str, at: datetime.datetime) -> str:
+    pause = uuid.uuid4().hex
+    row = (pause, at, thread, json.dumps({**request, "thread": thread}))
+    store.append("pause", store.spark.createDataFrame([row], PAUSES).coalesce(1))
+    return pause
+
+
+def resume(store: Store, rules: Gate, pause: str, question: str, doc_types: list[str], embedder: ch.EmbeddingProvider, chat: ChatProvider, **how) -> Reply:
+    """Go on with a paused turn. The corrected question is judged like any other, but doesn't pause again; where there is
+    none (blank), the turn ends with the gate's message."""
+    held = store.log("pause", PAUSES).where(F.col("pause_id") == pause).first()
+    if held is None:
+        raise ValueError(f"there is no pause {pause}")
+    if turn_log(store).where(F.col("pause_id") == pause).take(1):
+        raise ValueError(f"pause {pause} is over")
+    body = json.loads(held["asked"])
+    return ask(store, rules, {**body, "question": question.strip() or body["question"]}, doc_types, embedder, chat, **{**how, "clarify": False, "pause": pause})
+
+
+def ask(store: Store, rules: Gate, body: dict, doc_types: list[str], embedder: ch.EmbeddingProvider, chat: ChatProvider, top_k: int = search.TOP_K, cap: int = 0, now: datetime.datetime | None = None, candidates: int = search.CANDIDATES, clarify: bool = False, pause: str | None = None) -> Reply:
     """Answer a request (question, doc_types, filters, thread) and log the turn.
 
-    A question that the gate blocks gets the gate's message, without a search or a model; so does a follow-up whose
-    rewrite it blocks. A model that fails leaves a turn without an answer, and its error. cap: questions a day, 0 for any.
+    A question that the gate blocks gets the gate's message, without a search or a model. A follow-up is judged twice: as
+    typed, where rules may spare follow-ups, and as the standalone question that the search will use, where none are spared,
+    whether or not the rewrite changed it. Without excerpts no model is asked. A model or an embedder that fails leaves a turn
+    without an answer, and its error. clarify: a question that is too vague pauses its turn, which isn't logged until
+    resume(). cap: questions a day, 0 for any. An index of another model than the embedder's is refused.
     """
     spark, began, at = store.spark, time.monotonic(), now or datetime.datetime.now(datetime.UTC)
     request = cv.parse_ask(body, doc_types)
@@ -159,31 +200,38 @@ def ask(store: Store, rules: Gate, body: dict, doc_types: list[str], embedder: c
     question = request["question"]
     reply = Reply(None, thread, turn, gate.PASS, question, None, steps=["qualify"])
     standalone, hits, passed = None, [], _gated(spark, rules, question, request, bool(earlier))
-    block = cv.history_block(turns).first()["block"] if earlier else ""
+    if passed["decision"] == "clarify" and clarify:
+        reply.decision, reply.answer, reply.steps = "clarify", passed["blocked"], ["qualify", "pause"]
+        reply.samples, reply.pause = _suggested(store, question, request["doc_types"]), _pause(store, request, thread, at)
+        return reply
     if passed["decision"] == gate.PASS and earlier:
-        reply.steps.append("condense")
-        standalone = _standalone(spark, chat, question, earlier, block)
-        if standalone != question:
-            reply.steps.append("qualify")
-            passed = _gated(spark, rules, standalone, request, True)
+        reply.steps += ["condense", "qualify"]
+        wanted = _standalone(spark, chat, question, earlier, cv.history_block(turns).first()["block"])
+        passed = _gated(spark, rules, wanted, request, False)
+        standalone = None if wanted == question else wanted
     reply.decision = passed["decision"]
     if reply.decision != gate.PASS:
         reply.answer = passed["blocked"]
     else:
+        run.require_state(store, embedder)
         reply.steps.append("search")
-        wanted, chunks = standalone or question, searchable(store)
-        found = search.hybrid_search(chunks, wanted, embedder.embed([wanted])[0], top_k, doc_types=request["doc_types"] or None, filters=request["filters"] or None, stats=run.lexemes(store))
-        hits = found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()
-        excerpts = spark.createDataFrame([(i, h["title"], h["text"]) for i, h in enumerate(hits, 1)], "rank int, title string, text string")
-        prompt = cv.build_prompt(question, search.context_block(excerpts).first()["context"], block)
-        reply.steps.append("answer")
         try:
-            reply.answer = chat.chat(_ANSWER, prompt)
+            hits = _found(store, standalone or question, embedder, request, top_k, candidates)
+            if not hits:
+                reply.answer = NO_RECORDS
+            else:
+                excerpts = spark.createDataFrame([(i, h["title"], h["text"]) for i, h in enumerate(hits, 1)], "rank int, title string, text string")
+                asked = cv.questions_block(turns).first()["block"] if earlier else ""
+                reply.steps.append("answer")
+                reply.answer = chat.chat(_ANSWER, cv.build_prompt(question, search.context_block(excerpts).first()["context"], asked))
+        except (Py4JError, PySparkException):
+            raise
         except Exception as wrong:  # whatever a provider raises is told
             reply.error = f"{type(wrong).__name__}: {wrong}"
         else:
-            one = spark.createDataFrame([(reply.answer, len(hits))], "answer string, n int")
-            reply.cited = one.select(cv.mark_cited(F.col("answer"), F.col("n"))).first()[0]
+            if hits:
+                one = spark.createDataFrame([(reply.answer, len(hits))], "answer string, n int")
+                reply.cited = one.select(cv.mark_cited(F.col("answer"), F.col("n"))).first()[0]
         reply.sources = [{"rank": i, "doc_id": h["doc_id"], "title": h["title"], "matched_by": h["matched_by"]} for i, h in enumerate(hits, 1)]
 
     told = [{"rank": i, "chunk_id": h["chunk_id"], "doc_id": h["doc_id"], "score": round(h["score"], 6), "matched_by": h["matched_by"]} for i, h in enumerate(hits, 1)]
@@ -194,7 +242,13 @@ def ask(store: Store, rules: Gate, body: dict, doc_types: list[str], embedder: c
             "asked_at": at, "conversation_id": thread, "turn": turn, "question": question, "standalone": standalone,
             "doc_types": request["doc_types"] or None, "top_k": top_k, "retrieved": json.dumps([h["doc_id"] for h in hits]), "hits": json.dumps(told),
             "answer": reply.answer, "decision": reply.decision, "rule_id": passed["rule_id"], "embed_model": embedder.model,
-            "chat_model": chat.model if used else None, "duration_ms": int((time.monotonic() - began) * 1000), "error": reply.error,
+            "chat_model": chat.model if used else None, "duration_ms": int((time.monotonic() - began) * 1000), "error": reply.error, "pause_id": pause,
         },
     )
     return reply
+
+
+def _found(store: Store, question: str, embedder: ch.EmbeddingProvider, request: dict, top_k: int, candidates: int) -> list[Row]:
+    chunks = searchable(store)
+    found = search.hybrid_search(chunks, question, embedder.embed([question])[0], top_k, candidates, doc_types=request["doc_types"] or None, filters=request["filters"] or None, stats=run.lexemes(store))
+    return found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()

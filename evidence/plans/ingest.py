@@ -238,6 +238,20 @@ def init_index(store: Store, provider: ch.EmbeddingProvider, force: bool = False
     return wanted
 
 
+class IndexStateError(RuntimeError):
+    """There is no index, or it holds vectors of another model than the one asked for."""
+
+
+def require_state(store: Store, provider: ch.EmbeddingProvider) -> dict:
+    """The index's pin, if it is the provider's: distances between vectors of two models mean nothing."""
+    held = store.manifest().index
+    if not held:
+        raise IndexStateError("there is no index yet: run init or embed first")
+    if held["model"] != provider.model:
+        raise IndexStateError(f"the index holds vectors of {held['model']}, not of {provider.model}: go back to that model, or init by force and embed again")
+    return held
+
+
 def approve(store: Store, doc_type: str, yes: bool = True) -> str:
     """Answer a waiting run: embedding may go on, or is refused and its chunks stay pending. The run's status."""
     manifest = store.manifest()

@@ -554,6 +554,12 @@ def history_block(s, d):
     return conversation.history_block(fx.turn_log(s, d).where("answer is not null"), 80)
 
 
+@query(f"""SELECT conversation_id, string_agg(n || '. ' || question, chr(10) ORDER BY n) AS block FROM (SELECT conversation_id, question, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS n FROM (SELECT * FROM ({_LOG})
+WHERE answer IS NOT NULL AND error IS NULL AND coalesce(decision, 'pass') = 'pass' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) <= 6)) GROUP BY 1""")
+def questions_block(s, d):
+    return conversation.questions_block(conversation.history(fx.turn_log(s, d)))
+
+
 @query(f"""SELECT conversation_id, turn, CASE WHEN k % 3 = 0 THEN 'before ' || question WHEN k % 3 = 1 THEN 'What about it now?'
 WHEN length(regexp_replace('Well: ' || question, '\\s+', ' ', 'g')) >= 20 OR length(question) > 994 THEN question ELSE 'Well: ' || question END AS condensed
 FROM (SELECT *, conversation_id + turn AS k FROM (SELECT conversation_id, turn, trim(string_split(replace(question, chr(34), ''), chr(10))[1], ' ''') AS question FROM ({_LOG}))) WHERE length(question) > 0""")

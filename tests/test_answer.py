@@ -11,6 +11,7 @@ from evidence.operators import conversation as cv
 from evidence.operators import gate
 from evidence.plans import answer as an
 from evidence.plans import ingest as run
+from evidence.rules.spec import Gate
 from evidence.sources import catalogs
 from evidence.sources.store import Manifest, Store
 
@@ -39,7 +40,7 @@ def store(spark, tmp_path):
     held = [(f"{i}-0", d, i, 0, t, f"h{i}", model.embed([t])[0], model.model) for i, (d, t) in enumerate(texts.items(), 1)]
     docs, chunks = spark.createDataFrame(versions, run.VERSIONS), spark.createDataFrame(held, run.CHUNKS)
     tables = {"document": place.write("document", docs, 1), "chunk": place.write("chunk", chunks, 1)}
-    place.publish(Manifest(tables=tables))
+    place.publish(Manifest(tables=tables, index={"model": model.model, "dim": model.dim}))
     return place
 
 
@@ -76,6 +77,7 @@ def test_follow_ups(store):
     assert (third.decision, third.sources) == ("needs_sql", [])
     fourth = say(store, "and above", Recorder(rewrite=OSError("down")), first.thread)
     asked = {r["turn"]: r["standalone"] for r in an.turn_log(store).collect()}
+    assert "1. which river stones are smooth" in chat.seen[1] and "A:" not in chat.seen[1]  # questions alone
     # The blocked turn is no part of the history; the turn before it is.
     assert fourth.turn == 4 and asked == {1: None, 2: "how white are the clouds", 3: "how many clouds are there", 4: "and the clouds and above"}
 
@@ -87,6 +89,68 @@ def test_a_failing_model_leaves_a_turn_without_answer(store):
     assert (again.turn, again.steps) == (2, ["qualify", "search", "answer"])
 
 
+STRICT = Gate.of({"limits": {"min_words": 2}, "rules": [{"id": "topic", "kind": "reject", "require_any": ["river", "cloud"], "message": "Off topic.", "skip_for_follow_up": True}]})
+
+
+@pytest.mark.parametrize("rewrite", [None, "how do I pick a lock"])
+def test_a_follow_up_is_judged_as_the_question_that_is_searched(store, rewrite):
+    """Rules that spare follow-ups don't spare the standalone question, whether or not the rewrite changed it."""
+    strict = lambda q, chat, thread=None: an.ask(store, STRICT, {"question": q, "thread": thread}, ["note"], ch.HashEmbedder(), chat)
+    assert strict("how do I pick a lock", Recorder()).decision == "reject"
+    first = strict("which river stones are smooth", Recorder())
+    chat = Recorder(rewrite=rewrite)
+    second = strict("how do I pick a lock", chat, first.thread)
+    assert (second.decision, second.answer, second.sources) == ("reject", "Off topic.", []) and len(chat.seen) == 1  # the rewrite alone
+    third = strict("and the white ones", Recorder(rewrite="which clouds are white"), first.thread)
+    assert third.decision == "pass" and third.sources
+
+
+def test_an_index_of_another_model_is_refused(store):
+    other = ch.HashEmbedder()
+    other.model = "another"
+    with pytest.raises(run.IndexStateError, match="hash-8"):
+        an.ask(store, gate.DEFAULT, {"question": "which river stones"}, ["note"], other, Recorder())
+    manifest = store.manifest()
+    manifest.index = {}
+    store.publish(manifest)
+    with pytest.raises(run.IndexStateError, match="no index"):
+        say(store, "which river stones are smooth")
+
+
+def test_no_model_without_excerpts(spark, store):
+    manifest, chat = store.manifest(), Recorder()
+    manifest.tables = {}
+    store.publish(manifest)
+    got = say(store, "which river stones are smooth", chat)
+    assert (got.answer, got.steps, chat.seen) == (an.NO_RECORDS, ["qualify", "search"], [])
+    assert an.turn_log(store).first()["chat_model"] is None
+
+
+def test_a_failing_embedder_is_logged_like_a_failing_model(store):
+    class Down(ch.HashEmbedder):
+        def embed(self, texts):
+            raise ConnectionError("no route")
+
+    got = an.ask(store, gate.DEFAULT, {"question": "which river stones"}, ["note"], Down(), Recorder())
+    assert got.error == "ConnectionError: no route" and an.turn_log(store).first()["error"] == got.error
+
+
+def test_a_vague_question_pauses_and_goes_on(store):
+    got = say(store, "river", clarify=True)
+    assert (got.decision, got.query_id, got.steps) == ("clarify", None, ["qualify", "pause"]) and got.samples
+    assert got.samples[0] == "What do the records say about N:A?" and not an.turn_log(store).count()
+    on = lambda q: an.resume(store, gate.DEFAULT, got.pause, q, ["note"], ch.HashEmbedder(), Recorder())
+    again = on("which river stones are smooth")
+    assert (again.thread, again.turn, again.decision) == (got.thread, 1, "pass") and again.sources
+    with pytest.raises(ValueError, match="over"):
+        on("which river stones are smooth")
+    with pytest.raises(ValueError, match="no pause"):
+        an.resume(store, gate.DEFAULT, "0" * 32, "x", ["note"], ch.HashEmbedder(), Recorder())
+    kept = say(store, "clouds", clarify=True)
+    ended = an.resume(store, gate.DEFAULT, kept.pause, " ", ["note"], ch.HashEmbedder(), Recorder())
+    assert (ended.decision, ended.sources) == ("clarify", []) and an.turn_log(store).count() == 2
+
+
 def test_an_unwritable_log_is_not_the_askers_fault(store, monkeypatch, caplog):
     thread = an.open_conversation(store)
 
