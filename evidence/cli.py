@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence import logs
-from evidence.operators import catalog, gate, scd2, search
+from evidence.operators import catalog, changes, gate, scd2, search
 from evidence.operators import chunks as ch
 from evidence.plans import answer
 from evidence.plans import ingest as run
 from evidence.sources import catalogs
 from evidence.sources.rules import load_rules_cached
 from evidence.sources.store import Store
+from evidence.streaming import changelog
 from evidence.workers import on_workers
 
 PAUSED, FAILED = 3, 1
-COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "ask", "chat", "conversations", "feedback", "rules-check", "catalog"]
+#: Seconds between the runs of ingest --loop.
+INTERVAL = 300
+COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "ask", "chat", "resume", "conversations", "feedback", "rules-check", "catalog"]
 
 
 def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[str, DataFrame], catalog.Catalog]:
@@ -44,6 +47,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--force", action="store_true", help="init: drop the vectors of another model")
     p.add_argument("--no", action="store_true", help="approve: refuse")
     p.add_argument("--approve-over", type=int, default=0)
+    p.add_argument("--no-embed", action="store_true", help="ingest: documents and chunks only")
+    p.add_argument("--max-chunks", type=int, help="ingest, embed: at most so many texts are embedded")
+    p.add_argument("--loop", action="store_true", help="ingest: follow the change log, a run for what is new, until stopped")
+    p.add_argument("--interval", type=int, default=INTERVAL, help="ingest --loop: seconds between runs")
+    p.add_argument("--follow-up", action="store_true", help="qualify: judge it as a turn of a conversation")
+    p.add_argument("--candidates", type=int, default=search.CANDIDATES)
+    p.add_argument("--limit", type=int, default=20, help="conversations, status: how many")
+    p.add_argument("--refresh", action="store_true", help="rules-check: read the catalog anew, not its latest run")
+    p.add_argument("--pause", help="resume: the turn that waits")
     p.add_argument("--top-k", type=int, default=search.TOP_K)
     p.add_argument("--thread", help="ask, chat: the conversation to go on with")
     p.add_argument("--cap", type=int, default=0, help="ask, chat: questions a day, 0 for any number")
@@ -62,56 +74,84 @@ def main(argv: list[str] | None = None) -> int:
 
     if a.command == "catalog":
         return _catalog(spark, store, a, show)
+    if a.command == "ingest" and a.loop:
+        return _follow(spark, store, a, embedder, show)
     if a.command in ("ingest", "plan", "rules-check"):
-        code = 0
-        for rule in load_rules_cached(a.rules).resolve(a.doc_types):
-            keys = {f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table: (rule.source.key,)}
-            frames, found = _tables(spark, a.source, rule, keys)
-            if a.command == "rules-check":
-                wrong = catalog.validate(rule, frames, found)
-                show({"doc_type": rule.doc_type, "findings": wrong})
-                code = max(code, FAILED if any(s == "error" for s, _ in wrong) else 0)
-            elif a.command == "plan":
-                show({"doc_type": rule.doc_type, **run.preview(spark, store, rule, frames, full=a.full)})
-            else:
-                done = run.ingest(spark, store, rule, frames, found, full=a.full, approve_over=a.approve_over)
-                show({"doc_type": rule.doc_type, **done.__dict__})
-                code = max(code, {"failed": FAILED, "waiting": PAUSED}.get(done.status, 0))
-        return code
+        return _run(spark, store, a, embedder, show)
     if a.command == "migrate":
         show({"steps": store.migrate()})
     elif a.command == "init":
         show(run.init_index(store, embedder, a.force))
     elif a.command == "approve":
-        show({"doc_type": a.text, "status": run.approve(store, a.text, not a.no)})
+        done = run.approve(store, a.text, not a.no, None if a.no else embedder)
+        show({"doc_type": a.text, **done.__dict__})
+        return FAILED if done.status == "failed" else 0
     elif a.command == "embed":
-        done = run.embed_step(spark, store, embedder)
+        done = run.embed_step(spark, store, embedder, a.max_chunks)
         show(done.__dict__)
         return 0 if done.status == "succeeded" else FAILED
     elif a.command == "status":
-        show({"manifest": store.manifest().__dict__, "index": [r.asDict() for r in ch.index_stats(store.table("document", run.VERSIONS), store.table("chunk", run.CHUNKS)).collect()]})
+        manifest = store.manifest()
+        marks = [(k, m["source_id"], m["change_id"]) for k, m in manifest.watermarks.items()]
+        log = f"{a.source}/record_change.parquet"
+        behind = []
+        if marks and Path(log.removeprefix("file://")).exists():
+            known = spark.createDataFrame(marks, "doc_type string, source_id string, change_id long")
+            behind = [r.asDict() for r in changes.changes_behind(spark.read.parquet(log), known).orderBy("doc_type").collect()]
+        recent = [r.asDict() for r in run.batches(store).limit(a.limit).collect()]
+        show({"manifest": manifest.__dict__, "behind": behind, "batches": recent, "index": [r.asDict() for r in ch.index_stats(store.table("document", run.VERSIONS), store.table("chunk", run.CHUNKS)).collect()]})
     elif a.command == "history":
         for r in scd2.document_history(store.table("document", run.VERSIONS), a.text).collect():
             show(r.asDict())
     elif a.command == "qualify":
-        asked = spark.createDataFrame([(a.text, len(a.filter), 0, False)], "question string, n_filters int, n_doc_types int, is_follow_up boolean")
+        asked = spark.createDataFrame([(a.text, len(a.filter), 0, a.follow_up)], "question string, n_filters int, n_doc_types int, is_follow_up boolean")
         show(gate.qualify(asked, load_rules_cached(a.rules).gate).first().asDict())
-    elif a.command in ("ask", "chat"):
+    elif a.command in ("ask", "chat", "resume"):
         return _ask(store, a, embedder, show)
     elif a.command == "conversations":
-        for r in answer.conversations(store).collect():
+        for r in answer.conversations(store, a.limit).collect():
             show(r.asDict())
     elif a.command == "feedback":
         answer.feedback(store, a.text, a.verdict == "good", a.comment)
         show({"query_id": a.text, "verdict": a.verdict})
     else:
-        chunks = answer.searchable(store)
-        hits = search.hybrid_search(chunks, a.text, embedder.embed([a.text])[0], a.top_k, filters=search.parse_filters(a.filter), stats=run.lexemes(store))
-        for r in hits.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect():
+        chosen = [] if a.doc_types == "all" else [r.doc_type for r in load_rules_cached(a.rules).resolve(a.doc_types)]
+        for r in answer.find(store, a.text, embedder, a.top_k, a.candidates, chosen, search.parse_filters(a.filter)).collect():
             show(r.asDict())
     return 0
 
 
+def _run(spark: SparkSession, store: Store, a: argparse.Namespace, embedder: ch.EmbeddingProvider, show) -> int:
+    """One run of ingest, plan or rules-check over the chosen document types."""
+    code = 0
+    for rule in load_rules_cached(a.rules).resolve(a.doc_types):
+        keys = {f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table: (rule.source.key,)}
+        frames, found = _tables(spark, a.source, rule, keys)
+        if a.command == "rules-check":
+            kept = None if a.refresh else catalogs.load_catalog(store)
+            wrong = catalog.validate(rule, frames, kept or found)
+            show({"doc_type": rule.doc_type, "findings": wrong})
+            code = max(code, FAILED if any(s == "error" for s, _ in wrong) else 0)
+        elif a.command == "plan":
+            show({"doc_type": rule.doc_type, **run.preview(spark, store, rule, frames, full=a.full)})
+        else:
+            done = run.ingest(spark, store, rule, frames, found, full=a.full, approve_over=a.approve_over, provider=None if a.no_embed else embedder, max_chunks=a.max_chunks)
+            show({"doc_type": rule.doc_type, **done.__dict__})
+            code = max(code, {"failed": FAILED, "waiting": PAUSED}.get(done.status, 0))
+    return code
+
+
+def _follow(spark: SparkSession, store: Store, a: argparse.Namespace, embedder: ch.EmbeddingProvider, show) -> int:
+    """Runs for what a stream of the change log brings, until it is stopped. --interval 0: once over what there is."""
+    schema = "change_id long, source_id string, record_key string"
+    follower = changelog.Follower(lambda: _run(spark, store, a, embedder, show))
+    stream = changelog.change_stream(spark, f"{a.source}/record_change.parquet", schema)
+    follower.start(stream, f"{a.root}/_stream", f"{a.interval} seconds" if a.interval else None).awaitTermination()
+    for wrong in follower.failures:
+        show({"failed": wrong})
+    return FAILED if follower.failures else 0
+
+
 def _catalog(spark: SparkSession, store: Store, a: argparse.Namespace, show) -> int:
     """Read the catalog of the rules' tables that catalog.yaml wants, and keep it as a run; or show the latest run."""
     if a.stored:
@@ -136,12 +176,16 @@ def _ask(store: Store, a: argparse.Namespace, embedder: ch.EmbeddingProvider, sh
     """One question, or each line of the input as a turn of one conversation."""
     rules, code, thread = load_rules_cached(a.rules), 0, a.thread
     chosen = [] if a.doc_types == "all" else [r.doc_type for r in rules.resolve(a.doc_types)]
-    lines = [a.text] if a.command == "ask" else (line.strip() for line in sys.stdin)
+    lines = [a.text] if a.command != "chat" else (line.strip() for line in sys.stdin)
     for question in lines:
         if a.command == "chat" and not question:
             continue
         body = {"question": question, "doc_types": chosen, "filters": search.parse_filters(a.filter), "thread": thread}
-        reply = answer.ask(store, rules.gate, body, sorted(rules.doc_types), embedder, answer.ExcerptChat(), a.top_k, a.cap)
+        how = {"top_k": a.top_k, "cap": a.cap, "candidates": a.candidates}
+        if a.command == "resume":
+            reply = answer.resume(store, rules.gate, a.pause, question, sorted(rules.doc_types), embedder, answer.ExcerptChat(), **how)
+        else:
+            reply = answer.ask(store, rules.gate, body, sorted(rules.doc_types), embedder, answer.ExcerptChat(), clarify=a.command == "ask", **how)
         show(reply.__dict__)
         thread, code = reply.thread, FAILED if reply.error else code
     return code

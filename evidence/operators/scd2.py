@@ -64,16 +64,13 @@ def _with_keys(opened: DataFrame, top: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(bases), "__g").join(F.broadcast(top)).withColumn("doc_sk", F.col("__top") + F.col("__base") + F.col("__n")).drop("__g", "__n", "__base", "__top")
 
 
-def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int, top: int | None = None) -> DataFrame:
-    """The version table after a batch: versions closed, opened, overwritten in place; others as they were.
-
-    top: the largest surrogate key given so far, where versions are a part of the table; else that of versions.
-    """
+def _after(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int, top: int | None, how: str) -> tuple[DataFrame, DataFrame]:
+    """Versions that were there, as they are after a batch (how: left for all, inner for those that it changes), and new ones."""
     now = F.lit(at).cast("timestamp")
     opens = F.col("action").isin(INSERT, NEW_VERSION, MOVE)
     todo = decided.where(F.col("action") != UNCHANGED)
     plan = todo.select("doc_id", "action", F.col("url").alias("n_url"), F.col("metadata").alias("n_metadata"), F.col("is_active").alias("n_is_active"))
-    held = versions.join(plan, (versions["doc_id"] == plan["doc_id"]) & versions["is_current"], "left").drop(plan["doc_id"])
+    held = versions.join(plan, (versions["doc_id"] == plan["doc_id"]) & versions["is_current"], how).drop(plan["doc_id"])
     closed, inplace = F.col("action").isin(NEW_VERSION, MOVE), F.col("action").isin(OVERWRITE, RECHUNK)
     kept = held.select(
         *(F.when(inplace, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) if c in ("url", "metadata", "is_active")
@@ -90,7 +87,22 @@ def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change
         now.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("reason").alias("change_reason"),
         F.lit(change_id).cast("long").alias("source_change_id"), F.lit(batch_id).cast("long").alias("batch_id"),
     )
-    return kept.unionByName(opened.select(*VERSION_COLUMNS))
+    return kept, opened.select(*VERSION_COLUMNS)
+
+
+def apply(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int, top: int | None = None) -> DataFrame:
+    """The version table after a batch: versions closed, opened, overwritten in place; others as they were.
+
+    top: the largest surrogate key given so far, where versions are a part of the table; else that of versions.
+    """
+    kept, opened = _after(versions, decided, at, change_id, batch_id, top, "left")
+    return kept.unionByName(opened)
+
+
+def delta(versions: DataFrame, decided: DataFrame, at: datetime.datetime, change_id: int, batch_id: int, top: int) -> tuple[DataFrame, DataFrame]:
+    """What a batch writes: rows as apply() has them, of changed and new versions alone, and the changed ones' doc_sk and doc_id."""
+    changed, opened = _after(versions, decided, at, change_id, batch_id, top, "inner")
+    return changed.unionByName(opened), changed.select("doc_sk", "doc_id")
 
 
 def vanished(current: DataFrame, present: DataFrame, reason: str = "not in the source any more") -> DataFrame:

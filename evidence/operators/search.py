@@ -53,12 +53,17 @@ def metadata_filter(metadata: Column, filters: dict[str, object]) -> Column:
     return keep
 
 
+def allowed(doc_types: list[str] | None = None, filters: dict[str, object] | None = None) -> Column:
+    """Of a document (is_current, is_active, doc_type, metadata): whether a search may return it."""
+    keep = F.col("is_current") & F.col("is_active")
+    if doc_types:
+        keep &= F.col("doc_type").isin(doc_types)
+    return keep & metadata_filter(F.col("metadata"), filters) if filters else keep
+
+
 def searchable(chunks: DataFrame, doc_types: list[str] | None = None, filters: dict[str, object] | None = None) -> DataFrame:
     """Chunks (with their document's is_current, is_active, doc_type, metadata) that a search may return."""
-    rows = chunks.where(F.col("is_current") & F.col("is_active"))
-    if doc_types:
-        rows = rows.where(F.col("doc_type").isin(doc_types))
-    return rows.where(metadata_filter(F.col("metadata"), filters)) if filters else rows
+    return chunks.where(allowed(doc_types, filters))
 
 
 def cosine_distance(embedding: Column, vector: list[float]) -> Column:
@@ -83,11 +88,6 @@ def shown(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.round(name, 6))
 
 
-def postings(chunks: DataFrame, terms: Column | None = None) -> DataFrame:
-    """chunk_id, doc_id, lexeme: one row a position. terms: an analyser's output, else the simple analyser's."""
-    return chunks.select("chunk_id", "doc_id", F.explode(tokens(F.col("text")) if terms is None else terms).alias("lexeme"))
-
-
 def lexeme_stats(chunks: DataFrame, terms: Column | None = None) -> DataFrame:
     """lexeme, ndoc: in how many chunks."""
     own = F.array_distinct(tokens(F.col("text")) if terms is None else terms)
@@ -148,20 +148,22 @@ def fuse(vector_rows: DataFrame, text_rows: DataFrame, top_k: int = TOP_K, max_p
     return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_per_doc).drop("n").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
-def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Both searches over what the filters allow, fused. stats: a stored lexeme_stats(), else counted anew."""
+def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None, stats: DataFrame | None = None, text_rows: DataFrame | None = None) -> DataFrame:
+    """Both searches over what the filters allow, fused. stats: a stored lexeme_stats(), else counted anew. text_rows: the
+    text search's rows where a stored index gave them."""
     if not question.strip():
         raise ValueError("the question is empty")
-    allowed = searchable(chunks, doc_types, filters)
-    return fuse(vector_search(allowed, vector, candidates), text_search(allowed, question, candidates, everything=chunks, stats=stats), top_k)
+    rows = searchable(chunks, doc_types, filters)
+    found = text_search(rows, question, candidates, everything=chunks, stats=stats) if text_rows is None else text_rows
+    return fuse(vector_search(rows, vector, candidates), found, top_k)
 
 
 def sample_matched(chunks: DataFrame, question: str, first: int = 200, limit: int = 3, doc_types: list[str] | None = None) -> DataFrame:
     """Documents to suggest: the best chunks of all come first, filters after, then the best chunk of each document."""
     top = text_search(chunks, question, first)
-    allowed = searchable(chunks.join(F.broadcast(top.select("chunk_id", "score")), "chunk_id"), doc_types)
+    rows = searchable(chunks.join(F.broadcast(top.select("chunk_id", "score")), "chunk_id"), doc_types)
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))
-    return allowed.withColumn("n", best).where("n = 1").orderBy(F.desc("score"), "chunk_id").limit(limit).select("doc_id", "chunk_id", "score")
+    return rows.withColumn("n", best).where("n = 1").orderBy(F.desc("score"), "chunk_id").limit(limit).select("doc_id", "chunk_id", "score")
 
 
 def sample_recent(docs: DataFrame, limit: int = 3, field: str = "recall_date") -> DataFrame:

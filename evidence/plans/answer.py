@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from evidence.operators import chunks as ch
 from evidence.operators import conversation as cv
 from evidence.operators import gate, search
+from evidence.plans import index
 from evidence.plans import ingest as run
 from evidence.rules.spec import Gate
 from evidence.sources.store import Store
@@ -249,6 +250,16 @@ def ask(store: Store, rules: Gate, body: dict, doc_types: list[str], embedder: c
 
 
 def _found(store: Store, question: str, embedder: ch.EmbeddingProvider, request: dict, top_k: int, candidates: int) -> list[Row]:
+    return find(store, question, embedder, top_k, candidates, request["doc_types"], request["filters"]).collect()
+
+
+def find(store: Store, question: str, embedder: ch.EmbeddingProvider, top_k: int = search.TOP_K, candidates: int = search.CANDIDATES, doc_types: list[str] | None = None, filters: dict | None = None) -> DataFrame:
+    """The best chunks for a question, by vectors and by the stored text index, with title and text. An index of another
+    model is refused."""
+    if not question.strip():
+        raise ValueError("the question is empty")
+    run.require_state(store, embedder)
     chunks = searchable(store)
-    found = search.hybrid_search(chunks, question, embedder.embed([question])[0], top_k, candidates, doc_types=request["doc_types"] or None, filters=request["filters"] or None, stats=run.lexemes(store))
-    return found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id").collect()
+    text_rows = index.text_search(store, question, candidates, search.allowed(doc_types, filters))
+    found = search.hybrid_search(chunks, question, embedder.embed([question])[0], top_k, candidates, doc_types=doc_types or None, filters=filters or None, text_rows=text_rows)
+    return found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -10,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence.functions.chunking import OVERLAP, SIZE
-from evidence.operators import changes, mapping, quality, scd2, search
+from evidence.operators import changes, mapping, quality, scd2
 from evidence.operators import chunks as ch
 from evidence.operators.catalog import Catalog, validate
+from evidence.plans import index
+from evidence.plans.index import lexemes  # noqa: F401  read beside the tables below
 from evidence.rules.spec import DocType
-from evidence.sources.store import Manifest, Store, bucket_of, columns
+from evidence.sources.store import Manifest, Store, bucket_of
 
 VERSIONS = "doc_sk long, doc_id string, doc_type string, source_id string, title string, body string, url string, metadata string, content_hash string, tracked_hash string, is_active boolean, version int, is_current boolean, valid_from timestamp, valid_to timestamp, change_reason string, source_change_id long, batch_id long"
-LEXEMES = "lexeme string, ndoc long"
+#: Actions that make a document's chunks anew, and those that change its chunks at all.
+MADE = (scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK)
+CHUNKED = (*MADE, scd2.MOVE)
 VECTORS = ch.VECTORS + ", attempt string"
-#: Changes of lexeme counts that are kept apart before a batch folds them into one table.
-LEXEME_BATCHES = 16
 CHUNKS = "chunk_id string, doc_id string, doc_sk long, ord int, text string, text_hash string, embedding array<float>, embed_model string"
 
 
@@ -44,18 +47,6 @@ def _extract(rule: DocType, frames: dict[str, DataFrame], keys: DataFrame | None
     return mapping.source_rows(rule, changes.changed_rows(keyed, keys, n_keys).drop("record_key"), children, few=True)
 
 
-def lexemes(store: Store, manifest: Manifest | None = None) -> DataFrame:
-    """lexeme, ndoc: in how many chunks. The table holds what each batch adds and takes away."""
-    held = store.table("lexeme", LEXEMES, manifest)
-    return held.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc > 0")
-
-
-def _lexeme_change(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What the counts of lexemes change by where the chunks before give way to those after."""
-    signed = search.lexeme_stats(after).unionByName(search.lexeme_stats(before).withColumn("ndoc", -F.col("ndoc")))
-    return signed.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
-
-
 def stage(rule: DocType, rows: DataFrame, keys: DataFrame | None, versions: DataFrame, rechunk: bool, stored_chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     """Decisions for every document of the run, those whose row is gone included."""
     current = versions.where(F.col("is_current") & (F.col("doc_type") == rule.doc_type))
@@ -75,39 +66,40 @@ def stage(rule: DocType, rows: DataFrame, keys: DataFrame | None, versions: Data
     return decided.unionByName(dropped.select(*decided.columns))
 
 
-def restage_chunks(stored: DataFrame, before: DataFrame, after: DataFrame, decided: DataFrame, size: int, overlap: int) -> DataFrame:
-    """The chunk table after a batch: chunks of closed versions moved or made anew with carried vectors, others untouched."""
+def restage_chunks(stored: DataFrame, after: DataFrame, decided: DataFrame, size: int, overlap: int) -> DataFrame:
+    """The chunks, after a batch, of the documents whose chunks it changes: moved, or made anew with carried vectors.
+
+    stored: their chunks before. after: their versions after the batch.
+    """
     now = after.where("is_current").select("doc_id", F.col("doc_sk").alias("new_sk"))
     act = decided.select("doc_id", "action", F.col("p_doc_sk").alias("old_sk")).join(now, "doc_id")
     moves = act.where(F.col("action") == scd2.MOVE).select("old_sk", "new_sk")
-    made = act.where(F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK))
-    replaced = made.where("old_sk is not null").select(F.col("old_sk").alias("doc_sk"))
-    kept = ch.move_chunks(stored.join(replaced, "doc_sk", "left_anti"), moves)
+    made = act.where(F.col("action").isin(*MADE))
+    kept = ch.move_chunks(stored.join(moves.select(F.col("old_sk").alias("doc_sk")), "doc_sk", "left_semi"), moves)
     texts = made.select(F.col("new_sk").alias("doc_sk")).join(after.select("doc_sk", mapping.document_text(F.col("title"), F.col("body")).alias("text")), "doc_sk")
     cut = ch.chunk_rows(texts, size, overlap).join(made.select("doc_id", F.col("new_sk").alias("doc_sk")), "doc_sk")
+    replaced = made.where("old_sk is not null").select(F.col("old_sk").alias("doc_sk"))
     fresh = ch.carry_vectors(cut, stored.join(replaced, "doc_sk", "left_semi"))
     keyed = fresh.withColumn("chunk_id", F.concat(F.col("doc_sk").cast("string"), F.lit("-"), F.col("ord").cast("string"), F.lit("-"), F.substring("text_hash", 1, 8)))
     return kept.unionByName(keyed.select(*kept.columns))
 
 
-def _touched(store: Store, manifest: Manifest, doc_ids: DataFrame) -> list[int]:
-    """The buckets of some documents; all of them while a table is not in buckets yet."""
-    if any("" in store.folders(t, manifest) for t in ("document", "chunk")):
-        return list(range(manifest.buckets))
+def _touched(manifest: Manifest, doc_ids: DataFrame) -> list[int]:
+    """The buckets of some documents."""
     return sorted(r[0] for r in doc_ids.select(bucket_of(F.col("doc_id"), manifest.buckets)).distinct().collect())
 
 
 def _chunks(store: Store, manifest: Manifest, versions: DataFrame, buckets: list[int] | None = None) -> DataFrame:
-    """The chunk table; an old store's chunks take the doc_id that they lack from their version."""
-    rows = store.table("chunk", CHUNKS, manifest, buckets)
-    if "" not in store.folders("chunk", manifest):
+    """The chunk table; the chunks of a store of layout 1 take the doc_id that they lack from their version."""
+    rows = store.table("chunk", CHUNKS, manifest, None if isinstance(manifest.tables.get("chunk"), str) else buckets)
+    if not isinstance(manifest.tables.get("chunk"), str):
         return rows
-    return rows.drop("doc_id").join(versions.select("doc_sk", "doc_id"), "doc_sk").select(*columns(CHUNKS))
+    return rows.drop("doc_id").join(versions.select("doc_sk", "doc_id"), "doc_sk").select(*rows.columns)
 
 
 def _chunk_counters(acts: DataFrame, before: DataFrame, after: DataFrame) -> dict[str, int]:
     """acts: doc_id, action. Chunks that a batch made, took away and moved, and the vectors that new chunks carry."""
-    made = F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK)
+    made = F.col("action").isin(*MADE)
     new = after.join(acts, "doc_id").agg(
         F.count_if(made).alias("chunks_added"), F.count_if(F.col("action") == scd2.MOVE).alias("chunks_moved"), F.count_if(made & F.col("embedding").isNotNull()).alias("vectors_carried"),
     ).first().asDict()
@@ -129,7 +121,7 @@ def _decisions(spark: SparkSession, store: Store, rule: DocType, frames: dict[st
         n_keys = keys.count()
         if not n_keys:
             return mode, reason, head, signature, None, None, None
-        buckets = _touched(store, manifest, keys.select(F.concat(F.lit(f"{rule.doc_type}:"), F.col("record_key")).alias("doc_id")))
+        buckets = _touched(manifest, keys.select(F.concat(F.lit(f"{rule.doc_type}:"), F.col("record_key")).alias("doc_id")))
     rows = _extract(rule, frames, keys, n_keys)
     # Rows are checked, mapped and counted: their collections are worked out once.
     path = store.write("extract", rows, batch)
@@ -139,12 +131,13 @@ def _decisions(spark: SparkSession, store: Store, rule: DocType, frames: dict[st
     return mode, reason, head, signature, rows, decided, buckets
 
 
-def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], catalog: Catalog, full: bool = False, size: int = SIZE, overlap: int = OVERLAP, approve_over: int = 0, now: datetime.datetime | None = None) -> Run:
+def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], catalog: Catalog, full: bool = False, size: int = SIZE, overlap: int = OVERLAP, approve_over: int = 0, now: datetime.datetime | None = None, provider: ch.EmbeddingProvider | None = None, max_chunks: int | None = None) -> Run:
     """One batch of one document type. Findings of severity error stop it before anything is published.
 
-    The head is read once, and the change window is closed by it. Documents, chunks and watermark are one commit. A batch
-    reads and writes the buckets of documents that it changes, and no others; lexeme counts take its differences. With
-    more than approve_over pending chunks (0: no limit) the run's status is waiting: documents are in, embedding waits.
+    The head is read once, and the change window is closed by it. Documents, chunks, their index and watermark are one
+    commit. A batch reads the buckets of documents that it changes and writes what it changes in them. With more than
+    approve_over pending chunks (0: no limit) the run's status is waiting: documents are in, embedding waits for approve().
+    Else provider, if there is one, embeds what is pending, at most max_chunks texts.
     """
     manifest: Manifest = store.manifest()
     wrong = validate(rule, frames, catalog)
@@ -163,38 +156,54 @@ def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, D
     decided = spark.read.parquet(f"{store.root}/{path}")
     stats = scd2.batch_stats(decided).first().asDict()
     acts = decided.where(F.col("action") != scd2.UNCHANGED).select("doc_id", "action")
-    touched = _touched(store, manifest, acts)
+    touched = _touched(manifest, acts)
     top = manifest.top
     if top is None:
         top = store.table("document", VERSIONS, manifest).agg(F.coalesce(F.max("doc_sk"), F.lit(0))).first()[0]
     if touched:
         versions = store.table("document", VERSIONS, manifest, touched)
-        before = _chunks(store, manifest, versions, touched)
         tables = dict(manifest.tables)
-        tables["document"] = store.write_buckets("document", scd2.apply(versions, decided, at, head, batch, top), batch, "doc_id", touched, manifest)
-        written = Manifest(**{**asdict(manifest), "tables": tables})
-        after = store.table("document", VERSIONS, written, touched)
-        tables["chunk"] = store.write_buckets("chunk", restage_chunks(before, versions, after, decided, size, overlap), batch, "doc_id", touched, manifest)
-        written.tables = tables
-        chunks = store.table("chunk", CHUNKS, written, touched)
-        stats |= _chunk_counters(acts, before, chunks)
-        new = acts.where(F.col("action").isin(scd2.INSERT, scd2.NEW_VERSION, scd2.RECHUNK))
-        change = _lexeme_change(before.join(new, "doc_id", "left_semi"), chunks.join(new, "doc_id", "left_semi"))
-        held = store.folders("lexeme", manifest)
-        if len(held) < LEXEME_BATCHES:
-            tables["lexeme"] = {**({"0": held[""]} if "" in held else held), str(batch): store.write("lexeme", change, batch)}
-        else:
-            whole = lexemes(store, manifest).unionByName(change).groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
-            tables["lexeme"] = {str(batch): store.write("lexeme", whole, batch)}
+        rows, dead = scd2.delta(versions, decided, at, head, batch, top)
+        tables["document"] = store.add_layer("document", VERSIONS, rows, dead, batch, manifest)
+        after = store.table("document", VERSIONS, Manifest(**{**asdict(manifest), "tables": tables}), touched)
+        own = acts.where(F.col("action").isin(*CHUNKED))
+        before = _chunks(store, manifest, versions, touched).join(own, "doc_id", "left_semi")
+        # The batch's chunks are read for the index and the counters: they become a table of the batch first.
+        path = store.write("made", restage_chunks(before, after, decided, size, overlap), batch)
+        chunks = spark.read.schema(CHUNKS).parquet(f"{store.root}/{path}")
+        tables["chunk"] = store.add_layer("chunk", CHUNKS, chunks, before, batch, manifest)
+        counted = _chunk_counters(acts, before, chunks)
+        stats |= counted
+        new = acts.where(F.col("action").isin(*MADE))
+        if "posting" in tables or not manifest.tables.get("chunk"):
+            index.update(store, manifest, tables, chunks.join(new, "doc_id", "left_semi"), before.join(new, "doc_id", "left_semi"), batch)
+        else:  # a store of an older layout: its whole index is made now
+            index.build(store, manifest, tables, batch)
+        if manifest.chunks is None:
+            manifest.chunks = store.table("chunk", CHUNKS, manifest).count()
+        manifest.chunks += counted["chunks_added"] - counted["chunks_removed"]
         manifest.tables, manifest.top = tables, top + stats["versions_created"]
     manifest.watermarks[rule.doc_type] = asdict(changes.Watermark(rule.doc_type, rule.source.source_id, head, signature))
     pending = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
     status = "waiting" if 0 < approve_over < pending["texts"] else "succeeded"
     manifest.runs[rule.doc_type] = {"batch": batch, "status": status, "mode": mode}
     store.publish(manifest)
+    told = (batch, rule.doc_type, at, status, mode, json.dumps(stats, sort_keys=True))
+    store.append("batch", spark.createDataFrame([told], BATCHES).coalesce(1))
+    if provider is not None and status == "succeeded" and pending["texts"]:
+        done = embed_step(spark, store, provider, max_chunks)
+        status, pending, reason = done.status, done.pending, done.reason or reason
     return Run(status, mode, reason, stats, findings, pending)
 
 
+BATCHES = "batch long, doc_type string, at timestamp, status string, mode string, stats string"
+
+
+def batches(store: Store) -> DataFrame:
+    """The log of published runs, latest first; stats is a JSON object."""
+    return store.log("batch", BATCHES).orderBy(F.desc("batch"))
+
+
 def preview(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], full: bool = False, size: int = SIZE, overlap: int = OVERLAP) -> dict:
     """What ingest() would do now: mode, head, documents by kind, texts to embed. Nothing is published."""
     manifest = store.manifest()
@@ -225,15 +234,16 @@ def init_index(store: Store, provider: ch.EmbeddingProvider, force: bool = False
     """Pin the index to a provider's model and dimension, and return the pin. Vectors of two models never mix: another model
     or dimension than the pinned is refused, or, by force, takes its place and every vector goes."""
     manifest, wanted = store.manifest(), {"model": provider.model, "dim": len(provider.embed(["dimension"])[0])}
-    if manifest.index and {**wanted, **manifest.index} != wanted:
+    if manifest.index.get("model") and {**manifest.index, **wanted} != manifest.index:
         if not force:
             raise ValueError(f"the index is pinned to {manifest.index}, not {wanted}")
         versions = store.table("document", VERSIONS, manifest)
-        bare = _chunks(store, manifest, versions).withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_model": F.lit(None).cast("string")})
-        manifest.tables["chunk"] = store.write_buckets("chunk", bare, manifest.number + 1, "doc_id", list(range(manifest.buckets)), manifest)
+        held = _chunks(store, manifest, versions).where("embedding is not null")
+        bare = held.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_model": F.lit(None).cast("string")})
+        manifest.tables["chunk"] = store.add_layer("chunk", CHUNKS, bare, held, manifest.number + 1, manifest)
         store.remove("vector")
-    if manifest.index != wanted:
-        manifest.index = wanted
+    if {**manifest.index, **wanted} != manifest.index:
+        manifest.index = {**manifest.index, **wanted}
         store.publish(manifest)
     return wanted
 
@@ -245,59 +255,75 @@ class IndexStateError(RuntimeError):
 def require_state(store: Store, provider: ch.EmbeddingProvider) -> dict:
     """The index's pin, if it is the provider's: distances between vectors of two models mean nothing."""
     held = store.manifest().index
-    if not held:
+    if not held.get("model"):
         raise IndexStateError("there is no index yet: run init or embed first")
     if held["model"] != provider.model:
         raise IndexStateError(f"the index holds vectors of {held['model']}, not of {provider.model}: go back to that model, or init by force and embed again")
     return held
 
 
-def approve(store: Store, doc_type: str, yes: bool = True) -> str:
-    """Answer a waiting run: embedding may go on, or is refused and its chunks stay pending. The run's status."""
+def approve(store: Store, doc_type: str, yes: bool = True, provider: ch.EmbeddingProvider | None = None) -> Run:
+    """Answer a waiting run: it goes on with embedding by the provider, or it is refused and its chunks stay pending."""
     manifest = store.manifest()
     held = manifest.runs.get(doc_type, {})
     if held.get("status") != "waiting":
         raise ValueError(f"no run of {doc_type} waits")
     held["status"] = "approved" if yes else "refused"
     store.publish(manifest)
-    return held["status"]
+    return embed_step(store.spark, store, provider) if yes and provider is not None else Run(held["status"])
+
+
+def _types_pending(store: Store, manifest: Manifest) -> set[str]:
+    """The document types with chunks that have no vector."""
+    open_ = store.table("chunk", CHUNKS, manifest).where("embedding is null").select("doc_sk").distinct()
+    return {r[0] for r in store.table("document", VERSIONS, manifest).join(open_, "doc_sk", "left_semi").select("doc_type").distinct().collect()}
 
 
 def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider, limit: int | None = None, wave: int = 100_000) -> Run:
     """Embed distinct pending texts, reuse equal ones, and publish; also what resumes a waiting or stopped run.
 
-    Texts go in waves of about wave, in order of their hash. A wave's vectors are kept before the next one starts, and a
-    failing request costs its own batch only: the run stops, publishes what it has, and the next run asks for the rest.
+    Texts go in waves of about wave, in order of their hash: they are written down once, with their wave, and each wave reads
+    its own. A wave's vectors are kept before the next one starts, and a failing request costs its own batch only: the run
+    stops, publishes what it has, and the next run asks for the rest. Chunks that got a vector are all that is written. A
+    run's status follows what is left of its own document type; one that waits or was refused stays so while anything is.
     """
     manifest = store.manifest()
-    pinned = manifest.index or {"model": provider.model}
-    if pinned["model"] != provider.model:
-        return Run("embedding_refused", reason=f"the index holds vectors of {pinned['model']}")
-    table = ch.reuse_embeddings(_chunks(store, manifest, store.table("document", VERSIONS, manifest)), provider.model)
-    todo = ch.embed_budget(table, limit) if limit is not None else table.where("embedding is null").groupBy("text_hash").agg(F.min("text").alias("text"))
+    if manifest.index.get("model", provider.model) != provider.model:
+        return Run("embedding_refused", reason=f"the index holds vectors of {manifest.index['model']}")
+    batch = manifest.number + 1
+    stored = _chunks(store, manifest, store.table("document", VERSIONS, manifest))
+    pending = stored.where("embedding is null")
+    known = ch.vectors_by_hash(stored.where(F.col("embed_model") == provider.model).join(pending.select("text_hash").distinct(), "text_hash", "left_semi"))
     kept = lambda: store.log("vector", VECTORS).where(F.col("embed_model") == provider.model)
-    todo = todo.join(kept().where("embedding is not null").select("text_hash"), "text_hash", "left_anti")
+    new = pending.join(known.select("text_hash"), "text_hash", "left_anti").join(kept().where("embedding is not null").select("text_hash"), "text_hash", "left_anti")
+    todo = ch.embed_budget(new, limit) if limit is not None else new.groupBy("text_hash").agg(F.min("text").alias("text"))
+    path = store.write("todo", todo, batch)
+    todo = spark.read.schema("text_hash string, text string").parquet(f"{store.root}/{path}")
     waves, error = -(-todo.count() // wave), None
-    place = F.floor(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long") * waves / 2**32)
+    if waves > 1:
+        place = F.floor(F.conv(F.substring("text_hash", 1, 8), 16, 10).cast("long") * waves / 2**32).cast("int")
+        waved = f"{store.root}/{path}-waves"
+        todo.withColumn("wave", place).repartition("wave").write.mode("overwrite").partitionBy("wave").parquet(waved)
+        todo = spark.read.schema("text_hash string, text string, wave int").parquet(waved)
     for w in range(waves):
-        attempt = f"{manifest.number + 1}-{w}-{uuid.uuid4()}"
-        store.append("vector", ch.embed(todo.where(place == w), provider).withColumn("attempt", F.lit(attempt)))
+        attempt = f"{batch}-{w}-{uuid.uuid4()}"
+        store.append("vector", ch.embed(todo.where(F.col("wave") == w) if waves > 1 else todo, provider).withColumn("attempt", F.lit(attempt)))
         error = kept().where(F.col("attempt") == attempt).agg(F.min("error")).first()[0]
         if error is not None:
             break
-    got = kept().where("embedding is not null").groupBy("text_hash").agg(F.first("embedding").alias("e"), F.first("embed_model").alias("m"))
-    fill = {"embedding": F.coalesce("embedding", "e"), "embed_model": F.coalesce("embed_model", "m")}
-    joined = lambda rows: rows.join(got, "text_hash", "left").select(*(fill[c].alias(c) if c in fill else F.col(c) for c in rows.columns))
-    stored = _chunks(store, manifest, store.table("document", VERSIONS, manifest))
-    touched = _touched(store, manifest, stored.where("embedding is null").select("doc_id"))
-    if touched:
-        own = table.where(bucket_of(F.col("doc_id"), manifest.buckets).isin(touched))
-        manifest.tables["chunk"] = store.write_buckets("chunk", joined(own), manifest.number + 1, "doc_id", touched, manifest)
-    manifest.index = pinned
+    got = kept().where("embedding is not null").groupBy("text_hash").agg(F.first("embedding").alias("embedding"), F.first("embed_model").alias("embed_model"))
+    vectors = known.unionByName(got.join(known.select("text_hash"), "text_hash", "left_anti"))
+    filled = pending.drop("embedding", "embed_model").join(vectors, "text_hash").select(*stored.columns)
+    manifest.tables["chunk"] = store.add_layer("chunk", CHUNKS, filled, filled, batch, manifest)
+    manifest.index = {"model": provider.model, **manifest.index}
     left = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
     status = "failed" if error is not None else "succeeded" if not left["texts"] else "stopped"
-    for run in manifest.runs.values():
-        run["status"] = status
+    open_types = _types_pending(store, manifest) if left["texts"] else set()
+    for doc_type, run in manifest.runs.items():
+        if doc_type not in open_types:
+            run["status"] = "succeeded"
+        elif run["status"] not in ("waiting", "refused"):
+            run["status"] = status
     store.publish(manifest)
     store.remove("vector")
     return Run(status, reason=error or "", pending=left)

@@ -40,12 +40,16 @@ def test_commands(place, capsys, monkeypatch, tmp_path):
     assert say("rules-check")[0] == 0
     assert say("plan")[1][0].items() >= {"mode": "full", "new_documents": 2, "to_embed": 2}.items()
     assert say("ingest", "--approve-over", "1")[0] == cli.PAUSED
-    assert say("approve", "note")[1][0]["status"] == "approved"
+    assert say("approve", "note")[1][0]["status"] == "succeeded"  # approved, and embedded
     assert say("embed")[0] == 0
     assert say("ingest")[1][0]["status"] == "nothing"
-    assert say("status")[1][0]["index"][0]["embedded"] == 2
+    status = say("status")[1][0]
+    assert status["index"][0]["embedded"] == 2 and status["behind"] == [{"doc_type": "note", "source_id": "notes", "behind": 0}]
+    assert [b["doc_type"] for b in status["batches"]] == ["note"]
+    assert say("ingest", "--loop", "--interval", "0")[0] == 0
     assert say("history", "note:a")[1][0]["version"] == 1
     assert say("qualify", "how many stones")[1][0]["rule_id"] == "count"
+    assert say("qualify", "stones")[1][0]["rule_id"] == "limit:min_words" and say("qualify", "stones", "--follow-up")[1][0]["decision"] == "pass"
     hits = say("search", "river stones", "--filter", "kind=x")[1]
     assert [h["doc_id"] for h in hits] == ["note:a"]
     assert say("catalog", "--stored") == (cli.FAILED, [])
@@ -54,10 +58,12 @@ def test_commands(place, capsys, monkeypatch, tmp_path):
     assert say("ask", "how many stones are there")[1][0]["decision"] == "needs_sql"
     got = say("ask", "which river stones are smooth", "--filter", "kind=x")[1][0]
     assert [s["doc_id"] for s in got["sources"]] == ["note:a"] and got["cited"] == [1]
+    vague = say("ask", "stones")[1][0]
+    assert vague["decision"] == "clarify" and say("resume", "which river stones are smooth", "--pause", vague["pause"])[1][0]["decision"] == "pass"
     assert say("feedback", got["query_id"], "--verdict", "bad")[0] == 0
     monkeypatch.setattr("sys.stdin", io.StringIO("where are white clouds\n\nand the stones\n"))
     assert [r["turn"] for r in say("chat", "--thread", got["thread"])[1]] == [2, 3]
-    assert [c["turns"] for c in say("conversations")[1]] == [3, 1]
+    assert [c["turns"] for c in say("conversations")[1]] == [1, 3, 1] and len(say("conversations", "--limit", "2")[1]) == 2
     say("catalog", "--export", f"{tmp_path}/catalog.yaml")
     assert "note:" in (tmp_path / "catalog.yaml").read_text()
 

@@ -1,16 +1,19 @@
 import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidence.operators import scd2
 from evidence.operators.catalog import Table, read_catalog, validate, verify_key
 from evidence.operators.chunks import HashEmbedder, RateLimited
 from evidence.operators.quality import blocks, run_checks
+from evidence.functions.text import english
 from evidence.operators.search import lexeme_stats
 from evidence.plans.ingest import CHUNKS, VERSIONS, approve, embed_step, ingest, init_index, lexemes, preview
 from evidence.rules.spec import Check, DocType
-from evidence.sources.store import Conflict, Store
-from evidence.streaming.changelog import head_by_source, run_on_change
+from evidence.sources.store import Conflict, OldSchema, Store
+from evidence.streaming.changelog import Follower, change_stream, head_by_source, run_on_change
 
 RULE = DocType.of({
     "doc_type": "note", "source": {"source_id": "notes", "table": "note", "key": "id"}, "title": {"field": "name"}, "body": [{"label": "Text", "value": {"field": "text"}}],
@@ -74,7 +77,7 @@ def test_incremental_life(spark, tmp_path):
     assert kept and all(before[h] == v for h, v in kept.items())
     assert run.pending["texts"] < chunks.count()
     stats = lambda df: {(r["lexeme"], r["ndoc"]) for r in df.collect()}
-    assert stats(lexemes(store)) == stats(lexeme_stats(chunks))
+    assert stats(lexemes(store)) == stats(lexeme_stats(chunks, english(F.col("text"))))
     assert embed_step(spark, store, HashEmbedder(), limit=1).status in ("stopped", "succeeded")
     assert embed_step(spark, store, HashEmbedder()).status == "succeeded"
     other = HashEmbedder()
@@ -90,7 +93,7 @@ def test_failed_checks_write_nothing_and_approval_waits(spark, tmp_path):
     source.put("b", text="other")
     run = go(spark, store, source, 2, approve_over=1)
     assert run.status == "waiting" and run.pending["texts"] == 2 and store.manifest().runs["note"]["status"] == "waiting"
-    assert approve(store, "note") == "approved"
+    assert approve(store, "note").status == "approved"
     with pytest.raises(ValueError, match="waits"):
         approve(store, "note")
     assert embed_step(spark, store, HashEmbedder()).status == "succeeded" and store.manifest().runs["note"]["status"] == "succeeded"
@@ -108,26 +111,76 @@ def test_a_reset_log_needs_a_full_run(spark, tmp_path):
     assert store.manifest().watermarks["note"]["change_id"] == 1
 
 
-def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+def layers(store, table):
+    return store.manifest().tables[table]
+
+
+@pytest.mark.parametrize("size", [40, 400])
+def test_a_batch_writes_what_it_changes(spark, tmp_path, size):
+    """However large the tables are; what it adds and kills is merged when it is read."""
     store, source = Store(spark, f"file://{tmp_path}/s", buckets=8), Source(spark)
-    for k in range(20):
+    for k in range(size):
         source.put(str(k), text=f"text {k}")
     first = go(spark, store, source, 1)
-    assert first.stats["chunks_added"] == 20 and len(store.manifest().tables["document"]) > 2
+    assert first.stats["chunks_added"] == size and [(x["rows"], x["marks"]) for x in layers(store, "chunk")] == [(size, 0)]
     before = store.manifest().tables
     source.put("3", text="text three")
+    source.put("new", text="new text")
     ahead = preview(spark, store, RULE, source.frames(), size=40, overlap=10)
-    assert (ahead["mode"], ahead["changed_documents"], ahead["new_documents"], ahead["to_embed"]) == ("incremental", 1, 0, 1)
+    assert (ahead["mode"], ahead["changed_documents"], ahead["new_documents"], ahead["to_embed"]) == ("incremental", 1, 1, 2)
     assert store.manifest().tables == before
     second = go(spark, store, source, 2)
-    assert (second.stats["chunks_added"], second.stats["chunks_removed"], second.stats["chunks_moved"]) == (1, 1, 0)
-    after = store.manifest().tables
-    for table in ("document", "chunk"):
-        assert sum(before[table].get(b) != p for b, p in after[table].items()) == 1
+    assert (second.stats["chunks_added"], second.stats["chunks_removed"], second.stats["chunks_moved"]) == (2, 1, 0)
+    written = {t: (layers(store, t)[-1]["rows"], layers(store, t)[-1]["marks"]) for t in ("document", "chunk", "posting")}
+    # The version that ended and two new ones; two chunks for one; postings of three texts.
+    assert written["document"] == (3, 1) and written["chunk"] == (2, 1) and written["posting"] == (6, 3)
     versions, chunks = state(store)
-    assert versions.count() == 21 and sorted(r["doc_sk"] for r in versions.collect()) == list(range(1, 22)) and not scd2.violations(versions).collect()
-    assert {(r["lexeme"], r["ndoc"]) for r in lexemes(store).collect()} == {(r["lexeme"], r["ndoc"]) for r in lexeme_stats(chunks).collect()}
-    assert store.sweep(1) > 0 and {r["doc_id"] for r in state(store)[0].collect()} == {f"note:{k}" for k in range(20)}
+    assert versions.count() == size + 2 and sorted(r["doc_sk"] for r in versions.collect()) == list(range(1, size + 3)) and not scd2.violations(versions).collect()
+    assert {(r["lexeme"], r["ndoc"]) for r in lexemes(store).collect()} == {(r["lexeme"], r["ndoc"]) for r in lexeme_stats(chunks, english(F.col("text"))).collect()}
+    assert store.manifest().chunks == chunks.count() == size + 1
+    assert store.sweep(1) > 0 and {r["doc_id"] for r in state(store)[0].collect()} == {f"note:{k}" for k in [*range(size), "new"]}
+
+
+def test_layers_fold_and_keep_the_latest_row(spark, tmp_path):
+    store, manifest, held = Store(spark, f"file://{tmp_path}/s", buckets=4), None, {}
+    manifest = store.manifest()
+    schema = "doc_sk long, doc_id string, title string"
+    rng = random.Random(3)
+    for batch in range(1, 25):
+        new = {rng.randrange(60): f"{batch}" for _ in range(30 if batch == 1 else 5)}
+        gone = {k for k in rng.sample(sorted(held), min(3, len(held)))} - set(new)
+        rows = spark.createDataFrame([(k, f"d{k}", v) for k, v in new.items()], schema)
+        dead = spark.createDataFrame([(k, f"d{k}", "") for k in gone | (set(new) & set(held))], schema)
+        manifest.tables["document"] = store.add_layer("document", schema, rows, dead, batch, manifest)
+        held = {k: v for k, v in held.items() if k not in gone} | new
+        if batch % 4 == 0:
+            assert {r["doc_sk"]: r["title"] for r in store.table("document", schema, manifest).collect()} == held
+    assert len(manifest.tables["document"]) <= 6
+    some = store.table("document", schema, manifest, [1]).collect()
+    assert some and {r["doc_sk"] for r in some} < set(held)
+    assert store.table("document", schema, manifest, where=F.col("doc_sk") == 7).count() == (7 in held)
+
+
+def test_an_older_layout_is_read_and_becomes_the_oldest_layer(spark, tmp_path):
+    store, source = Store(spark, f"file://{tmp_path}/s", buckets=4), Source(spark)
+    for k in range(12):
+        source.put(str(k), text=f"text {k}")
+    go(spark, store, source, 1)
+    manifest = store.manifest()
+    for t in ("document", "chunk"):
+        manifest.tables[t] = store.write(f"{t}", store.table(t, VERSIONS if t == "document" else CHUNKS), 77)
+    for t in ("posting", "dictionary", "lexeme"):
+        del manifest.tables[t]
+    manifest.schema, manifest.chunks = 2, None
+    store.publish(manifest)
+    with pytest.raises(OldSchema):
+        store.manifest()
+    assert store.migrate() == 1 and state(store)[0].count() == 12
+    source.put("3", text="other words")
+    assert go(spark, store, source, 2).stats["versions_created"] == 1
+    versions, chunks = state(store)
+    assert versions.count() == 13 and chunks.count() == 12 == store.manifest().chunks and not scd2.violations(versions).collect()
+    assert {(r["lexeme"], r["ndoc"]) for r in lexemes(store).collect()} == {(r["lexeme"], r["ndoc"]) for r in lexeme_stats(chunks, english(F.col("text"))).collect()}
 
 
 class Flaky(HashEmbedder):
@@ -212,3 +265,27 @@ def test_stream_runs_batches(spark, tmp_path):
     q = head_by_source(stream).writeStream.format("memory").queryName("heads").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     q.awaitTermination(60)
     assert {(r["source_id"], r["head"], r["changes"]) for r in spark.table("heads").collect()} == {("s", 2, 2), ("t", 3, 1)}
+
+
+def test_a_failed_run_is_skipped_and_made_up_for(spark, tmp_path):
+    """Of three micro-batches the second's run fails; the third's publishes all that is open."""
+    schema = "change_id long, source_id string, record_key string"
+    store, source, told = Store(spark, f"file://{tmp_path}/s"), Source(spark), []
+    attempts = []
+
+    def run():
+        attempts.append(1)
+        if len(attempts) == 2:
+            raise OSError("the source is away")
+        go(spark, store, source, len(attempts))
+
+    follower = Follower(run, lambda number, wrong: told.append(wrong))
+    for i, key in enumerate("abc"):
+        source.put(key, text=key)
+        spark.createDataFrame(source.log[-1:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        query = follower.start(change_stream(spark, f"{tmp_path}/log", schema), f"{tmp_path}/cp")
+        assert query.awaitTermination(120) and query.exception() is None
+        assert follower.owed == (i == 1)
+    assert len(attempts) == 3 and len(told) == 1 and "the source is away" in told[0]
+    assert {r["doc_id"] for r in state(store)[0].collect()} == {"note:a", "note:b", "note:c"} and store.manifest().watermarks["note"]["change_id"] == 3
+    assert follower.settle()
