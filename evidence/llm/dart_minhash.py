@@ -228,6 +228,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (id, class_id) after further links (a, b). What those join is found among classes, of which they touch few."""
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = materialise(both)
+    joined = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    fresh = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(classes.select("id"), "id", "left_anti")
+    known = classes.select("id", "class_id").union(fresh.select("id", F.col("id").alias("class_id")))
+    moved = joined.select(F.col("id").alias("class_id"), F.col("class_id").alias("next"))
+    return materialise(known.join(moved, "class_id", "left").select("id", F.coalesce("next", "class_id").alias("class_id")))
+
+
 def _block(similarity: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Of outsiders and members of a bucket, links that join their classes: fewer than there are classes."""
@@ -326,12 +338,11 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     for seed in range(PIVOTS):
         if not open_.take(1):
             break
-        links = links.union(by_pivots(open_, sets, similarity, seed))
-        classes = components(links)
+        classes = merged(classes, by_pivots(open_, sets, similarity, seed))
         open_ = placed(open_, classes)
     more = materialise(settled(open_, sets, similarity))
     if more.take(1):
-        classes = components(links.union(more))
+        classes = merged(classes, more)
 
     linked = classes.join(nodes.select("id", "least"), "id")
     heads = linked.groupBy("class_id").agg(F.min("least").alias("head"))
