@@ -24,7 +24,7 @@ from evidence.workers import on_workers
 PAUSED, FAILED = 3, 1
 #: Seconds between the runs of ingest --loop.
 INTERVAL = 300
-COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "status", "history", "qualify", "search", "ask", "chat", "resume", "conversations", "feedback", "rules-check", "catalog"]
+COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "index", "status", "history", "qualify", "search", "ask", "chat", "resume", "conversations", "feedback", "rules-check", "catalog"]
 
 
 def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[str, DataFrame], catalog.Catalog]:
@@ -90,6 +90,8 @@ def main(argv: list[str] | None = None) -> int:
         done = run.embed_step(spark, store, embedder, a.max_chunks)
         show(done.__dict__)
         return 0 if done.status == "succeeded" else FAILED
+    elif a.command == "index":
+        show(run.build_vectors(store))
     elif a.command == "status":
         manifest = store.manifest()
         marks = [(k, m["source_id"], m["change_id"]) for k, m in manifest.watermarks.items()]

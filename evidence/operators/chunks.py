@@ -51,6 +51,16 @@ def pending_cost(rows: DataFrame) -> DataFrame:
     return todo.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"))
 
 
+def pending_count(rows: DataFrame) -> DataFrame:
+    """Chunks without a vector."""
+    return rows.where("embedding is null").agg(F.count("*").alias("pending"))
+
+
+def repeated_texts(rows: DataFrame) -> DataFrame:
+    """text_hash, times of texts that are there more than once, and are embedded once."""
+    return rows.groupBy(sha256(F.col("text")).alias("text_hash")).agg(F.count("*").alias("times")).where("times > 1")
+
+
 def reuse_embeddings(rows: DataFrame, model: str) -> DataFrame:
     """Pending chunks take the vector of an equal text, of the same model only."""
     wanted = rows.where("embedding is null").select("text_hash").distinct()

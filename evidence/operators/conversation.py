@@ -41,6 +41,11 @@ def listed(conversations: DataFrame, log: DataFrame, limit: int) -> DataFrame:
     return counted.orderBy(F.desc("created_at"), "conversation_id").limit(limit)
 
 
+def indexed_doc_types(docs: DataFrame) -> DataFrame:
+    """The document types that can be asked about, and how many current, active documents each has."""
+    return docs.where("is_current and is_active").groupBy("doc_type").agg(F.count("*").alias("documents"))
+
+
 def used_today(log: DataFrame, now: datetime.datetime) -> DataFrame:
     return log.where(F.col("asked_at") >= F.date_trunc("DAY", F.lit(now))).agg(F.count("*").alias("used"))
 

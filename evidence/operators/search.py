@@ -148,14 +148,14 @@ def fuse(vector_rows: DataFrame, text_rows: DataFrame, top_k: int = TOP_K, max_p
     return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_per_doc).drop("n").orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
-def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None, stats: DataFrame | None = None, text_rows: DataFrame | None = None) -> DataFrame:
-    """Both searches over what the filters allow, fused. stats: a stored lexeme_stats(), else counted anew. text_rows: the
-    text search's rows where a stored index gave them."""
+def hybrid_search(chunks: DataFrame, question: str, vector: list[float], top_k: int = TOP_K, candidates: int = CANDIDATES, doc_types: list[str] | None = None, filters: dict[str, object] | None = None, stats: DataFrame | None = None, text_rows: DataFrame | None = None, vector_rows: DataFrame | None = None) -> DataFrame:
+    """Both searches over what the filters allow, fused. stats: a stored lexeme_stats(), else counted anew. text_rows,
+    vector_rows: a search's rows where a stored index gave them."""
     if not question.strip():
         raise ValueError("the question is empty")
     rows = searchable(chunks, doc_types, filters)
     found = text_search(rows, question, candidates, everything=chunks, stats=stats) if text_rows is None else text_rows
-    return fuse(vector_search(rows, vector, candidates), found, top_k)
+    return fuse(vector_search(rows, vector, candidates) if vector_rows is None else vector_rows, found, top_k)
 
 
 def sample_matched(chunks: DataFrame, question: str, first: int = 200, limit: int = 3, doc_types: list[str] | None = None) -> DataFrame:
@@ -172,6 +172,17 @@ def sample_recent(docs: DataFrame, limit: int = 3, field: str = "recall_date") -
     return docs.select("doc_id", when.alias("date")).orderBy(F.desc_nulls_last("date"), F.desc("doc_id")).limit(limit)
 
 
+def count_by(docs: DataFrame, field: str) -> DataFrame:
+    """How many documents have each value of a field of their metadata: the field as text, documents."""
+    return docs.groupBy(F.get_json_object("metadata", f"$.{field}").alias(field)).agg(F.count("*").alias("documents"))
+
+
+def latest(docs: DataFrame, filters: dict[str, object], field: str, limit: int = 50) -> DataFrame:
+    """The latest documents that filters allow, by a date in their metadata, those without it last."""
+    when = F.get_json_object("metadata", f"$.{field}")
+    return docs.where(metadata_filter(F.col("metadata"), filters)).orderBy(F.desc_nulls_last(when), "doc_id").limit(limit)
+
+
 # How titles of the two known document types begin, end and name nobody.
 _HEADLINE, _CUTS, _NOBODY = "CPSC consumer product recall: ", (" Due to ", " Due To ", " due to ", ";"), "unknown firm"
 _QUESTIONS = {"drug_recall": "Why did {} recall a drug?", "cpsc_recall": "What hazard did CPSC report for {}?"}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from evidence.operators import chunks as ch
 from evidence.operators import conversation as cv
 from evidence.operators import gate, search
-from evidence.plans import index
+from evidence.plans import index, vectors
 from evidence.plans import ingest as run
 from evidence.rules.spec import Gate
 from evidence.sources.store import Store
@@ -261,5 +261,7 @@ def find(store: Store, question: str, embedder: ch.EmbeddingProvider, top_k: int
     run.require_state(store, embedder)
     chunks = searchable(store)
     text_rows = index.text_search(store, question, candidates, search.allowed(doc_types, filters))
-    found = search.hybrid_search(chunks, question, embedder.embed([question])[0], top_k, candidates, doc_types=doc_types or None, filters=filters or None, text_rows=text_rows)
+    vector, allowed = embedder.embed([question])[0], search.allowed(doc_types, filters)
+    near = vectors.vector_search(store, vector, candidates, allowed)
+    found = search.hybrid_search(chunks, question, vector, top_k, candidates, doc_types=doc_types or None, filters=filters or None, text_rows=text_rows, vector_rows=near.rows if near else None)
     return found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id")

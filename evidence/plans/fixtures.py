@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence.operators import mapping, scd2
+from evidence.plans import index
+from evidence.plans.vectors import build as build_vectors
 from evidence.rules.spec import DocType
-from evidence.workers import on_workers
+from evidence.sources.store import Manifest, Store
+from evidence.workers import delete_on_exit, on_workers, shared_dir
 
 T0, T1, T2 = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 2, 1), datetime.datetime(2024, 3, 1)
 CHANGE_ID, BATCH_ID = 77, 2
@@ -117,6 +121,24 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "doc_sk", "text", "text_hash", F.when(has, F.col("embedding")).alias("embedding"), model.alias("embed_model"))
 
 
+def indexed(spark: SparkSession, d: str, vectors: bool = False) -> Store:
+    """A store that holds documents as chunks of their own documents, with the index of their words, or of their vectors."""
+    path = f"{shared_dir(spark)}/evidence/index-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    store, manifest = Store(spark, path), Manifest(index={"analyser": "simple"})
+    rows = chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("doc_id", F.concat(F.lit("d"), "chunk_id"))
+    docs = rows.select(F.xxhash64("chunk_id").alias("doc_sk"), "doc_id", "doc_type", "metadata", "is_current", "is_active")
+    held = "doc_sk long, doc_id string, doc_type string, metadata string, is_current boolean, is_active boolean"
+    manifest.tables["document"] = store.add_layer("document", held, docs, None, 1, manifest)
+    if vectors:
+        build_vectors(store, manifest, rows)
+        return store
+    manifest.chunks = rows.count()
+    index.update(store, manifest, manifest.tables, rows, rows.limit(0), 1)
+    store.publish(manifest)
+    return store
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """First lines of user turns, some cut to a few characters or replaced, as questions."""
     n = F.col("conv_id") % 6

@@ -115,4 +115,4 @@ def text_search(store: Store, question: str, limit: int = search.CANDIDATES, all
             return best(store.spark.createDataFrame(kept, empty.schema)) if kept else empty
         window *= 4
     docs = store.table("document", documents + ", doc_sk long", manifest).where(allowed)
-    return best(hits.join(docs.select("doc_id"), "doc_id", "left_semi")).limit(limit)
+    return best(hits.join(docs.select("doc_id"), "doc_id", "left_semi")).limit(limit).select("chunk_id", "doc_id", "score")

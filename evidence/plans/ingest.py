@@ -14,7 +14,7 @@ from evidence.functions.chunking import OVERLAP, SIZE
 from evidence.operators import changes, mapping, quality, scd2
 from evidence.operators import chunks as ch
 from evidence.operators.catalog import Catalog, validate
-from evidence.plans import index
+from evidence.plans import index, vectors
 from evidence.plans.index import lexemes  # noqa: F401  read beside the tables below
 from evidence.rules.spec import DocType
 from evidence.sources.store import Manifest, Store, bucket_of
@@ -179,6 +179,7 @@ def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, D
             index.update(store, manifest, tables, chunks.join(new, "doc_id", "left_semi"), before.join(new, "doc_id", "left_semi"), batch)
         else:  # a store of an older layout: its whole index is made now
             index.build(store, manifest, tables, batch)
+        vectors.update(store, manifest, tables, chunks, before, batch)
         if manifest.chunks is None:
             manifest.chunks = store.table("chunk", CHUNKS, manifest).count()
         manifest.chunks += counted["chunks_added"] - counted["chunks_removed"]
@@ -241,6 +242,8 @@ def init_index(store: Store, provider: ch.EmbeddingProvider, force: bool = False
         held = _chunks(store, manifest, versions).where("embedding is not null")
         bare = held.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_model": F.lit(None).cast("string")})
         manifest.tables["chunk"] = store.add_layer("chunk", CHUNKS, bare, held, manifest.number + 1, manifest)
+        for name in ("vector_list", "centroid"):
+            manifest.tables.pop(name, None)
         store.remove("vector")
     if {**manifest.index, **wanted} != manifest.index:
         manifest.index = {**manifest.index, **wanted}
@@ -248,6 +251,15 @@ def init_index(store: Store, provider: ch.EmbeddingProvider, force: bool = False
     return wanted
 
 
+def build_vectors(store: Store, lists: int | None = None) -> dict:
+    """Index the vectors of all chunks anew; how many lists and vectors there are."""
+    manifest = store.manifest()
+    rows = _chunks(store, manifest, store.table("document", VERSIONS, manifest))
+    manifest = vectors.build(store, manifest, rows.where(F.col("embed_model") == manifest.index.get("model", "")), lists)
+    held = store.table("centroid", vectors.CENTROID, manifest).agg(F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("vectors"))
+    return held.first().asDict()
+
+
 class IndexStateError(RuntimeError):
     """There is no index, or it holds vectors of another model than the one asked for."""
 
@@ -312,9 +324,10 @@ def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider
         if error is not None:
             break
     got = kept().where("embedding is not null").groupBy("text_hash").agg(F.first("embedding").alias("embedding"), F.first("embed_model").alias("embed_model"))
-    vectors = known.unionByName(got.join(known.select("text_hash"), "text_hash", "left_anti"))
-    filled = pending.drop("embedding", "embed_model").join(vectors, "text_hash").select(*stored.columns)
+    known_now = known.unionByName(got.join(known.select("text_hash"), "text_hash", "left_anti"))
+    filled = pending.drop("embedding", "embed_model").join(known_now, "text_hash").select(*stored.columns)
     manifest.tables["chunk"] = store.add_layer("chunk", CHUNKS, filled, filled, batch, manifest)
+    vectors.update(store, manifest, manifest.tables, store.table("chunk", CHUNKS, manifest).join(filled.select("chunk_id"), "chunk_id", "left_semi"), filled.limit(0), batch)
     manifest.index = {"model": provider.model, **manifest.index}
     left = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
     status = "failed" if error is not None else "succeeded" if not left["texts"] else "stopped"

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence.functions.chunking import chunks as cut
-from evidence.functions.text import english, fold, normalise, strip
-from evidence.operators import catalog, changes, conversation, gate, mapping, quality, scd2, search
+from evidence.functions.text import fold, normalise, strip
+from evidence.operators import catalog, changes, conversation, gate, inverted, mapping, quality, scd2, search
 from evidence.operators import chunks as ch
 from evidence.plans import fixtures as fx
+from evidence.plans import index, vectors
 from evidence.plans import ingest as run
 from evidence.rules.spec import Check
 
@@ -67,9 +68,10 @@ def changed_rows(s, d):
     return changes.changed_rows(_parents(s, d), _keys(s, d)).select("c_custkey", "c_name", "c_acctbal")
 
 
-@query(f"SELECT record_key FROM ({_KEYS}) WHERE record_key NOT IN (SELECT c_custkey::VARCHAR FROM customer)")
+@query(f"SELECT record_key FROM ({_KEYS}) WHERE record_key NOT IN (SELECT o_orderkey::VARCHAR FROM orders)")
 def missing_keys(s, d):
-    return changes.missing_keys(_parents(s, d), _keys(s, d))
+    # The log's keys against orders, whose keys have gaps.
+    return changes.missing_keys(fx.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("record_key")), _keys(s, d))
 
 
 # Mapping.
@@ -202,8 +204,8 @@ def chunk_documents(s, d):
 
 @query("SELECT sha256(l) AS text_hash, count(*) AS times FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1 HAVING count(*) > 1")
 def chunk_hash_dedup(s, d):
-    lines = fx.table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("l"))
-    return lines.groupBy(F.sha2("l", 256).alias("text_hash")).agg(F.count("*").alias("times")).where("times > 1")
+    lines = fx.table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    return ch.repeated_texts(lines)
 
 
 _STORED = "SELECT c.doc_id AS chunk_id, c.doc_id // 3 AS doc_sk, c.text, sha256(c.text) AS text_hash, CASE WHEN c.doc_id % 2 = 0 THEN e.embedding END AS embedding, CASE WHEN c.doc_id % 2 = 0 AND e.embedding IS NOT NULL THEN CASE WHEN c.doc_id % 4 = 0 THEN 'm1' ELSE 'm2' END END AS embed_model FROM documents c LEFT JOIN embeddings e ON e.vec_id = c.doc_id"
@@ -235,9 +237,17 @@ def reuse_embeddings(s, d):
     return ch.reuse_embeddings(fx.stored(s, d), "m1").select("chunk_id", "embed_model", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
-@query(f"SELECT doc_sk, count(*) AS chunks FROM ({_STORED}) GROUP BY 1 HAVING count(*) = count(embedding)")
+@query(f"SELECT doc_sk, count(*) AS chunks FROM (SELECT chunk_id // 4 AS doc_sk, CASE WHEN chunk_id % 2 = 0 OR chunk_id % 3 = 0 THEN text END AS embedding FROM ({_STORED}) WHERE chunk_id % 4 <> 1) GROUP BY 1 HAVING count(*) = count(embedding)")
 def mark_indexed(s, d):
-    return ch.mark_indexed(fx.stored(s, d))
+    # Versions of three chunks, of which the one at 3 has a vector only where its number divides by 3.
+    k = F.col("chunk_id")
+    rows = fx.stored(s, d).where(k % 4 != 1).select(F.floor(k / 4).alias("doc_sk"), F.when((k % 2 == 0) | (k % 3 == 0), F.col("text")).alias("embedding"))
+    return ch.mark_indexed(rows)
+
+
+@query(f"SELECT count(*) AS pending FROM ({_STORED}) WHERE embedding IS NULL")
+def pending_count(s, d):
+    return ch.pending_count(fx.stored(s, d))
 
 
 @query(f"SELECT text_hash, min(text) AS text FROM ({_STORED}) WHERE embedding IS NULL GROUP BY 1 ORDER BY 1 LIMIT 50")
@@ -281,7 +291,9 @@ def lexeme_stats(s, d):
 
 @query()
 def english_lexeme_stats(s, d):
-    return search.lexeme_stats(fx.chunks(s, d), english(F.col("text")))
+    rows = fx.chunks(s, d)
+    words = inverted.new_tokens(rows, s.createDataFrame([], inverted.DICTIONARY), "english")
+    return inverted.counts(inverted.postings(rows, words))
 
 
 @query(_RARE)
@@ -295,6 +307,36 @@ def text_search(s, d):
     return search.text_search(fx.chunks(s, d), fx.QUESTION)
 
 
+_WHOLE = "SELECT doc_id::VARCHAR AS chunk_id, 'd' || doc_id AS doc_id, lang AS doc_type, doc_id % 11 <> 0 AS is_active, text FROM documents"
+
+
+def _stored_text_sql(where: str) -> str:
+    return f"SELECT chunk_id, doc_id, round(count(*) * 0.1, 6) AS score FROM (SELECT chunk_id, doc_id, unnest({_TOKENS}) AS lexeme FROM ({_WHOLE}) WHERE {where}) WHERE lexeme IN (SELECT lexeme FROM ({_RARE})) GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 40"
+
+
+@query(_stored_text_sql("true"))
+def stored_text_search(s, d):
+    return index.text_search(fx.indexed(s, d), fx.QUESTION)
+
+
+@query(_stored_text_sql("is_active AND doc_type IN ('de', 'fr')"))
+def stored_text_search_filtered(s, d):
+    return index.text_search(fx.indexed(s, d), fx.QUESTION, allowed=search.allowed(["de", "fr"]))
+
+
+@query(f"SELECT lexeme, chunk_id, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM (SELECT chunk_id, doc_id, unnest({_TOKENS}) AS lexeme, generate_subscripts({_TOKENS}, 1)::INT AS pos FROM ({_WHOLE})) WHERE lexeme IN (SELECT lexeme FROM ({_RARE})) GROUP BY 1, 2, 3")
+def stored_postings(s, d):
+    store = fx.indexed(s, d)
+    terms = index.rare_terms(store, fx.QUESTION, store.manifest())
+    return store.table("posting", inverted.POSTING, where=F.col("lexeme").isin(terms)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@query("SELECT vec_id::VARCHAR AS chunk_id, 'd' || vec_id AS doc_id, round(d, 6) AS distance FROM (SELECT vec_id, list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 11 <> 0 AND lang = 'fr') ORDER BY d, 1 LIMIT 40")
+def stored_vector_search(s, d):
+    found = vectors.vector_search(fx.indexed(s, d, vectors=True), fx.query_vector(s, d), allowed=search.allowed(["fr"]), exact=True)
+    return search.shown(found.rows, "distance")
+
+
 @query(_vector_sql("true", 40))
 def vector_search(s, d):
     return search.shown(search.vector_search(fx.chunks(s, d), fx.query_vector(s, d)), "distance")
@@ -359,17 +401,21 @@ def index_stats(s, d):
 
 @query("SELECT lang AS doc_type, count(*) AS documents FROM documents GROUP BY 1")
 def indexed_doc_types(s, d):
-    return fx.table(s, d, "documents").groupBy(F.col("lang").alias("doc_type")).agg(F.count("*").alias("documents"))
+    return conversation.indexed_doc_types(fx.table(s, d, "documents").select(F.col("lang").alias("doc_type"), F.lit(True).alias("is_current"), F.lit(True).alias("is_active")))
 
 
 @query("SELECT year(o_orderdate)::INT AS year, count(*) AS documents FROM orders GROUP BY 1")
 def count_by_year(s, d):
-    return fx.table(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("documents"))
+    docs = fx.table(s, d, "orders").select(F.to_json(F.struct(F.year("o_orderdate").alias("year"))).alias("metadata"))
+    return search.count_by(docs, "year").select(F.col("year").cast("int").alias("year"), "documents")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def recent_filtered(s, d):
-    return fx.table(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority like '1%'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate")
+    meta = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date")))
+    docs = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), meta.alias("metadata"), "o_orderdate")
+    found = search.latest(docs, {"status": "F", "priority": "1"}, "date", 50)
+    return found.select(F.col("doc_id").alias("o_orderkey"), "o_orderdate")
 
 
 def _labelled(s, d):

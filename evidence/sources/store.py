@@ -33,13 +33,17 @@ SCRATCH = ("changed", "extract", "decision", "made", "todo")
 
 @dataclass(frozen=True)
 class Keyed:
-    """key: what tells a row from others. by: the column whose hash gives the bucket."""
+    """key: what tells a row from others. by: the column whose hash gives the bucket, or that is its number (plain)."""
 
     key: tuple[str, ...]
     by: str
+    plain: bool = False
 
+    def bucket(self, buckets: int) -> Column:
+        return F.col(self.by).cast("int") if self.plain else bucket_of(F.col(self.by), buckets)
 
-KEYED = {"document": Keyed(("doc_sk",), "doc_id"), "chunk": Keyed(("chunk_id",), "doc_id"), "posting": Keyed(("lexeme", "chunk_id"), "lexeme")}
+
+KEYED = {"document": Keyed(("doc_sk",), "doc_id"), "chunk": Keyed(("chunk_id",), "doc_id"), "posting": Keyed(("lexeme", "chunk_id"), "lexeme"), "vector_list": Keyed(("chunk_id",), "list", plain=True)}
 
 
 class Conflict(RuntimeError):
@@ -132,7 +136,7 @@ class Store:
         paths = [f"{self.root}/{p}" for p in self.folders(name, manifest).values()]
         found = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         if buckets is not None and name in KEYED:
-            found = found.where(bucket_of(F.col(KEYED[name].by), manifest.buckets).isin(buckets))
+            found = found.where(KEYED[name].bucket(manifest.buckets).isin(buckets))
         return found if where is None else found.where(where)
 
     def _part(self, part: str, schema: str, layers: list[dict], buckets: list[int] | None, where: Column | None) -> DataFrame:
@@ -179,7 +183,7 @@ class Store:
             if df is None:
                 continue
             # Rebalanced, not repartitioned: small buckets share a task, a large one is written by several.
-            dealt = df.withColumn("b", bucket_of(F.col(kind.by), manifest.buckets)).hint("rebalance", "b").sortWithinPartitions("b", *kind.key)
+            dealt = df.withColumn("b", kind.bucket(manifest.buckets)).hint("rebalance", "b").sortWithinPartitions("b", *kind.key)
             counts[part] = self._write_part(path, part, dealt.drop(*({kind.by} - set(kind.key) if part == "marks" else ())))
         return {"path": path, **counts}
 
