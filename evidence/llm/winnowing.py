@@ -1,13 +1,15 @@
 """Document fingerprints by winnowing, in SQL functions alone.
 
-A gram is every run of GRAM code points; of the hashes in every window of WINDOW neighbouring grams the least is chosen,
-the rightmost of equal ones, and kept with its position. So two texts that share a run of GRAM + WINDOW - 1 code points
+A gram is every run of GRAM bytes of the text's UTF-8; of the hashes in every window of WINDOW neighbouring grams the least
+is chosen, the rightmost of equal ones, and kept with its position. So two texts that share a run of GRAM + WINDOW - 1 bytes
 share a hash, and each of them has it inside that run. A text of fewer grams than a window has one window with all of
-them; a text shorter than a gram is one gram; an empty text has none.
+them; a text shorter than a gram is one gram; an empty text has none. Bytes, because cutting a gram out of code points
+takes time by its distance from the start.
 
 A text is read in pieces of SPAN windows that overlap by a window and a gram, so the work grows with its length. One fold
-over a piece's hashes keeps the least of the window so far, and looks at a whole window again only when the least leaves
-it. The last window of a piece is the first of the next one, which doesn't repeat what that window chose.
+over a piece's hashes keeps the least of the window so far, passes over groups of grams that can't change it, and looks at
+a whole window again only when the least leaves it. The last window of a piece is the first of the next one, which doesn't
+repeat what that window chose.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from evidence.llm.common import materialise
 GRAM, WINDOW, SPAN = 16, 48, 192
 #: Bits of a hash, and of a position within a piece; both share a long.
 HASH, PLACE = 31, 9
-#: Grams that are cut from one part of a piece, and that are looked at together.
-PART, GROUP = 32, 8
+#: Grams that are looked at together.
+GROUP = 8
 _LAST = (1 << PLACE) - 1
-#: Code points that a piece reads: its windows, the next one's first, and the rest of the last gram.
+#: Bytes that a piece reads: its windows, the next one's first, and the rest of the last gram.
 READ = SPAN + WINDOW + GRAM - 1
 
 
@@ -39,14 +41,9 @@ def _chosen(piece: Column, starts: Column) -> Column:
 
     starts: whether the piece begins the text; else its first window belongs to the piece before.
     """
-    n_grams = F.greatest(F.char_length(piece) - (GRAM - 1), F.lit(1))
-    # Finding a code point takes time by its distance from the start, so grams are cut from short parts.
-    parts = F.transform(F.sequence(F.lit(0), F.floor((n_grams - 1) / PART).cast("int")), lambda j: F.substring(piece, j * PART + 1, F.lit(PART + GRAM - 1)))
-
-    def grams_of(part: Column, j: Column) -> Column:
-        last = F.greatest(F.char_length(part) - GRAM, F.lit(0))
-        hashed = lambda i: F.xxhash64(F.substring(part, i + 1, F.lit(GRAM))).bitwiseAND((1 << HASH) - 1)
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(hashed(i), PLACE) + (F.lit(_LAST) - j * PART - i))
+    n_grams = F.greatest(F.octet_length(piece) - (GRAM - 1), F.lit(1))
+    hashed = lambda i: F.xxhash64(F.substring(piece, i, F.lit(GRAM))).bitwiseAND(((1 << HASH) - 1) << PLACE)
+    grams = F.transform(F.sequence(F.lit(1), n_grams), lambda i: hashed(i) + (F.lit(_LAST + 1) - i))
 
     def winnowed(h: Column) -> Column:
         place = lambda v: v.bitwiseAND(_LAST)
@@ -65,30 +62,31 @@ def _chosen(piece: Column, starts: Column) -> Column:
         groups = F.when(F.size(h) > WINDOW, F.sequence(F.lit(0), F.floor((F.size(h) - WINDOW - 1) / GROUP).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.aggregate(groups, zero, lambda s, g: _let(F.slice(h, g * GROUP + (WINDOW + 1), F.lit(GROUP)), lambda own: grouped(s, g, own)), lambda s: s["out"])
 
-    return _let(F.flatten(F.transform(parts, grams_of)), winnowed)
+    return _let(grams, winnowed)
 
 
-def by_piece(text: Column, skipped: Column | None = None) -> Column:
-    """The fingerprint of a text, by piece: array<array<struct<hash int, pos int>>>; pos counts code points from 0.
+def by_piece(data: Column, skipped: Column | None = None) -> Column:
+    """The fingerprint of bytes, by piece: array<array<struct<hash int, pos int>>>; pos counts bytes from 0.
 
-    skipped: how many pieces of the text come before this one.
+    skipped: how many pieces of the text come before these bytes.
     """
     before = F.lit(0) if skipped is None else skipped
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{READ}}})).{{1,{SPAN}}}"), F.lit(1))
+    windows = F.greatest(F.octet_length(data) - (GRAM + WINDOW - 2), F.lit(1))
+    numbers = F.when(F.octet_length(data) > 0, F.sequence(F.lit(0), F.floor((windows - 1) / SPAN).cast("int"))).otherwise(F.array().cast("array<int>"))
     point = lambda v, j: F.struct(F.shiftright(v, PLACE).cast("int").alias("hash"), ((before + j) * SPAN + _LAST - v.bitwiseAND(_LAST)).cast("int").alias("pos"))
-    return F.transform(pieces, lambda piece, j: F.transform(_chosen(piece, before + j == 0), lambda v: point(v, j)))
+    return F.transform(numbers, lambda j: F.transform(_let(F.substring(data, j * SPAN + 1, F.lit(READ)), lambda piece: _chosen(piece, before + j == 0)), lambda v: point(v, j)))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text that isn't null: array<struct<hash int, pos int>> in order of pos."""
-    return F.flatten(by_piece(text))
+    return F.flatten(by_piece(text.cast("binary")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two arrays of hashes as sets; 1 where both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - shared
-    return F.when(union == 0, 1.0).otherwise(shared / union)
+    ratio = lambda shared, both: F.when(both == 0, 1.0).otherwise(shared / (both - shared))
+    both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    return _let(F.struct(F.size(F.array_intersect(a, b)).alias("shared"), both.alias("both")), lambda n: ratio(n["shared"], n["both"]))
 
 
 def shown(points: Column) -> Column:
@@ -129,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     keys = keyed.groupBy("known", "id", "h").agg(F.floor(F.max(F.char_length("text")) / 4).cast("int").alias("q"), F.count("*").alias("copies"))
     chain = _next(keys)
-    pieces = by_piece(F.col("text"))
+    pieces = by_piece(F.col("text").cast("binary"))
     marked = keyed.withColumn("pieces", pieces)
     flat = lambda field: F.transform(F.flatten("pieces"), lambda p: p[field])
     counts = F.transform("pieces", lambda p: F.size(p))
@@ -148,16 +146,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _edited(rows: DataFrame) -> DataFrame:
     """rows: doc_id, text, hashes, places, counts (points of each piece), q, case (begin, n_hashes, times)."""
     n = F.char_length("text")
-    kept = rows.withColumns({"n": n}).withColumn("edited", F.concat(F.expr("substring(text, 1, n - q)"), F.col("case.begin")))
+    kept = rows.withColumn("n", n).withColumn("left", F.expr("substring(text, 1, n - q)")).withColumn("edited", F.concat("left", "case.begin"))
     # Pieces that read nothing but what is kept choose what they chose before.
-    same = F.greatest(F.lit(0), F.floor((F.col("n") - F.col("q") - READ) / SPAN) + 1).cast("int")
+    same = F.greatest(F.lit(0), F.floor((F.octet_length("left") - READ) / SPAN) + 1).cast("int")
     kept = kept.withColumn("same", same).withColumn("points", F.arrays_zip(F.col("hashes").alias("hash"), F.col("places").alias("pos")))
     held = F.aggregate(F.slice("counts", 1, F.col("same")), F.lit(0), lambda s, x: s + x)
-    fresh = F.flatten(by_piece(F.expr(f"substring(edited, same * {SPAN} + 1)"), F.col("same")))
+    fresh = F.flatten(by_piece(F.expr(f"substring(cast(edited AS binary), same * {SPAN} + 1)"), F.col("same")))
     kept = kept.withColumn("edited_points", F.concat(F.slice("points", F.lit(1), held), fresh))
     out = kept.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "points", "edited_points",
-        likeness(F.col("hashes"), F.transform("edited_points", lambda p: p["hash"])).alias("near_edited"), likeness(F.col("hashes"), F.col("case.n_hashes")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_points.hash")).alias("near_edited"), likeness(F.col("hashes"), F.col("case.n_hashes")).alias("near_next"),
         F.col("case.times").alias("times"),
     )
     return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")

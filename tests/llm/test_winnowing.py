@@ -20,14 +20,15 @@ def picked(hashes):
 
 
 def grams(text):
-    return [text[i : i + winnowing.GRAM] for i in range(max(1, len(text) - winnowing.GRAM + 1))] if text else []
+    data = text.encode()
+    return [data[i : i + winnowing.GRAM] for i in range(max(1, len(data) - winnowing.GRAM + 1))] if data else []
 
 
 def fingerprints(spark, texts):
     """Of each text, by brute force; gram hashes are Spark's own."""
     every = sorted({g for t in texts for g in grams(t)})
-    rows = spark.createDataFrame([(g,) for g in every], "g string").select("g", F.xxhash64("g").bitwiseAND((1 << winnowing.HASH) - 1).alias("h")).collect()
-    hashed = {r["g"]: r["h"] for r in rows}
+    rows = spark.createDataFrame([(g,) for g in every], "g binary").select("g", F.shiftright(F.xxhash64("g"), winnowing.PLACE).bitwiseAND((1 << winnowing.HASH) - 1).alias("h")).collect()
+    hashed = {bytes(r["g"]): r["h"] for r in rows}
     return {t: picked([hashed[g] for g in grams(t)]) if t else [] for t in texts}
 
 
@@ -87,9 +88,12 @@ def test_repeated_rows(spark):
 
 @pytest.mark.parametrize("at", [0, 17, 191, 192, 500])
 def test_guarantee(spark, at):
-    """A shared run of GRAM + WINDOW - 1 code points shares a hash, and inside the run in both texts."""
+    """A shared run of GRAM + WINDOW - 1 bytes shares a hash, and inside the run in both texts."""
     run = "".join(chr(0x61 + (i * i + 3 * i) % 26) for i in range(winnowing.GRAM + winnowing.WINDOW - 1))
     left, right = "L" + "".join(chr(0x410 + (i * 7) % 32) for i in range(at)) + run + "q" * 300, "".join(chr(0x3B1 + (i * 5) % 24) for i in range(2 * at + 9)) + run + "z"
     a, b = (r["f"] for r in spark.createDataFrame([(0, left), (1, right)], "i int, t string").select("i", winnowing.fingerprint(F.col("t")).alias("f")).orderBy("i").collect())
-    inside = lambda f, t: {p["hash"] for p in f if t.index(run) <= p["pos"] <= t.index(run) + winnowing.WINDOW - 1}
+    def inside(points, text):
+        at = text.encode().index(run.encode())
+        return {p["hash"] for p in points if at <= p["pos"] <= at + winnowing.WINDOW - 1}
+
     assert inside(a, left) & inside(b, right)
