@@ -64,6 +64,14 @@ def gaussian(dim: int) -> np.ndarray:
     return np.random.default_rng(20_000 + dim).normal(size=(dim, M))
 
 
+def scaled(v: np.ndarray) -> bool:
+    """Scale the rows whose squares don't fit a double by a power of two, which changes no cosine; whether there were any."""
+    power = np.frexp(np.abs(v).max(axis=1))[1]
+    odd = np.flatnonzero(np.abs(power) > 400)
+    v[odd] = np.ldexp(v[odd], -power[odd, None])
+    return len(odd) > 0
+
+
 class Tree:
     """A complete kd-tree in heap order: node i has children 2i + 1 (at most cut) and 2i + 2."""
 
@@ -206,8 +214,10 @@ def projected_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, confi
     def project(batches):
         for batch in batches:
             if batch.num_rows:
-                v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(list((v / np.sqrt((v * v).sum(1, keepdims=True))) @ g))], names=["vec_id", "embedding", "point"])
+                v, held = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim), batch.column("embedding")
+                if scaled(v):
+                    held = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), held, pa.array(list((v / np.sqrt((v * v).sum(1, keepdims=True))) @ g))], names=["vec_id", "embedding", "point"])
 
     element = good.schema["embedding"].dataType.simpleString()
     projected = materialise(good.mapInArrow(project, f"vec_id long, embedding {element}, point array<double>"))

@@ -52,6 +52,17 @@ def test_odd_vectors(spark):
     assert projected_neighbours.projected_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    """Finite vectors whose squares don't fit a double are neighbours like any other."""
+    rows = [(0, [1e-200, 2e-200]), (1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [2.0, 1.0]), (50, [1.0, 2.1]), (51, [5e-324, 0.0]), (52, [1.7e308, -1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in projected_neighbours.projected_neighbours(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 50} and [i for i, _ in got[0]][:3] == [1, 2, 50] and [i for i, _ in got[50]][:3] == [0, 1, 2]
+    assert all(s == pytest.approx(1) for _, s in got[0][:2]) and [i for i, _ in got[0]][3:] == [3, 51]
+
+
 @pytest.mark.parametrize("block", [24, projected_neighbours.BLOCK])
 def test_rows_repeated_more_than_k_times(spark, monkeypatch, block):
     """A vec_id takes one of the k places, in its block and over all blocks, however many rows it has; so does a query."""
