@@ -6,7 +6,6 @@ Words are runs of characters other than space and U+0009..U+000D. A null text is
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.workers import on_workers
+from evidence.workers import delete_on_exit, on_workers, shared_dir
 
 WORD = re.compile(r"[^\x20\t-\r]+")
 _ODD_SPACE = re.compile(r"[^\S\x20\t-\r]")
@@ -57,28 +56,18 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only a local session may fall back to a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="evidence-"))
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder. What is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/evidence/{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, outlives executors. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidence/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:

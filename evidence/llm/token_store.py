@@ -7,16 +7,22 @@ as shards of about SHARD_BYTES by Spark's own writer, so that a lost executor le
     magic 8 | dictionary hash 8 | documents 4 | bytes an id 4 | ids before it in its range 8
     | doc_id 8 each | has doc_id 1 each | ids 8 each | frame offsets 8 each, one more than documents | frames
 
-in little-endian order; an id takes 2 bytes if every id of the tokenizer fits, else 4. One document is read by its place in the index, without its neighbours. Ranges ascend, shards of
-a range ascend, documents of a shard ascend by doc_id; rows without doc_id come first. Equal doc_ids stay together, in
-no fixed order among themselves.
+in little-endian order; an id takes 2 bytes if every id of the tokenizer fits, else 4. One document is read by its place
+in the index, without its neighbours. Ranges ascend, shards of a range ascend, documents of a shard ascend by doc_id; rows
+without doc_id come first. Those of one doc_id are in order of a hash of their ids, so a store doesn't depend on how rows lay.
+A doc_id with more rows than a range holds, and rows without one, are dealt over several ranges by that hash.
+
+A store is a folder: `shards`, and `about`, one row with the dictionary, the end id and the tokenizer's file name. It is
+read by open_store() at any time.
 
 Defined cases: a null or empty text is the end id alone. An empty table is a store without shards. Other columns are
-ignored.
+ignored. Ranges are MAX_RANGES at most, so beyond RANGE_DOCS times that many documents each holds more of them; a shard is
+about SHARD_BYTES all the same.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -24,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.llm.common import batch_of, materialise, on_workers, rows, texts
+from evidence.llm.common import batch_of, on_workers, rows, scratch, texts
 from evidence.llm.tokens import encoded, encoder
 
 MAGIC = b"EVTOKST1"
@@ -103,8 +109,8 @@ def _frames(batches, tokenizer: str, end_id: int, width: int):
 class TokenStore:
     """shards: range, seq, n_docs, n_tokens, shard; and the dictionary they need."""
 
-    def __init__(self, shards: DataFrame, dictionary: bytes):
-        self.shards, self.dictionary = shards, dictionary
+    def __init__(self, shards: DataFrame, dictionary: bytes, end_id: int = 0):
+        self.shards, self.dictionary, self.end_id = shards, dictionary, end_id
 
     def documents(self) -> DataFrame:
         """Read back, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
@@ -130,10 +136,46 @@ class TokenStore:
         return self.shards.select("range", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenStore:
-    """Encode all texts, end each with end_id, write them in ascending doc_id order."""
-    on_workers(docs.sparkSession)
-    n, width = docs.count(), id_bytes(tokenizer, end_id)
+_SHARDS = "range int, seq int, n_docs long, n_tokens long, shard binary"
+_ABOUT = "dictionary binary, end_id int, tokenizer string"
+
+
+def open_store(spark: SparkSession, path: str) -> TokenStore:
+    """The store in a folder."""
+    on_workers(spark)
+    about = spark.read.schema(_ABOUT).parquet(f"{path}/about").first()
+    return TokenStore(spark.read.schema(_SHARDS).parquet(f"{path}/shards"), bytes(about["dictionary"]), about["end_id"])
+
+
+class Ranges:
+    """Which range a document is in: by doc_id, and among rows of a doc_id that fills ranges of its own, by a hash."""
+
+    def __init__(self, cuts: list[int], unknown: int):
+        """cuts: quantiles of doc_id, one of them more than once if it fills ranges. unknown: ranges for rows without doc_id."""
+        values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        full = values[times > 1]
+        # A doc_id that fills ranges has a range that ends with it and one that ends just before it.
+        self.bounds = np.union1d(values, full - 1)
+        parts = np.ones(len(self.bounds) + 1, np.int64)
+        parts[np.searchsorted(self.bounds, full)] = times[times > 1]
+        self.parts = np.concatenate([[max(unknown, 1)], parts])
+        self.first = np.cumsum(self.parts) - self.parts
+
+    def __len__(self) -> int:
+        return int(self.parts.sum())
+
+    def of(self, ids: np.ndarray, known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """hashes: unsigned; ranges of one doc_id ascend with them."""
+        at = np.where(known, 1 + np.searchsorted(self.bounds, ids), 0)
+        return (self.first[at] + ((hashes >> np.uint64(40)).astype(np.int64) * self.parts[at] >> 24)).astype(np.int32)
+
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> TokenStore:
+    """Encode all texts, end each with end_id, write them in ascending doc_id order to a folder (None: a scratch one)."""
+    spark = docs.sparkSession
+    on_workers(spark)
+    width = id_bytes(tokenizer, end_id)
+    n, unknown = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     share = max(1, min(1 << 20, -(-(SAMPLE << 20) // max(n, 1))))
     sampled = texts(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share)
 
@@ -150,18 +192,20 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenStore:
     dictionary = train_dictionary(samples)
     n_ranges = max(1, min(-(-n // RANGE_DOCS), MAX_RANGES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] if n_ranges > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    ranges = Ranges(cuts or [], -(-unknown * n_ranges // max(n, 1)))
 
     def encode_all(batches):
         press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_dict_id=False, **_codec(dictionary))
         for doc_ids, sizes, own in _frames(batches, tokenizer, end_id, width):
-            at = 1 + np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy()).astype(np.int32)
-            at[np.asarray(doc_ids.is_null())] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(at), doc_ids, pa.array(sizes), pa.array(map(press.compress, own), pa.binary())], names=["range", "doc_id", "n", "frame"])
+            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64)
+            at = ranges.of(doc_ids.fill_null(0).to_numpy(), ~np.asarray(doc_ids.is_null()), hashes)
+            # As signed numbers the hashes keep their order.
+            order = (hashes ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), doc_ids, pa.array(order), pa.array(sizes), pa.array(map(press.compress, own), pa.binary())], names=["range", "doc_id", "h", "n", "frame"])
 
-    framed = texts(docs).mapInArrow(encode_all, "range int, doc_id long, n long, frame binary")
+    framed = texts(docs).mapInArrow(encode_all, "range int, doc_id long, h long, n long, frame binary")
     # A range is a partition and a file's worth of documents; RANGE_DOCS decides its size, not a hash.
-    dealt = framed.repartitionById(len(bounds) + 2, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"))
+    dealt = framed.repartitionById(len(ranges), "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "h", "n")
 
     def write(batches):
         schema = pa.schema([("range", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.binary())])
@@ -175,7 +219,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenStore:
             return out
 
         for part in rows(batches):
-            for where, doc_id, n_ids, frame in part:
+            for where, doc_id, _, n_ids, frame in part:
                 if held and (where != at or size >= SHARD_BYTES):
                     yield flush()
                 if where != at:
@@ -185,4 +229,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> TokenStore:
         if held:
             yield flush()
 
-    return TokenStore(materialise(dealt.mapInArrow(write, "range int, seq int, n_docs long, n_tokens long, shard binary")), dictionary)
+    if path is None:
+        path = scratch(spark)
+    dealt.mapInArrow(write, _SHARDS).write.parquet(f"{path}/shards")
+    spark.createDataFrame([(bytearray(dictionary), end_id, os.path.basename(tokenizer))], _ABOUT).coalesce(1).write.parquet(f"{path}/about")
+    return open_store(spark, path)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,6 +111,31 @@ def test_many_ranges_and_shards(docs, monkeypatch):
     assert not got
 
 
+def test_a_store_is_a_folder_that_can_be_opened_later(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/store"
+    wrote = token_store.write_store(docs, tokenizer_path(BYTE_BPE), path=path)
+    again = token_store.open_store(spark, path)
+    assert again.dictionary == wrote.dictionary and again.end_id == 0
+    assert sorted(map(tuple, again.documents().collect())) == sorted(map(tuple, wrote.documents().collect()))
+
+
+def test_hot_and_unknown_ids_are_dealt_and_ties_have_an_order(spark, monkeypatch):
+    """A doc_id of a third of all rows, a third without one: several ranges each, and the same store however rows lie."""
+    monkeypatch.setattr(token_store, "RANGE_DOCS", 20)
+    rows = [(None if k % 3 == 0 else 77 if k % 3 == 1 else k, f"text number {k % 90}") for k in range(300)]
+    got = []
+    for parts in (2, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        store = token_store.write_store(df, tokenizer_path(BYTE_BPE))
+        got.append(sorted(map(repr, store.documents().collect())))
+        assert store.shards.agg(F.max("n_docs")).first()[0] <= 80 and store.shards.count() > 10
+    assert got[0] == got[1] and len(got[0]) == 300
+    starts = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in store.documents().collect())
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+    ids = [-1 if d is None else d for _, _, d in starts]
+    assert ids == sorted(ids)
+
+
 def test_an_id_takes_as_many_bytes_as_it_needs(monkeypatch):
     path = tokenizer_path(BYTE_BPE)
     assert token_store.id_bytes(path, 0) == 2 and token_store.id_bytes(path, 1 << 16) == 4
