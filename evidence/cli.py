@@ -15,7 +15,7 @@ from evidence.operators import catalog, changes, gate, scd2, search
 from evidence.operators import chunks as ch
 from evidence.plans import answer
 from evidence.plans import ingest as run
-from evidence.sources import catalogs
+from evidence.sources import catalogs, snapshot
 from evidence.sources.rules import load_rules_cached
 from evidence.sources.store import Store
 from evidence.streaming import changelog
@@ -27,11 +27,12 @@ INTERVAL = 300
 COMMANDS = ["migrate", "init", "ingest", "plan", "approve", "embed", "index", "status", "history", "qualify", "search", "ask", "chat", "resume", "conversations", "feedback", "rules-check", "catalog"]
 
 
-def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[dict[str, DataFrame], catalog.Catalog]:
+def _tables(spark: SparkSession, folder: str, rule, keys: dict) -> tuple[snapshot.Snapshot, dict[str, DataFrame], catalog.Catalog]:
     """Parquet tables of a rule, and of the change log, from a folder: <schema>.<table>.parquet or <table>.parquet."""
-    names = {f"{x.namespace}.{x.table}" if x.namespace else x.table for x in (rule.source, *rule.children.values())} | {"record_change"}
-    frames = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-    return frames, catalog.read_catalog(frames, keys)
+    names = {f"{x.namespace}.{x.table}" if x.namespace else x.table for x in (rule.source, *rule.children.values())} | {snapshot.LOG}
+    pinned = snapshot.pin(spark, folder, sorted(names))
+    frames = pinned.frames(spark)
+    return pinned, frames, catalog.read_catalog(frames, keys)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -81,17 +82,21 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "migrate":
         show({"steps": store.migrate()})
     elif a.command == "init":
-        show(run.init_index(store, embedder, a.force))
+        with store.lease():
+            show(run.init_index(store, embedder, a.force))
     elif a.command == "approve":
-        done = run.approve(store, a.text, not a.no, None if a.no else embedder)
+        with store.lease():
+            done = run.approve(store, a.text, not a.no, None if a.no else embedder)
         show({"doc_type": a.text, **done.__dict__})
         return FAILED if done.status == "failed" else 0
     elif a.command == "embed":
-        done = run.embed_step(spark, store, embedder, a.max_chunks)
+        with store.lease():
+            done = run.embed_step(spark, store, embedder, a.max_chunks)
         show(done.__dict__)
         return 0 if done.status == "succeeded" else FAILED
     elif a.command == "index":
-        show(run.build_vectors(store))
+        with store.lease():
+            show(run.build_vectors(store))
     elif a.command == "status":
         manifest = store.manifest()
         marks = [(k, m["source_id"], m["change_id"]) for k, m in manifest.watermarks.items()]
@@ -128,7 +133,7 @@ def _run(spark: SparkSession, store: Store, a: argparse.Namespace, embedder: ch.
     code = 0
     for rule in load_rules_cached(a.rules).resolve(a.doc_types):
         keys = {f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table: (rule.source.key,)}
-        frames, found = _tables(spark, a.source, rule, keys)
+        pinned, frames, found = _tables(spark, a.source, rule, keys)
         if a.command == "rules-check":
             kept = None if a.refresh else catalogs.load_catalog(store)
             wrong = catalog.validate(rule, frames, kept or found)
@@ -137,7 +142,7 @@ def _run(spark: SparkSession, store: Store, a: argparse.Namespace, embedder: ch.
         elif a.command == "plan":
             show({"doc_type": rule.doc_type, **run.preview(spark, store, rule, frames, full=a.full)})
         else:
-            done = run.ingest(spark, store, rule, frames, found, full=a.full, approve_over=a.approve_over, provider=None if a.no_embed else embedder, max_chunks=a.max_chunks)
+            done = run.ingest(spark, store, rule, pinned, found, full=a.full, approve_over=a.approve_over, provider=None if a.no_embed else embedder, max_chunks=a.max_chunks)
             show({"doc_type": rule.doc_type, **done.__dict__})
             code = max(code, {"failed": FAILED, "waiting": PAUSED}.get(done.status, 0))
     return code
@@ -165,7 +170,7 @@ def _catalog(spark: SparkSession, store: Store, a: argparse.Namespace, show) ->
         for rule in rules.resolve(a.doc_types):
             source = f"{rule.source.namespace}.{rule.source.table}" if rule.source.namespace else rule.source.table
             keys[source] = (rule.source.key,)
-            frames |= _tables(spark, a.source, rule, keys)[0]
+            frames |= _tables(spark, a.source, rule, keys)[1]
         found = catalog.read_catalog({n: df for n, df in frames.items() if rules.catalog.wants(n)}, keys, sizes=True)
         catalogs.save_catalog(store, found)
     if a.export:

@@ -73,6 +73,52 @@ def infer_relationships(keys: DataFrame) -> DataFrame:
     return parents.join(offered, "columns").select("parent", "child", F.array_join("columns", ",").alias("columns"))
 
 
+#: Error of the distinct counts, for one standard deviation; a column is left open within three of them.
+SKETCH_ERROR = 0.02
+#: Of a child's values so many times the sketch's error may be missing among a parent's before an exact check is in vain.
+_LG_K = 14
+
+
+def sketches(df: DataFrame) -> DataFrame:
+    """One row for each column of a simple type: column, kind, n, nulls, approx (distinct values), sketch (of those). One pass."""
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    text = lambda f: F.col(f"`{f.name}`").cast("string")
+    told = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("kind"), F.count("*").alias("n"), F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls"), F.approx_count_distinct(f"`{f.name}`", SKETCH_ERROR).alias("approx"), F.theta_sketch_agg(text(f), _LG_K).alias("sketch")) for f in fields]
+    return df.agg(F.array(*told).alias("c")).select(F.inline("c"))
+
+
+def find_keys(df: DataFrame, told: DataFrame | None = None) -> list[str]:
+    """Columns without nulls whose values are all different. Sketches rule out nearly all that aren't; what they leave open is counted."""
+    rows = (sketches(df) if told is None else told).select("column", "n", "nulls", "approx").collect()
+    open_ = [r["column"] for r in rows if r["n"] and not r["nulls"] and r["approx"] >= (1 - 3 * SKETCH_ERROR) * r["n"]]
+    return [c for c in open_ if verify_key(df, (c,))]
+
+
+def verify_reference(child: DataFrame, column: str, parent: DataFrame, key: str) -> bool:
+    """Whether every value of a child's column is a key of the parent; null refers to nothing."""
+    own = child.select(F.col(f"`{column}`").alias("v")).where("v is not null").distinct()
+    return not own.join(parent.select(F.col(f"`{key}`").alias("v")), "v", "left_anti").take(1)
+
+
+def find_references(frames: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
+    """(child, column, parent, key) where all values of a child's column are values of a parent's one-column key.
+
+    A pass over each table sketches its columns; pairs of a kind whose sketches differ by more than their error are no
+    references, and only the others are joined. Columns without values refer to nothing.
+    """
+    told = {n: sketches(df).collect() for n, df in frames.items()}
+    spark = next(iter(frames.values())).sparkSession
+    schema = "column string, kind string, n long, nulls long, approx long, sketch binary"
+    keys = {n: find_keys(df, spark.createDataFrame(told[n], schema)) for n, df in frames.items()}
+    held = spark.createDataFrame([(n, r["column"], r["kind"], r["n"] - r["nulls"], r["sketch"], r["column"] in keys[n]) for n in frames for r in told[n]], "t string, c string, kind string, n long, sketch binary, is_key boolean")
+    child, parent = held.where("n > 0").alias("a"), held.where("is_key").alias("b")
+    # A row for each column of the catalog: few by nature.
+    pairs = child.join(F.broadcast(parent), F.col("a.kind").eqNullSafe(F.col("b.kind")) & ((F.col("a.t") != F.col("b.t")) | (F.col("a.c") != F.col("b.c"))))
+    missing = F.theta_sketch_estimate(F.theta_difference("a.sketch", "b.sketch"))
+    near = pairs.where(missing <= 5 * F.theta_sketch_estimate("b.sketch") / 2 ** (_LG_K / 2) + 1).select("a.t", "a.c", F.col("b.t").alias("pt"), F.col("b.c").alias("pc")).collect()
+    return sorted((t, c, pt, pc) for t, c, pt, pc in near if verify_reference(frames[t], c, frames[pt], pc))
+
+
 def verify_key(df: DataFrame, key: tuple[str, ...]) -> bool:
     """Whether a declared key holds: no null in it and no value twice."""
     return not df.groupBy(*key).count().where("count > 1").take(1) and not df.where(" or ".join(f"`{k}` is null" for k in key)).take(1)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from typing import Protocol
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,46 @@ def embed(pending: DataFrame, provider: EmbeddingProvider, batch: int = 64) -> D
     return pending.select("text_hash", "text").mapInPandas(run, VECTORS)
 
 
+def embed_together(pending: DataFrame, provider: EmbeddingProvider, tasks: int, batch: int = 64) -> DataFrame:
+    """embed() by so many tasks at once, in rounds: each sends one request, all tell each other how it went, and where one was
+    told to wait all do, so that no request begins while a wait lasts. A barrier stage: there must be as many free cores.
+
+    A quota of requests is shared by choosing tasks. A failing request ends its task's part, as in embed(); others go on.
+    """
+
+    def run(parts):
+        ctx = BarrierTaskContext.get()
+        waiting = (pdf.iloc[at : at + batch] for pdf in parts for at in range(0, len(pdf), batch))
+        own, waits = next(waiting, None), 0
+        while True:
+            wait, out, failed = 0.0, None, False
+            if own is not None:
+                try:
+                    got = provider.embed(own["text"].tolist())
+                    if len(got) != len(own):
+                        raise ValueError(f"{len(got)} vectors for {len(own)} texts")
+                    out, waits = pd.DataFrame({"text_hash": own["text_hash"], "embedding": got, "embed_model": provider.model, "error": None}), 0
+                except RateLimited as asked:
+                    wait, waits = asked.wait, waits + 1
+                    failed, wrong = waits > PATIENCE, asked
+                except Exception as other:  # whatever a provider raises is told
+                    failed, wrong = True, other
+                if failed:
+                    out = pd.DataFrame({"text_hash": [None], "embedding": [None], "embed_model": [provider.model], "error": [f"{type(wrong).__name__}: {wrong}"]})
+                if out is not None:
+                    own = None if failed else next(waiting, None)
+            told = [json.loads(x) for x in ctx.allGather(json.dumps([own is not None, 0.0 if failed else wait]))]
+            if out is not None:
+                yield out
+            if not any(more for more, _ in told):
+                return
+            if (longest := max(w for _, w in told)) > 0:
+                time.sleep(longest)
+                ctx.barrier()
+
+    return pending.select("text_hash", "text").repartition(tasks).mapInPandas(run, VECTORS, barrier=True)
+
+
 def mark_indexed(rows: DataFrame) -> DataFrame:
     """doc_sk of versions with at least one chunk and none pending."""
     return rows.groupBy("doc_sk").agg(F.count("*").alias("chunks"), F.count_if(F.col("embedding").isNull()).alias("pending")).where("pending = 0").select("doc_sk", "chunks")

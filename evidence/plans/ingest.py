@@ -17,6 +17,7 @@ from evidence.operators.catalog import Catalog, validate
 from evidence.plans import index, vectors
 from evidence.plans.index import lexemes  # noqa: F401  read beside the tables below
 from evidence.rules.spec import DocType
+from evidence.sources.snapshot import Snapshot
 from evidence.sources.store import Manifest, Store, bucket_of
 
 VERSIONS = "doc_sk long, doc_id string, doc_type string, source_id string, title string, body string, url string, metadata string, content_hash string, tracked_hash string, is_active boolean, version int, is_current boolean, valid_from timestamp, valid_to timestamp, change_reason string, source_change_id long, batch_id long"
@@ -131,15 +132,24 @@ def _decisions(spark: SparkSession, store: Store, rule: DocType, frames: dict[st
     return mode, reason, head, signature, rows, decided, buckets
 
 
-def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame], catalog: Catalog, full: bool = False, size: int = SIZE, overlap: int = OVERLAP, approve_over: int = 0, now: datetime.datetime | None = None, provider: ch.EmbeddingProvider | None = None, max_chunks: int | None = None) -> Run:
+def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame] | Snapshot, catalog: Catalog, *args, **how) -> Run:
+    """ingest_leased() with the store held for writing: runs of other document types wait instead of losing their work."""
+    with store.lease():
+        return ingest_leased(spark, store, rule, frames, catalog, *args, **how)
+
+
+def ingest_leased(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, DataFrame] | Snapshot, catalog: Catalog, full: bool = False, size: int = SIZE, overlap: int = OVERLAP, approve_over: int = 0, now: datetime.datetime | None = None, provider: ch.EmbeddingProvider | None = None, max_chunks: int | None = None) -> Run:
     """One batch of one document type. Findings of severity error stop it before anything is published.
 
     The head is read once, and the change window is closed by it. Documents, chunks, their index and watermark are one
     commit. A batch reads the buckets of documents that it changes and writes what it changes in them. With more than
     approve_over pending chunks (0: no limit) the run's status is waiting: documents are in, embedding waits for approve().
-    Else provider, if there is one, embeds what is pending, at most max_chunks texts.
+    Else provider, if there is one, embeds what is pending, at most max_chunks texts. frames: tables by name; where they are
+    a snapshot, all steps read its files, and the list is kept with the run.
     """
     manifest: Manifest = store.manifest()
+    pinned = frames if isinstance(frames, Snapshot) else None
+    frames = pinned.frames(spark) if pinned else frames
     wrong = validate(rule, frames, catalog)
     if any(s == "error" for s, _ in wrong):
         return Run("failed", findings=wrong)
@@ -188,6 +198,9 @@ def ingest(spark: SparkSession, store: Store, rule: DocType, frames: dict[str, D
     pending = ch.pending_cost(store.table("chunk", CHUNKS, manifest)).first().asDict()
     status = "waiting" if 0 < approve_over < pending["texts"] else "succeeded"
     manifest.runs[rule.doc_type] = {"batch": batch, "status": status, "mode": mode}
+    if pinned:
+        path = store.write(f"source-{rule.doc_type}", pinned.table(spark).coalesce(1), batch)
+        manifest.tables[f"source-{rule.doc_type}"] = path
     store.publish(manifest)
     told = (batch, rule.doc_type, at, status, mode, json.dumps(stats, sort_keys=True))
     store.append("batch", spark.createDataFrame([told], BATCHES).coalesce(1))
@@ -291,13 +304,14 @@ def _types_pending(store: Store, manifest: Manifest) -> set[str]:
     return {r[0] for r in store.table("document", VERSIONS, manifest).join(open_, "doc_sk", "left_semi").select("doc_type").distinct().collect()}
 
 
-def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider, limit: int | None = None, wave: int = 100_000) -> Run:
+def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider, limit: int | None = None, wave: int = 100_000, together: int | None = None) -> Run:
     """Embed distinct pending texts, reuse equal ones, and publish; also what resumes a waiting or stopped run.
 
     Texts go in waves of about wave, in order of their hash: they are written down once, with their wave, and each wave reads
     its own. A wave's vectors are kept before the next one starts, and a failing request costs its own batch only: the run
     stops, publishes what it has, and the next run asks for the rest. Chunks that got a vector are all that is written. A
     run's status follows what is left of its own document type; one that waits or was refused stays so while anything is.
+    together: so many tasks ask in rounds and wait together, where a provider's quota is one for all.
     """
     manifest = store.manifest()
     if manifest.index.get("model", provider.model) != provider.model:
@@ -319,7 +333,8 @@ def embed_step(spark: SparkSession, store: Store, provider: ch.EmbeddingProvider
         todo = spark.read.schema("text_hash string, text string, wave int").parquet(waved)
     for w in range(waves):
         attempt = f"{batch}-{w}-{uuid.uuid4()}"
-        store.append("vector", ch.embed(todo.where(F.col("wave") == w) if waves > 1 else todo, provider).withColumn("attempt", F.lit(attempt)))
+        part = todo.where(F.col("wave") == w) if waves > 1 else todo
+        store.append("vector", (ch.embed_together(part, provider, together) if together else ch.embed(part, provider)).withColumn("attempt", F.lit(attempt)))
         error = kept().where(F.col("attempt") == attempt).agg(F.min("error")).first()[0]
         if error is not None:
             break

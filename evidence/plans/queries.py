@@ -631,6 +631,30 @@ def verify_keys(s, d):
     return s.createDataFrame([(n, catalog.verify_key(fx.table(s, d, n), k)) for n, k in keys.items()], "table_name string, holds boolean")
 
 
+_COLUMNS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+            "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+_KEY_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) = count(DISTINCT {c}) FROM {t}) AS holds" for t, cs in _COLUMNS.items() for c in cs)
+_REFERENCE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS child, '{c}' AS column_name, '{p}' AS parent, '{k}' AS key WHERE (SELECT count(*) = count(DISTINCT {k}) FROM {p}) AND (SELECT count({c}) > 0 FROM {t}) AND NOT EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {p}))"
+    for t, cs in _COLUMNS.items() for c in cs for p, ks in _COLUMNS.items() for k in ks if (t, c) != (p, k)
+)
+
+
+def _keyed_tables(s, d):
+    # Keys as long, whatever the files hold: columns of two kinds refer to nothing.
+    return {t: fx.table(s, d, t).select(*(F.col(c).cast("long").alias(c) for c in cs)) for t, cs in _COLUMNS.items()}
+
+
+@query(f"SELECT table_name, column_name FROM ({_KEY_SQL}) WHERE holds")
+def found_keys(s, d):
+    return s.createDataFrame([(t, c) for t, df in _keyed_tables(s, d).items() for c in catalog.find_keys(df)], "table_name string, column_name string")
+
+
+@query(_REFERENCE_SQL)
+def found_references(s, d):
+    return s.createDataFrame(catalog.find_references(_keyed_tables(s, d)), "child string, column_name string, parent string, key string")
+
+
 @query("SELECT event_type AS source_id, max(event_id) AS head, count(*) AS changes FROM events GROUP BY 1")
 def heads_by_source(s, d):
     from evidence.streaming.changelog import head_by_source

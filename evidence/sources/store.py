@@ -15,9 +15,14 @@ manifest names.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +55,10 @@ class Conflict(RuntimeError):
     """Another batch was published first."""
 
 
+class Leased(RuntimeError):
+    """Another writer holds the store, and held it as long as this one would wait."""
+
+
 class OldSchema(RuntimeError):
     """The store was written with another layout."""
 
@@ -238,6 +247,48 @@ class Store:
             raise Conflict(f"manifest {after.number} exists")
         return after
 
+    @contextlib.contextmanager
+    def lease(self, seconds: float = 3600, wait: float = 600, pause: float = 1) -> Iterator[None]:
+        """Hold the store for writing, so that no other writer works from a manifest that is about to be old.
+
+        A lease is a file that is created only where there is none. One that outlives its time is its holder's no more and is
+        taken away. wait: how long to try before Leased. Two writers that take away the same lease at once may both go on;
+        then publish() lets one of them through, as it does without leases.
+        """
+        path, own = self._path("_lease"), uuid.uuid4().hex
+        until = time.time() + wait
+        while not self._take(path, own, time.time() + seconds):
+            if time.time() >= until:
+                raise Leased(f"another writer holds {self.root}")
+            time.sleep(pause)
+        try:
+            yield
+        finally:
+            if (self._text(path) or {}).get("own") == own:
+                self._fs.delete(path, False)
+
+    def _text(self, path) -> dict | None:
+        try:
+            stream = self._fs.open(path)
+            try:
+                return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        except (Py4JJavaError, ValueError):  # gone, or not written out yet
+            return None
+
+    def _take(self, path, own: str, until: float) -> bool:
+        held = self._text(path)
+        if held is not None and held["until"] < time.time():
+            self._fs.delete(path, False)
+        try:
+            out = self._fs.create(path, False)
+        except Py4JJavaError:
+            return False
+        out.write(bytearray(json.dumps({"own": own, "until": until}).encode()))
+        out.close()
+        return True
+
     def remove(self, name: str) -> None:
         """Remove what append() has written."""
         self._fs.delete(self._path(name), True)
