@@ -4,8 +4,10 @@
 2. Unigram counts of words come from the visible text of all pages, combined a partition before the shuffle. The
    counts of all words stay a table; workers hold the VOCABULARY commonest, SEEDS, and all of at most SHORT letters.
 3. A run of letters in a host or path is cut into words by Viterbi: the split of highest unigram probability, where an
-   unknown run costs the more the longer it is (10 / (N * 10^length)). Each distinct run is cut once; the pieces of it
-   that workers don't hold are joined with the table of counts.
+   unknown run costs the more the longer it is (10 / (N * 10^length); one of more than LONGEST letters is several). Each
+   distinct run is cut once; the pieces of it that workers don't hold are joined with the table of counts. Words of more
+   than LONGEST letters are words like any other: they are found by their first LONGEST letters. Long runs are taken apart
+   in slices.
 4. Multinomial naive Bayes with add-one smoothing learns from all pages that a rule decides, and from SEEDS, words of
    unwanted sites with pseudo-counts in both classes: SEED_ODDS in a table of any size, plus what ruled hosts say. Words
    that the rules themselves name are left out: the rules speak for those; so are words under WORD letters, which are
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,6 +41,8 @@ SEED_COUNT, SEED_SHARE, THRESHOLD = 10, 0.01, 4.0
 #: Log odds of a seed that no ruled host has, in a table of any size.
 SEED_ODDS = 5.0
 VOCABULARY, RUNS, TOKENS, LONGEST, SHORT, WORD = 50_000, 100_000, 100_000, 24, 3, 3
+#: Letters of a run whose pieces are listed at once; a longer run than KEY goes by a digest where it is joined.
+SLICE, KEY = 2000, 64
 
 #: An unclosed script goes to the end, and a "<" that no ">" follows before the next "<" is no tag, so a page is read once.
 _TAG = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>", re.S | re.I)
@@ -89,7 +94,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        return _counted(batches, lambda row: ((w,) for w in _LETTERS.findall(_TAG.sub(" ", row[0] or "").lower()) if len(w) <= LONGEST), schema)
+        return _counted(batches, lambda row: ((w,) for w in _LETTERS.findall(_TAG.sub(" ", row[0] or "").lower())), schema)
 
     return materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -117,6 +122,16 @@ class Segmenter(dict):
         self.n = n = max(counts.get("", 0), 1)
         self.log = {w: math.log(c / n) for w, c in counts.items() if w}
         self.unknown = [0.0] + [math.log(10 / n) - k * math.log(10) for k in range(1, LONGEST + 1)]
+        self.long = self._by_prefix(self.log)
+
+    @staticmethod
+    def _by_prefix(logs: dict[str, float]) -> dict[str, list[tuple[str, float]]]:
+        """Words of more than LONGEST letters by their first LONGEST."""
+        out: dict[str, list[tuple[str, float]]] = {}
+        for w, log in logs.items():
+            if len(w) > LONGEST:
+                out.setdefault(w[:LONGEST], []).append((w, log))
+        return out
 
     def __missing__(self, run: str) -> list[str]:
         out = self.cut(run, {})
@@ -128,9 +143,17 @@ class Segmenter(dict):
     def cut(self, run: str, more: dict[str, int]) -> list[str]:
         """more: the counts of words of the run that aren't held."""
         logs = {w: math.log(c / self.n) for w, c in more.items()}
+        ends: dict[int, list[tuple[float, int]]] = {}
+        for known in (self.long, self._by_prefix(logs)):
+            for s in range(len(run) - LONGEST) if known else ():
+                for w, log in known.get(run[s : s + LONGEST], ()):
+                    if run.startswith(w, s):
+                        ends.setdefault(s + len(w), []).append((log, s))
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
             score, start = max((best[s] + self.log.get(w := run[s:end], logs.get(w, self.unknown[end - s])), s) for s in range(max(0, end - LONGEST), end))
+            for log, s in ends.get(end, ()):
+                score, start = max((score, start), (best[s] + log, s))
             best.append(score)
             back.append(start)
         out, end = [], len(run)
@@ -140,10 +163,13 @@ class Segmenter(dict):
         out.reverse()
         return out
 
-    def lacking(self, run: str) -> set[str]:
-        """Pieces of a run that may be words but aren't held."""
-        pieces = {run[s : s + k] for k in range(SHORT + 1, LONGEST + 1) for s in range(len(run) - k + 1)}
-        return {w for w in pieces if w not in self.log}
+    def lacking(self, run: str) -> Iterator[tuple[str, bool]]:
+        """Pieces of a run that may be words but aren't held, and (True) the beginnings of longer ones; a slice tells none twice."""
+        for at in range(0, len(run), SLICE):
+            starts = range(at, min(at + SLICE, len(run)))
+            pieces = {run[s : s + k] for s in starts for k in range(SHORT + 1, min(LONGEST, len(run) - s) + 1)}
+            yield from ((w, False) for w in pieces if w not in self.log)
+            yield from ((w, True) for w in {run[s : s + LONGEST] for s in starts if s + LONGEST < len(run)})
 
 
 def parts(host: str, path: str, named: set[str]) -> list[tuple[str, str]]:
@@ -170,14 +196,18 @@ def cut_runs(judged: DataFrame, counts: DataFrame, model, named: set[str]) -> Da
 
     runs = materialise(judged.select("host", "path").mapInArrow(find, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")))
 
+    # A long run isn't repeated for each of its pieces.
+    keyed = runs.withColumn("key", F.when(F.length("run") > KEY, F.concat(F.lit("#"), F.md5("run"))).otherwise(F.col("run")))
+
     def pieces(batches):
-        segment, schema, out = Segmenter(model.value), pa.schema([("run", pa.string()), ("word", pa.string())]), []
+        segment, schema, out = Segmenter(model.value), pa.schema([("key", pa.string()), ("piece", pa.string()), ("long", pa.bool_())]), []
         for part in rows(batches):
-            for (run,) in part:
-                out += [(run, w) for w in segment.lacking(run)]
-                if len(out) > 50_000:
-                    yield batch_of(out, schema)
-                    out = []
+            for key, run in part:
+                for w, long in segment.lacking(run):
+                    out.append((key, w, long))
+                    if len(out) > 50_000:
+                        yield batch_of(out, schema)
+                        out = []
         yield batch_of(out, schema)
 
     def cut(batches):
@@ -185,9 +215,11 @@ def cut_runs(judged: DataFrame, counts: DataFrame, model, named: set[str]) -> Da
         for part in rows(batches):
             yield batch_of([(run, n, telling(segment.cut(run, {x["word"]: x["c"] for x in more or []}))) for run, n, more in part], schema)
 
-    found = runs.select("run").mapInArrow(pieces, "run string, word string").join(counts.withColumnRenamed("n", "c"), "word")
-    found = found.groupBy("run").agg(F.collect_list(F.struct("word", "c")).alias("more"))
-    return materialise(runs.join(found, "run", "left").select("run", "n", "more").mapInArrow(cut, "run string, n long, words array<string>"))
+    long = F.length("word") > LONGEST
+    words = counts.select("word", F.col("n").alias("c"), F.when(long, F.substring("word", 1, LONGEST)).otherwise(F.col("word")).alias("piece"), long.alias("long"))
+    found = keyed.select("key", "run").mapInArrow(pieces, "key string, piece string, long boolean").join(words, ["piece", "long"])
+    found = found.groupBy("key").agg(F.collect_set(F.struct("word", "c")).alias("more"))
+    return materialise(keyed.join(found, "key", "left").select("run", "n", "more").mapInArrow(cut, "run string, n long, words array<string>"))
 
 
 def named_by(rules: list[tuple[str, str, str]]) -> set[str]:

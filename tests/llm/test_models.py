@@ -176,6 +176,20 @@ def test_segments_by_brute_force():
     assert seg["cheappills"] == ["cheap", "pills"]
 
 
+def test_long_words_and_long_runs():
+    """Words beyond LONGEST letters are cut out like any other, held by a worker or not; a long run's pieces come in slices."""
+    word = "donaudampfschifffahrtsgesellschaft"
+    counts = {"": 1000, word: 3, "cheap": 5, "kapitaen": 2}
+    held, bare = url_filter.Segmenter(counts), url_filter.Segmenter({k: n for k, n in counts.items() if k != word})
+    run = f"cheap{word}kapitaen"
+    assert held[run] == ["cheap", word, "kapitaen"] == bare.cut(run, {word: 3}) and word not in bare.cut(run, {})
+    assert (word[: url_filter.LONGEST], True) in set(bare.lacking(run)) and ("donaudampf", False) in set(bare.lacking(run))
+    most, seen, run = 0, 0, "abcdefghijklmnopqrstuvwxyz" * 4000 + word
+    for w, long in bare.lacking(run):
+        most, seen = max(most, len(w)), seen + 1
+    assert most == url_filter.LONGEST and seen < 60 * 24 * 60 and "".join(bare.cut(run, {word: 3})) == run and bare.cut(run, {word: 3})[-1] == word
+
+
 def test_bayes_by_definition():
     odds = url_filter.bayes({("h:a", "block"): 3, ("h:a", "allow"): 1, ("h:b", "allow"): 4, ("p:c", "block"): 2})
     assert odds["h:a"] == pytest.approx(math.log(4 / 5) - math.log(2 / 7)) and odds["h:b"] == pytest.approx(math.log(1 / 5) - math.log(5 / 7)) and odds["p:c"] == pytest.approx(math.log(3 / 3) - math.log(1 / 1))
@@ -205,7 +219,7 @@ def test_verdicts_by_brute_force(spark, small):
     """Counts, log odds and verdicts again, over all pages at once."""
     pages = spark.read.parquet(f"{small}/pages.parquet")
     rows = pages.collect()
-    seen = Counter(w for r in rows for w in url_filter._LETTERS.findall(url_filter._TAG.sub(" ", r["html"] or "").lower()) if len(w) <= url_filter.LONGEST)
+    seen = Counter(w for r in rows for w in url_filter._LETTERS.findall(url_filter._TAG.sub(" ", r["html"] or "").lower()))
     seg, named = url_filter.Segmenter(url_filter.with_seeds(dict(seen) | {"": sum(seen.values())})), url_filter.named_by(url_filter.RULES)
     counts = Counter()
     parts = {r["page_id"]: split_url(r["url"]) for r in rows}
@@ -226,7 +240,7 @@ def test_verdicts_do_not_depend_on_what_workers_hold(spark, monkeypatch, held):
     for name in ("VOCABULARY", "RUNS", "TOKENS"):
         monkeypatch.setattr(url_filter, name, held)
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    rare = [(9000 + i, f"http://{w}{v}.example.net/{p}/{w}", f"<p>{w} {w} river</p>") for i, (w, v, p) in enumerate([("qwertzuiop", "river", "en"), ("qwertzuiop", "river", "x"), ("zyxwvuts", "stone", "en"), ("zyxwvuts", "stone", "x")])]
+    rare = [(9000 + i, f"http://{w}{v}.example.net/{p}/{w}", f"<p>{w} {w} river</p>") for i, (w, v, p) in enumerate([("supercalifragilisticexpialidocious", "river", "en"), ("qwertzuiop" * 30, "stone", "x"), ("qwertzuiop", "river", "en"), ("qwertzuiop", "river", "x"), ("zyxwvuts", "stone", "en"), ("zyxwvuts", "stone", "x")])]
     pages = pages.select("page_id", "url", "html").union(spark.createDataFrame(rare, "page_id long, url string, html string"))
     test_verdicts_by_brute_force(SimpleNamespace(read=SimpleNamespace(parquet=lambda _: pages)), "")
 
