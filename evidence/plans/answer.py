@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from evidence.operators import chunks as ch
 from evidence.operators import conversation as cv
 from evidence.operators import gate, search
-from evidence.plans import index, vectors
+from evidence.plans import index, metadata, vectors
 from evidence.plans import ingest as run
 from evidence.rules.spec import Gate
 from evidence.sources.store import Store
@@ -37,6 +37,8 @@ FEEDBACK = "query_id string, given_at timestamp, good boolean, comment string"
 PAUSES = "pause_id string, paused_at timestamp, conversation_id string, asked string"
 NO_RECORDS = "The records hold nothing on that."
 SAMPLES, SAMPLE_DOCUMENTS = 4, 12
+#: Documents that a filter leaves, up to which their chunks are read instead of the indexes' nearest.
+FEW = 2000
 _ANSWER = "You answer questions about records. Use the excerpts and nothing else."
 _REWRITE = "Rewrite the last question so that it can be understood without the earlier turns. Return the question alone."
 _log = logging.getLogger(__name__)
@@ -253,15 +255,26 @@ def _found(store: Store, question: str, embedder: ch.EmbeddingProvider, request:
     return find(store, question, embedder, top_k, candidates, request["doc_types"], request["filters"]).collect()
 
 
+def _few(store: Store, filters: dict) -> list[str] | None:
+    """The documents that filters allow, by the metadata index, if they are no more than FEW."""
+    held = metadata.documents_with(store, filters)
+    found = [r["doc_id"] for r in held.select("doc_id").distinct().limit(FEW + 1).collect()] if held is not None else None
+    return None if found is None or len(found) > FEW else found
+
+
 def find(store: Store, question: str, embedder: ch.EmbeddingProvider, top_k: int = search.TOP_K, candidates: int = search.CANDIDATES, doc_types: list[str] | None = None, filters: dict | None = None) -> DataFrame:
     """The best chunks for a question, by vectors and by the stored text index, with title and text. An index of another
     model is refused."""
     if not question.strip():
         raise ValueError("the question is empty")
     run.require_state(store, embedder)
-    chunks = searchable(store)
-    text_rows = index.text_search(store, question, candidates, search.allowed(doc_types, filters))
-    vector, allowed = embedder.embed([question])[0], search.allowed(doc_types, filters)
-    near = vectors.vector_search(store, vector, candidates, allowed)
+    chunks, vector, allowed = searchable(store), embedder.embed([question])[0], search.allowed(doc_types, filters)
+    few, near = _few(store, filters or {}), None
+    if few is None:
+        near = vectors.vector_search(store, vector, candidates, allowed)
+    else:  # so few documents that their chunks are looked up
+        allowed, filters = search.allowed(doc_types) & F.col("doc_id").isin(few), None
+        chunks = chunks.where(F.col("doc_id").isin(few))
+    text_rows = index.text_search(store, question, candidates, allowed)
     found = search.hybrid_search(chunks, question, vector, top_k, candidates, doc_types=doc_types or None, filters=filters or None, text_rows=text_rows, vector_rows=near.rows if near else None)
     return found.join(chunks.select("chunk_id", "title", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id")

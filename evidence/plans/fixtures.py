@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence.operators import mapping, scd2
-from evidence.plans import index
+from evidence.plans import index, metadata
 from evidence.plans.vectors import build as build_vectors
 from evidence.rules.spec import DocType
 from evidence.sources.store import Manifest, Store
@@ -139,6 +139,18 @@ def indexed(spark: SparkSession, d: str, vectors: bool = False) -> Store:
     return store
 
 
+def indexed_events(spark: SparkSession, d: str) -> Store:
+    """A store with the metadata index of events as documents; every second one's number is written as text."""
+    path = f"{shared_dir(spark)}/evidence/index-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    store, manifest = Store(spark, path), Manifest()
+    props = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"))))
+    docs = table(spark, d, "events").select(F.col("event_id").alias("doc_sk"), F.col("event_id").cast("string").alias("doc_id"), props.alias("metadata"))
+    metadata.update(store, manifest, manifest.tables, docs, docs.limit(0), 1)
+    store.publish(manifest)
+    return store
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """First lines of user turns, some cut to a few characters or replaced, as questions."""
     n = F.col("conv_id") % 6

@@ -14,7 +14,7 @@ from evidence.functions.chunking import OVERLAP, SIZE
 from evidence.operators import changes, mapping, quality, scd2
 from evidence.operators import chunks as ch
 from evidence.operators.catalog import Catalog, validate
-from evidence.plans import index, vectors
+from evidence.plans import index, metadata, vectors
 from evidence.plans.index import lexemes  # noqa: F401  read beside the tables below
 from evidence.rules.spec import DocType
 from evidence.sources.snapshot import Snapshot
@@ -176,6 +176,12 @@ def ingest_leased(spark: SparkSession, store: Store, rule: DocType, frames: dict
         rows, dead = scd2.delta(versions, decided, at, head, batch, top)
         tables["document"] = store.add_layer("document", VERSIONS, rows, dead, batch, manifest)
         after = store.table("document", VERSIONS, Manifest(**{**asdict(manifest), "tables": tables}), touched)
+        current = lambda df: df.where("is_current").select("doc_sk", "doc_id", "metadata")
+        if "meta" in tables or not manifest.tables.get("document"):
+            metadata.update(store, manifest, tables, current(rows), current(versions.join(dead.select("doc_sk"), "doc_sk", "left_semi")), batch)
+        else:  # a store of an older layout
+            every = current(store.table("document", VERSIONS, Manifest(**{**asdict(manifest), "tables": tables})))
+            metadata.update(store, manifest, tables, every, every.limit(0), batch)
         own = acts.where(F.col("action").isin(*CHUNKED))
         before = _chunks(store, manifest, versions, touched).join(own, "doc_id", "left_semi")
         # The batch's chunks are read for the index and the counters: they become a table of the batch first.

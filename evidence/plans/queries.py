@@ -13,7 +13,7 @@ from evidence.functions.text import fold, normalise, strip
 from evidence.operators import catalog, changes, conversation, gate, inverted, mapping, quality, scd2, search
 from evidence.operators import chunks as ch
 from evidence.plans import fixtures as fx
-from evidence.plans import index, vectors
+from evidence.plans import index, metadata, vectors
 from evidence.plans import ingest as run
 from evidence.rules.spec import Check
 
@@ -391,6 +391,11 @@ def metadata_filter_text(s, d):
     return fx.table(s, d, "events").where(search.metadata_filter(props, {"k": "7"})).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def stored_metadata_filter(s, d):
+    return metadata.documents_with(fx.indexed_events(s, d), search.parse_filters(["k=7"])).select(F.col("doc_sk").alias("event_id"))
+
+
 # Statistics and reports.
 @query("""SELECT lang AS doc_type, count(*) FILTER (WHERE doc_id % 5 <> 0) AS documents, count(*) FILTER (WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS active, count(*) AS versions,
 count(*) FILTER (WHERE doc_id % 5 <> 0 AND c = e) AS indexed, coalesce(sum(c), 0)::BIGINT AS chunks, coalesce(sum(e), 0)::BIGINT AS embedded FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c, count(quality) AS e FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1""")

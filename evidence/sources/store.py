@@ -48,7 +48,7 @@ class Keyed:
         return F.col(self.by).cast("int") if self.plain else bucket_of(F.col(self.by), buckets)
 
 
-KEYED = {"document": Keyed(("doc_sk",), "doc_id"), "chunk": Keyed(("chunk_id",), "doc_id"), "posting": Keyed(("lexeme", "chunk_id"), "lexeme"), "vector_list": Keyed(("chunk_id",), "list", plain=True)}
+KEYED = {"document": Keyed(("doc_sk",), "doc_id"), "chunk": Keyed(("chunk_id",), "doc_id"), "posting": Keyed(("lexeme", "chunk_id"), "lexeme"), "vector_list": Keyed(("chunk_id",), "list", plain=True), "meta": Keyed(("pair", "doc_sk"), "pair")}
 
 
 class Conflict(RuntimeError):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from evidence.functions.text import english
 from evidence.operators import inverted, search
 from evidence.operators import vector_index as vi
+from evidence.operators.catalog import read_catalog
 from evidence.operators.chunks import HashEmbedder
-from evidence.plans import answer, index, vectors
+from evidence.plans import answer, index, metadata, vectors
 from evidence.plans import fixtures as fx
 from evidence.plans import ingest as run
+from evidence.rules.spec import DocType
 from evidence.sources.store import Store
 from tests.test_ingest import Source, go
 
@@ -126,3 +128,38 @@ def test_extreme_and_empty_vectors():
 
     fits, x = vi.directions(pa.array([[1e-200, 2e-200], [1e200, 2e200], [0.0, 0.0], [1.0], None, [float("nan"), 1.0], [float("inf"), 1.0], [1.0, None]]), 2)
     assert fits.tolist() == [True, True, False, False, False, False, False, False] and np.allclose(x[0], x[1])
+
+
+@pytest.mark.parametrize("filters", [{"y": 2024}, {"y": "2024"}, {"y": True}, {"h": "Fire"}, {"y": 2024, "h": "Fire"}, {"none": 1}, {"n": 0}])
+def test_metadata_pairs_filter_as_the_json_does(spark, tmp_path, filters):
+    rows = ['{"y":2024,"h":"Fire"}', '{"y":"2024"}', '{"h":"Fire","y":2024.0}', '{"y":true}', '{"y":"true","n":null}', '{"h":["Fire"],"o":{"y":2024}}', None, "{broken", "[1]", '{"n":0,"y":2024}', "7"]
+    docs = spark.createDataFrame([(i, f"d{i}", m) for i, m in enumerate(rows)], "doc_sk long, doc_id string, metadata string")
+    store = Store(spark, f"file://{tmp_path}/s", buckets=4)
+    manifest = store.manifest()
+    metadata.update(store, manifest, manifest.tables, docs, docs.limit(0), 1)
+    got = metadata.documents_with(store, filters, manifest)
+    assert {r["doc_sk"] for r in got.collect()} == {r["doc_sk"] for r in docs.where(search.metadata_filter(F.col("metadata"), filters)).collect()}
+    assert metadata.documents_with(store, {"y": 1.5}, manifest) is None is metadata.documents_with(store, {}, manifest)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [b" in plan.replace("isnotnull(b", "b") and ("In(pair" in plan or "EqualTo(pair" in plan)
+
+
+def test_the_metadata_index_follows_batches(spark, tmp_path):
+    rule = DocType.of({"doc_type": "note", "source": {"source_id": "notes", "table": "note", "key": "id"}, "title": {"field": "name"}, "body": [{"label": "Text", "value": {"field": "text"}}], "metadata": {"kind": {"field": "url"}}})
+    store, source, model = Store(spark, f"file://{tmp_path}/s", buckets=4), Source(spark), HashEmbedder()
+
+    def batch(n):
+        frames = source.frames()
+        return run.ingest(spark, store, rule, frames, read_catalog(frames, {"note": ("id",)}), provider=model)
+
+    for k in range(20):
+        source.put(str(k), text=f"text {k}", url="x" if k % 4 else "y")
+    batch(1)
+    source.put("0", text="text 0", url="x")
+    source.put("1", text="text 1", url="y")
+    source.drop("4")
+    batch(2)
+    ids = lambda v: sorted(r["doc_id"] for r in metadata.documents_with(store, {"kind": v}).collect())
+    assert ids("y") == sorted(f"note:{k}" for k in (1, 4, 8, 12, 16)) and len(ids("x")) == 15
+    found = answer.find(store, "text 8", model, 10, filters={"kind": "y"}).collect()
+    assert {r["doc_id"] for r in found} == {f"note:{k}" for k in (1, 8, 12, 16)}  # the dropped one is inactive
