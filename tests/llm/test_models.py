@@ -393,6 +393,31 @@ def licences_by_brute_force(text):
 NOTICES = ["Licensed under the Apache License, Version 2.0.", "x\nReleased under the MIT License.\ny", "Licensed under the\nApache License, Version 2.0.\nyou may not use this file except\nin compliance with the License.", "We are not licensed under the MIT License here.", "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.", "LICENSED UNDER CC BY 4.0", "the licence of the garden"]
 
 
+WHOLE = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + ". ".join(s for s, n in licences.SENTENCES.items() if n in ("mit-grant", "mit-condition", "mit-warranty", "mit-liability")) + ".",
+    "BSD-3-Clause": "Copyright 2020.\n" + ";\n * ".join(s for s, n in licences.SENTENCES.items() if n.startswith("bsd-")) + ".",
+    "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0\nint main() {}",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n",
+    "LGPL-2.1-only": "This software is licensed under the GNU Lesser General Public License v2.1.",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+
+
+def test_whole_and_broken_notices(spark):
+    rows = [(i, name, text) for i, (name, text) in enumerate(WHOLE.items())] + [(100 + i, None, text.replace("software", "hardware").replace("oftware", "oftwares").replace("SOFTWARE", "X").replace("Public", "Private").replace("SPDX", "SPD").replace("Redistribution", "Distribution")) for i, text in enumerate(WHOLE.values())]
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i] for i, name, _ in rows if name} == {i: [name] for i, name, _ in rows if name}
+    assert all(not got[i] for i, name, _ in rows if name is None)
+
+
+def test_other_tables(spark):
+    df = spark.createDataFrame([(1, "Do as you like. But not here."), (2, "Do as you like.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(df, {"do as you like": "free", "but not here": "but"}, [("Bounded", ("free", "but")), ("Free", ("free",))]).collect()}
+    assert got == {1: ["Bounded"], 2: ["Free"]}
+
+
 def test_licences(spark, docs, odd_docs, no_docs):
     mine = spark.createDataFrame([(i, t) for i, t in enumerate(NOTICES)], "doc_id long, text string")
     for df in (mine, docs, odd_docs):
