@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
         marks = [(k, m["source_id"], m["change_id"]) for k, m in manifest.watermarks.items()]
         log = f"{a.source}/record_change.parquet"
         behind = []
-        if marks and Path(log.removeprefix("file://")).exists():
+        if marks and store.exists(log):
             known = spark.createDataFrame(marks, "doc_type string, source_id string, change_id long")
             behind = [r.asDict() for r in changes.changes_behind(spark.read.parquet(log), known).orderBy("doc_type").collect()]
         recent = [r.asDict() for r in run.batches(store).limit(a.limit).collect()]

@@ -149,10 +149,8 @@ def _suggested(store: Store, question: str, doc_types: list[str]) -> list[str]:
     """Questions that the records answer: of documents that match the words of this one, else of the latest."""
     docs = store.table("document", run.VERSIONS).where("is_current and is_active")
     docs = docs.where(F.col("doc_type").isin(doc_types)) if doc_types else docs
-    near = search.sample_matched(searchable(store), question, limit=SAMPLE_DOCUMENTS, doc_types=doc_types or None)
-    chosen = docs.join(near.select("doc_id", F.lit(0).alias("rank")), "doc_id")
-    if not chosen.take(1):
-        chosen = docs.join(search.sample_recent(docs, SAMPLE_DOCUMENTS).select("doc_id", F.lit(0).alias("rank")), "doc_id")
+    near = [r["doc_id"] for r in index.text_search(store, question, SAMPLE_DOCUMENTS, search.allowed(doc_types)).select("doc_id").distinct().collect()]
+    chosen = docs.where(F.col("doc_id").isin(near)) if near else docs.join(search.sample_recent(docs, SAMPLE_DOCUMENTS).select("doc_id"), "doc_id", "left_semi")
     return [r["question"] for r in search.sample_questions(chosen).orderBy("doc_id").limit(SAMPLES).collect()]
 
 

@@ -289,6 +289,11 @@ class Store:
         out.close()
         return True
 
+    def exists(self, path: str) -> bool:
+        """Whether there is a file or folder of that whole path, in whatever file system it names."""
+        where = self._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
     def remove(self, name: str) -> None:
         """Remove what append() has written."""
         self._fs.delete(self._path(name), True)
