@@ -71,11 +71,12 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Slices of at most SLICE rows, as tuples of Python values."""
+    """Slices of at most SLICE rows, as tuples of Python values. A worker outlives its task, and gives back what Arrow held."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
             yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+    pa.default_memory_pool().release_unused()
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
@@ -94,6 +95,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int, column: str = "text")
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    pa.default_memory_pool().release_unused()
 
 
 def batch_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
