@@ -27,6 +27,8 @@ classes. A class without any doc_id has a null class_id. Other columns are ignor
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -228,6 +230,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """As components(), of links (a, b) in which a < b and each b has one a: trees, so that only labels jump, and only
+    those that are not yet their root's. A round halves what is left of the paths."""
+    labels = links.select(F.col("b").alias("id"), F.col("a").alias("class_id"))
+    above, done, left = labels, [], labels
+    while True:
+        up = above.select(F.col("id").alias("class_id"), F.col("class_id").alias("next"))
+        jumped = materialise(left.join(up, "class_id", "left").select("id", F.coalesce("next", "class_id").alias("class_id"), F.col("next").isNull().alias("root")))
+        done.append(jumped.where("root").select("id", "class_id"))
+        left = jumped.where("not root").select("id", "class_id")
+        above = reduce(DataFrame.union, done, left)
+        if not left.take(1):
+            heads = above.select("class_id").distinct()
+            return materialise(above.union(heads.select(F.col("class_id").alias("id"), "class_id")))
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes (id, class_id) after further links (a, b). What those join is found among classes, of which they touch few."""
     of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
@@ -333,7 +351,7 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     to_pivot = buckets.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
     links = materialise(verified(to_pivot.select("a", "b"), sets, similarity))
-    classes = components(links)
+    classes = rooted(links)
     open_ = placed(buckets, classes)
     for seed in range(PIVOTS):
         if not open_.take(1):

@@ -136,3 +136,16 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (50, 42)], "a long, b long")
     got = {r["id"]: r["class_id"] for r in dm.components(edges).collect()}
     assert got == {**dict.fromkeys(range(1, 31), 1), **dict.fromkeys((40, 41, 42, 50), 40)}
+
+
+def test_rooted_is_components_of_trees(spark):
+    random = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(1, 40)]
+    star = [(100, i) for i in range(101, 160)]
+    trees = [(int(random.integers(200, b)), b) for b in range(201, 300) if b % 9]
+    edges = spark.createDataFrame(chain + star + trees, "a long, b long")
+    found = lambda labels: sorted(map(tuple, labels.select("id", "class_id").collect()))
+    got = found(dm.rooted(edges))
+    assert got == found(dm.components(edges))
+    assert len(got) == len({i for i, _ in got})
+    assert found(dm.rooted(edges.where("a < 0"))) == []
