@@ -215,24 +215,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", shared.alias("i"), (least + most).alias("t")).where(F.col("i") / (F.col("t") - F.col("i")) >= similarity).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, class_id: of every end of an edge, the least id of its component. Least labels spread, and labels jump to their own label."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("class_id")))
-    while True:
-        told = both.join(labels.select(F.col("id").alias("a"), "class_id"), "a").select(F.col("b").alias("id"), "class_id")
-        spread = materialise(told.union(labels).groupBy("id").agg(F.min("class_id").alias("class_id")))
-        jumped = spread.join(spread.select(F.col("id").alias("class_id"), F.col("class_id").alias("next")), "class_id").select("id", F.col("next").alias("class_id"))
-        after = materialise(jumped)
-        moved = after.join(labels.withColumnRenamed("class_id", "was"), "id").where("was <> class_id").take(1)
-        labels = after
-        if not moved:
-            return labels
-
-
 def rooted(links: DataFrame) -> DataFrame:
-    """As components(), of links (a, b) in which a < b and each b has one a: trees, so that only labels jump, and only
-    those that are not yet their root's. A round halves what is left of the paths."""
+    """id, class_id, as components() has them, of links (a, b) in which a < b and each b has one a: trees, so that only
+    labels jump, and only those that are not yet their root's. A round halves what is left of the paths."""
     labels = links.select(F.col("b").alias("id"), F.col("a").alias("class_id"))
     above, done, left = labels, [], labels
     while True:
@@ -246,6 +231,25 @@ def rooted(links: DataFrame) -> DataFrame:
             return materialise(above.union(heads.select(F.col("class_id").alias("id"), "class_id")))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """id, class_id: of every end of an edge, the least id of its component.
+
+    A round hangs each id under its least neighbour, which makes trees, and goes on with the edges between their roots. So
+    an edge is read again only while its ends are in different trees; two rounds at least halve what roots are left.
+    """
+    left = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = materialise(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("class_id")))
+    while left.take(1):
+        nearest = left.union(left.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up")).where("up < id")
+        trees = rooted(nearest.select(F.col("up").alias("a"), F.col("id").alias("b")))
+        root = lambda x: trees.select(F.col("id").alias(x), F.col("class_id").alias(f"r{x}"))  # noqa: B023, E731
+        ends = left.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        up = trees.select(F.col("id").alias("class_id"), F.col("class_id").alias("next"))
+        labels = materialise(labels.join(up, "class_id", "left").select("id", F.coalesce("next", "class_id").alias("class_id")))
+    return labels
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes (id, class_id) after further links (a, b). What those join is found among classes, of which they touch few."""
     of = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"c{x}"))
