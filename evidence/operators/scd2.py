@@ -138,12 +138,21 @@ def batch_stats(decided: DataFrame) -> DataFrame:
 
 
 def violations(versions: DataFrame) -> DataFrame:
-    """Broken invariants of the version table: doc_id, problem. Empty is good."""
-    per = versions.groupBy("doc_id")
-    several = per.agg(F.count_if("is_current").alias("n")).where("n <> 1").select("doc_id", F.lit("not one current version").alias("problem"))
-    twice = versions.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", F.lit("version repeats").alias("problem"))
-    row = F.when(F.col("is_current") != F.col("valid_to").isNull(), "current without open end").when(F.col("valid_to") < F.col("valid_from"), "ends before it begins").when(F.col("version") < 1, "version below 1")
-    rows = versions.withColumn("problem", row).where("problem is not null").select("doc_id", "problem")
-    following = F.lead("valid_from").over(Window.partitionBy("doc_id").orderBy("version"))
-    gaps = versions.withColumn("next", following).where("next is not null and not (valid_to <=> next)").select("doc_id", F.lit("gap between versions").alias("problem"))
-    return several.unionByName(twice).unionByName(rows).unionByName(gaps)
+    """Broken invariants of the version table: doc_id, problem. Empty is good.
+
+    One pass: each document's versions in order, each compared with its neighbours; what counts for a whole document or
+    for all rows of a version is told at one of its rows.
+    """
+    order = Window.partitionBy("doc_id").orderBy("version")
+    rows = versions.select("doc_id", "version", "is_current", "valid_from", "valid_to", F.struct("version").alias("v")).select(
+        "*", F.lead("valid_from").over(order).alias("next"), F.lead("v").over(order).alias("v1"), F.lag("v").over(order).alias("v0"), F.lag("v", 2).over(order).alias("v00"),
+        F.count_if("is_current").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
+    )
+    repeats = F.col("v0").isNotNull() & (F.col("v0") == F.col("v")) & ~F.col("v00").eqNullSafe(F.col("v"))
+    problems = F.array(
+        F.when(F.col("v1").isNull() & (F.col("n") != 1), "not one current version"),
+        F.when(repeats, "version repeats"),
+        F.when(F.col("is_current") != F.col("valid_to").isNull(), "current without open end").when(F.col("valid_to") < F.col("valid_from"), "ends before it begins").when(F.col("version") < 1, "version below 1"),
+        F.when(F.col("next").isNotNull() & ~F.col("valid_to").eqNullSafe(F.col("next")), "gap between versions"),
+    )
+    return rows.select("doc_id", F.explode(F.array_compact(problems)).alias("problem"))

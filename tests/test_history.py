@@ -65,6 +65,22 @@ def test_violations_are_found(spark):
     assert {("d2", "not one current version"), ("d3", "gap between versions")} <= found and not any(d == "d1" for d, _ in found)
 
 
+def test_violations_are_found_in_one_pass(spark):
+    at = lambda n: DAY + datetime.timedelta(n)
+    rows = [
+        ("ok", 1, False, at(0), at(1)), ("ok", 2, True, at(1), None), ("thrice", 1, False, at(0), at(1)), ("thrice", 1, False, at(1), at(1)), ("thrice", 1, True, at(1), None),
+        ("none", None, False, at(0), at(1)), ("none", 0, False, at(2), at(1)), ("open", 3, False, at(0), None), (None, 1, True, at(0), None), (None, None, True, at(0), at(0)),
+    ]
+    found = scd2.violations(spark.createDataFrame(rows, "doc_id string, version int, is_current boolean, valid_from timestamp, valid_to timestamp"))
+    many = "not one current version"
+    want = [(None, many), (None, "current without open end"), ("none", many), ("none", "ends before it begins"), ("none", "gap between versions"), ("open", many), ("open", "current without open end"), ("thrice", "version repeats")]
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert [x for x in got if x != ("thrice", "gap between versions")] == sorted(want, key=repr)
+    # One reading and one sort of the versions: four of each held their memory in one task at once.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rpartition("Initial Plan")[2].count("hashpartitioning(doc_id") == 1
+
+
 def test_modes():
     mark = Watermark("t", "s", 10, "sig")
     assert choose_mode(mark, "sig", full=True)[0] == choose_mode(None, "sig")[0] == choose_mode(mark, "new")[0] == "full"
