@@ -15,14 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence.workers import delete_on_exit, on_workers, shared_dir
+from evidence.workers import bounded_batches, delete_on_exit, on_workers, shared_dir
 
 WORD = re.compile(r"[^\x20\t-\r]+")
 _ODD_SPACE = re.compile(r"[^\S\x20\t-\r]")
 _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Rows handed from Arrow to Python at once; bounds what a worker holds besides its Arrow batch.
 SLICE = 128
-BATCH_ROWS = 512
 #: A side of a join is broadcast only if its counted rows are no more than this.
 BROADCAST_ROWS = 200_000
 
@@ -37,13 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS: texts are long, and JVM and worker both hold a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (never null) of documents, and no other column but those asked for."""
     on_workers(docs.sparkSession)

@@ -100,15 +100,23 @@ def applied(spark: SparkSession, d: str) -> DataFrame:
     return scd2.apply(versions(spark, d), decided(spark, d), T1, CHANGE_ID, BATCH_ID)
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """documents as chunks of documents of three, with stored vectors where there are any."""
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+def _chunks(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 3).cast("string")).alias("doc_id"), F.col("lang").alias("doc_type"), F.lit(True).alias("is_current"),
-        (F.col("doc_id") % 11 != 0).alias("is_active"), F.to_json(F.struct("n_chars", "source")).alias("metadata"), "text", "embedding",
+        (F.col("doc_id") % 11 != 0).alias("is_active"), F.to_json(F.struct("n_chars", "source")).alias("metadata"), "text", *more,
     )
 
 
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """documents as chunks of documents of three, with stored vectors where there are any."""
+    return _chunks(table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left"), "embedding")
+
+
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    """As chunks(), without vectors: texts stay where they lie."""
+    return _chunks(table(spark, d, "documents"))
+
+
 def query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
@@ -126,10 +134,11 @@ def indexed(spark: SparkSession, d: str, vectors: bool = False) -> Store:
     path = f"{shared_dir(spark)}/evidence/index-{uuid.uuid4().hex}"
     delete_on_exit(spark, path)
     store, manifest = Store(spark, path), Manifest(index={"analyser": "simple"})
-    rows = chunks(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("doc_id", F.concat(F.lit("d"), "chunk_id"))
+    held = chunks(spark, d) if vectors else whole(spark, d)
+    rows = held.withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("doc_id", F.concat(F.lit("d"), "chunk_id"))
     docs = rows.select(F.xxhash64("chunk_id").alias("doc_sk"), "doc_id", "doc_type", "metadata", "is_current", "is_active")
-    held = "doc_sk long, doc_id string, doc_type string, metadata string, is_current boolean, is_active boolean"
-    manifest.tables["document"] = store.add_layer("document", held, docs, None, 1, manifest)
+    kept = "doc_sk long, doc_id string, doc_type string, metadata string, is_current boolean, is_active boolean"
+    manifest.tables["document"] = store.add_layer("document", kept, docs, None, 1, manifest)
     if vectors:
         build_vectors(store, manifest, rows)
         return store

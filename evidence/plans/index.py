@@ -42,14 +42,11 @@ def _grow(store: Store, manifest: Manifest, name: str, change: DataFrame, whole:
 def update(store: Store, manifest: Manifest, tables: dict, added: DataFrame, removed: DataFrame, batch: int) -> None:
     """Bring dictionary, postings and lexeme counts in tables to where chunks were added and removed (chunk_id, doc_id, text)."""
     texts = added.select("chunk_id", "doc_id", "text").unionByName(removed.select("chunk_id", "doc_id", "text"))
-    held = dictionary(store, manifest)
-    fresh = inverted.new_tokens(texts, held, analyser(manifest))
+    held, how = dictionary(store, manifest), analyser(manifest)
+    fresh = inverted.new_tokens(texts, held, how)
     tables["dictionary"] = _grow(store, manifest, "dictionary", fresh, held.unionByName(fresh), batch)
-    known = dictionary(store, Manifest(tables=tables))
-    n = known.count()
-    new, old = inverted.postings(added, known, n), inverted.postings(removed, known, n)
-    tables["posting"] = store.add_layer("posting", inverted.POSTING, new, old, batch, manifest)
-    signed = inverted.counts(new).unionByName(inverted.counts(old).withColumn("ndoc", -F.col("ndoc")))
+    tables["posting"] = store.add_layer("posting", inverted.POSTING, inverted.postings_by(added, how), inverted.postings_by(removed, how), batch, manifest)
+    signed = inverted.counts_by(added, how).unionByName(inverted.counts_by(removed, how).withColumn("ndoc", -F.col("ndoc")))
     total = lambda df: df.groupBy("lexeme").agg(F.sum("ndoc").alias("ndoc")).where("ndoc <> 0")
     change = total(signed)
     tables["lexeme"] = _grow(store, manifest, "lexeme", change, total(lexemes(store, manifest).unionByName(change)), batch)

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 _LOCAL: dict[str, str] = {}
+#: Rows of an Arrow batch: texts are long, and JVM and worker both hold a batch.
+BATCH_ROWS = 512
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -18,6 +20,13 @@ def on_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; only a local session may fall back to a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)

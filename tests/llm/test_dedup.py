@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from evidence.llm import dart_minhash as dm
+from tests.metrics import last_execution, total
 
 
 def bag(text):
@@ -151,23 +152,6 @@ def test_rooted_is_components_of_trees(spark):
     assert found(dm.rooted(edges.where("a < 0"))) == []
 
 
-def joined_rows(spark, after, of):
-    """Rows that joins whose description has a text made, in the executions after one."""
-    store, total = spark._jsparkSession.sharedState().statusStore(), 0
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    done = store.executionsList()
-    for i in range(done.size()):
-        key = done.apply(i).executionId()
-        if key <= after:
-            continue
-        made, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
-        for node in (nodes.apply(j) for j in range(nodes.size())):
-            if "Join" in node.name() and of in node.desc():
-                got = [made.get(node.metrics().apply(m).accumulatorId()) for m in range(node.metrics().size()) if node.metrics().apply(m).name() == "number of output rows"]
-                total += sum(int(x.get().replace(",", "")) for x in got if x.isDefined())
-    return total
-
-
 def test_components_read_a_link_once_while_its_ends_are_apart(spark):
     random = np.random.default_rng(3)
     dense = [tuple(int(x) for x in random.choice(200, 2, replace=False)) for _ in range(2000)]
@@ -175,8 +159,7 @@ def test_components_read_a_link_once_while_its_ends_are_apart(spark):
     chain = list(zip(ids, ids[1:], strict=False))
     links = sorted({(min(p), max(p)) for p in dense + chain})
     edges = spark.createDataFrame(links, "a long, b long")
-    done = spark._jsparkSession.sharedState().statusStore().executionsList()
-    last = max((done.apply(i).executionId() for i in range(done.size())), default=-1)
+    last = last_execution(spark)
     got = {r["id"]: r["class_id"] for r in dm.components(edges).collect()}
     assert got == {i: 0 if i < 1000 else 1000 for p in links for i in p}
-    assert 0 < joined_rows(spark, last, "[a#") < 1.5 * len(links)
+    assert 0 < total(spark, last, "Join", "number of output rows", "[a#") < 1.5 * len(links)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidence.functions.text import english
+from evidence.functions.text import english, tokens
 from evidence.operators import inverted, search
 from evidence.operators import vector_index as vi
 from evidence.operators.catalog import read_catalog
@@ -14,6 +14,7 @@ from evidence.plans import fixtures as fx
 from evidence.plans import ingest as run
 from evidence.rules.spec import DocType
 from evidence.sources.store import Store
+from tests.metrics import last_execution, total
 from tests.test_ingest import Source, go
 
 
@@ -34,6 +35,34 @@ def test_english_by_dictionary_is_english_by_text(spark, small):
     assert got == {(r["lexeme"], r["ndoc"]) for r in search.lexeme_stats(rows, english(F.col("text"))).collect()}
 
 
+@pytest.mark.parametrize("part", [3, 500_000])
+@pytest.mark.parametrize("analyser", ["english", "simple"])
+def test_postings_hold_every_position(spark, monkeypatch, analyser, part):
+    monkeypatch.setattr(inverted, "PART_TOKENS", part)
+    texts = ["Run, running runs; the the", None, "", "...", "the", "x run x", "Ünïcode 12 Ünïcode"]
+    rows = spark.createDataFrame([(i, f"d{i}", t) for i, t in enumerate(texts)], "chunk_id long, doc_id string, text string").coalesce(1)
+    want = {}
+    for r in rows.select("chunk_id", "doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).collect():
+        if (x := inverted.ANALYSERS[analyser](r["token"])) is not None:
+            want.setdefault((x, r["chunk_id"], r["doc_id"]), []).append(r["pos"] + 1)
+    words = inverted.new_tokens(rows, spark.createDataFrame([], inverted.DICTIONARY), analyser)
+    for found in (inverted.postings_by(rows, analyser), inverted.postings(rows, words)):
+        assert sorted(map(tuple, found.collect())) == sorted((*k, v) for k, v in want.items())
+    ndoc = {}
+    for x, *_ in want:
+        ndoc[x] = ndoc.get(x, 0) + 1
+    assert {tuple(r) for r in inverted.counts_by(rows, analyser).collect()} == set(ndoc.items())
+    assert inverted.postings_by(rows.limit(0), analyser).collect() == inverted.counts_by(rows.limit(0), analyser).collect() == []
+
+
+def test_an_index_shuffles_a_posting_once(spark, small):
+    last = last_execution(spark)
+    store = fx.indexed(spark, small)
+    n, words = store.table("posting", inverted.POSTING).count(), store.table("dictionary", inverted.DICTIONARY).count()
+    moved = total(spark, last, "Exchange", "shuffle records written")
+    assert n < moved < 2 * n + 4 * words
+
+
 def test_words_are_found_by_their_stem_and_follow_changes(spark, tmp_path):
     store, source = Store(spark, f"file://{tmp_path}/s", buckets=4), Source(spark)
     for k in range(30):
