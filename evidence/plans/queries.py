@@ -291,9 +291,7 @@ def lexeme_stats(s, d):
 
 @query()
 def english_lexeme_stats(s, d):
-    rows = fx.chunks(s, d)
-    words = inverted.new_tokens(rows, s.createDataFrame([], inverted.DICTIONARY), "english")
-    return inverted.counts(inverted.postings(rows, words))
+    return inverted.counts_by(fx.whole(s, d), "english")
 
 
 @query(_RARE)
