@@ -14,10 +14,12 @@ Classes, without all pairs of a group:
 2. In each bucket (band key) the least node is its pivot. Every node is verified exactly against the least of its
    pivots; connected components of what holds are the first classes.
 3. A bucket is settled if all its nodes are in one class. In the others nodes are verified against other pivots,
-   PIVOTS times, which joins what a large group with an unlucky first pivot fell into. In what is still open every node
-   outside the bucket's commonest class is verified against every node in another class; where that is many pairs, in
-   blocks of bags that return only as many links as join their classes. So each pair that shares a bucket is in one class
-   or has been verified: no candidate link is lost, and the bulk of a large group is never paired with itself.
+   PIVOTS times, which joins what a large group with an unlucky first pivot fell into; the first time against the node
+   that meets most others, about which such a group lies. In what is still open every node outside the bucket's commonest
+   class is compared with every node in another class. Where that is many pairs, first by short marks of the bags, which
+   differ in no more places than the bags do: only nodes that may have a link by them go on, in blocks of bags that return
+   only as many links as join their classes. So each pair that shares a bucket is in one class, or has been verified or
+   ruled out: no candidate link is lost, and the bulk of a large group is never paired with itself.
 4. Components of all verified links are the classes. A class is named by its least doc_id.
 
 Defined cases: null, empty and blank texts have no shingles; each such row is a class of its own. Every row has a class
@@ -47,6 +49,8 @@ K = BANDS * ROWS
 PIVOTS = 2
 #: Blocks in which large buckets with several classes are compared.
 FEW_PAIRS, X_BLOCK, Y_BLOCK = 64, 128, 512
+#: 64-bit words of a bag's marks, and how many outsiders' marks a task compares with a bucket.
+MARKS, X_MARKS = 16, 2048
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -206,6 +210,25 @@ def _set_rows(batches):
         yield batch_of([(i, occurrences(*shingles(text)).view(np.int64).tolist()) for i, text in part], schema)
 
 
+def _mark_rows(batches):
+    names = [f"m{k}" for k in range(MARKS)]
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), *((m, pa.int64()) for m in names)])
+    for part in rows(batches):
+        out = []
+        for i, own in part:
+            slot = (np.array(own, np.int64).view(np.uint64) % _U(64 * MARKS)).astype(np.int64)
+            odd = np.packbits(np.bincount(slot, minlength=64 * MARKS).astype(np.uint8) & 1).view(np.int64)
+            out.append((i, len(own), *odd.tolist()))
+        yield batch_of(out, schema)
+
+
+def marked(sets: DataFrame) -> DataFrame:
+    """id, size and marks of sets: bits that say whether an odd number of the elements fall on them. What two sets share
+    cancels out, so their marks differ in no more bits than the sets do in elements, and in fewer only where elements of
+    the difference meet."""
+    return sets.select("id", "shingles").mapInArrow(_mark_rows, ", ".join(["id long", "size int", *(f"m{k} long" for k in range(MARKS))]))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -297,30 +320,64 @@ def _block(similarity: float):
 
 
 def placed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """band, id, c (the class) of the buckets that hold several classes."""
-    known = buckets.select("band", "id").join(classes, "id", "left").select("band", "id", F.coalesce("class_id", "id").alias("c"))
+    """band, id, c (the class) and, where it is known, degree of the buckets that hold several classes."""
+    more = [x for x in buckets.columns if x == "degree"]
+    known = buckets.select("band", "id", *more).join(classes, "id", "left").select("band", "id", F.coalesce("class_id", "id").alias("c"), *more)
     several = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
     return materialise(known.join(several, "band"))
 
 
+def degrees(open_: DataFrame) -> DataFrame:
+    """open_ with degree, how many nodes a node meets in its buckets."""
+    sizes = open_.groupBy("band").agg(F.count("*").alias("n"))
+    degree = open_.join(sizes, "band").groupBy("id").agg(F.sum("n").alias("degree"))
+    return materialise(open_.join(degree, "id"))
+
+
 def by_pivots(open_: DataFrame, sets: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Links of each node to one pivot of another class; pivots are a bucket's first by a hash."""
-    order = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "c")
+    """Links of each node to one pivot of another class; pivots are a bucket's first by degree, with other seeds by a hash."""
+    order = F.struct((-F.col("degree") if seed == 0 else F.lit(0)).alias("low"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "c")
     pivots = open_.groupBy("band").agg(F.min(order).alias("p"))
     pairs = open_.join(pivots, "band").where("c <> p.c").groupBy("id").agg(F.min("p").alias("p"))
     return materialise(verified(pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), sets, similarity))
 
 
+def sized(open_: DataFrame) -> DataFrame:
+    """band, id, c with pc, the bucket's commonest class, nx, how many of its nodes are outside that, and ny, all of them."""
+    sizes = open_.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).alias("most"), F.sum("count").alias("ny"))
+    return materialise(open_.select("band", "id", "c").join(sizes.select("band", F.col("most.c").alias("pc"), (F.col("ny") - F.col("most.count")).alias("nx"), "ny"), "band"))
+
+
+def near_others(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """band, id, c of the nodes whose marks allow a link between an outsider of the bucket and another class. open_: as
+    sized() has it. A node is one row, however many it is near; a task compares about X_MARKS outsiders with a bucket."""
+    full = materialise(open_.join(marked(sets.join(open_.select("id").distinct(), "id", "left_semi")), "id"))
+    parts = F.greatest(F.ceil(F.col("nx") / F.lit(X_MARKS)).cast("int"), F.lit(1))
+    own, every = F.pmod(F.xxhash64("id", F.lit(19)), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    names = ["id", "c", "size", *(f"m{k}" for k in range(MARKS))]
+    side = lambda df, x, part: df.select("band", part.alias("part"), *(F.col(n).alias(f"{x}{n}") for n in names))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"xm{k}").bitwiseXOR(F.col(f"ym{k}"))) for k in range(MARKS)))
+    most = (F.col("xsize") + F.col("ysize")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    near = (F.col("xc") != F.col("yc")) & (differ <= most)
+    outside, every_node = side(full.where("c <> pc"), "x", own), side(full, "y", every)
+    on = lambda a, b: (a["band"] == b["band"]) & (a["part"] == b["part"]) & near
+    x = materialise(outside.join(every_node, on(outside, every_node), "left_semi"))
+    y = every_node.join(x, on(every_node, x), "left_semi")
+    return x.select("band", F.col("xid").alias("id"), F.col("xc").alias("c")).union(y.select("band", "yid", "yc")).distinct()
+
+
 def settled(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between classes in buckets that hold several. open_: band, id, c.
 
     The outsiders of a bucket are the nodes outside its commonest class. A bucket with few pairs of an outsider and a
-    member (FEW_PAIRS) is joined with itself. Those of a larger one are compared in blocks: a task has at most about
-    X_BLOCK outsiders and Y_BLOCK members, and returns no more links than join their classes.
+    member (FEW_PAIRS) is joined with itself. Of a larger one the nodes stay whose marks allow a link; if they are many,
+    they are compared in blocks: a task has at most about X_BLOCK outsiders and Y_BLOCK members, and returns no more links
+    than join their classes.
     """
-    sizes = open_.groupBy("band", "c").count().groupBy("band").agg(F.max(F.struct("count", "c")).alias("most"), F.sum("count").alias("ny"))
-    open_ = materialise(open_.join(sizes.select("band", F.col("most.c").alias("pc"), (F.col("ny") - F.col("most.count")).alias("nx"), "ny"), "band"))
+    open_ = sized(open_)
     few = F.col("nx") * F.col("ny") <= FEW_PAIRS
+    if open_.where(~few).take(1):
+        open_ = materialise(open_.where(few).unionByName(sized(near_others(open_.where(~few), sets, similarity))))
     outside = open_.where(few & (F.col("c") != F.col("pc"))).select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
     inside = open_.where(few).select("band", F.col("id").alias("y"), F.col("c").alias("cy"))
     pairs = outside.join(inside, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -360,6 +417,7 @@ def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     for seed in range(PIVOTS):
         if not open_.take(1):
             break
+        open_ = open_ if "degree" in open_.columns else degrees(open_)
         classes = merged(classes, by_pivots(open_, sets, similarity, seed))
         open_ = placed(open_, classes)
     more = materialise(settled(open_, sets, similarity))

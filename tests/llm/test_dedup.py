@@ -163,3 +163,43 @@ def test_components_read_a_link_once_while_its_ends_are_apart(spark):
     got = {r["id"]: r["class_id"] for r in dm.components(edges).collect()}
     assert got == {i: 0 if i < 1000 else 1000 for p in links for i in p}
     assert 0 < total(spark, last, "Join", "number of output rows", "[a#") < 1.5 * len(links)
+
+
+def test_nodes_without_a_link_are_not_moved_once_for_each_block(spark, monkeypatch):
+    """A bucket of 400 classes of which two are alike: the rows that its sets make follow its nodes, not its pairs."""
+    monkeypatch.setattr(dm, "X_BLOCK", 8)
+    monkeypatch.setattr(dm, "Y_BLOCK", 8)
+    rng, n = np.random.default_rng(4), 400
+    common = rng.integers(-(2**63), 2**63, 60).tolist()
+    own = {i: common + rng.integers(-(2**63), 2**63, 40).tolist() for i in range(n)}
+    own[n] = own[7][:95] + rng.integers(-(2**63), 2**63, 5).tolist()
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "id long, shingles array<long>")
+    open_ = spark.createDataFrame([(1, i, i) for i in own] + [(2, 3, 3), (2, 4, 4)], "band long, id long, c long")
+    last = last_execution(spark)
+    assert [tuple(r) for r in dm.settled(open_, sets, 0.8).collect()] == [(7, n)]
+    assert 0 < total(spark, last, "Join", "number of output rows", "[id#") < 4 * n
+
+
+def test_marks_rule_no_link_out(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63, 3000).tolist()
+    own = {}
+    for i in range(120):  # of each size some pairs are just above and some just below the threshold
+        size = (9, 40, 150, 700, 3000)[i % 5]
+        new = int(rng.integers(0, size // 7 + 1))
+        own[i] = sorted(base[: size - new] + rng.integers(-(2**63), 2**63, new).tolist())
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+    sets = spark.createDataFrame(list(own.items()), "id long, shingles array<long>")
+    open_ = dm.sized(spark.createDataFrame([(1, i, i) for i in own], "band long, id long, c long"))
+    got = {r["id"] for r in dm.near_others(open_, sets, 0.8).collect()}
+    assert {a for a in own for b in own if a != b and alike(own[a], own[b])} <= got
+
+
+def test_the_first_pivot_meets_most_nodes(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63, 100).tolist()
+    own = {50: base} | {i: rng.permutation(base)[8:].tolist() + rng.integers(-(2**63), 2**63, 8).tolist() for i in range(50)}
+    sets = spark.createDataFrame(list(own.items()), "id long, shingles array<long>")
+    open_ = spark.createDataFrame([(b, 50, 50) for b in range(10)] + [(i % 10, i, i) for i in range(50)], "band long, id long, c long")
+    got = sorted(map(tuple, dm.by_pivots(dm.degrees(open_), sets, 0.8, 0).collect()))
+    assert got == [(i, 50) for i in range(50)]
